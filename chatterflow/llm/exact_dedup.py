@@ -42,7 +42,7 @@ def _first_row() -> Column:
 def heavy_digests(table: DataFrame, support: float = SUPPORT) -> DataFrame:
     """Verified heavy groups: digest, first, group_size; at most 1/support rows."""
     names = table.select(F.hex("digest").alias("name"))  # the summary tells strings apart by value, binaries by identity
-    found = names.freqItems(["name"], support).select(F.unhex(F.explode("name_freqItems")).alias("digest")).distinct()
+    found = names.freqItems(["name"], support).select(F.explode("name_freqItems").alias("name")).select(F.unhex("name").alias("digest")).distinct()
     exact = table.join(F.broadcast(found), "digest").groupBy("digest").agg(_first_row().alias("first"), F.count(F.lit(1)).alias("group_size"))
     return exact.filter(F.col("group_size") > max(1.0, support * table.count()))
 
