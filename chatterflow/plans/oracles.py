@@ -227,7 +227,7 @@ _W = "WINDOW w AS (PARTITION BY ticker ORDER BY date)"
 
 def _ahead(k: int, name: str) -> str:
     a = f"lead(close, {k}) OVER w"
-    return f"""CASE WHEN {a} IS NOT NULL THEN round({a} / close - 1, 6) END AS raw_return_{name}, CASE WHEN {a} IS NOT NULL THEN CASE WHEN {a} > close THEN 1 ELSE 0 END END::INTEGER AS price_direction_{name},
+    return f"""CASE WHEN {a} IS NOT NULL THEN round({a} / close - 1, 6) END AS raw_return_{name}, CASE WHEN {a} IS NOT NULL THEN CASE WHEN {a} > close THEN 1 ELSE 0 END END::DOUBLE AS price_direction_{name},
         CASE WHEN {a} IS NOT NULL THEN round(lead(volume, {k}) OVER w / volume - 1, 6) END AS volume_change_{name},
         CASE WHEN {a} IS NOT NULL THEN round(min(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND {k} FOLLOWING) / close - 1, 6) END AS drawdown_{name}"""
 

@@ -384,7 +384,10 @@ def asof_calendar(spark, sf):
 def horizon_outcomes(spark, sf):
     """WIN8-13: ready outcomes on each bar."""
     out = prices.with_outcomes(A.bars(spark, sf))
-    return out.select("ticker", "date", "raw_return_same_day", "gap_return_1d", "prior_return_5d", "prior_volatility_10d", *(f"{m}_{h}" for m in ("raw_return", "price_direction", "volume_change", "drawdown") for h in ("1d", "5d", "1m")), "volatility_5d")
+    return out.select(
+        "ticker", "date", "raw_return_same_day", "gap_return_1d", "prior_return_5d", "prior_volatility_10d",
+        *(F.col(f"{m}_{h}").cast("double").alias(f"{m}_{h}") for m in ("raw_return", "price_direction", "volume_change", "drawdown") for h in ("1d", "5d", "1m")), "volatility_5d",
+    )
 
 
 @query
