@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 
 
+#: A correlation is perfect beyond this; sums of squares leave it an ulp or two below 1.
+ONE = 1 - 1e-12
+
+
 def long_pairs(df: DataFrame, key: list[str], signals: list[str], outcomes: list[str]) -> DataFrame:
     """key, signal, outcome, x, y for every pair of columns: one pass for a whole grid (ST8, AGG24)."""
     xs = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("x")) for s in signals])
@@ -39,13 +43,13 @@ def p_value(r: Column, n: Column, kendall: bool = False) -> Column:
         z = r * F.sqrt(9 * n * (n - 1) / (2 * (2 * n + 5)))
     else:
         z = r * F.sqrt((n - 2) / F.greatest(1 - r * r, F.lit(1e-12)))
-    return F.when((n >= 3) & (F.abs(r) < 1), erfc(F.abs(z) / math.sqrt(2)))
+    return F.when((n >= 3) & (F.abs(r) < ONE), erfc(F.abs(z) / math.sqrt(2)))
 
 
 def interval(r: Column, n: Column) -> tuple[Column, Column]:
     """ST6: Fisher's interval; null for n <= 3 or |r| = 1."""
     margin = F.lit(1.96) / F.sqrt(n - 3)
-    ok = (n > 3) & (F.abs(r) < 1)
+    ok = (n > 3) & (F.abs(r) < ONE)
     return tuple(F.when(ok, F.tanh(F.atanh(r) + sign * margin)) for sign in (-1, 1))
 
 

@@ -17,11 +17,15 @@ def deduped(items: DataFrame, late: str = "7 days") -> DataFrame:
     return items.withWatermark("created_time", late).dropDuplicatesWithinWatermark(["item_id"])
 
 
-def weekly(mentions: DataFrame, late: str = "7 days") -> DataFrame:
-    """Mentions per ticker and Monday week. The windows of seven days are shifted by four, for the epoch was a Thursday."""
+def weekly(mentions: DataFrame, late: str | None = "7 days") -> DataFrame:
+    """Mentions per ticker and Monday week. The windows of seven days are shifted by four, for the epoch was a Thursday.
+
+    ``late``: None where the stream has a watermark already.
+    """
     weeks = F.window("created_time", "7 days", "7 days", "4 days")
+    marked = mentions.withWatermark("created_time", late) if late else mentions
     return (
-        mentions.withWatermark("created_time", late).groupBy(weeks, "ticker")
+        marked.groupBy(weeks, "ticker")
         .agg(F.count(F.lit(1)).alias("total_mentions"), F.count_if(F.col("sentiment") == "bullish").alias("bullish_mentions"))
         .select("ticker", F.col("window.start").cast("date").alias("bucket_start"), "total_mentions", "bullish_mentions")
     )
