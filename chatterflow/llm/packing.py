@@ -25,16 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_text, written
+from .common import chunks, text_bytes, with_text, words, written
 
 CAPACITY = 2048
-#: Words whose ids a worker keeps; the cache is emptied when full.
-CACHE = 700_000
+#: Pre-tokens whose ids a worker keeps, and 2**TABLE_BITS cells of 20 bytes, half of them filled at most, for whole words.
+CACHE, TABLE_BITS = 300_000, 22
 #: Up to so many runs (about 40 bytes each) are looked up map-side; beyond, Spark joins them.
 BROADCAST_RUNS = 500_000
 #: Ranks of one block in that join.
@@ -63,48 +62,120 @@ class WordIds:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         same = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [i for i in range(256) if i not in same]
-        self.shown = {i: chr(i) for i in same} | {b: chr(256 + n) for n, b in enumerate(others)}
-        self.words: dict[bytes, bytes] = {}
+        self.shown = {b: 256 + n for n, b in enumerate(others)}
         self.parts: dict[str, bytes] = {}
-
-    def add(self, new: list[bytes]) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        """An empty open-addressing table from a word's 64-bit hash to its place and length in a pool of ids; place 0 holds id 0."""
+        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.place, self.length = np.zeros(1 << TABLE_BITS, np.int64), np.zeros(1 << TABLE_BITS, np.int32)
+        self.pool, self.used, self.known = np.zeros(1 << 20, "<u4"), 1, 0
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The pre-tokens of a word of plain Latin letters, in the tokenizer's byte alphabet; None for any other word."""
+        core = text.rstrip(_PUNCTUATION)
+        if core.isascii() and core.isalpha():
+            return [core.lower(), text[len(core) :]] if len(core) < len(text) else [core.lower()]
+        if _ODD.search(text):
+            return None
+        parts = [core.lower(), text[len(core) :]] if core.isalpha() else _PRE_TOKEN.findall(text.lower())
+        return [p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in parts if p]
+
+    def encode(self, new: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, as little-endian bytes."""
+        out: dict[bytes, bytes] = {}
         cut: dict[bytes, list[str]] = {}
         for w in new:
             text = w.decode()
-            if text.isascii() and text.isalpha():
-                cut[w] = [text.lower()]
-            elif not _ODD.search(text):
-                cut[w] = ["".join(map(self.shown.__getitem__, p.encode())) for p in _PRE_TOKEN.findall(text.lower())]
+            parts = self._cut(text)
+            if parts is None:
+                out[w] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                self.words[w] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                cut[w] = parts
+        if len(self.parts) > CACHE:
+            self.parts.clear()
         missing = list({p for parts in cut.values() for p in parts}.difference(self.parts))
-        for i in range(0, len(missing), 2000):
-            some = missing[i : i + 2000]
-            ids = np.array(self.fast.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        lines = [missing[i : i + 1000] for i in range(0, len(missing), 1000)]
+        for some, encoding in zip(lines, self.fast.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) != len(some):
                 raise ValueError("a pre-token without one end-of-word id")
-            for p, a, b in zip(some, [0, *at[:-1].tolist()], at.tolist(), strict=True):
-                self.parts[p] = ids[a:b].tobytes()
+            data, a = ids.tobytes(), 0
+            for p, b in zip(some, (at * 4).tolist(), strict=True):
+                self.parts[p] = data[a:b]
+                a = b
         for w, parts in cut.items():
-            self.words[w] = b"".join(map(self.parts.__getitem__, parts))
-
-    def ids(self, text: bytes) -> bytes:
-        found = text.split()  # at ASCII white space
-        try:
-            return b"".join(map(self.words.__getitem__, found))
-        except KeyError:
-            new = list(set(found).difference(self.words))
-            if len(self.words) + len(new) > CACHE:
-                self.words.clear()
-                self.parts.clear()
-                new = list(set(found))
-            self.add(new)
-            return b"".join(map(self.words.__getitem__, found))
+            out[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
+        return [out[w] for w in new]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The cell of each hash, -1 for those that the table lacks."""
+        at = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        out = np.where(self.keys[at] == hashes, at, -1)
+        open_ = np.flatnonzero((out < 0) & (self.keys[at] != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[open_]]
+            out[open_[there == hashes[open_]]] = at[open_[there == hashes[open_]]]
+            open_ = open_[(there != hashes[open_]) & (there != 0)]
+        return out
+
+    def insert(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Distinct hashes that the table lacks."""
+        lengths = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool) + len(flat), "<u4")))
+        self.pool[self.used : self.used + len(flat)] = flat
+        places = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat)
+        self.known += len(ids)
+        at, left = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.arange(len(ids))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = hashes[free]
+            mine = left[self.keys[at[left]] == hashes[left]]
+            self.place[at[mine]], self.length[at[mine]] = places[mine], lengths[mine]
+            left = left[self.keys[at[left]] != hashes[left]]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind one another, each ended by id 0, and their n + 1 offsets."""
+        starts, ends, hashes, off = words(raw, offsets)
+        cells = self.find(hashes)
+        missed = np.flatnonzero(cells < 0)
+        if len(missed):
+            if self.known + len(missed) > len(self.keys) // 2:
+                self.clear()
+                missed = np.arange(len(hashes))
+            new, first = np.unique(hashes[missed], return_index=True)
+            if len(new) > len(self.keys) // 2:  # one giant text with more distinct words than the table is for
+                return self._giant(raw, starts, ends, hashes, off)
+            data = raw.tobytes()
+            self.insert(new, self.encode([data[a:b] for a, b in zip(starts[missed[first]].tolist(), ends[missed[first]].tolist(), strict=True)]))
+            cells = self.find(hashes)
+        return self._gathered(self.pool, self.place[cells], self.length[cells].astype(np.int64), off)
+
+    def _gathered(self, pool: np.ndarray, place: np.ndarray, length: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place, length = np.insert(place, off[1:], 0), np.insert(length, off[1:], 1)
+        total = np.concatenate(([0], np.cumsum(length)))
+        out = pool[np.repeat(place - total[:-1], length) + np.arange(total[-1])]
+        return out, total[off + np.arange(len(off))]
+
+    def _giant(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        ids = self.encode([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        length = np.array([len(x) // 4 for x in ids], np.int64)
+        pool = np.concatenate((np.zeros(1, "<u4"), np.frombuffer(b"".join(ids), "<u4")))
+        return self._gathered(pool, (1 + np.cumsum(length) - length)[which], length[which], off)
 
 
 #: One for each tokenizer file; a worker keeps it from task to task.
 _IDS: dict[str, WordIds] = {}
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\"
 #: The tokenizer's own pattern of pre-tokens.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: What isn't cut here: control characters, anything beyond Latin letters, and what may be a special token.
@@ -121,12 +192,16 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
         by_word, width = _IDS[tokenizer_file], 4 * capacity
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), ""), strict=True):
-                ids = by_word.ids(text.as_buffer().to_pybytes()) + b"\0\0\0\0"
-                for i, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    for column, value in zip(out, (doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
+            raw, offsets = text_bytes(batch.column("text"))
+            doc_ids = batch.column("doc_id").to_pylist()
+            for a, b in chunks(offsets):
+                ids, at_doc = by_word.ids(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                data, bounds = memoryview(ids).cast("B"), (at_doc * 4).tolist()
+                for doc_id, s, e in zip(doc_ids[a:b], bounds[:-1], bounds[1:], strict=True):
+                    for i, at in enumerate(range(0, e - s, width)):
+                        part = data[s + at : min(e, s + at + width)]
+                        for column, value in zip(out, (doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
