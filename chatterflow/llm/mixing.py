@@ -132,7 +132,7 @@ def mixed(docs: DataFrame, budget: float = BUDGET, target_entropy: float = TARGE
 
     The draws (ids only) are the build side of a hash join, so that texts are shuffled once and never sorted.
     """
-    drawn = mix_sources(docs, budget, target_entropy, max_passes).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    drawn = written(drawn).select(F.col("doc_id").alias("_drawn"), "times")
+    drawn = mix_sources(docs, budget, target_entropy, max_passes).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
+    drawn = written(drawn).select(F.col("doc_id").alias("_drawn"), "_times")
     rows = docs.join(drawn.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_drawn")))
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
+    return rows.withColumn("_drawn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
