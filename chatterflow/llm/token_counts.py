@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import _BYTE, _powers, chunks, mix, sums_per, text_bytes, with_text
 
-#: Rows read to find frequent pre-tokens, and 2**TABLE_BITS cells of 9 bytes in the broadcast table.
-WARM_ROWS, TABLE_BITS = 2000, 17
+#: Rows, and characters of each, read to find frequent pre-tokens, and 2**TABLE_BITS cells of 9 bytes in the broadcast table.
+WARM_ROWS, WARM_CHARS, TABLE_BITS = 2000, 10_000, 17
 #: Pre-tokens that one worker keeps beyond the table; the cache is emptied when full.
 CACHE = 700_000
 #: The model and its cache by file; a worker keeps them from task to task.
@@ -90,19 +91,15 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, warm_rows:
     check_model(processor)
     narrow = with_text(docs)
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            raw, offsets = text_bytes(batch.column("text"))
-            for a, b in chunks(offsets):
-                data, starts, ends, _, _ = pre_tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                whole = data.tobytes()
-                seen.update(whole[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s < 64)
-        best = seen.most_common((1 << table_bits) // 2)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.binary()), pa.array([v for _, v in best], pa.int64())], names=["pre", "n"])
-
-    top = narrow.limit(warm_rows).mapInArrow(frequent, "pre binary, n long").groupBy("pre").sum("n").orderBy("sum(n)", ascending=False).limit((1 << table_bits) // 2)
-    pre = [bytes(r.pre) for r in top.select("pre").toLocalIterator()]
+    # take() reads as few partitions as it needs; what comes to the driver is bounded by rows and characters
+    sample = narrow.select(F.substring("text", 1, WARM_CHARS).alias("text")).filter("text is not null").take(warm_rows)
+    raw, offsets = text_bytes(pa.array([r["text"] for r in sample], pa.string()))
+    seen: Counter = Counter()
+    for a, b in chunks(offsets):
+        data, starts, ends, _, _ = pre_tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        whole = data.tobytes()
+        seen.update(whole[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s < 64)
+    pre = [p for p, _ in seen.most_common((1 << table_bits) // 2)]
     sizes = np.array([len(p) for p in pre], np.int64)
     joined = np.frombuffer(b"".join(pre), np.uint8)
     at = np.concatenate(([0], np.cumsum(sizes)))
