@@ -51,42 +51,66 @@ def top_evidence(mentions: DataFrame, n: int = 3) -> DataFrame:
 def attention(events: DataFrame, mentions: DataFrame, windows=lex.ATTENTION_WINDOWS) -> DataFrame:
     """JN17, JN18, SC18: mentions of the event's ticker within each window after it, and their share of all mentions.
 
-    One interval join at the longest window, cut into day blocks of its length that join by equality; the universe's counts are
-    taken from a running count per day and so need no join without a key.
+    Nothing is paired. A mention at ``m`` counts for the events in [m - n, m), and as the first of its thread, author or source
+    for those in [max(m - n, the one before), m), so every measure is a running sum of interval edges up to the event.
     """
-    longest = max(windows)
-    block = lambda c: F.floor(F.unix_micros(c) / (longest * 86_400_000_000))
-    e = events.select("signal_id", "ticker", "signal_time").withColumn("_b", F.explode(F.array(block(F.col("signal_time")), block(F.col("signal_time")) + 1)))
-    m = mentions.select("ticker", "created_time", "thread_id", "author_hash", "source_name").withColumn("_b", block(F.col("created_time")))
-    gap = F.unix_micros("created_time") - F.unix_micros("signal_time")
-    met = e.join(m, ["ticker", "_b"]).withColumn("gap", gap).filter((F.col("gap") > 0) & (F.col("gap") <= longest * 86_400_000_000))
-    aggs = []
-    for n in windows:
-        inside = F.col("gap") <= n * 86_400_000_000
-        aggs += [F.count_if(inside).alias(f"mentions_{n}d"), *(F.countDistinct(F.when(inside, F.col(c))).alias(f"{k}_{n}d") for k, c in (("threads", "thread_id"), ("authors", "author_hash"), ("sources", "source_name")))]
-    out = events.select("signal_id", "ticker", "signal_time").join(met.groupBy("signal_id").agg(*aggs), "signal_id", "left")
-    out = out.fillna(0, [c for c in out.columns if c.endswith("d") and c not in ("signal_id",)])
-    return out.join(_universe(events, mentions, windows), "signal_id", "left").withColumns(
+    day = 86_400_000_000
+    m = mentions.filter("created_time is not null").select("ticker", F.unix_micros("created_time").alias("m"), "thread_id", "author_hash", "source_name")
+    kinds = {"threads": "thread_id", "authors": "author_hash", "sources": "source_name"}
+    for c in kinds.values():
+        m = _with_previous(m, c)
+    zero = lambda test: F.when(test, 1).otherwise(0)
+
+    def edges(at, opened: dict):
+        return F.struct(at.alias("at"), *(opened.get(f"{k}_{n}d", F.lit(0)).cast("long").alias(f"{k}_{n}d") for n in windows for k in ("mentions", *kinds)))
+
+    before = lambda c: F.coalesce(F.col(f"_p_{c}"), F.lit(-(1 << 63)))
+    late = {n: F.col("m") - n * day for n in windows}
+    there = {k: F.col(c).isNotNull() for k, c in kinds.items()}
+    rows = [edges(F.col("m"), {f"{k}_{n}d": -zero(there.get(k, F.lit(True))) for n in windows for k in ("mentions", *kinds)})]
+    rows += [edges(late[n], {f"mentions_{n}d": F.lit(1)} | {f"{k}_{n}d": zero(there[k] & (before(c) < late[n])) for k, c in kinds.items()}) for n in windows]
+    rows += [F.when(F.col(f"_p_{c}") >= late[max(windows)], edges(F.col(f"_p_{c}"), {f"{k}_{n}d": zero(there[k] & (before(c) >= late[n])) for n in windows})) for k, c in kinds.items()]
+    own = m.select("ticker", F.explode(F.array_compact(F.array(*rows))).alias("e")).select("ticker", "e.*")
+
+    spots = [F.struct(F.col("m").alias("at"), *(F.lit(-1).cast("long").alias(f"universe_{n}d") for n in windows))]
+    spots += [F.struct(late[n].alias("at"), *(F.lit(int(n == k)).cast("long").alias(f"universe_{k}d") for k in windows)) for n in windows]
+    every = m.select(F.explode(F.array(*spots)).alias("e")).select(F.lit("").alias("_all"), "e.*")
+
+    e = events.select("signal_id", "ticker", "signal_time")
+    points = e.select("signal_id", "ticker", F.unix_micros("signal_time").alias("at"))
+    out = e.join(_running(points, own, "ticker"), "signal_id", "left").join(_running(points.withColumn("_all", F.lit("")), every, "_all"), "signal_id", "left")
+    counts = [f"{k}_{n}d" for n in windows for k in ("mentions", *kinds, "universe")]
+    return out.fillna(0, counts).withColumns(
         {f"share_{n}d": F.round(F.coalesce(F.try_divide(F.col(f"mentions_{n}d") * 100, F.col(f"universe_{n}d")), F.lit(0.0)), 4) for n in windows}
     ).withColumns(
         {f"spread_{n}d": S.attention_spread(F.col(f"mentions_{n}d"), F.col(f"threads_{n}d"), F.col(f"authors_{n}d"), F.col(f"sources_{n}d"), F.col(f"share_{n}d")) for n in windows}
     )
 
 
-def _universe(events: DataFrame, mentions: DataFrame, windows) -> DataFrame:
-    """Mentions of any ticker in each window: full days from daily totals, plus exact counts of the two broken days at its ends."""
-    day = lambda c: F.floor(F.unix_micros(c) / 86_400_000_000)
-    ends = events.select("signal_id", F.explode(F.array(F.lit(0), *map(F.lit, windows))).alias("n"), F.unix_micros("signal_time").alias("t")).withColumn("at", F.col("t") + F.col("n") * 86_400_000_000)
-    totals = mentions.groupBy(day(F.col("created_time")).alias("d")).agg(F.count(F.lit(1)).alias("c"))
-    # one row per day that has mentions: a narrow table, ordered once
-    running = totals.withColumn("before", F.sum("c").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).withColumn("next_d", F.lead("d").over(Window.orderBy("d")))
-    spans = running.withColumn("dd", F.explode(F.sequence("d", F.coalesce(F.col("next_d") - 1, F.col("d") + max(windows) + 1)))).select("dd", "before", "c", "d")
-    at_day = ends.withColumn("dd", F.floor(F.col("at") / 86_400_000_000)).join(spans, "dd", "left")
-    within = mentions.select(day(F.col("created_time")).alias("dd"), F.unix_micros("created_time").alias("m"))
-    broken = ends.withColumn("dd", F.floor(F.col("at") / 86_400_000_000)).join(within, "dd").filter("m <= at").groupBy("signal_id", "n").agg(F.count(F.lit(1)).alias("partial"))
-    upto = at_day.join(broken, ["signal_id", "n"], "left").withColumn("upto", F.when(F.col("dd") == F.col("d"), F.col("before")).otherwise(F.coalesce(F.col("before") + F.col("c"), F.lit(0))) + F.coalesce("partial", F.lit(0)))
-    out = upto.groupBy("signal_id").agg(*(F.max(F.when(F.col("n") == n, F.col("upto"))).alias(f"_u{n}") for n in (0, *windows)))
-    return out.select("signal_id", *((F.col(f"_u{n}") - F.col("_u0")).alias(f"universe_{n}d") for n in windows))
+def _day(t: str):
+    return F.floor(F.col(t) / 86_400_000_000)
+
+
+def _with_previous(m: DataFrame, c: str) -> DataFrame:
+    """Adds the time of the ticker's mention before with the same value: from the same day, or the last of an earlier day."""
+    keys = ["ticker", c]
+    days = m.groupBy(*keys, _day("m").alias("_d")).agg(F.max("m").alias("_last"))
+    days = days.withColumn("_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_d")))
+    same = F.lag("m").over(Window.partitionBy(*keys, "_d").orderBy("m"))
+    return m.withColumn("_d", _day("m")).withColumn("_p", same).join(days, [*keys, "_d"], "left").withColumn(f"_p_{c}", F.coalesce("_p", "_last")).drop("_d", "_p", "_last")
+
+
+def _running(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Sums of the key's edges up to each point: a running sum per day on top of the days' totals, so that no window holds a key."""
+    measures = [c for c in edges.columns if c not in (key, "at")]
+    summed = edges.groupBy(key, "at").agg(*(F.sum(c).alias(c) for c in measures)).withColumn("_e", F.lit(0))
+    both = summed.unionByName(points.select("signal_id", key, "at").withColumn("_e", F.lit(1)), allowMissingColumns=True).withColumn("_d", _day("at"))
+    w = Window.partitionBy(key, "_d").orderBy("at", "_e").rowsBetween(Window.unboundedPreceding, 0)
+    within = both.withColumns({c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in measures}).filter("_e = 1")
+    # one row per key and day
+    earlier = Window.partitionBy(key).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy(key, "_d").agg(*(F.sum(c).alias(c) for c in measures)).select(key, "_d", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_b_{c}") for c in measures))
+    return within.join(days, [key, "_d"]).select("signal_id", *((F.col(c) + F.col(f"_b_{c}")).alias(c) for c in measures))
 
 
 def random_benchmark(events: DataFrame, universe: DataFrame, n: int = lex.GATES["benchmark_sample"]) -> DataFrame:

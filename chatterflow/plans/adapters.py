@@ -58,8 +58,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One frozen signal for every 50th event, of its type's ticker."""
+    """One frozen signal for every event, of its type's ticker."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.filter("event_id % 50 = 0").selectExpr(
+    return e.selectExpr(
         "concat('signal_', cast(event_id AS string)) AS signal_id", "upper(event_type) AS ticker", "ts AS signal_time", "cast(ts AS date) AS signal_day", "((event_id * 37) % 1000) / 10D AS strength"
     )
