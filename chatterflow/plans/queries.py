@@ -243,10 +243,10 @@ def new_items(spark, sf):
 
 @query
 def union_dedupe(spark, sf):
-    """SET1: the strongest mentions and the newest ones, first wins."""
-    m = A.mentions(spark, sf).select("thread_id", "ticker", "item_id")
-    a, b = m.filter("item_id % 2 = 0").withColumn("kind", F.lit("even")), m.filter("item_id % 3 = 0").withColumn("kind", F.lit("third"))
-    return corpus.dedupe_union([a, b], ["thread_id", "ticker"], "item_id")
+    """SET1: posts and comments, which are all mentions; a post wins over comments, then the first."""
+    m = A.mentions(spark, sf)
+    kinds = [m.filter(F.col("item_type") == kind).select("thread_id", "ticker", "item_id").withColumn("kind", F.lit(kind)) for kind in ("post", "comment")]
+    return corpus.dedupe_union(kinds, ["thread_id", "ticker"], "item_id")
 
 
 @query
@@ -363,9 +363,9 @@ def long_bars(spark, sf):
 
 
 def _probes(spark, sf) -> DataFrame:
-    """A day for every 7th order, for the brand that its number names."""
+    """A day for every order, for the brand that its number names."""
     o = A.table(spark, sf, "orders")
-    return o.filter("o_orderkey % 7 = 0").selectExpr("o_orderkey AS probe", "concat('Brand#', cast(1 + o_orderkey % 5 AS string), cast(1 + (o_orderkey div 5) % 5 AS string)) AS ticker", "cast(o_orderdate AS date) AS day")
+    return o.selectExpr("o_orderkey AS probe", "concat('Brand#', cast(1 + o_orderkey % 5 AS string), cast(1 + (o_orderkey div 5) % 5 AS string)) AS ticker", "cast(o_orderdate AS date) AS day")
 
 
 @query

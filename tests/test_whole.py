@@ -7,10 +7,12 @@ import duckdb
 import pytest
 from test_queries import SF, TABLES, rows
 
+from chatterflow.plans import adapters as A
 from chatterflow.plans.oracles import ORACLES
 from chatterflow.plans.queries import QUERIES
 
 SIGNALS = ("cooldown_fold", "attention_outcomes", "random_benchmark", "benchmark_means", "market_outcomes", "signal_review")
+PROBED = ("asof_forward", "asof_calendar", "path_metrics", "fetch_plan", "price_placeholders")
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +34,17 @@ def equals_twin_without(spark, duck, name, cut):
 @pytest.mark.parametrize("name", SIGNALS)
 def test_every_event_is_a_signal(spark, duck, name):
     equals_twin_without(spark, duck, name, " WHERE event_id % 50 = 0")
+
+
+@pytest.mark.parametrize("name", PROBED)
+def test_every_order_is_a_probe(spark, duck, name):
+    equals_twin_without(spark, duck, name, " WHERE o_orderkey % 7 = 0")
+
+
+def test_union_covers_every_mention(spark):
+    first = {}
+    for r in A.mentions(spark, SF).collect():
+        new = (r.item_type != "post", r.item_id, r.item_type)
+        first[r.thread_id, r.ticker] = min(first.get((r.thread_id, r.ticker), new), new)
+    got = [((r.thread_id, r.ticker), (r.item_id, r.kind)) for r in QUERIES["union_dedupe"](spark, SF).collect()]
+    assert len(got) == len(first) and dict(got) == {k: v[1:] for k, v in first.items()}
