@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,19 +29,25 @@ def candidates(summary: DataFrame, run: str = "analysis_run_id", gates: dict = l
 def cooldown(events: DataFrame, hours: int = lex.GATES["cooldown_hours"], delta: float = lex.GATES["cooldown_delta"]) -> DataFrame:
     """DF8: an event within ``hours`` of the ticker's last accepted one is accepted only if stronger by ``delta``.
 
-    A fold over the ticker's events in time order, in one higher-order function. events: ticker, signal_id, signal_time, strength.
+    A stream over the events sorted by ticker, time and id, which carries only the ticker's last accepted time and strength.
+    events: ticker, signal_id, signal_time, strength.
     """
-    listed = events.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("signal_time").alias("t"), "signal_id", "strength"))).alias("es"))
-    state = "struct<t:bigint,s:double,ids:array<string>>"
-
-    def step(a, e):
-        ok = a["t"].isNull() | (e["t"] - a["t"] >= hours * 3_600_000_000) | (e["strength"] >= a["s"] + delta)
-        accepted = F.struct(e["t"].alias("t"), e["strength"].alias("s"), F.concat(a["ids"], F.array(e["signal_id"])).alias("ids"))
-        return F.when(ok, accepted).otherwise(a)
-
-    start = F.struct(F.lit(None).alias("t"), F.lit(None).alias("s"), F.array().alias("ids")).cast(state)
-    kept = listed.select("ticker", F.explode(F.aggregate("es", start, step)["ids"]).alias("signal_id"))
-    return events.join(kept, ["ticker", "signal_id"], "left_semi")
+    wait = hours * 3_600_000_000
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = t = s = None
+        for batch in batches:
+            keep = []
+            for ticker, at, strength in zip(*(batch.column(c).to_pylist() for c in ("ticker", "_t", "strength")), strict=True):
+                ok = ticker != of or t is None or at - t >= wait or (s is not None and strength is not None and strength >= s + delta)
+                if ok:
+                    of, t, s = ticker, at, strength
+                keep.append(ok)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    rows = events.filter("ticker is not null").withColumn("_t", F.unix_micros("signal_time"))
+    ordered = rows.repartition("ticker").sortWithinPartitions("ticker", "_t", "signal_id")
+    return ordered.mapInArrow(accepted, ordered.schema).drop("_t")
 
 
 def top_evidence(mentions: DataFrame, n: int = 3) -> DataFrame:

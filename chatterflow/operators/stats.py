@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,51 +97,49 @@ def spearman_grid(pairs: DataFrame) -> DataFrame:
     return _described(missing.join(ranked, ["signal", "outcome"], "left").fillna(0, ["sample_size"]))
 
 
+#: Ranks of y in a block of running weights.
+RANKS = 1 << 12
+
+
 def kendall_grid(pairs: DataFrame) -> DataFrame:
-    """ST4: tau-b. Concordance comes from counts per distinct (x, y) cell by merge counting in O(n log n) per pair of columns."""
-
-    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, w = (pdf[c].to_numpy() for c in ("x", "y", "w"))
-        order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
-        values = {v: i + 1 for i, v in enumerate(sorted(set(y.tolist())))}
-        tree, n = [0.0] * (len(values) + 1), float(w.sum())
-
-        def add(i: int, v: float) -> None:
-            while i < len(tree):
-                tree[i] += v
-                i += i & -i
-
-        def upto(i: int) -> float:
-            s = 0.0
-            while i:
-                s += tree[i]
-                i -= i & -i
-            return s
-
-        concordant = discordant = seen = 0.0
-        i = 0
-        while i < len(order):
-            j = i
-            while j < len(order) and x[order[j]] == x[order[i]]:
-                k = values[y[order[j]]]
-                concordant += w[order[j]] * upto(k - 1)
-                discordant += w[order[j]] * (seen - upto(k))
-                j += 1
-            for m in order[i:j]:
-                add(values[y[m]], float(w[m]))
-                seen += float(w[m])
-            i = j
-        same = lambda *by: float((pdf.groupby(list(by))["w"].sum() ** 2 - pdf.groupby(list(by))["w"].sum()).sum() / 2)
-        pairs_all = n * (n - 1) / 2
-        bottom = math.sqrt(max(pairs_all - same("x"), 0) * max(pairs_all - same("y"), 0))
-        r = (concordant - discordant) / bottom if bottom else None
-        return pd.DataFrame({"signal": [pdf["signal"].iloc[0]], "outcome": [pdf["outcome"].iloc[0]], "sample_size": [int(n)], "r": [r]})
+    """ST4: tau-b, from counts per distinct (x, y) cell in O(n log n), all in Spark.
 
+    Ranks of two x part at one bit, below which they share a prefix. So for each bit and prefix the cells with that bit meet the
+    weights without it, as running sums along y: per block of y's ranks, on top of the blocks' totals.
+    """
+    key = ["signal", "outcome"]
     p = _complete(pairs)
-    cells = p.filter("x is not null and y is not null").groupBy("signal", "outcome", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    found = cells.groupBy("signal", "outcome").applyInPandas(tau, "signal string, outcome string, sample_size long, r double")
-    missing = p.groupBy("signal", "outcome").agg(F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("missing_count"))
-    return _described(missing.join(found, ["signal", "outcome"], "left").fillna(0, ["sample_size"]), kendall=True)
+    cells = p.filter("x is not null and y is not null").groupBy(*key, "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    tops = None
+    for c in "xy":
+        # one row per distinct value is ordered
+        ranks = cells.groupBy(*key, c).agg(F.sum("w").alias("_c")).withColumn(f"_r{c}", F.row_number().over(Window.partitionBy(*key).orderBy(c)).cast("long") - 1)
+        cells = cells.join(ranks.select(*key, c, f"_r{c}"), [*key, c])
+        same = (F.col("_c").cast("decimal(38,0)") * (F.col("_c") - 1)).cast("decimal(38,0)")
+        top = ranks.groupBy(*key).agg(F.sum(same).alias(f"same_{c}"), *([F.sum("_c").alias("sample_size"), F.max("_rx").alias("_top")] if c == "x" else []))
+        tops = top if tops is None else tops.join(top, key)
+
+    bits = F.length(F.bin("_top")).cast("int")
+    levels = cells.join(tops.select(*key, "_top"), key).select(*key, "_rx", "_ry", "w", F.explode(F.sequence(F.lit(0), bits - 1)).alias("_bit"))
+    shifted = F.expr("shiftright(_rx, _bit)")
+    split = levels.select(*key, "_bit", F.shiftright(shifted, 1).alias("_prefix"), (shifted % 2 == 1).alias("_right"), "_ry", F.floor(F.col("_ry") / RANKS).alias("_block"), "w")
+    left = F.sum(F.when(F.col("_right"), 0).otherwise(F.col("w")))
+    group = [*key, "_bit", "_prefix"]
+    rows = split.groupBy(*group, "_block", "_ry").agg(left.alias("_left"), F.sum(F.when(F.col("_right"), F.col("w")).otherwise(0)).alias("_own"))
+    blocks = rows.groupBy(*group, "_block").agg(F.sum("_left").alias("_sum"))
+    whole = Window.partitionBy(*group)
+    earlier = F.coalesce(F.sum("_sum").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(*group, "_block", earlier.alias("_earlier"), F.sum("_sum").over(whole).alias("_all"))
+    within = F.sum("_left").over(Window.partitionBy(*group, "_block").orderBy("_ry").rowsBetween(Window.unboundedPreceding, 0))
+    upto = rows.withColumn("_upto", within).filter("_own > 0").join(blocks, [*group, "_block"]).withColumn("_upto", F.col("_upto") + F.col("_earlier"))
+    # weights below y, less those above it
+    margin = (F.col("_upto") - F.col("_left")) - (F.col("_all") - F.col("_upto"))
+    scores = upto.groupBy(*key).agg(F.sum((F.col("_own").cast("decimal(19,0)") * margin.cast("decimal(19,0)")).cast("decimal(38,0)")).cast("double").alias("_score"))
+    n = F.col("sample_size").cast("decimal(19,0)")
+    untied = lambda c: ((n * (n - 1)).cast("decimal(38,0)") - F.col(f"same_{c}")).cast("double") / 2
+    found = tops.join(scores, key, "left").select(*key, "sample_size", F.try_divide(F.coalesce("_score", F.lit(0.0)), F.sqrt(untied("x") * untied("y"))).alias("r"))
+    missing = p.groupBy(*key).agg(F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("missing_count"))
+    return _described(missing.join(found, key, "left").fillna(0, ["sample_size"]), kendall=True)
 
 
 def rolling_correlation(df: DataFrame, x: str, y: str, order: list[str], window: int = 30, by: list[str] | None = None) -> DataFrame:

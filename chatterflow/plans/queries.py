@@ -468,7 +468,7 @@ def spearman_grid(spark, sf):
 @query
 def kendall_tau_b(spark, sf):
     """ST4."""
-    return stats.kendall_grid(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS[:2], GRID_OUTCOMES[:2]))
+    return stats.kendall_grid(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS, GRID_OUTCOMES))
 
 
 @query

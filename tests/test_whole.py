@@ -3,11 +3,17 @@
 The twins in :mod:`chatterflow.plans.oracles` still filter their input; here they run without that filter.
 """
 
+import datetime as dt
+import random
+
 import duckdb
 import pytest
 from test_queries import SF, TABLES, rows
 
+from chatterflow.operators import signals, stats
 from chatterflow.plans import adapters as A
+from chatterflow.plans import oracles as O
+from chatterflow.plans import queries as Q
 from chatterflow.plans.oracles import ORACLES
 from chatterflow.plans.queries import QUERIES
 
@@ -48,3 +54,44 @@ def test_union_covers_every_mention(spark):
         first[r.thread_id, r.ticker] = min(first.get((r.thread_id, r.ticker), new), new)
     got = [((r.thread_id, r.ticker), (r.item_id, r.kind)) for r in QUERIES["union_dedupe"](spark, SF).collect()]
     assert len(got) == len(first) and dict(got) == {k: v[1:] for k, v in first.items()}
+
+
+def test_cooldown_streams_and_equals_a_loop(spark):
+    draw = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    listed = [("TU"[i % 9 == 0], f"s{i}", start + dt.timedelta(minutes=draw.randrange(90_000)), float(draw.randrange(60))) for i in range(25_000)]
+    events = spark.createDataFrame(listed, "ticker string, signal_id string, signal_time timestamp, strength double")
+    want, last = set(), {}
+    for ticker, name, at, strength in sorted(listed, key=lambda r: (r[0], r[2], r[1])):
+        t, s = last.get(ticker, (None, None))
+        if t is None or at - t >= dt.timedelta(hours=24) or strength >= s + 12:
+            last[ticker] = at, strength
+            want.add(name)
+    df = signals.cooldown(events)
+    assert {r.signal_id for r in df.collect()} == want and df.columns == events.columns
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("ranks", [1 << 12, 4])
+def test_kendall_equals_all_pairs(spark, monkeypatch, ranks):
+    monkeypatch.setattr(stats, "RANKS", ranks)
+    draw = random.Random(5)
+    grid = {(s, o): [(float(draw.randrange(20)), float(draw.randrange(30))) for _ in range(n)] for s, o, n in (("a", "b", 150), ("a", "c", 90), ("d", "b", 1), ("d", "c", 2))}
+    df = spark.createDataFrame([(*k, *v) for k, vs in grid.items() for v in vs], "signal string, outcome string, x double, y double")
+    sign = lambda v: (v > 0) - (v < 0)
+    found = stats.kendall_grid(df)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        v = grid[r.signal, r.outcome]
+        both = [(sign(b[0] - a[0]), sign(b[1] - a[1])) for i, a in enumerate(v) for b in v[i + 1 :]]
+        bottom = (sum(x != 0 for x, _ in both) * sum(y != 0 for _, y in both)) ** 0.5
+        want = sum(x * y for x, y in both) / bottom if bottom else None
+        assert r.sample_size == len(v) and r.correlation == (pytest.approx(want, abs=1e-6) if bottom else None)
+
+
+def test_kendall_covers_the_grid(spark, duck):
+    cut = O._pairs(Q.GRID_SIGNALS[:2], Q.GRID_OUTCOMES[:2])
+    assert ORACLES["kendall_tau_b"].count(cut) <= 1
+    df = QUERIES["kendall_tau_b"](spark, SF)
+    want = duck.sql(ORACLES["kendall_tau_b"].replace(cut, O._PAIRS))
+    assert df.count() == 12 and rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
