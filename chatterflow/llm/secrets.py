@@ -34,7 +34,7 @@ MORE = {
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0),
     "github": (r"gh[oprsu]_[A-Za-z0-9]{36,}", 0, 0),
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
-    "url_auth": (r"[a-z][a-z0-9+.-]{1,20}://[^\s/@:]{1,256}:[^\s/@]{1,256}@", 0, 0),
+    "url_auth": (r"[a-z][a-z0-9+.-]{1,20}://[^\s/@:]+:[^\s/@]+@", 0, 0),
 }
 #: A substring without which a kind can't match; None where there is none.
 NEEDED = {"access": "AKIA", "pem": "-----BEGIN", "jwt": "eyJ", "slack": "xox", "url_auth": "://"}

@@ -7,8 +7,8 @@ leave that map stage, and an exact hash join with the list removes the false pos
 never loses a hit.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule and aren't listed: they are allowed. Repeated pages
-are judged each. Very long urls only have more path prefixes, of which ``MAX_PREFIXES`` from the root and the whole path are
-looked up. An empty table or list gives an empty result or no hits. Extra columns are ignored.
+are judged each. Very long urls only have more host suffixes and path prefixes, which are looked up as far as the longest
+listed host and the deepest listed folder. An empty table or list gives an empty result or no hits. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 LISTED = ("ads-track.example.com/", "casino-win.example.com/", "cheap-pills.example.com/", "free-bets.example.com/")
 #: Bits for each listed key, and the largest filter: 2**20 blocks of 64 bytes.
 BITS_PER_KEY, MAX_BLOCKS = 16, 1 << 20
-#: Host suffixes and path prefixes that a page is looked up by.
-MAX_SUFFIXES, MAX_PREFIXES = 8, 6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -55,17 +53,23 @@ def canonical_host(host: Column) -> Column:
     return F.regexp_replace(host, r"^.*@|(:\d*)?\.*$|\.*:\d*$", "")
 
 
-def keys(host: Column, path: Column) -> Column:
-    """All listed forms that would cover this page: host suffixes of two labels and more, with path prefixes."""
+def depths(listed: DataFrame) -> tuple[int, int]:
+    """The most labels and the most folders (the root is one) of the listed keys."""
+    sizes = F.size(F.split(F.substring_index("key", "/", 1), r"\.")), F.size(F.split("key", "/")) - 1
+    return tuple(max(n or 0, 1) for n in listed.agg(*map(F.max, sizes)).first())
+
+
+def keys(host: Column, path: Column, n_labels: int, n_folders: int) -> Column:
+    """All listed forms that would cover this page: host suffixes of two labels and more, with path prefixes, up to these depths."""
     labels = F.split(canonical_host(host), r"\.")
     suffixes = F.transform(
-        F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.size(labels), F.lit(MAX_SUFFIXES)))),
+        F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.size(labels), F.lit(n_labels)))),
         lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), "."),
     )
     folders = F.split(path, "/")
     prefixes = F.array_union(
         F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(folders) - 1, F.lit(MAX_PREFIXES)))),
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(folders) - 1, F.lit(n_folders)))),
             lambda n: F.concat(F.array_join(F.slice(folders, 1, n), "/"), F.lit("/")),
         ),
         F.array(F.when(path == "", F.lit("/")).otherwise(path)),
@@ -130,7 +134,7 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -> Dat
     listed = listed.filter("key is not null").select("key").distinct()
     base = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("row", F.xxhash64("page_id", "host", "path"))
     base = base.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
-    open_ = base.filter(F.col("best").isNull()).withColumn("keys", keys(F.col("host"), F.col("path")))
+    open_ = base.filter(F.col("best").isNull()).withColumn("keys", keys(F.col("host"), F.col("path"), *depths(listed)))
     hits = possible_hits(open_.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))), bloom(listed))
     # a row stands for (page_id, host, path), so repeated pages share their verdict; the join on the key is exact
     found = hits.join(listed, "key", "left_semi").select("row").distinct().withColumn("listed", F.lit(True))
