@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,13 @@ FOLDS = 5
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests), the context's own checkpoint folder is used, or a temporary one is set.
+    Where the setting is absent (tests), the context's own checkpoint folder is used, or a temporary one is set; only a
+    local master can do with that, since executors elsewhere would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="chatterflow-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
@@ -79,40 +83,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER_BYTE = _BYTE.copy()
-_LOWER_BYTE[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
-_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: Keeps the first n of eight little-endian bytes.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Runs of bytes longer than this are hashed one by one.
+LONG = 256
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept for the next batch unless a giant text asked for them."""
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        out = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(n, b, np.uint64)
-            steps[0] = 1
-            out.append(np.cumprod(steps))
-        if n > 1 << 22:
-            return out[0], out[1]
-        _POWERS = (out[0], out[1])
-    return _POWERS
+def blocks(raw: np.ndarray) -> np.ndarray:
+    """The eight little-endian bytes from every position on, as one number; zeros follow the end."""
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    return np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def hash_runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every run of bytes [start, end): its blocks of eight bytes, each mixed in before the next.
+
+    The mixing isn't linear, so no regular pattern of letters cancels out, as it would in a polynomial modulo 2**64.
+    """
+    at, length = blocks(raw), ends - starts
+    left = np.minimum(length, 8)
+    out = mix((at[starts] & _FIRST_BYTES[left]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more = np.flatnonzero((length > 8) & (length <= LONG))
+    done = 8
+    while len(more):
+        left = np.minimum(length[more] - done, 8)
+        out[more] = mix(out[more] * np.uint64(0x9E3779B97F4A7C15) + (at[starts[more] + done] & _FIRST_BYTES[left]))
+        done += 8
+        more = more[length[more] > done]
+    for i in np.flatnonzero(length > LONG):
+        out[i] = np.frombuffer(hashlib.blake2b(raw[starts[i] : ends[i]].data, digest_size=8).digest(), "<u8")[0]
+    return out
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word ``[^\\x20\\x09-\\x0D]+``, its 64-bit hash, and the n + 1 word offsets of the documents.
 
-    The hash is a rolling polynomial over the bytes (``lower`` folds A-Z) scaled back to the word's start and mixed.
+    ``lower`` folds A-Z before hashing.
     """
+    starts, ends, off = word_bounds(raw, offsets)
+    return starts, ends, hash_runs(_FOLD[raw] if lower else raw, starts, ends), off
+
+
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the word offsets of the documents."""
     n = len(raw)
     if not n:
-        e = np.empty(0, np.int64)
-        return e, e, np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = ~_IS_SPACE[raw]
     before = np.empty(n, bool)
     before[0] = False
@@ -124,12 +144,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np
     before[cut] = False
     after[cut - 1] = False
     starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
-    power, inverse = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER_BYTE if lower else _BYTE)[raw] * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, offsets)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -25,15 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes, with_text, words, written
+from .common import _FIRST_BYTES, _FOLD, SPACES, blocks, chunks, mix, text_bytes, with_text, word_bounds, written
 
 CAPACITY = 2048
-#: Pre-tokens whose ids a worker keeps, and 2**TABLE_BITS cells of 20 bytes, half of them filled at most, for whole words.
-CACHE, TABLE_BITS = 300_000, 22
+#: 2**TABLE_BITS cells of 22 bytes, half of them filled at most, for pre-tokens, and bytes of odd words that a worker keeps.
+TABLE_BITS, OTHERS = 22, 30_000_000
 #: Up to so many runs (about 40 bytes each) are looked up map-side; beyond, Spark joins them.
 BROADCAST_RUNS = 500_000
 #: Ranks of one block in that join.
@@ -42,14 +41,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Ids of words, as little-endian bytes, by the tokenizers library.
+    """Ids of texts, as the tokenizers library gives them, by a table of pre-tokens.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words. Words of plain Latin
-    letters are cut into pre-tokens here, by the tokenizer's own pattern, and distinct pre-tokens are encoded many at a time,
-    each ending with its end-of-word id. All other words go through the whole tokenizer one by one.
+    The tokenizer lower-cases, drops white space and never joins across pre-tokens, so a text's ids are those of its
+    pre-tokens: runs of letters, single digits, and runs of other signs, which numpy finds and lower-cases for ASCII and the
+    letters of Latin-1. Words with anything else (other alphabets, control characters, an apostrophe before a letter, what may
+    be a special token) go through the whole tokenizer, once each. Distinct pre-tokens are encoded many at a time, each
+    ending with its end-of-word id.
+
+    The table has open addressing; a cell's key is the pre-token's own bytes, 16 at most (longer ones are kept like odd
+    words), so a hit is exact. When the table is full it starts anew, from the pre-tokens of the present texts.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, table_bits: int = TABLE_BITS):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.fast = Tokenizer.from_file(file), Tokenizer.from_file(file)
@@ -61,125 +65,168 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         same = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [i for i in range(256) if i not in same]
-        self.shown = {b: 256 + n for n, b in enumerate(others)}
-        self.parts: dict[str, bytes] = {}
+        self.shown = {b: 256 + n for n, b in enumerate(i for i in range(256) if i not in same) if b != 32}
+        self.bits = table_bits
         self.clear()
 
     def clear(self) -> None:
-        """An empty open-addressing table from a word's 64-bit hash to its place and length in a pool of ids; place 0 holds id 0."""
-        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.place, self.length = np.zeros(1 << TABLE_BITS, np.int64), np.zeros(1 << TABLE_BITS, np.int32)
+        """Empty tables; the pool of ids begins with id 0 at place 0."""
+        self.low, self.high = (np.zeros(1 << self.bits, np.uint64) for _ in range(2))
+        self.place, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.uint16)
         self.pool, self.used, self.known = np.zeros(1 << 20, "<u4"), 1, 0
-
-    def _cut(self, text: str) -> list[str] | None:
-        """The pre-tokens of a word of plain Latin letters, in the tokenizer's byte alphabet; None for any other word."""
-        core = text.rstrip(_PUNCTUATION)
-        if core.isascii() and core.isalpha():
-            return [core.lower(), text[len(core) :]] if len(core) < len(text) else [core.lower()]
-        if _ODD.search(text):
-            return None
-        parts = [core.lower(), text[len(core) :]] if core.isalpha() else _PRE_TOKEN.findall(text.lower())
-        return [p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in parts if p]
-
-    def encode(self, new: list[bytes]) -> list[bytes]:
-        """The ids of distinct words, as little-endian bytes."""
-        out: dict[bytes, bytes] = {}
-        cut: dict[bytes, list[str]] = {}
-        for w in new:
-            text = w.decode()
-            parts = self._cut(text)
-            if parts is None:
-                out[w] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                cut[w] = parts
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        missing = list({p for parts in cut.values() for p in parts}.difference(self.parts))
-        lines = [missing[i : i + 1000] for i in range(0, len(missing), 1000)]
-        for some, encoding in zip(lines, self.fast.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(encoding.ids, "<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != len(some):
-                raise ValueError("a pre-token without one end-of-word id")
-            data, a = ids.tobytes(), 0
-            for p, b in zip(some, (at * 4).tolist(), strict=True):
-                self.parts[p] = data[a:b]
-                a = b
-        for w, parts in cut.items():
-            out[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
-        return [out[w] for w in new]
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The cell of each hash, -1 for those that the table lacks."""
-        at = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        out = np.where(self.keys[at] == hashes, at, -1)
-        open_ = np.flatnonzero((out < 0) & (self.keys[at] != 0))
+        self.others: dict[bytes, tuple[int, int]] = {}
+        self.kept_bytes = 0
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The cell of each key, -1 for those that the table lacks."""
+        at = _slot(low, high, self.bits)
+        here = self.low[at]
+        out = np.where((here == low) & (self.high[at] == high), at, -1)
+        open_ = np.flatnonzero((out < 0) & (here != 0))
         while len(open_):
-            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
-            there = self.keys[at[open_]]
-            out[open_[there == hashes[open_]]] = at[open_[there == hashes[open_]]]
-            open_ = open_[(there != hashes[open_]) & (there != 0)]
+            at[open_] = (at[open_] + 1) & (len(self.low) - 1)
+            here, want = self.low[at[open_]], low[open_]
+            hit = (here == want) & (self.high[at[open_]] == high[open_])
+            out[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit & (here != 0)]
         return out
 
-    def insert(self, hashes: np.ndarray, ids: list[bytes]) -> None:
-        """Distinct hashes that the table lacks."""
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool) + len(flat), "<u4")))
-        self.pool[self.used : self.used + len(flat)] = flat
-        places = self.used + np.cumsum(lengths) - lengths
-        self.used += len(flat)
-        self.known += len(ids)
-        at, left = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.arange(len(ids))
+    def insert(self, low: np.ndarray, high: np.ndarray, place: np.ndarray, length: np.ndarray) -> None:
+        """Distinct keys that the table lacks."""
+        self.known += len(low)
+        at, left = _slot(low, high, self.bits), np.arange(len(low))
         while len(left):
-            free = left[self.keys[at[left]] == 0]
-            self.keys[at[free]] = hashes[free]
-            mine = left[self.keys[at[left]] == hashes[left]]
-            self.place[at[mine]], self.length[at[mine]] = places[mine], lengths[mine]
-            left = left[self.keys[at[left]] != hashes[left]]
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            free = left[self.low[at[left]] == 0]
+            self.low[at[free]], self.high[at[free]] = low[free], high[free]
+            # of several keys that met in one free cell the last one has it
+            mine = (self.low[at[left]] == low[left]) & (self.high[at[left]] == high[left])
+            self.place[at[left[mine]]], self.length[at[left[mine]]] = place[left[mine]], length[left[mine]]
+            left = left[~mine]
+            at[left] = (at[left] + 1) & (len(self.low) - 1)
+
+    def pooled(self, ids: np.ndarray) -> int:
+        """The place of ids that are put into the pool."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool) + len(ids), "<u4")))
+        at, self.used = self.used, self.used + len(ids)
+        self.pool[at : self.used] = ids
+        return at
+
+    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lower-cased pre-tokens behind one another, and how many each has."""
+        lines = [b" ".join(units[i : i + 1000]) for i in range(0, len(units), 1000)]
+        lines = [x.decode() if x.isascii() else x.decode("latin-1").translate(self.shown) for x in lines]
+        found = [np.array(e.ids, "<u4") for e in self.fast.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(units):
+            raise ValueError("a pre-token without one end-of-word id")
+        return ids, np.diff(last, prepend=-1)
 
     def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, each ended by id 0, and their n + 1 offsets."""
-        starts, ends, hashes, off = words(raw, offsets)
-        cells = self.find(hashes)
+        begins, ends, other, folded, off = units(raw, offsets)
+        plain = np.flatnonzero(~other)
+        at, length = blocks(folded), ends[plain] - begins[plain]
+        low = at[begins[plain]] & _FIRST_BYTES[np.minimum(length, 8)]
+        high = at[np.minimum(begins[plain] + 8, len(raw))] & _FIRST_BYTES[np.maximum(length - 8, 0)]
+        cells = self.find(low, high)
         missed = np.flatnonzero(cells < 0)
-        if len(missed):
-            if self.known + len(missed) > len(self.keys) // 2:
+        if self.known + len(missed) > len(self.low) // 2 or self.kept_bytes > OTHERS:
+            new = len(np.unique(mix(low[missed] + mix(high[missed])))) if self.known else 0
+            if self.known + new > len(self.low) // 2 or self.kept_bytes > OTHERS:
                 self.clear()
-                missed = np.arange(len(hashes))
-            new, first = np.unique(hashes[missed], return_index=True)
-            if len(new) > len(self.keys) // 2:  # one giant text with more distinct words than the table is for
-                return self._giant(raw, starts, ends, hashes, off)
+                cells[:], missed = -1, np.arange(len(plain))
+        place, size = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+        if len(missed):
+            data = folded.tobytes()
+            first = distinct(low[missed], high[missed])
+            beyond = blocks_beyond_ascii(low[missed[first]]) | blocks_beyond_ascii(high[missed[first]])
+            first = first[np.argsort(beyond, kind="stable")]  # lines of ASCII alone need no translation
+            which = plain[missed[first]]
+            ids, many = self.encode([data[a:b] for a, b in zip(begins[which].tolist(), ends[which].tolist(), strict=True)])
+            if self.known + len(first) > len(self.low) // 2:  # more distinct ones in one giant text than the table is for
+                return self._once(raw, offsets)
+            places = self.pooled(ids) + np.cumsum(many) - many
+            self.insert(low[missed[first]], high[missed[first]], places, many)
+            cells = self.find(low, high)
+        place[plain], size[plain] = self.place[cells], self.length[cells]
+        odd = np.flatnonzero(other)
+        if len(odd):
             data = raw.tobytes()
-            self.insert(new, self.encode([data[a:b] for a, b in zip(starts[missed[first]].tolist(), ends[missed[first]].tolist(), strict=True)]))
-            cells = self.find(hashes)
-        return self._gathered(self.pool, self.place[cells], self.length[cells].astype(np.int64), off)
-
-    def _gathered(self, pool: np.ndarray, place: np.ndarray, length: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place, length = np.insert(place, off[1:], 0), np.insert(length, off[1:], 1)
-        total = np.concatenate(([0], np.cumsum(length)))
-        out = pool[np.repeat(place - total[:-1], length) + np.arange(total[-1])]
+            words_ = [data[a:b] for a, b in zip(begins[odd].tolist(), ends[odd].tolist(), strict=True)]
+            new = list(set(words_).difference(self.others))
+            for w, e in zip(new, self.whole.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+                self.others[w] = self.pooled(np.array(e.ids, "<u4")), len(e.ids)
+                self.kept_bytes += 100 + len(w)
+            at_odd = np.array([self.others[w] for w in words_], np.int64)
+            place[odd], size[odd] = at_odd[:, 0], at_odd[:, 1]
+        place, size = np.insert(place, off[1:], 0), np.insert(size, off[1:], 1)
+        total = np.concatenate(([0], np.cumsum(size)))
+        out = self.pool[np.repeat(place - total[:-1], size) + np.arange(total[-1])]
         return out, total[off + np.arange(len(off))]
 
-    def _giant(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        data = raw.tobytes()
-        ids = self.encode([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        length = np.array([len(x) // 4 for x in ids], np.int64)
-        pool = np.concatenate((np.zeros(1, "<u4"), np.frombuffer(b"".join(ids), "<u4")))
-        return self._gathered(pool, (1 + np.cumsum(length) - length)[which], length[which], off)
+    def _once(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by a table for these texts alone, as large as they need."""
+        bits, self.bits = self.bits, max(self.bits, int(len(raw)).bit_length() + 1)
+        self.clear()
+        out = self.ids(raw, offsets)
+        self.bits = bits
+        self.clear()
+        return out
+
+
+def _slot(low: np.ndarray, high: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(low + mix(high) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def blocks_beyond_ascii(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64(0x8080808080808080)) != 0
+
+
+def distinct(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where each distinct key is first found."""
+    order = np.lexsort((low, high))
+    new = np.ones(len(order), bool)
+    new[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+    return order[new]
+
+
+def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every pre-token or odd word, whether the latter, the lower-cased bytes, and offsets by document."""
+    kind, folded = _KIND[raw], _FOLD[raw]
+    after = np.flatnonzero(raw[:-1] == 0xC3) + 1 if len(raw) else np.empty(0, np.int64)
+    if len(after):  # letters of Latin-1, but for the signs of multiplication and division
+        second = raw[after]
+        kind[after] = np.where((second == 0x97) | (second == 0xB7), _ODD, _LETTER)
+        folded[after[(second < 0x9F) & (second != 0x97)]] += 32
+    starts, ends, word_off = word_bounds(raw, offsets)
+    if not len(starts):
+        return starts, ends, np.zeros(0, bool), folded, word_off
+    strange = kind == _ODD
+    strange[:-1] |= ((raw[:-1] == 39) & (kind[1:] == _LETTER)) | ((raw[:-1] == 60) & (raw[1:] == 124))
+    odd = np.zeros(len(starts), bool)
+    odd[np.searchsorted(starts, np.flatnonzero(strange), "right") - 1] = True
+    cut = kind == _DIGIT
+    cut[1:] |= kind[1:] != kind[:-1]
+    cut &= kind != _BLANK
+    cut[starts] = True
+    begins = np.flatnonzero(cut)
+    word = np.searchsorted(starts, begins, "right") - 1
+    kept = ~odd[word] | (begins == starts[word])
+    begins, word = begins[kept], word[kept]
+    stop = np.minimum(np.append(begins[1:], len(raw)), ends[word])
+    return begins, stop, odd[word] | (stop - begins > 16), folded, np.searchsorted(begins, offsets)
 
 
 #: One for each tokenizer file; a worker keeps it from task to task.
 _IDS: dict[str, WordIds] = {}
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\"
-#: The tokenizer's own pattern of pre-tokens.
-_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: What isn't cut here: control characters, anything beyond Latin letters, and what may be a special token.
-_ODD = regex.compile(r"[\x00-\x1f\x7f-\xa0\u0130]|[^\x00-\u024f]|<\|")
+_BLANK, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _KIND[0xC3] = _LETTER
+_KIND[list(SPACES)] = _BLANK
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:

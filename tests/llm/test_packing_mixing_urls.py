@@ -56,6 +56,25 @@ def test_pieces_equal_the_library(spark, docs, file):
         check_packed([r for x in got.values() for r in x], capacity)
 
 
+@pytest.mark.parametrize("bits", [22, 8])
+def test_ids_of_random_strings_equal_the_library(file, bits):
+    """With tables too small for a chunk as well, which start anew or serve one text only."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from chatterflow.llm.common import text_bytes
+
+    lib, by_table, draw = Tokenizer.from_file(file), packing.WordIds(file, bits), random.Random(9)
+    parts = [*"abcXYZ019 '.,<>|!\t\n\x00\x1c\x7f", "é", "É", "ß", "×", "÷", "ÿ", "À", "İ", "œ", "Ω", "日", "e\u0301", "\xa0", "\x85", "ª", "²", "<|endoftext|>", "'s", "'LL", "don't", "🙂", "word", "Straße" * 4]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(14))) for _ in range(10_000)]
+    for i in range(0, len(texts), 500):
+        ids, at = by_table.ids(*text_bytes(pa.array(texts[i : i + 500])))
+        for j, t in enumerate(texts[i : i + 500]):
+            assert ids[at[j] : at[j + 1]].tolist() == [*lib.encode(t, add_special_tokens=False).ids, 0], t
+
+
 def test_packing_is_best_fit_decreasing(spark, file):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     a = packing.pack(df, file).collect()

@@ -1,13 +1,16 @@
 """Language id, quality, toxicity, token counts and secrets: against brute force, libraries and held-out rows."""
 
 import hashlib
+import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatterflow.llm import language_id, quality, secrets, token_counts, toxicity
+from chatterflow.llm import language_id, near_dedup, packing, quality, secrets, token_counts, toxicity
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,6 +115,43 @@ def test_token_counts_equal_the_library(spark, real, odd, docs):
     assert token_counts.token_counts(docs([]), file).collect() == []
 
 
+def test_token_counts_of_random_strings(docs):
+    import public_tokenizers
+    import sentencepiece
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=file)
+    draw = random.Random(8)
+    parts = ["▁", " ", "  ", "\n", "a", "the", "ß", "é", "\x00", "\t", "日", "\xa0", "<s>", "</s>", "🙂", "word", ".", "x" * 20, "\r"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(12))) for _ in range(20_000)]
+    want = [len(x) for x in lib.encode(texts)]
+    for bits in (17, 6):
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs(texts), file, table_bits=bits).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def regular(n):
+    """Thue and Morse's sequence over a and b of n letters or more, and its complement."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_regular_patterns_stay_apart(docs, n):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    a, b = regular(n)
+    assert quality.quality_rules(docs([f"x {a} y x {b} y"])).first().n_repeat_words == 0
+    assert [r.component_id for r in near_dedup.near_groups(docs([a, b]), 4).orderBy("doc_id").collect()] == [0, 1]
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = packing.pack(docs([f"{a} {b}"]), public_tokenizers.path("word_bpe_49k.json"), 100_000).first()
+    ids = [*lib.encode(f"{a} {b}", add_special_tokens=False).ids, 0]
+    assert got.length == len(ids) and got.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def brute_secrets(t):
     kinds = {"assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 8), "access": (r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 16), "hex": (r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 32)}
     found = sorted((m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, (p, f, ok)) in enumerate(kinds.items()) for m in re.finditer(p, t or "", f) if ok(m))
