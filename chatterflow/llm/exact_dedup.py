@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: A digest holding more than this share of the rows is resolved map-side; 1 / SUPPORT bounds the broadcast.
 SUPPORT = 0.001
@@ -74,16 +74,14 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     groups = written(exact_groups(docs, support))
     ids = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept"))
     gone = written(ids.filter((F.col("rows") > 1) | ~F.col("kept") | F.col("doc_id").isNull()).select("doc_id", "rows"))
-    simple = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    several = gone.filter((F.col("rows") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("again_id"))
+    other, of_text, of_kept = fresh("id"), fresh("digest"), fresh("digest")
+    here = F.col("doc_id").eqNullSafe(F.col(other))
+    simple = docs.join(gone.select(F.col("doc_id").alias(other)).hint("shuffle_hash"), here, "left_anti")
+    several = gone.filter((F.col("rows") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias(other))
     if several.isEmpty():
         return simple
     digest = F.unhex(F.sha2(normalised(F.col("text").cast("string")).cast("binary"), 256))
-    tagged = docs.join(several, F.col("doc_id").eqNullSafe(F.col("again_id")), "left_semi").withColumn("_digest", digest)
-    stay = groups.filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("digest").alias("stay_digest"))
-    rest = (
-        tagged.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("_digest") == F.col("stay_digest")), "left_semi")
-        .dropDuplicates(["doc_id", "_digest"])
-        .drop("_digest")
-    )
+    tagged = docs.join(several, here, "left_semi").withColumn(of_text, digest)
+    stay = groups.filter("kept").select(F.col("doc_id").alias(other), F.col("digest").alias(of_kept))
+    rest = tagged.join(stay, here & (F.col(of_text) == F.col(of_kept)), "left_semi").dropDuplicates(["doc_id", of_text]).drop(of_text)
     return simple.unionByName(rest)

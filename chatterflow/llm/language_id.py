@@ -26,7 +26,7 @@ from .common import chunks, held_out, sums_per, text_bytes, with_text
 #: Rows of each language to learn from, about; share of a language's sampled rows that must hold an n-gram.
 TRAIN_ROWS, MIN_SHARE = 3000, 0.01
 #: n-gram length in bytes, cells as a power of two, hash functions, and the languages that a mask can hold.
-N, BITS, K, MAX_LANGS = 4, 20, 3, 64
+N, BITS, K, MAX_LANGS = 4, 20, 3, 1024
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -66,25 +66,30 @@ class Filter:
     """Languages in order of their frequency, the cells, and each language's false-positive rate."""
 
     def __init__(self, langs: list[str], by_lang: list[np.ndarray]):
-        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= n)
-        self.langs, self.table = langs, np.zeros(1 << BITS, kind)
+        kind = next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(langs) <= n), np.uint64)
+        self.langs, self.width = langs, 8 * kind().itemsize
+        self.tables = [np.zeros(1 << BITS, kind) for _ in range(0, max(1, len(langs)), self.width)]
         for i, x in enumerate(by_lang):
             for at in cells(x.astype(np.uint64)):
-                self.table[at] |= kind(1 << i)
-        self.wrong = np.array([((self.table >> kind(i)) & kind(1)).mean() ** K for i in range(len(langs))])
+                self.tables[i // self.width][at] |= kind(1 << i % self.width)
+        self.wrong = np.array([self.bit(self.tables, i).mean() ** K for i in range(len(langs))])
 
-    def masks(self, x: np.ndarray) -> np.ndarray:
+    def bit(self, masks: list[np.ndarray], i: int) -> np.ndarray:
+        kind = self.tables[0].dtype.type
+        return (masks[i // self.width] >> kind(i % self.width)) & kind(1)
+
+    def masks(self, x: np.ndarray) -> list[np.ndarray]:
+        """The languages of each n-gram, in as many words as they need."""
         first, *more = cells(x)
-        out = self.table[first]
+        out = [t[first] for t in self.tables]
         for at in more:
-            out = out & self.table[at]
+            out = [a & t[at] for a, t in zip(out, self.tables, strict=True)]
         return out
 
     def counts(self, x: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Corrected number of n-grams of each text that each language contains."""
         masks, n = self.masks(x), np.diff(off)[:, None]
-        kind = self.table.dtype.type
-        found = np.stack([sums_per((masks >> kind(i)) & kind(1), off) for i in range(len(self.langs))], 1)
+        found = np.stack([sums_per(self.bit(masks, i), off) for i in range(len(self.langs))], 1)
         return np.clip((found - n * self.wrong) / (1 - self.wrong), 0, None)
 
 

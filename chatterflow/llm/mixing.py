@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: Share of the largest possible entropy to reach, most passes over a source, and the budget as a share of all tokens.
 TARGET_ENTROPY, MAX_PASSES, BUDGET = 0.95, 4.0, 1.0
@@ -132,7 +132,8 @@ def mixed(docs: DataFrame, budget: float = BUDGET, target_entropy: float = TARGE
 
     The draws (ids only) are the build side of a hash join, so that texts are shuffled once and never sorted.
     """
-    drawn = mix_sources(docs, budget, target_entropy, max_passes).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
-    drawn = written(drawn).select(F.col("doc_id").alias("_drawn"), "_times")
-    rows = docs.join(drawn.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_drawn")))
-    return rows.withColumn("_drawn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    other, times = fresh("id"), fresh("times")
+    drawn = written(mix_sources(docs, budget, target_entropy, max_passes).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
+    drawn = drawn.select(F.col("doc_id").alias(other), F.col("times").alias(times))
+    rows = docs.join(drawn.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(other)))
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)

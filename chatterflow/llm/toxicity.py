@@ -5,7 +5,7 @@ else in ASCII becomes a blank. The lexicon (whole words and beginnings of words)
 learned from a bounded sample of labelled rows that aren't held out; so is the logistic curve from the length-normalised sum
 of weights to a score. Matches inside an exception phrase don't count.
 
-Labels: the largest ``toxic`` of a doc_id counts; null labels are ignored. Null and empty texts score as a text without a
+Labels: a doc_id is toxic if any of its labels is above 0; null labels are ignored. Null and empty texts score as a text without a
 match. Without any labelled row, or with labels of one kind only, every text gets the share of toxic labels (0 if none), and
 nothing is matched. Very long texts are matched whole; repeated rows are scored each; extra columns are ignored.
 """
@@ -115,7 +115,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
-    marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     n = marked.count()
     parts = 1_000_000
     share = int(parts * min(1.0, train_rows / max(1, n)))

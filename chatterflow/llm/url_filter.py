@@ -6,8 +6,9 @@ in each of its eight words), built by Spark as a bitwise OR per block and no lar
 leave that map stage, and an exact hash join with the list removes the false positives. However full the filter gets, it
 never loses a hit.
 
-Null urls and urls without ``://`` have empty host and path, fit no rule and aren't listed: they are allowed. Repeated pages
-are judged each. Very long urls only have more host suffixes and path prefixes, which are looked up as far as the longest
+Hosts are compared without user, port and final dots, paths with percent signs decoded and dot segments resolved, for listed keys
+as for pages. Null urls and urls without ``://`` have empty host and path, fit no rule and aren't listed: they are allowed. Of rules
+of one length that fit, the later in order wins, and there are none that both fit. Repeated pages are judged each. Very long urls only have more host suffixes and path prefixes, which are looked up as far as the longest
 listed host and the deepest listed folder. An empty table or list gives an empty result or no hits. Extra columns are ignored.
 """
 
@@ -26,6 +27,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 LISTED = ("ads-track.example.com/", "casino-win.example.com/", "cheap-pills.example.com/", "free-bets.example.com/")
 #: Bits for each listed key, and the largest filter: 2**20 blocks of 64 bytes.
 BITS_PER_KEY, MAX_BLOCKS = 16, 1 << 20
+#: What tells pages apart.
+PAGE = ("page_id", "host", "path")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -53,6 +56,18 @@ def canonical_host(host: Column) -> Column:
     return F.regexp_replace(host, r"^.*@|(:\d*)?\.*$|\.*:\d*$", "")
 
 
+def canonical_path(path: Column) -> Column:
+    """Percent signs decoded, but for those of ``/ ? # %``, and without empty, ``.`` and ``..`` folders."""
+    bare = F.regexp_replace(F.regexp_replace(path, "(?i)%(2F|3F|23|25)", "%25$1"), r"\+", "%2B")
+    decoded = F.when(path.contains("%"), F.coalesce(F.try_url_decode(bare), path)).otherwise(path)
+    folders = F.aggregate(
+        F.split(decoded, "/"), F.array().cast("array<string>"),
+        lambda kept, x: F.when(x.isin("", "."), kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, x)),
+    )
+    tail = F.when(decoded.rlike(r"/\.{0,2}\z") & (F.size(folders) > 0), "/").otherwise("")
+    return F.when(decoded.rlike(r"//|/\.{1,2}(/|\z)"), F.concat(F.lit("/"), F.array_join(folders, "/"), tail)).otherwise(decoded)
+
+
 def depths(listed: DataFrame) -> tuple[int, int]:
     """The most labels and the most folders (the root is one) of the listed keys."""
     sizes = F.size(F.split(F.substring_index("key", "/", 1), r"\.")), F.size(F.split("key", "/")) - 1
@@ -66,6 +81,7 @@ def keys(host: Column, path: Column, n_labels: int, n_folders: int) -> Column:
         F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.size(labels), F.lit(n_labels)))),
         lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), "."),
     )
+    path = canonical_path(path)
     folders = F.split(path, "/")
     prefixes = F.array_union(
         F.transform(
@@ -110,7 +126,7 @@ def bloom(listed: DataFrame) -> np.ndarray:
 
 
 def possible_hits(pages: DataFrame, filter_: np.ndarray) -> DataFrame:
-    """page_id and key of every key of ``pages`` (page_id, keys, hashes) that the filter passes."""
+    """PAGE and key of every key of ``pages`` (PAGE, keys, hashes) that the filter passes."""
     shared = pages.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +137,10 @@ def possible_hits(pages: DataFrame, filter_: np.ndarray) -> DataFrame:
             block, bit = _bits(hashes.flatten().to_numpy(), len(table))
             hit = np.flatnonzero(((table[block] >> bit) & np.uint64(1)).all(1))
             page = np.repeat(np.arange(len(n)), n)[hit]
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(page)), batch.column("keys").flatten().take(pa.array(hit))], names=["row", "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(page)) for c in PAGE), batch.column("keys").flatten().take(pa.array(hit))], names=[*PAGE, "key"])
 
-    return pages.select("row", "keys", "hashes").mapInArrow(run, "row long, key string")
+    kinds = dict(pages.dtypes)
+    return pages.select(*PAGE, "keys", "hashes").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in PAGE) + ", key string")
 
 
 def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -131,14 +148,16 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -> Dat
     spark = pages.sparkSession
     if listed is None:
         listed = spark.createDataFrame([(x,) for x in LISTED], "key string")
-    listed = listed.filter("key is not null").select("key").distinct()
-    base = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("row", F.xxhash64("page_id", "host", "path"))
+    at = F.instr("key", "/") - 1
+    listed = listed.filter("key is not null").select(F.concat(F.left("key", at), canonical_path(F.substr("key", at + 1))).alias("key")).distinct()
+    base = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     base = base.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     open_ = base.filter(F.col("best").isNull()).withColumn("keys", keys(F.col("host"), F.col("path"), *depths(listed)))
     hits = possible_hits(open_.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))), bloom(listed))
-    # a row stands for (page_id, host, path), so repeated pages share their verdict; the join on the key is exact
-    found = hits.join(listed, "key", "left_semi").select("row").distinct().withColumn("listed", F.lit(True))
-    return base.join(found, "row", "left").select(
+    # repeated pages share their verdict; both joins are exact
+    same = [F.col(c).eqNullSafe(F.col(f"found_{c}")) for c in PAGE]
+    found = hits.join(listed, "key", "left_semi").select(*(F.col(c).alias(f"found_{c}") for c in PAGE)).distinct().withColumn("listed", F.lit(True))
+    return base.join(found, same, "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         F.coalesce(F.col("listed"), F.lit(False)).alias("listed"),

@@ -21,6 +21,6 @@ def odd(docs):
     texts = [(None, None, None), ("", "en", "s"), (" \t\n", "en", "s"), ("one", "en", None), ("word " * 30_000, "en", "s"), ("12 34 !!", "fr", "s"), ("l'été été", "fr", "t")]
     base = docs(texts)
     rows = base.unionByName(base)
-    for name in ("row", "digest", "kept", "doc", "label", "bucket", "rank", "length", "block", "times", "blob", "piece"):
+    for name in ("row", "digest", "kept", "doc", "label", "bucket", "rank", "length", "block", "times", "blob", "piece", "_digest", "again_id", "stay_id", "_drawn", "_times", "_gone", "listed", "minor", "toxic"):
         rows = rows.withColumn(name, F.lit("x"))
     return rows

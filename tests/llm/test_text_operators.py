@@ -39,9 +39,9 @@ def test_filter_has_no_false_negatives():
     sets = [rng.integers(0, 1 << 32, 5000).astype(np.uint64) for _ in range(3)]
     f = language_id.Filter(["a", "b", "c"], sets)
     for i, s in enumerate(sets):
-        assert ((f.masks(s) >> i) & 1).all()
+        assert f.bit(f.masks(s), i).all()
     other = rng.integers(1 << 33, 1 << 34, 100_000).astype(np.uint64)
-    assert (((f.masks(other) >> 0) & 1).mean()) < 5 * f.wrong[0] + 1e-3
+    assert f.bit(f.masks(other), 0).mean() < 5 * f.wrong[0] + 1e-3
 
 
 def brute_quality(t):
