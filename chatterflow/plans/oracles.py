@@ -170,8 +170,8 @@ ORACLES: dict[str, str] = {
         count(*) AS n FROM m GROUP BY 1""",
     "watchlist_semi": f"WITH {_M} SELECT ticker, count(*) AS mentions FROM m WHERE ticker IN (SELECT ticker FROM m WHERE source_name = 's0' AND sentiment = 'bullish' AND depth >= 9) GROUP BY 1",
     "new_items": f"WITH {_M} SELECT item_id, ticker FROM m WHERE wk >= DATE '2024-01-15'",
-    "union_dedupe": f"""WITH {_M}, u AS (SELECT thread_id, ticker, item_id, 'even' AS kind, 0 AS f FROM m WHERE item_id % 2 = 0 UNION ALL SELECT thread_id, ticker, item_id, 'third', 1 FROM m WHERE item_id % 3 = 0)
-        SELECT thread_id, ticker, item_id, kind FROM u QUALIFY row_number() OVER (PARTITION BY thread_id, ticker ORDER BY f, item_id) = 1""",
+    "union_dedupe": f"""WITH {_M}, u AS (SELECT thread_id, ticker, item_id, item_type AS kind FROM m)
+        SELECT thread_id, ticker, item_id, kind FROM u QUALIFY row_number() OVER (PARTITION BY thread_id, ticker ORDER BY kind = 'comment', item_id) = 1""",
     "wide_pivot": f"WITH {_M} SELECT ticker, " + ", ".join(f"round(avg(alpha) FILTER (source_name = 's{i}'), 4) AS s{i}" for i in range(5)) + " FROM m GROUP BY 1",
     "unpivot_pair": f"WITH {_M} SELECT item_id, 'hype_score' AS variable, hype::DOUBLE AS value FROM m UNION ALL SELECT item_id, 'alpha_signal_score', alpha FROM m",
     "histogram": f"WITH {_M} SELECT least(floor(alpha / 5), 19)::BIGINT AS bin, count(*) AS n FROM m GROUP BY 1",
@@ -220,8 +220,8 @@ _BARS = """bars AS (SELECT upper(event_type) AS ticker, ts::DATE AS date, arg_mi
     count(*)::DOUBLE AS volume FROM events GROUP BY ALL)"""
 _LONG = """lb AS (SELECT p_brand AS ticker, l_shipdate::DATE AS date, round(max(l_extendedprice), 2) AS high, round(min(l_extendedprice), 2) AS low, arg_min(l_extendedprice, (l_orderkey, l_linenumber)) AS open,
     arg_max(l_extendedprice, (l_orderkey, l_linenumber)) AS close, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
-_PROBES = "probes AS (SELECT o_orderkey AS probe, 'Brand#' || (1 + o_orderkey % 5) || (1 + (o_orderkey // 5) % 5) AS ticker, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 7 = 0)"
-_EVENTS = """sig AS (SELECT 'signal_' || event_id AS signal_id, upper(event_type) AS ticker, ts AS signal_time, ts::DATE AS signal_day, ((event_id * 37) % 1000) / 10 AS strength FROM events WHERE event_id % 50 = 0)"""
+_PROBES = "probes AS (SELECT o_orderkey AS probe, 'Brand#' || (1 + o_orderkey % 5) || (1 + (o_orderkey // 5) % 5) AS ticker, o_orderdate::DATE AS day FROM orders)"
+_EVENTS = """sig AS (SELECT 'signal_' || event_id AS signal_id, upper(event_type) AS ticker, ts AS signal_time, ts::DATE AS signal_day, ((event_id * 37) % 1000) / 10 AS strength FROM events)"""
 _W = "WINDOW w AS (PARTITION BY ticker ORDER BY date)"
 
 
@@ -275,11 +275,12 @@ ORACLES |= {
                 CASE WHEN o.signal_time - f.t >= INTERVAL 24 HOUR OR o.strength >= f.s + 12 THEN o.signal_time ELSE f.t END, CASE WHEN o.signal_time - f.t >= INTERVAL 24 HOUR OR o.strength >= f.s + 12 THEN o.strength ELSE f.s END
             FROM f JOIN o ON o.ticker = f.ticker AND o.n = f.n + 1)
         SELECT ticker, signal_id FROM f WHERE ok""",
-    "attention_outcomes": f"""WITH {_M}, {_EVENTS}, a AS (SELECT signal_id, ticker, """ + ", ".join(
-        f"count(*) FILTER (gap <= {n} AND same) AS mentions_{n}d, count(DISTINCT thread_id) FILTER (gap <= {n} AND same) AS threads_{n}d, count(DISTINCT author_hash) FILTER (gap <= {n} AND same) AS authors_{n}d, "
-        f"count(DISTINCT source_name) FILTER (gap <= {n} AND same) AS sources_{n}d, count(*) FILTER (gap <= {n}) AS universe_{n}d" for n in (7, 14, 30)
-    ) + """ FROM (SELECT s.signal_id, s.ticker, m.*, m.kind = s.ticker AS same, (epoch_us(m.created_time) - epoch_us(s.signal_time)) / 86400000000 AS gap FROM sig s LEFT JOIN m ON m.created_time > s.signal_time
-            AND m.created_time <= s.signal_time + INTERVAL 30 DAY) GROUP BY ALL),
+    "attention_outcomes": f"""WITH {_M}, a AS (SELECT 'signal_' || item_id AS signal_id, kind AS ticker, """ + ", ".join(
+        f"count(*) OVER w{n} AS mentions_{n}d, count(DISTINCT thread_id) OVER w{n} AS threads_{n}d, count(DISTINCT author_hash) OVER w{n} AS authors_{n}d, "
+        f"count(DISTINCT source_name) OVER w{n} AS sources_{n}d, count(*) OVER u{n} AS universe_{n}d" for n in (7, 14, 30)
+    ) + " FROM m WINDOW " + ", ".join(
+        f"{w}{n} AS ({p}ORDER BY created_time RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL {n} DAY FOLLOWING)" for n in (7, 14, 30) for w, p in (("w", "PARTITION BY kind "), ("u", ""))
+    ) + """),
         b AS (SELECT *, """ + ", ".join(f"coalesce(round(mentions_{n}d * 100 / nullif(universe_{n}d, 0), 4), 0) AS share_{n}d" for n in (7, 14, 30)) + """ FROM a)
         SELECT *, """ + ", ".join(f"round(least(100, mentions_{n}d * 3.5::DOUBLE + threads_{n}d * 5 + authors_{n}d * 2.5::DOUBLE + sources_{n}d * 10 + share_{n}d * 0.35::DOUBLE), 2) AS spread_{n}d" for n in (7, 14, 30)) + " FROM b",
     "random_benchmark": f"""WITH {_LONG}, {_EVENTS}, u AS (SELECT DISTINCT ticker AS bt FROM lb)
@@ -345,7 +346,7 @@ ORACLES |= {
         round(count(*) FILTER (price_available) / count(*), 4) AS completeness, min(bucket_start) AS date_start, max(bucket_start) AS date_end FROM ds""",
     "pearson_grid": f"WITH {_SET}, {_PAIRS}, {_GRID}, {_DESCRIBE}",
     "spearman_grid": f"WITH {_SET}, {_PAIRS}, {_SPEAR}, {_DESCRIBE}",
-    "kendall_tau_b": f"WITH {_SET}, {_pairs(Q.GRID_SIGNALS[:2], Q.GRID_OUTCOMES[:2])}, {_KENDALL}, " + _DESCRIBE.replace("r * sqrt((sample_size - 2) / greatest(1 - r * r, 1e-12))", "r * sqrt(9 * sample_size * (sample_size - 1) / (2 * (2 * sample_size + 5)))"),
+    "kendall_tau_b": f"WITH {_SET}, {_PAIRS}, {_KENDALL}, " + _DESCRIBE.replace("r * sqrt((sample_size - 2) / greatest(1 - r * r, 1e-12))", "r * sqrt(9 * sample_size * (sample_size - 1) / (2 * (2 * sample_size + 5)))"),
     "lead_lag": f"WITH {_SET}, {_pairs(['mentions'], [f'raw_return_{h}' for h in ('same_day', *_H)])}, {_GRID}, {_DESCRIBE}",
     "interesting_rank": f"""WITH {_SET}, {_PAIRS}, {_GRID}, d AS ({"WITH " + _DESCRIBE})
         SELECT signal, outcome, round(round(abs(coalesce(correlation, 0)) * 0.52::DOUBLE + CASE WHEN p_value < 0.05 THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN sample_size >= 50 THEN 0.2::DOUBLE ELSE 0 END + 0.08::DOUBLE
