@@ -177,7 +177,6 @@ def test_pairs_stay_in_proportion_to_documents(spark, docs, monkeypatch):
 
     monkeypatch.setattr(near_dedup, "_screened", counted)
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs(texts)).collect()}
-    print(asked)
     assert sum(asked) < 30 * len(texts), asked
     assert all(got[i] == i for i in range(2000))
     # every link of the family, by an inverted count of common shingles
