@@ -139,16 +139,64 @@ def reset_corpus_scores(summary: DataFrame) -> DataFrame:
 
 
 def consensus(mentions: DataFrame) -> DataFrame:
-    """DF5: the deterministic consensus per ticker, and the signature of the evidence that it rests on (ARR2)."""
+    """DF5: the deterministic consensus per ticker, and the signature of the evidence that it rests on (ARR2).
+
+    With a column ``claims`` also the first five bull and bear claims, each once.
+    """
     out = mentions.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("mentions"), F.count_if(F.col("sentiment") == "bullish").alias("bullish"), F.count_if(F.col("sentiment") == "bearish").alias("bearish"),
-        F.avg("hype_score").alias("hype"), F.bool_or(F.col("classifier_mode") == "fallback").alias("any_fallback"), F.max("created_time").alias("newest"),
+        F.avg("hype_score").alias("hype"), F.avg("evidence_quality_numeric").alias("evidence"), F.bool_or(F.col("classifier_mode") == "fallback").alias("any_fallback"), F.max("created_time").alias("newest"),
         F.bit_xor(F.xxhash64("item_id", "sentiment", "alpha_signal_score")).alias("signature"),
     )
     bull, bear = F.col("bullish"), F.col("bearish")
     stance = F.when(bull + bear == 0, "neutral").when(bull > bear * 1.35, "bullish").when(bear > bull * 1.35, "bearish").otherwise("mixed")
-    flags = F.array_compact(F.array(F.when(F.col("mentions") < 3, "few mentions"), F.when(F.col("hype") >= 6, "high hype"), F.when(F.col("any_fallback"), "fallback classifier")))
-    return out.withColumn("stance", stance).withColumn("flags", F.array_join(flags, ", "))
+    # The flags.
+    flags = F.array_compact(
+        F.array(F.when(F.col("mentions") < 3, "thin ticker evidence"), F.when(F.col("hype") >= 6, "elevated hype language"), F.when(F.col("any_fallback"), "some fallback-classified evidence"))
+    )
+    sure = F.when((F.col("mentions") >= 8) & (F.col("evidence") >= 5), "medium").otherwise("low")
+    out = out.withColumns({"stance": stance, "confidence": sure, "flags": F.array_join(flags, ", ")})
+    if "claims" not in mentions.columns:
+        return out
+    rows = mentions.filter(F.col("sentiment").isin("bullish", "bearish")).select("ticker", "sentiment", F.explode("claims").alias("claim")).distinct()
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("ticker", "sentiment").orderBy("claim"))).filter("_n <= 5")
+    lists = first.groupBy("ticker").agg(*(F.array_sort(F.collect_list(F.when(F.col("sentiment") == s, F.col("claim")))).alias(f"{n}_case") for s, n in (("bullish", "bull"), ("bearish", "bear"))))
+    return out.join(lists, "ticker", "left")
+
+
+#: What a summary may be sorted by, first key and second key; the first is descending but for hype.
+SORTS = {
+    "Best emerging": ("emerging_ticker_score", "average_alpha_signal_score"), "Highest acceleration": ("acceleration_score", "emerging_ticker_score"),
+    "Highest alpha": ("average_alpha_signal_score", "emerging_ticker_score"), "Lowest hype": ("average_hype_score", "average_alpha_signal_score"),
+    "Most mentioned": ("total_mentions", "emerging_ticker_score"),
+}
+
+
+def top_summaries(summary: DataFrame, preset: str, n: int) -> DataFrame:
+    """TOP1, TOP3, TOP14: the first ``n`` rows by a preset, in order, with their place."""
+    first, second = SORTS[preset]
+    order = [F.asc(first) if preset == "Lowest hype" else F.desc(first), F.desc(second), "ticker"]
+    # n rows at most reach the window
+    return summary.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def headline(summary: DataFrame) -> DataFrame:
+    """TOP15: the ticker with the highest acceleration, or the best emerging one where none accelerates."""
+    pick = lambda a, b: F.max_by(F.struct("ticker", F.col(a).cast("double").alias("value")), F.struct(a, b, "ticker"))
+    best = summary.agg(pick("acceleration_score", "emerging_ticker_score").alias("a"), pick("emerging_ticker_score", "average_alpha_signal_score").alias("e"))
+    fast = F.col("a.value") > 0
+    return best.select(F.when(fast, F.col("a.ticker")).otherwise(F.col("e.ticker")).alias("ticker"), F.when(fast, F.col("a.value")).otherwise(F.col("e.value")).alias("value"), F.when(fast, "Top acceleration").otherwise("Top signal").alias("label"))
+
+
+def with_chips(summary: DataFrame, watchlist: Iterable[str] = ()) -> DataFrame:
+    """SC25, FLT14: status labels of a ticker, and whether it is watched."""
+    chips = F.array_compact(
+        F.array(
+            F.nullif(F.coalesce("trend_reliability", F.lit("")), F.lit("")), F.when(F.col("low_mentions_high_signal"), "Low-hype lead"),
+            F.when(F.col("new_ticker_detected"), "New ticker"), F.when(F.col("average_hype_score") >= 7, "High hype"),
+        )
+    )
+    return summary.withColumns({"chips": F.array_join(chips, "|"), "watched": F.col("ticker").isin(*watchlist)})
 
 
 def new_items(items: DataFrame, seen: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Frozen signal events and their outcomes: gates, cooldown, evidence, attention, benchmarks (DF7-12, TOP4, TOP11, JN7, JN17-19)."""
+"""Frozen signal events and their outcomes: gates, cooldown, evidence, attention, benchmarks (DF7-8, DF10-11, SC22, TOP4, TOP9, TOP11-12, FLT8, JN7, JN17-18)."""
 
 from __future__ import annotations
 
@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions import scores as S
 from ..functions import text as T
+from . import prices as P
 
 
-def candidates(summary: DataFrame, run: str = "analysis_run_id", gates: dict = lex.GATES) -> DataFrame:
-    """DF7: rank within the run and the two gates. ``summary`` has coverage_reliability, trend_reliability and model_mentions."""
+def candidates(summary: DataFrame, run: str = "analysis_run_id", gates: dict = lex.GATES, manual: tuple[str, ...] = (), frozen: DataFrame | None = None) -> DataFrame:
+    """DF7: rank within the run and the two gates. ``summary`` has coverage_reliability, trend_reliability and model_mentions.
+
+    ``manual``: tickers asked for by hand pass without the gates; ``frozen``: (run, ticker) pairs that have an event already.
+    """
     rank = F.row_number().over(Window.partitionBy(run).orderBy(F.desc("emerging_ticker_score"), F.desc("average_alpha_signal_score"), "ticker"))
     out = summary.withColumn("signal_rank", rank.cast("long"))
     score = (F.col("signal_rank") <= gates["top_rank"]) | (F.col("emerging_ticker_score") >= gates["emerging"]) | (F.col("acceleration_score") >= gates["acceleration"])
@@ -23,26 +27,34 @@ def candidates(summary: DataFrame, run: str = "analysis_run_id", gates: dict = l
         & (F.col("unique_authors") >= gates["authors"]) & (F.col("unique_threads") >= gates["threads"]) & (F.col("model_mentions") >= 1)
     )
     strength = S.signal_strength(F.col("emerging_ticker_score"), F.col("acceleration_score"), F.col("average_alpha_signal_score"), F.col("average_hype_score"))
-    return out.withColumns({"score_gate": score, "quality_gate": quality, "strength": strength})
+    out = out.withColumns({"score_gate": score, "quality_gate": quality, "strength": strength, "manual": F.col("ticker").isin(*manual)})
+    out = out.withColumn("freezes", (F.col("manual") | (F.col("score_gate") & F.col("quality_gate"))) & ~F.col("ticker").isin("", "UNKNOWN"))
+    if frozen is None:
+        return out
+    there = frozen.select(run, "ticker").distinct().withColumn("_there", F.lit(True))
+    return out.join(there, [run, "ticker"], "left").withColumn("freezes", F.col("freezes") & F.col("_there").isNull()).drop("_there")
 
 
 def cooldown(events: DataFrame, hours: int = lex.GATES["cooldown_hours"], delta: float = lex.GATES["cooldown_delta"]) -> DataFrame:
-    """DF8: an event within ``hours`` of the ticker's last accepted one is accepted only if stronger by ``delta``.
+    """DF8: an event up to ``hours`` after the ticker's last accepted one is accepted only if stronger by ``delta``.
 
-    A stream over the events sorted by ticker, time and id, which carries only the ticker's last accepted time and strength.
-    events: ticker, signal_id, signal_time, strength.
+    An event of the last accepted one's run is never accepted, a manual one of another run always. A stream over the events
+    sorted by ticker, time and id, which carries only the ticker's last accepted time, strength and run. events: ticker,
+    signal_id, signal_time, strength, and analysis_run_id and manual where they are known.
     """
     wait = hours * 3_600_000_000
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = t = s = None
+        of = t = s = run = None
         for batch in batches:
             keep = []
-            for ticker, at, strength in zip(*(batch.column(c).to_pylist() for c in ("ticker", "_t", "strength")), strict=True):
-                ok = ticker != of or t is None or at - t >= wait or (s is not None and strength is not None and strength >= s + delta)
+            runs, manual = (batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in ("analysis_run_id", "manual"))
+            for ticker, at, strength, new, asked in zip(*(batch.column(c).to_pylist() for c in ("ticker", "_t", "strength")), runs, manual, strict=True):
+                stronger = s is not None and strength is not None and strength >= s + delta
+                ok = ticker != of or (new is None or new != run) and (asked or t is None or at is None or at - t > wait or stronger)
                 if ok:
-                    of, t, s = ticker, at, strength
-                keep.append(ok)
+                    of, t, s, run = ticker, at, strength, new
+                keep.append(bool(ok))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     rows = events.filter("ticker is not null").withColumn("_t", F.unix_micros("signal_time"))
@@ -122,11 +134,18 @@ def _running(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return within.join(days, [key, "_d"]).select("signal_id", *((F.col(c) + F.col(f"_b_{c}")).alias(c) for c in measures))
 
 
+#: Tickers that the catalog of a random benchmark may have.
+CATALOG = 20_000
+
+
 def random_benchmark(events: DataFrame, universe: DataFrame, n: int = lex.GATES["benchmark_sample"]) -> DataFrame:
     """TOP11: for each event the ``n`` other tickers with the smallest SHA-1 of (signal_id, ticker): a fixed random sample.
 
-    The catalog of tickers (its size is checked by the caller's catalog limit) is one array on each event.
+    The catalog is one array on each event, and may have ``CATALOG`` tickers at most.
     """
+    known = universe.select("ticker").distinct().limit(CATALOG + 1).count()
+    if known > CATALOG:
+        raise ValueError(f"a catalog of more than {CATALOG} tickers")
     tickers = universe.select("ticker").distinct().agg(F.array_sort(F.collect_set("ticker")).alias("_all")).withColumn("_one", F.lit(1))
     rows = events.select("signal_id", "ticker").withColumn("_one", F.lit(1)).join(F.broadcast(tickers), "_one")
     hashed = F.transform(F.filter("_all", lambda t: t != F.col("ticker")), lambda t: F.struct(F.sha1(F.concat("signal_id", t)).alias("h"), t.alias("t")))
@@ -140,6 +159,71 @@ def benchmark_means(sample: DataFrame, returns: DataFrame, columns: list[str]) -
     return met.groupBy("signal_id").agg(F.countDistinct("benchmark_ticker").alias("benchmark_count"), *(F.round(F.avg(c), 6).alias(f"benchmark_{c}") for c in columns))
 
 
+def benchmark_outcomes(events: DataFrame, prices: DataFrame, n: int = lex.GATES["benchmark_sample"], horizons=(7, 30)) -> DataFrame:
+    """DF10: returns of each event's random benchmark tickers, by calendar as-of from the event's day.
+
+    Returns depend on (ticker, day) alone, so each such pair meets the bars once, however many events share it.
+    """
+    sample = random_benchmark(events, prices, n).join(events.select("signal_id", "signal_day"), "signal_id").withColumnRenamed("benchmark_ticker", "_b")
+    pairs = sample.select(F.col("_b").alias("ticker"), "signal_day").distinct().withColumn("pair", F.concat_ws("|", "ticker", F.col("signal_day").cast("string")))
+    returns = P.calendar_returns(pairs, prices, "pair", "signal_day", horizons).drop("pair").withColumnRenamed("ticker", "_b")
+    return sample.join(returns, ["_b", "signal_day"], "left").withColumnRenamed("_b", "benchmark_ticker")
+
+
+def random_means(outcomes: DataFrame) -> DataFrame:
+    """AGG8: by event the number of benchmark tickers and their mean returns."""
+    columns = [c for c in outcomes.columns if c.startswith("return_")]
+    return outcomes.groupBy("signal_id").agg(F.countDistinct("benchmark_ticker").alias("random_sample_size"), *(F.round(F.avg(c), 6).alias(f"random_mean_{c}") for c in columns))
+
+
+def attention_reliability(events: DataFrame, runs: DataFrame, spread: DataFrame, days: int = 30) -> DataFrame:
+    """SC22, DF11: High or Medium by the average coverage of the measurement runs completed within ``days`` after the event.
+
+    Without such a run the corpus decides: Medium from two sources and two threads on, else Low. runs: completed_at and
+    coverage_reliability of canonical measurement runs; spread: signal_id, sources, threads. Coverage is a running sum over
+    the runs per day on top of earlier days, met at both ends of the window, so no event is paired with runs.
+    """
+    edge = runs.select(F.lit("").alias("_all"), F.unix_micros("completed_at").alias("at"), F.lit(1.0).alias("n"), F.coalesce("coverage_reliability", F.lit(0.0)).alias("c"))
+    ends = [_running(events.select("signal_id", F.lit("").alias("_all"), (F.unix_micros("signal_time") + F.lit(d * 86_400_000_000)).alias("at")), edge, "_all") for d in (0, days)]
+    first, last = ends[0].select("signal_id", F.col("n").alias("n0"), F.col("c").alias("c0")), ends[1]
+    n = F.col("n") - F.col("n0")
+    mean = F.when(n > 0, F.round((F.col("c") - F.col("c0")) / n, 9))
+    label = F.when(mean.isNotNull(), S.reliability_name(mean)).when((F.col("sources") >= 2) & (F.col("threads") >= 2), "Medium").otherwise("Low")
+    return events.select("signal_id").join(first, "signal_id").join(last, "signal_id").join(spread.select("signal_id", "sources", "threads"), "signal_id", "left").select("signal_id", label.alias("attention_reliability"))
+
+
+def recent_events(events: DataFrame, n: int = 8) -> DataFrame:
+    """TOP12."""
+    rank = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("signal_time"), F.desc("signal_id"))).cast("long")
+    return events.withColumn("back", rank).filter(F.col("back") <= n)
+
+
+#: Labels that call a signal useful.
+USEFUL = ("Useful lead", "Worth deeper research", "Avoided hype trap")
+
+
+def review_kpis(review: DataFrame) -> DataFrame:
+    """AGG16: signals, those labelled and called useful, and average outcomes, in one row."""
+    label = F.coalesce("label", F.lit(""))
+    return review.agg(
+        F.count(F.lit(1)).alias("signals"), F.count_if(label != "").alias("labelled"), F.count_if(label.isin(*USEFUL)).alias("useful"),
+        F.count("return_7d").alias("with_return"), F.round(F.avg("return_7d"), 6).alias("average_return_7d"), F.round(F.avg("spread_14d"), 4).alias("average_spread_14d"),
+    )
+
+
+def inbox(review: DataFrame, label: str | None = None, ticker: str = "", manual: bool | None = None, reliability: str | None = None, sort: str = "newest") -> DataFrame:
+    """FLT8, TOP9: filters of the signal inbox and its order: unlabelled first, then as ``sort`` names, nulls last, newest first."""
+    own = F.coalesce("label", F.lit(""))
+    tests = [own == label] * (label is not None) + [F.col("ticker").contains(ticker.strip().upper())] * bool(ticker.strip())
+    tests += [F.coalesce("manual", F.lit(False)) == manual] * (manual is not None) + [F.col("attention_reliability") == reliability] * (reliability is not None)
+    for test in tests:
+        review = review.filter(test)
+    orders = {
+        "newest": [], "emerging": [F.desc_nulls_last("strength")], "attention": [F.desc_nulls_last("spread_14d")], "excess": [F.desc_nulls_last("return_7d")], "hype": [F.asc_nulls_last("hype_score")],
+    }
+    return review.orderBy(F.desc(own == ""), *orders[sort], F.desc_nulls_last("signal_time"), "signal_id")
+
+
 def review(events: DataFrame, labels: DataFrame, market: DataFrame, attention_: DataFrame, benchmark: DataFrame) -> DataFrame:
     """JN7: an event with its label and all outcomes; each right side has one row per event."""
     out = events

@@ -1,4 +1,4 @@
-"""Statistics over signal and outcome columns: grids, ranks, rolling, descriptive, regression (ST1-10, AGG13, WIN15, WIN17, SC20-21)."""
+"""Statistics over signal and outcome columns: grids, ranks, rolling, descriptive, regression (ST1-10, ST14-15, ST18, AGG13, AGG25, WIN15, WIN17, JN21, FLT7, TOP8, SC20-21)."""
 
 from __future__ import annotations
 
@@ -145,13 +145,108 @@ def kendall_grid(pairs: DataFrame) -> DataFrame:
 def rolling_correlation(df: DataFrame, x: str, y: str, order: list[str], window: int = 30, by: list[str] | None = None) -> DataFrame:
     """WIN15: Pearson over the last ``window`` complete rows, null below min(max(8, window // 2), window) rows.
 
-    ``by``: keys that each have a series of their own, which is what scales; without them all rows form one.
+    ``by``: keys that each have a series of their own. Without them all rows form one, in the order of a day column and of what
+    follows it: rows are numbered within their day on top of the earlier days' counts (a row per day is ordered), and blocks of
+    numbers, each with the ``window`` - 1 rows before it, have windows of their own.
     """
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order).rowsBetween(-(window - 1), 0)
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if not by:
+        day, *rest = order
+        days = rows.groupBy(day).agg(F.count(F.lit(1)).alias("_c"))
+        days = days.withColumn("_before", F.sum("_c").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).drop("_c")
+        nth = F.row_number().over(Window.partitionBy(day).orderBy(*(rest or [day])))
+        rows = rows.withColumn("_nth", nth).join(days, day).withColumn("_i", F.col("_before") + F.col("_nth") - 1)
+        own = F.floor(F.col("_i") / RANKS)
+        again = F.when((F.col("_i") % RANKS) > RANKS - window, F.array(own, own + 1)).otherwise(F.array(own))
+        rows = rows.withColumn("_own", own).withColumn("_block", F.explode(again)).drop("_nth", "_before")
+        by, order = ["_block"], ["_i"]
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(window - 1), 0)
     n = F.count(F.lit(1)).over(w)
     r = F.try_divide(F.covar_pop(x, y).over(w), F.nullif(F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w), F.lit(0.0)))
-    return rows.withColumn("rows_in_window", n).withColumn("rolling_correlation", F.when(n >= min(max(8, window // 2), window), F.round(r, 5)))
+    out = rows.withColumn("rows_in_window", n).withColumn("rolling_correlation", F.when(n >= min(max(8, window // 2), window), F.round(r, 5)))
+    return out.filter("_own = _block").drop("_own", "_block", "_i") if by == ["_block"] else out
+
+
+def rolling_reading(rolling: DataFrame, order: list[str]) -> DataFrame:
+    """ST15: what a rolling correlation tells, from its spread and its first and last values, in one row."""
+    at = F.struct(*order)
+    r = F.col("rolling_correlation")
+    found = rolling.filter(r.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.min_by(r, at).alias("first"), F.max_by(r, at).alias("last"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("sd"))
+    # The sentences.
+    reading = (
+        F.when(F.col("n") < 3, "Rolling correlation is based on a small sample and may not be reliable.")
+        .when(F.col("sd") > 0.35, "Correlation is unstable over time, so this signal should be treated cautiously.")
+        .when(F.col("last") > F.col("first") + 0.12, "The relationship has strengthened over the selected rolling window.")
+        .when(F.col("last") < F.col("first") - 0.12, "The relationship was stronger earlier and has recently weakened.")
+        .otherwise("The rolling relationship is broadly stable under the selected window.")
+    )
+    return found.select("n", "first", "last", F.round("sd", 6).alias("sd"), reading.alias("reading"))
+
+
+def raw_or_abnormal(grid: DataFrame, raw: str, abnormal: str) -> DataFrame:
+    """JN21, ST14: by signal, its correlations with a raw and a market-adjusted outcome and what the pair with the widest gap tells."""
+    side = lambda outcome, name: grid.filter(F.col("outcome") == outcome).select("signal", *(F.col(c).alias(f"{name}_{c}") for c in ("correlation", "p_value", "sample_size")))
+    return side(raw, "raw").join(side(abnormal, "abnormal"), "signal", "full_outer")
+
+
+def abnormal_reading(comparison: DataFrame) -> DataFrame:
+    """ST14 in one row."""
+    gap = F.abs(F.abs("raw_correlation") - F.abs("abnormal_correlation"))
+    best = comparison.agg(F.max_by(F.struct("raw_correlation", "abnormal_correlation"), F.struct(F.coalesce(gap, F.lit(-1.0)), "signal")).alias("b"))
+    raw, abnormal = F.abs("b.raw_correlation"), F.abs("b.abnormal_correlation")
+    # The sentences.
+    return best.select(
+        F.when(F.col("b").isNull(), "No raw versus abnormal comparison is available for the selected filters.")
+        .when(raw.isNull() | abnormal.isNull(), "Some comparison cells still lack enough complete price data.")
+        .when(raw > abnormal + 0.08, "The raw return relationship is stronger than the abnormal return relationship, suggesting broader market movement may explain part of the result.")
+        .when((abnormal >= raw - 0.03) & (abnormal >= 0.1), "The abnormal return relationship remains visible after market adjustment, so the pattern may be more ticker-specific.")
+        .otherwise("No meaningful abnormal return relationship was found under the current filters.").alias("reading")
+    )
+
+
+def strongest(grid: DataFrame) -> DataFrame:
+    """TOP8: the most positive, the most negative and the strongest correlation of a grid; ties by name."""
+    pair = F.struct("signal", "outcome", "correlation")
+    name = lambda c: F.struct(c, "signal", "outcome")
+    r = F.col("correlation")
+    best = grid.filter(r.isNotNull()).agg(F.max_by(pair, name(r)).alias("positive"), F.min_by(pair, name(r)).alias("negative"), F.max_by(pair, name(F.abs(r))).alias("absolute"))
+    return best.unpivot([], ["positive", "negative", "absolute"], "kind", "b").select("kind", "b.*")
+
+
+#: Signals by group.
+GROUPS = {
+    "Attention": ("mentions", "mention_share_of_voice", "mention_acceleration", "percentage_mention_acceleration", "post_count", "comment_count"),
+    "Quality": ("average_hype_score", "average_evidence_score", "average_specificity_score", "low_mentions_high_signal_flag"),
+    "Sentiment": ("average_sentiment_score", "bullish_mention_count", "bearish_mention_count", "bull_bear_ratio", "narrative_shift_score"),
+    "Spread": ("unique_subreddit_count", "unique_author_count", "unique_thread_count"),
+}
+
+
+def heatmap(grid: DataFrame, mode: str = "all", min_r: float = 0.0, max_p: float = 1.0, min_n: int = 0, returns: str = "", kind: str = "any", group: str | None = None, top: int = 20) -> DataFrame:
+    """FLT7: cells of a grid by strength, p, size, mode, outcome window, kind of outcome and group of signals."""
+    r, p = F.col("correlation"), F.coalesce("p_value", F.lit(1.0))
+    out = grid.filter(r.isNotNull() & (F.abs(r) >= min_r) & (p <= max_p) & (F.col("sample_size") >= min_n))
+    if mode == "significant":
+        out = out.filter("p_value < 0.05")
+    elif mode == "reliable":
+        out = out.filter(F.col("reliability").isin("Moderate evidence", "Stronger evidence"))
+    elif mode in ("positive", "negative"):
+        out = out.orderBy(F.desc(r) if mode == "positive" else F.asc(r), "signal", "outcome").limit(top)
+    pattern = {"any": "", "abnormal": "abnormal_return", "raw": "raw_return", "volume": "volume|volatility"}[kind]
+    out = out.filter(F.col("outcome").rlike(pattern) & F.col("outcome").contains(returns))
+    return out.filter(F.col("signal").isin(*GROUPS[group])) if group else out
+
+
+def trend_lines(pairs: DataFrame) -> DataFrame:
+    """ST18: slope and intercept of y over x for each pair of columns."""
+    ok = _complete(pairs).filter("x is not null and y is not null")
+    return ok.groupBy("signal", "outcome").agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"))
+
+
+def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """AGG25: the five numbers of a box plot by variable."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")).select("s.*")
+    return rows.groupBy("variable").agg(*(F.round(F.percentile("v", F.lit(q)), 6).alias(n) for n, q in (("low", 0.0), ("q1", 0.25), ("middle", 0.5), ("q3", 0.75), ("high", 1.0))))
 
 
 def descriptive(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -222,26 +317,27 @@ def with_predictions(df: DataFrame, fit: dict, target: str) -> DataFrame:
 
 
 def warnings(pairs: DataFrame) -> DataFrame:
-    """ST7: flags per (signal, outcome): few rows, missing values, ties, an outlier, same-day, and the general one."""
+    """ST7: flags per (signal, outcome), for the Pearson correlation: few rows, missing values, ties, an outlier, same day, weak, many."""
     p = _complete(pairs)
     ok = p.filter("x is not null and y is not null")
     stats = ok.groupBy("signal", "outcome").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("dx"), F.avg("x").alias("mx"), F.stddev_samp("x").alias("sx"), F.avg("y").alias("my"), F.stddev_samp("y").alias("sy"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("dx"), F.countDistinct("y").alias("dy"), pearson("x", "y").alias("r"),
+        F.avg("x").alias("mx"), F.stddev_samp("x").alias("sx"), F.avg("y").alias("my"), F.stddev_samp("y").alias("sy"),
     )
     missing = p.groupBy("signal", "outcome").agg(F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("missing"))
     z = lambda c: F.coalesce(F.abs(F.try_divide(F.col(c) - F.col(f"m{c}"), F.nullif(F.col(f"s{c}"), F.lit(0.0)))), F.lit(0.0))
-    extreme = ok.join(stats, ["signal", "outcome"]).withColumn("_far", (z("x") > 3.5) | (z("y") > 3.5))
-    whole = average_ranks(ok).groupBy("signal", "outcome").agg(pearson("x", "y").alias("r_all"))
-    near = extreme.filter(~F.col("_far")).select("signal", "outcome", "x", "y")
+    near = ok.join(stats.select("signal", "outcome", "mx", "sx", "my", "sy"), ["signal", "outcome"]).filter((z("x") <= 3.5) & (z("y") <= 3.5)).select("signal", "outcome", "x", "y")
     trimmed = average_ranks(near).groupBy("signal", "outcome").agg(pearson("x", "y").alias("r_trim"), F.count(F.lit(1)).alias("n_trim"))
-    out = missing.join(stats, ["signal", "outcome"], "left").join(whole, ["signal", "outcome"], "left").join(trimmed, ["signal", "outcome"], "left")
-    n = F.coalesce("n", F.lit(0))
+    out = missing.join(stats, ["signal", "outcome"], "left").join(trimmed, ["signal", "outcome"], "left")
+    n, tied = F.coalesce("n", F.lit(0)), lambda c: (n >= 8) & (F.col(f"d{c}") / n <= 0.12)
+    # The flags.
     flags = F.array_compact(
         F.array(
             F.when(n < 20, "sample size too small"), F.when((n > 0) & (F.col("missing") / F.greatest(n + F.col("missing"), F.lit(1)) > 0.25), "many missing price values"),
-            F.when((n >= 8) & (F.col("dx") / n <= 0.12), F.concat("signal", F.lit(" has many tied values"))),
-            F.when((n >= 12) & (F.col("n_trim") < n) & (F.col("n_trim") >= 8) & (F.abs(F.col("r_all") - F.col("r_trim")) >= 0.25), "correlation may be driven by one extreme outlier"),
+            F.when(tied("x"), F.concat("signal", F.lit(" has many tied values"))).when(tied("y"), F.concat("outcome", F.lit(" has many tied values"))),
+            F.when((n >= 12) & (F.col("n_trim") < n) & (F.col("n_trim") >= 8) & (F.abs(F.col("r") - F.col("r_trim")) >= 0.25), "correlation may be driven by one extreme outlier"),
             F.when(F.col("outcome").contains("same_day"), "same-period relationship may be reactive rather than predictive"),
+            F.when(F.col("outcome").contains("abnormal_return") & (F.abs(F.coalesce("r", F.lit(0.0))) < 0.05), "market-adjusted relationship is very weak"),
             F.lit("multiple comparisons can create false positives"),
         )
     )

@@ -63,3 +63,42 @@ def signal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.selectExpr(
         "concat('signal_', cast(event_id AS string)) AS signal_id", "upper(event_type) AS ticker", "ts AS signal_time", "cast(ts AS date) AS signal_day", "((event_id * 37) % 1000) / 10D AS strength"
     )
+
+
+def _week() -> str:
+    return "datediff(time_bucket, DATE'2024-01-01') div 7"
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for every week: every fifth failed, every fourth is a discovery, every seventh isn't canonical."""
+    weeks = mentions(spark, sf_dir).groupBy("analysis_run_id", "time_bucket").agg(F.collect_set(F.substring("source_name", 2, 9).cast("int")).alias("source_ids"))
+    return weeks.selectExpr(
+        "analysis_run_id", "source_ids", "cast(time_bucket AS timestamp) AS started_at", "cast(time_bucket AS timestamp) + INTERVAL 6 DAYS AS completed_at", "'live' AS data_mode",
+        f"CASE WHEN {_week()} % 5 = 4 THEN 'failed' ELSE 'completed' END AS status", f"CASE WHEN {_week()} % 4 = 2 THEN 'discovery' ELSE 'measurement' END AS run_type",
+        f"{_week()} % 7 <> 6 AS canonical_trend_run",
+    )
+
+
+def source_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a collector would note of each run and source."""
+    keys = mentions(spark, sf_dir).select("analysis_run_id", "source_name", "time_bucket").distinct()
+    return keys.selectExpr(
+        "analysis_run_id", "source_name", "CASE WHEN source_name = 's4' THEN 'thread_url' ELSE 'subreddit' END AS source_kind", "source_name <> 's3' AS canonical",
+        f"source_name = 's2' AND {_week()} % 2 = 1 AS rate_limited", f"source_name = 's1' AND {_week()} % 2 = 1 AS feed_capped",
+    )
+
+
+def classifications(spark: SparkSession, sf_dir: str, item: str = "item_id") -> DataFrame:
+    """A classification for every run and item with a mention of some depth."""
+    mode = F.when(F.col("classifier_mode") == "model", "ollama").otherwise("fallback")
+    m = mentions(spark, sf_dir).filter("depth_score >= 2").select("analysis_run_id", F.col(item).alias("item_id"), mode.alias("mode"))
+    return m.groupBy("analysis_run_id", "item_id").agg(F.min("mode").alias("classifier_mode"))
+
+
+def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every run and ticker."""
+    return mentions(spark, sf_dir).groupBy("analysis_run_id", "ticker").agg(
+        F.count(F.lit(1)).alias("total_mentions"), F.countDistinct("thread_id").alias("unique_threads"), F.countDistinct("author_hash").alias("unique_authors"),
+        F.round(F.avg("hype_score"), 2).alias("average_hype_score"), F.round(F.avg("repetition_score"), 2).alias("repetition_score"), F.round(F.avg("sentiment_numeric"), 4).alias("net_sentiment_score"),
+        F.round(F.avg("depth_score") * 5, 2).alias("acceleration_score"), F.round(F.avg("alpha_signal_score"), 2).alias("emerging_ticker_score"),
+    )

@@ -175,15 +175,15 @@ ORACLES: dict[str, str] = {
     "wide_pivot": f"WITH {_M} SELECT ticker, " + ", ".join(f"round(avg(alpha) FILTER (source_name = 's{i}'), 4) AS s{i}" for i in range(5)) + " FROM m GROUP BY 1",
     "unpivot_pair": f"WITH {_M} SELECT item_id, 'hype_score' AS variable, hype::DOUBLE AS value FROM m UNION ALL SELECT item_id, 'alpha_signal_score', alpha FROM m",
     "histogram": f"WITH {_M} SELECT least(floor(alpha / 5), 19)::BIGINT AS bin, count(*) AS n FROM m GROUP BY 1",
-    "run_compare": f"""WITH {_M}, a AS (SELECT ticker, count(*) AS mentions, round(avg(hype), 2) AS hype FROM m WHERE wk = DATE '2024-01-08' AND depth >= 8 GROUP BY 1),
-        b AS (SELECT ticker, count(*) AS mentions, round(avg(hype), 2) AS hype FROM m WHERE wk = DATE '2024-01-01' AND depth >= 8 GROUP BY 1)
+    "run_compare": f"""WITH {_M}, a AS (SELECT ticker, count(*) AS mentions, round(avg(hype), 2) AS hype FROM m WHERE wk = DATE '2024-01-08' GROUP BY 1),
+        b AS (SELECT ticker, count(*) AS mentions, round(avg(hype), 2) AS hype FROM m WHERE wk = DATE '2024-01-01' GROUP BY 1)
         SELECT ticker, coalesce(a.mentions, 0) AS mentions_now, coalesce(b.mentions, 0) AS mentions_before, coalesce(a.mentions, 0) - coalesce(b.mentions, 0) AS mentions_delta,
             coalesce(a.hype, 0) AS hype_now, coalesce(b.hype, 0) AS hype_before, coalesce(a.hype, 0) - coalesce(b.hype, 0) AS hype_delta FROM a FULL JOIN b USING (ticker)""",
-    "dense_grid": f"""WITH {_M}, b AS (SELECT ticker, wk AS time_bucket, count(*) AS mentions FROM m WHERE depth >= 9 GROUP BY ALL)
+    "dense_grid": f"""WITH {_M}, b AS (SELECT ticker || '/' || source_name || '/' || subreddit AS ticker, wk AS time_bucket, count(*) AS mentions FROM m GROUP BY ALL)
         SELECT ticker, time_bucket, coalesce(mentions, 0) AS mentions FROM (SELECT DISTINCT ticker FROM b) CROSS JOIN (SELECT DISTINCT time_bucket FROM b) LEFT JOIN b USING (ticker, time_bucket)""",
-    "consensus": f"""WITH {_M}, c AS (SELECT ticker, count(*) AS mentions, count(*) FILTER (sentiment = 'bullish') AS bull, count(*) FILTER (sentiment = 'bearish') AS bear, avg(hype) AS hype, bool_or(mode = 'fallback') AS fb FROM m GROUP BY 1)
-        SELECT ticker, mentions, CASE WHEN bull + bear = 0 THEN 'neutral' WHEN bull > bear * 1.35 THEN 'bullish' WHEN bear > bull * 1.35 THEN 'bearish' ELSE 'mixed' END AS stance,
-            array_to_string(list_filter([CASE WHEN mentions < 3 THEN 'few mentions' END, CASE WHEN hype >= 6 THEN 'high hype' END, CASE WHEN fb THEN 'fallback classifier' END], lambda x: x IS NOT NULL), ', ') AS flags FROM c""",
+    "consensus": f"""WITH {_M}, c AS (SELECT ticker, count(*) AS mentions, count(*) FILTER (sentiment = 'bullish') AS bull, count(*) FILTER (sentiment = 'bearish') AS bear, avg(hype) AS hype, avg(quality_n) AS evidence, bool_or(mode = 'fallback') AS fb FROM m GROUP BY 1)
+        SELECT ticker, mentions, round(evidence, 4) AS evidence, CASE WHEN mentions >= 8 AND evidence >= 5 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN bull + bear = 0 THEN 'neutral' WHEN bull > bear * 1.35 THEN 'bullish' WHEN bear > bull * 1.35 THEN 'bearish' ELSE 'mixed' END AS stance,
+            array_to_string(list_filter([CASE WHEN mentions < 3 THEN 'thin ticker evidence' END, CASE WHEN hype >= 6 THEN 'elevated hype language' END, CASE WHEN fb THEN 'some fallback-classified evidence' END], lambda x: x IS NOT NULL), ', ') AS flags FROM c""",
     "corpus_reset": f"""WITH {_M}, {_summary('ticker')} SELECT ticker, round(greatest(least(emerging_ticker_score - acceleration_score * 0.45::DOUBLE, 100), 0), 2) AS emerging_ticker_score,
         0::DOUBLE AS acceleration_score, 'Corpus evidence' AS trend_reliability FROM summary""",
     "source_set_hash": "SELECT n_regionkey, substr(sha1(string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey)), 1, 16) AS hash FROM nation GROUP BY 1",
@@ -193,21 +193,37 @@ ORACLES: dict[str, str] = {
 
 _COV = f"""{_M}, c0 AS (SELECT wk, source_name, count(*) FILTER (item_type = 'post') AS posts_returned, count(*) FILTER (item_type = 'comment') AS comments_returned, count(DISTINCT thread_id) AS unique_threads,
     count(DISTINCT author_hash) AS unique_authors, greatest(epoch_us(min(created_time)) - epoch_us(min(wk)::TIMESTAMP), 0) / 1e6::DOUBLE / (7 * 86400) AS missed FROM m GROUP BY ALL),
-cov AS (SELECT *, 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, posts_returned >= 120 AS hit_post_cap,
-    round(CASE WHEN posts_returned >= 120 THEN 0.75::DOUBLE ELSE 1 END * CASE WHEN posts_returned = 0 THEN 0 WHEN posts_returned < 10 THEN 0.55::DOUBLE WHEN posts_returned < 30 THEN 0.78::DOUBLE ELSE 1 END
+cov AS (SELECT *, 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, posts_returned >= 120 AS hit_post_cap, source_name = 's1' AND ((wk - DATE '2024-01-01') // 7) % 2 = 1 AS feed_capped,
+    round(CASE WHEN source_name = 's3' THEN 0.65::DOUBLE ELSE 1 END * CASE WHEN source_name = 's4' THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN source_name = 's2' AND ((wk - DATE '2024-01-01') // 7) % 2 = 1 THEN 0.2::DOUBLE ELSE 1 END
+        * CASE WHEN source_name = 's1' AND ((wk - DATE '2024-01-01') // 7) % 2 = 1 THEN 0.45::DOUBLE ELSE 1 END * CASE WHEN posts_returned >= 120 THEN 0.75::DOUBLE ELSE 1 END * CASE WHEN posts_returned = 0 THEN 0 WHEN posts_returned < 10 THEN 0.55::DOUBLE WHEN posts_returned < 30 THEN 0.78::DOUBLE ELSE 1 END
         * CASE WHEN missed > 0.35 THEN 0.75::DOUBLE ELSE 1 END, 3) AS coverage_reliability FROM c0)"""
+_RUNS = """runs AS (SELECT wk, 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, CASE WHEN ((wk - DATE '2024-01-01') // 7) % 5 = 4 THEN 'failed' ELSE 'completed' END AS status,
+    CASE WHEN ((wk - DATE '2024-01-01') // 7) % 4 = 2 THEN 'discovery' ELSE 'measurement' END AS run_type, ((wk - DATE '2024-01-01') // 7) % 7 <> 6 AS canonical,
+    run_type = 'measurement' AND canonical AS measured, string_agg(DISTINCT substr(source_name, 2), ',' ORDER BY substr(source_name, 2)) AS source_set FROM m GROUP BY wk)"""
+_RS = """rs AS (SELECT 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, ticker, count(*) AS total_mentions, count(DISTINCT thread_id) AS unique_threads, count(DISTINCT author_hash) AS unique_authors,
+    round(avg(hype), 2) AS average_hype_score, round(avg(rep), 2) AS repetition_score, round(avg(sentiment_numeric), 4) AS net_sentiment_score, round(avg(depth) * 5, 2) AS acceleration_score,
+    round(avg(alpha), 2) AS emerging_ticker_score FROM m GROUP BY ALL)"""
 _BG = lambda c, p: f"CASE WHEN coalesce({p}, 0) <= 0 THEN CASE WHEN {c} > 0 THEN least({c} / 0.25::DOUBLE, 4) ELSE 0 END ELSE greatest(least(({c} - {p}) / {p}, 4), -1) END"
 ORACLES |= {
     "coverage_rows": f"""WITH {_COV} SELECT analysis_run_id, source_name, posts_returned, comments_returned, unique_threads, unique_authors, hit_post_cap, coverage_reliability,
         CASE WHEN coverage_reliability >= 0.8 THEN 'High' WHEN coverage_reliability >= 0.5 THEN 'Medium' ELSE 'Low' END AS reliability_label FROM cov""",
     "coverage_weighted": f"""WITH {_COV} SELECT analysis_run_id, count(*) AS sources, sum(posts_returned)::BIGINT AS posts, sum(unique_threads)::BIGINT AS threads, sum(unique_authors)::BIGINT AS authors,
-        count(*) FILTER (hit_post_cap) AS capped_sources, round(sum(coverage_reliability * greatest(posts_returned, 1)) / sum(greatest(posts_returned, 1)), 3) AS coverage_reliability FROM cov GROUP BY 1""",
-    "rate_growth": f"""WITH {_M}, po AS (SELECT wk, count(*) FILTER (item_type = 'post') AS posts FROM m GROUP BY 1),
-        p AS (SELECT ticker, wk, count(*) AS n, count(DISTINCT thread_id) AS th, count(DISTINCT author_hash) AS au, round(avg(hype), 2) AS hype, round(avg(rep), 2) AS rep FROM m GROUP BY ALL),
-        q AS (SELECT *, round(n * 100 / greatest(posts, 1), 3) AS nr, round(th * 100 / greatest(posts, 1), 3) AS tr, round(au * 100 / greatest(posts, 1), 3) AS ar FROM p JOIN po USING (wk)),
-        j AS (SELECT a.*, coalesce(b.nr, 0) AS pnr, coalesce(b.tr, 0) AS ptr, coalesce(b.ar, 0) AS par FROM q a LEFT JOIN (SELECT * FROM q WHERE wk = DATE '2024-01-08') b USING (ticker) WHERE a.wk = DATE '2024-01-15')
-        SELECT ticker, nr AS mention_rate, pnr AS previous_mention_rate, round(greatest(least(({_BG("nr", "pnr")} * 0.45::DOUBLE + {_BG("tr", "ptr")} * 0.3::DOUBLE + {_BG("ar", "par")} * 0.25::DOUBLE) * 35
-            * CASE WHEN posts < 30 THEN 0.3::DOUBLE ELSE 0.8::DOUBLE END * greatest(0.45::DOUBLE, 1 - greatest(hype - 4, 0) * 0.07::DOUBLE) * greatest(0.55::DOUBLE, 1 - rep * 0.04::DOUBLE), 100), 0), 2) AS coverage_adjusted_acceleration_score FROM j""",
+        count(*) FILTER (hit_post_cap) AS capped_sources, count(*) FILTER (feed_capped) AS feed_capped_sources, round(sum(coverage_reliability * greatest(posts_returned, 1)) / sum(greatest(posts_returned, 1)), 3) AS coverage_reliability FROM cov GROUP BY 1""",
+    "rate_growth": f"""WITH {_COV}, {_RUNS}, {_RS}, cs AS (SELECT analysis_run_id, sum(posts_returned) AS posts, sum(unique_threads) AS th, sum(unique_authors) AS au, count(*) FILTER (feed_capped) AS fc,
+            round(sum(coverage_reliability * greatest(posts_returned, 1)) / sum(greatest(posts_returned, 1)), 3) AS rel FROM cov GROUP BY 1),
+        done AS (SELECT * FROM runs WHERE status = 'completed'), rp AS (SELECT r.*, (SELECT max_by(analysis_run_id, wk) FROM done p WHERE p.wk < r.wk AND p.source_set = r.source_set AND p.measured) AS prev FROM done r),
+        q AS (SELECT rs.*, posts, fc, rel, round(total_mentions / greatest(posts, 1) * 100, 3) AS nr, round(unique_threads / greatest(th, posts, 1) * 100, 3) AS tr, round(unique_authors / greatest(au, 1) * 100, 3) AS ar FROM rs JOIN cs USING (analysis_run_id)),
+        j AS (SELECT a.*, rp.measured, rp.prev, pc.posts AS pposts, pc.fc AS pfc, least(a.rel, pc.rel) AS lrel, b.ticker IS NOT NULL AS known, coalesce(b.nr, 0) AS pnr, coalesce(b.tr, 0) AS ptr, coalesce(b.ar, 0) AS par
+            FROM q a JOIN rp USING (analysis_run_id) LEFT JOIN cs pc ON pc.analysis_run_id = rp.prev LEFT JOIN q b ON b.analysis_run_id = rp.prev AND b.ticker = a.ticker),
+        k AS (SELECT *, coalesce(pposts, 0) < 30 OR posts < 30 AS small, measured AND prev IS NOT NULL AS fits FROM j), l AS (SELECT *, CASE WHEN small THEN coalesce(least(lrel, 0.3::DOUBLE), 0.3::DOUBLE) ELSE lrel END AS re FROM k),
+        s AS (SELECT *, CASE WHEN fits THEN round(greatest(least(greatest(least(({_BG("nr", "pnr")} * 0.45::DOUBLE + {_BG("tr", "ptr")} * 0.3::DOUBLE + {_BG("ar", "par")} * 0.25::DOUBLE) * 35, 100), 0) * re
+            * greatest(0.45::DOUBLE, 1 - greatest(average_hype_score - 4, 0) * 0.07::DOUBLE) * greatest(0.55::DOUBLE, 1 - repetition_score * 0.04::DOUBLE), 100), 0), 2) ELSE 0 END AS score FROM l)
+        SELECT analysis_run_id, ticker, nr AS mention_rate, tr AS thread_rate, ar AS author_rate, pnr AS previous_mention_rate, score::DOUBLE AS coverage_adjusted_acceleration_score,
+            CASE WHEN NOT measured THEN 'Discovery' WHEN prev IS NULL THEN 'Needs baseline' WHEN re >= 0.8 THEN 'High' WHEN re >= 0.5 THEN 'Medium' ELSE 'Low' END AS trend_reliability,
+            CASE WHEN NOT measured THEN 'Discovery scrape is excluded from proper acceleration; use it for ticker discovery and evidence review.' WHEN prev IS NULL THEN 'No previous measurement scrape exists for this exact source set yet.'
+                ELSE array_to_string(list_filter([CASE WHEN small THEN 'Current or previous measurement sample is below 30 posts.' END, CASE WHEN NOT known THEN 'Ticker was not present in the previous matched measurement run.' END,
+                    CASE WHEN pfc > 0 THEN 'Previous measurement had at least one RSS-capped source.' END, CASE WHEN fc > 0 THEN 'Current measurement had at least one RSS-capped source.' END], lambda x: x IS NOT NULL), '; ') END AS trend_reliability_reason,
+            round(greatest(least(emerging_ticker_score - acceleration_score * 0.45::DOUBLE + score * 0.45::DOUBLE, 100), 0), 2) AS emerging_ticker_score FROM s""",
     "previous_run": """WITH k AS (SELECT ts::DATE AS day, event_type FROM events GROUP BY ALL HAVING count(*) > 70), r AS (SELECT day, string_agg(event_type, ',' ORDER BY event_type) AS s FROM k GROUP BY 1)
         SELECT CAST(a.day AS VARCHAR) AS run_id, CAST(max(b.day) AS VARCHAR) AS previous_run_id FROM r a LEFT JOIN r b ON a.s = b.s AND b.day < a.day GROUP BY a.day""",
     "source_health": f"""WITH {_COV}, a AS (SELECT source_name, count(*) AS mentions, count(DISTINCT ticker) AS tickers FROM m WHERE wk = DATE '2024-01-08' GROUP BY 1)
@@ -268,11 +284,12 @@ ORACLES |= {
     "signal_gate": f"""WITH {_M}, {_summary('ticker')}, mm AS (SELECT ticker, count(*) FILTER (mode <> 'fallback') AS mo FROM m GROUP BY 1),
         r AS (SELECT *, row_number() OVER (ORDER BY emerging_ticker_score DESC, average_alpha_signal_score DESC, ticker) AS signal_rank FROM summary JOIN mm USING (ticker))
         SELECT ticker, signal_rank, signal_rank <= 5 OR emerging_ticker_score >= 60 OR acceleration_score >= 20 AS score_gate, total_mentions >= 3 AND unique_authors >= 2 AND unique_threads >= 2 AND mo >= 1 AS quality_gate,
+            (ticker IN ('VI1', 'CL2') OR ((signal_rank <= 5 OR emerging_ticker_score >= 60 OR acceleration_score >= 20) AND total_mentions >= 3 AND unique_authors >= 2 AND unique_threads >= 2 AND mo >= 1)) AND total_mentions >= 20 AS freezes,
             round(emerging_ticker_score * 0.55::DOUBLE + acceleration_score * 0.25::DOUBLE + average_alpha_signal_score * 0.2::DOUBLE - average_hype_score * 0.1::DOUBLE, 4) AS strength FROM r""",
     "cooldown_fold": f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY signal_time, signal_id) AS n FROM sig),
         f AS (SELECT ticker, n, signal_id, true AS ok, signal_time AS t, strength AS s FROM o WHERE n = 1
-            UNION ALL SELECT o.ticker, o.n, o.signal_id, o.signal_time - f.t >= INTERVAL 24 HOUR OR o.strength >= f.s + 12,
-                CASE WHEN o.signal_time - f.t >= INTERVAL 24 HOUR OR o.strength >= f.s + 12 THEN o.signal_time ELSE f.t END, CASE WHEN o.signal_time - f.t >= INTERVAL 24 HOUR OR o.strength >= f.s + 12 THEN o.strength ELSE f.s END
+            UNION ALL SELECT o.ticker, o.n, o.signal_id, o.signal_time - f.t > INTERVAL 24 HOUR OR o.strength >= f.s + 12,
+                CASE WHEN o.signal_time - f.t > INTERVAL 24 HOUR OR o.strength >= f.s + 12 THEN o.signal_time ELSE f.t END, CASE WHEN o.signal_time - f.t > INTERVAL 24 HOUR OR o.strength >= f.s + 12 THEN o.strength ELSE f.s END
             FROM f JOIN o ON o.ticker = f.ticker AND o.n = f.n + 1)
         SELECT ticker, signal_id FROM f WHERE ok""",
     "attention_outcomes": f"""WITH {_M}, a AS (SELECT 'signal_' || item_id AS signal_id, kind AS ticker, """ + ", ".join(
@@ -352,6 +369,9 @@ ORACLES |= {
         SELECT signal, outcome, round(round(abs(coalesce(correlation, 0)) * 0.52::DOUBLE + CASE WHEN p_value < 0.05 THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN sample_size >= 50 THEN 0.2::DOUBLE ELSE 0 END + 0.08::DOUBLE
             + CASE WHEN outcome LIKE '%abnormal_return%' THEN 0.08::DOUBLE ELSE 0 END - missing_count / (sample_size + missing_count) * 0.2::DOUBLE, 6), 4) AS interesting_score FROM d WHERE sample_size >= 20""",
     "rolling_corr": f"""WITH {_SET}, r AS (SELECT ticker, bucket_start, mentions AS x, raw_return_1d AS y FROM ds WHERE raw_return_1d IS NOT NULL),
+        s AS (SELECT ticker, bucket_start, count(*) OVER w AS rows_in_window, covar_pop(x, y) OVER w AS c, stddev_pop(x) OVER w AS sx, stddev_pop(y) OVER w AS sy FROM r WINDOW w AS (ORDER BY bucket_start, ticker ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
+        SELECT ticker, bucket_start, rows_in_window, CASE WHEN rows_in_window >= 8 AND sx * sy > 0 THEN round(c / (sx * sy), 5) END AS rolling_correlation FROM s""",
+    "rolling_corr_by_ticker": f"""WITH {_SET}, r AS (SELECT ticker, bucket_start, mentions AS x, raw_return_1d AS y FROM ds WHERE raw_return_1d IS NOT NULL),
         s AS (SELECT ticker, bucket_start, count(*) OVER w AS rows_in_window, covar_pop(x, y) OVER w AS c, stddev_pop(x) OVER w AS sx, stddev_pop(y) OVER w AS sy FROM r WINDOW w AS (PARTITION BY ticker ORDER BY bucket_start ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
         SELECT ticker, bucket_start, rows_in_window, CASE WHEN rows_in_window >= 8 AND sx * sy > 0 THEN round(c / (sx * sy), 5) END AS rolling_correlation FROM s""",
     "descriptive_stats": f"""WITH {_SET}, u AS (SELECT 'mentions' AS variable, mentions::DOUBLE AS v FROM ds UNION ALL SELECT 'average_hype_score', average_hype_score FROM ds UNION ALL SELECT 'raw_return_5d', raw_return_5d FROM ds)
@@ -364,6 +384,119 @@ ORACLES |= {
 }
 
 
+_HISTORY = f"{_M}, {_RUNS}, {_RS}, h AS (SELECT rs.*, wk, run_type, measured, source_set FROM rs JOIN runs USING (analysis_run_id) WHERE status = 'completed')"
+_SIGNED = lambda c, n: f"CASE WHEN round({c}, {n}) > 0 THEN '+' ELSE '' END || printf('%.{n}f', round({c}, {n}) + 0::DOUBLE)"
+_CLAIMS = """[CASE WHEN contains(low, 'revenue') THEN 'Verify the revenue claim against recent company filings.' END,
+    CASE WHEN contains(low, 'margin') THEN 'Check whether the margin claim is supported by reported results.' END,
+    CASE WHEN contains(low, 'guidance') THEN 'Confirm management guidance in the latest earnings materials.' END,
+    CASE WHEN contains(low, 'contract') OR contains(low, 'customer') THEN 'Validate customer or contract claims using company disclosures.' END]"""
+# the corpus: threads as items, the mention of the newest completed run
+_CORPUS = _M.replace("m AS (", "m0 AS (", 1) + f""", {_RUNS.replace("FROM m GROUP", "FROM m0 GROUP")},
+    raw AS (SELECT m0.* EXCLUDE (item_id, mode), thread_id AS item_id, coalesce(min(CASE WHEN depth >= 2 THEN CASE WHEN mode = 'model' THEN 'ollama' ELSE 'fallback' END END) OVER (PARTITION BY wk, thread_id), 'unknown') AS mode FROM m0 JOIN runs USING (wk) WHERE status = 'completed'),
+    first AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY item_id, ticker ORDER BY wk DESC, created_time DESC, confidence DESC) = 1),
+    names AS (SELECT ticker, company_name FROM (SELECT ticker, company_name, count(*) AS n FROM first GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY company_name = 'Unknown', n DESC, company_name) = 1),
+    m AS (SELECT first.* REPLACE (names.company_name AS company_name) FROM first JOIN names USING (ticker)), {_summary("ticker, company_name", "full_summary")},
+    summary AS (SELECT * REPLACE (round(greatest(least(emerging_ticker_score - acceleration_score * 0.45::DOUBLE, 100), 0), 2) AS emerging_ticker_score, 0::DOUBLE AS acceleration_score) FROM full_summary)"""
+_ATTENTION = ORACLES["attention_outcomes"]
+_SAMPLED = f"""{_BARS}, {_EVENTS}, u AS (SELECT DISTINCT ticker AS bt FROM bars),
+    s AS (SELECT signal_id, signal_day, bt AS benchmark_ticker FROM sig JOIN u ON bt <> ticker QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY sha1(signal_id || bt)) <= 3),
+    pairs AS (SELECT DISTINCT benchmark_ticker AS ticker, signal_day, benchmark_ticker || '|' || signal_day AS pair FROM s), {_calendar("pairs", "pair", "signal_day", "bars", (7, 30))},
+    outcomes AS (SELECT s.*, return_7d, return_30d FROM s LEFT JOIN cal ON cal.ticker = benchmark_ticker AND cal.signal_day = s.signal_day)"""
+_FRAME = f"""att AS ({_ATTENTION}), {_SAMPLED}, own AS (SELECT * FROM (WITH {_calendar("sig", "signal_id", "signal_day", "bars", (7,))} SELECT signal_id, return_7d FROM cal)),
+    rm AS (SELECT signal_id, count(DISTINCT benchmark_ticker) AS random_sample_size, round(avg(return_7d), 6) AS random_mean_return_7d, round(avg(return_30d), 6) AS random_mean_return_30d FROM outcomes GROUP BY 1),
+    frame AS (SELECT sig.*, CASE WHEN strength >= 80 THEN 'Useful lead' WHEN strength >= 60 THEN 'Worth deeper research' WHEN strength >= 40 THEN 'Too early' END AS label, own.return_7d, spread_14d,
+        random_sample_size, random_mean_return_7d, random_mean_return_30d FROM sig LEFT JOIN own USING (signal_id) LEFT JOIN att USING (signal_id) LEFT JOIN rm USING (signal_id))"""
+_PRESETS = {"Best emerging": ("emerging_ticker_score DESC", "average_alpha_signal_score"), "Highest acceleration": ("acceleration_score DESC", "emerging_ticker_score"), "Highest alpha": ("average_alpha_signal_score DESC", "emerging_ticker_score"),
+    "Lowest hype": ("average_hype_score", "average_alpha_signal_score"), "Most mentioned": ("total_mentions DESC", "emerging_ticker_score")}
+_G = f"WITH {_SET}, {_PAIRS}, {_GRID}, d AS (WITH {_DESCRIBE})"
+_SIDES = """sides AS (SELECT signal, a.correlation AS raw_correlation, a.p_value AS raw_p_value, a.sample_size AS raw_sample_size, b.correlation AS abnormal_correlation, b.p_value AS abnormal_p_value, b.sample_size AS abnormal_sample_size
+    FROM (SELECT * FROM d WHERE outcome = 'raw_return_5d') a FULL JOIN (SELECT * FROM d WHERE outcome = 'abnormal_return_5d') b USING (signal))"""
+_WORDS_OF = "regexp_extract_all(low, '[\\p{L}\\p{M}\\p{N}_]+')"
+ORACLES |= {
+    "repetition_score": f"""WITH d AS (SELECT doc_id AS item_id, lower(text) AS low, text FROM documents), w AS (SELECT *, {_WORDS_OF} AS w, regexp_split_to_array(text, '\\s+') AS parts FROM d)
+        SELECT item_id, least(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1] AND (i = 2 OR w[i - 1] <> w[i - 2]))) * 2 + {_hits(Q.PHRASES)} * 3
+            + least(len(list_filter(parts, lambda x: length(x) > 3 AND upper(x) = x AND lower(x) <> x)), 3), 10)::BIGINT AS repetition_score FROM w""",
+    "correlation_warnings": f"""WITH {_SET}, {_PAIRS}, ok AS (SELECT * FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL),
+        st AS (SELECT signal, outcome, count(*) AS n, count(DISTINCT x) AS dx, count(DISTINCT y) AS dy, {_R} AS r, avg(x) AS mx, nullif(stddev_samp(x), 0) AS sx, avg(y) AS my, nullif(stddev_samp(y), 0) AS sy FROM ok GROUP BY ALL),
+        near AS (SELECT signal, outcome, x, y FROM ok JOIN st USING (signal, outcome) WHERE coalesce(abs((x - mx) / sx), 0) <= 3.5 AND coalesce(abs((y - my) / sy), 0) <= 3.5),
+        rk AS (SELECT signal, outcome, rank() OVER (PARTITION BY signal, outcome ORDER BY x) + (count(*) OVER (PARTITION BY signal, outcome, x) - 1) / 2 AS x, rank() OVER (PARTITION BY signal, outcome ORDER BY y) + (count(*) OVER (PARTITION BY signal, outcome, y) - 1) / 2 AS y FROM near),
+        tr AS (SELECT signal, outcome, count(*) AS nt, {_R} AS rt FROM rk GROUP BY ALL), mi AS (SELECT signal, outcome, count(*) FILTER (x IS NULL OR y IS NULL) AS missing FROM pairs GROUP BY ALL)
+        SELECT signal, outcome, array_to_string(list_filter([CASE WHEN coalesce(n, 0) < 20 THEN 'sample size too small' END, CASE WHEN n > 0 AND missing / (n + missing) > 0.25 THEN 'many missing price values' END,
+            CASE WHEN n >= 8 AND dx / n <= 0.12 THEN signal || ' has many tied values' WHEN n >= 8 AND dy / n <= 0.12 THEN outcome || ' has many tied values' END,
+            CASE WHEN n >= 12 AND nt < n AND nt >= 8 AND abs(r - rt) >= 0.25 THEN 'correlation may be driven by one extreme outlier' END, CASE WHEN contains(outcome, 'same_day') THEN 'same-period relationship may be reactive rather than predictive' END,
+            CASE WHEN contains(outcome, 'abnormal_return') AND abs(coalesce(r, 0)) < 0.05 THEN 'market-adjusted relationship is very weak' END, 'multiple comparisons can create false positives'], lambda x: x IS NOT NULL), '; ') AS warnings
+        FROM mi LEFT JOIN st USING (signal, outcome) LEFT JOIN tr USING (signal, outcome)""",
+    "cooldown_by_run": f"""WITH RECURSIVE {_EVENTS}, o AS (SELECT *, date_trunc('hour', signal_time) AS run, strength < 1 AS manual, row_number() OVER (PARTITION BY ticker ORDER BY signal_time, signal_id) AS n FROM sig),
+        f AS (SELECT ticker, n, signal_id, true AS ok, signal_time AS t, strength AS s, run FROM o WHERE n = 1
+            UNION ALL SELECT o.ticker, o.n, o.signal_id, o.run <> f.run AND (o.manual OR o.signal_time - f.t > INTERVAL 24 HOUR OR o.strength >= f.s + 12) AS ok2,
+                CASE WHEN o.run <> f.run AND (o.manual OR o.signal_time - f.t > INTERVAL 24 HOUR OR o.strength >= f.s + 12) THEN o.signal_time ELSE f.t END,
+                CASE WHEN o.run <> f.run AND (o.manual OR o.signal_time - f.t > INTERVAL 24 HOUR OR o.strength >= f.s + 12) THEN o.strength ELSE f.s END,
+                CASE WHEN o.run <> f.run AND (o.manual OR o.signal_time - f.t > INTERVAL 24 HOUR OR o.strength >= f.s + 12) THEN o.run ELSE f.run END
+            FROM f JOIN o ON o.ticker = f.ticker AND o.n = f.n + 1)
+        SELECT ticker, signal_id FROM f WHERE ok""",
+    "completed_mentions": f"""WITH {_M}, {_RUNS} SELECT item_id, ticker, analysis_run_id, run_type, canonical AS canonical_trend_run, CASE WHEN depth >= 2 THEN CASE WHEN mode = 'model' THEN 'ollama' ELSE 'fallback' END END AS classifier_mode
+        FROM m JOIN runs USING (wk) WHERE status = 'completed'""",
+    "historical_summaries": f"WITH {_HISTORY} SELECT ticker, analysis_run_id, total_mentions, run_type, source_set FROM h",
+    "measured_history": f"WITH {_HISTORY} SELECT ticker, count(*) AS runs, sum(total_mentions)::BIGINT AS mentions FROM h WHERE measured GROUP BY 1",
+    "ticker_history": f"""WITH {_HISTORY} SELECT ticker, analysis_run_id, lag(analysis_run_id) OVER (PARTITION BY ticker ORDER BY wk) AS previous_run_id, total_mentions, row_number() OVER (PARTITION BY ticker ORDER BY wk DESC) AS back
+        FROM h QUALIFY back <= 3""",
+    "ticker_shift": f"""WITH {_HISTORY}, c AS (SELECT ticker, count(*) OVER (PARTITION BY ticker) AS n, row_number() OVER (PARTITION BY ticker ORDER BY wk DESC) AS back, total_mentions - lag(total_mentions) OVER w AS a,
+            coalesce(net_sentiment_score, 0) - coalesce(lag(net_sentiment_score) OVER w, 0) AS b, average_hype_score - lag(average_hype_score) OVER w AS c FROM h WINDOW w AS (PARTITION BY ticker ORDER BY wk))
+        SELECT ticker, CASE WHEN n < 2 THEN 'Only one completed run contains this ticker, so there is no clean before/after yet.' ELSE 'Latest run moved ' || {_SIGNED("a", 0)} || ' mentions, ' || {_SIGNED("b", 2)}
+            || ' net sentiment, and ' || {_SIGNED("c", 1)} || ' hype versus the previous completed run.' END AS shift FROM c WHERE back = 1""",
+    "source_activity": f"""WITH {_M} SELECT 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, source_name, count(DISTINCT thread_id) AS items_analyzed, sum(per)::BIGINT AS ticker_mentions, strftime(max(created_time), '%Y-%m-%d %H:%M:%S') AS newest_item_time
+        FROM (SELECT wk, thread_id, source_name, max(created_time) AS created_time, any_value(per) AS per FROM (SELECT *, count(*) OVER (PARTITION BY wk, thread_id) AS per FROM m) GROUP BY wk, thread_id, source_name) GROUP BY wk, source_name""",
+    "explorer_stats": f"""WITH {_M} SELECT ticker, count(*) AS mentions, count(DISTINCT item_id) AS items, count(DISTINCT author_hash) AS authors, count(DISTINCT thread_id) AS threads, count(DISTINCT source_name) AS sources,
+        count(*) FILTER (sentiment = 'bullish') AS bullish_mentions, count(*) FILTER (sentiment = 'bearish') AS bearish_mentions, count(*) FILTER (sentiment = 'neutral') AS neutral_mentions, round(avg(hype), 2) AS average_hype,
+        round(avg(quality_n), 2) AS average_evidence_quality, round(avg(alpha), 2) AS average_alpha, count(*) FILTER (mode = 'fallback') AS fallback_mentions, count(*) FILTER (mode = 'ollama') AS model_mentions,
+        strftime(min(created_time), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(created_time), '%Y-%m-%d %H:%M:%S') AS last_seen, 'run_' || CAST(max(wk) AS VARCHAR) AS latest_run_id FROM m GROUP BY 1""",
+    "bucket_sentiment": f"""WITH {_M} SELECT ticker, company_name, wk AS bucket_start, count(*) AS total_mentions, any_value(s) AS net_sentiment_score
+        FROM (SELECT *, round(avg(sentiment_numeric) OVER (PARTITION BY ticker, wk), 6) AS s FROM m) GROUP BY ALL""",
+    "ticker_claims": f"""WITH {_D}, c AS (SELECT *, list_filter({_CLAIMS}, lambda x: x IS NOT NULL) AS cl FROM d2),
+        u AS (SELECT DISTINCT ticker, unnest(CASE WHEN len(cl) > 0 THEN cl[1:3] WHEN low <> '' THEN ['Check the core thesis against filings, transcripts, or reliable reporting.'] ELSE [] END) AS claim FROM (SELECT *, unnest(symbols) AS ticker FROM c))
+        SELECT ticker, string_agg(claim, '|' ORDER BY claim) AS claims FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY claim) <= 8) GROUP BY 1""",
+    "corpus_summary": f"WITH {_CORPUS} SELECT ticker, company_name, total_mentions, unique_authors, emerging_ticker_score, acceleration_score, 'Corpus evidence' AS trend_reliability, 0::DOUBLE AS coverage_reliability FROM summary",
+    "corpus_counts": f"WITH {_CORPUS} SELECT count(DISTINCT item_id) AS items_collected, count(DISTINCT wk) AS runs_included, count(*) AS kept_rows, min(created_date) AS first_seen_date, max(created_date) AS most_recent_seen_date FROM m",
+    "corpus_flags": f"""WITH {_CORPUS} SELECT ticker, CASE WHEN mode = 'fallback' THEN 'Fallback' WHEN confidence >= 0.7 AND quality <> 'low' AND hype <= 6 THEN 'Strong' WHEN confidence < 0.35 OR quality = 'low' THEN 'Review' ELSE 'Standard' END AS trust_status,
+        summary.low_mentions_high_signal, summary.new_ticker_detected, count(*) AS n FROM m JOIN summary USING (ticker) GROUP BY ALL""",
+    "benchmark_outcomes": f"WITH {_SAMPLED} SELECT * FROM outcomes",
+    "attention_reliability": f"""WITH att AS ({_ATTENTION}), {_COV}, {_EVENTS}, {_RUNS}, cs AS (SELECT wk, round(sum(coverage_reliability * greatest(posts_returned, 1)) / sum(greatest(posts_returned, 1)), 3) AS rel FROM cov GROUP BY 1),
+        r AS (SELECT wk::TIMESTAMP + INTERVAL 6 DAY AS done, coalesce(rel, 0) AS rel FROM runs LEFT JOIN cs USING (wk) WHERE status = 'completed' AND measured),
+        a AS (SELECT signal_id, round(avg(rel), 9) AS c FROM sig LEFT JOIN r ON done > signal_time AND done <= signal_time + INTERVAL 30 DAY GROUP BY 1)
+        SELECT signal_id, CASE WHEN c >= 0.8 THEN 'High' WHEN c >= 0.5 THEN 'Medium' WHEN c IS NOT NULL THEN 'Low' WHEN sources_30d >= 2 AND threads_30d >= 2 THEN 'Medium' ELSE 'Low' END AS attention_reliability FROM a JOIN att USING (signal_id)""",
+    "review_frame": f"WITH {_FRAME} SELECT signal_id, ticker, label, return_7d, spread_14d, random_sample_size, random_mean_return_7d, random_mean_return_30d FROM frame",
+    "review_kpis": f"""WITH {_FRAME} SELECT count(*) AS signals, count(label) AS labelled, count(*) FILTER (label IN ('Useful lead', 'Worth deeper research')) AS useful, count(return_7d) AS with_return, round(avg(return_7d), 6) AS average_return_7d,
+        round(avg(spread_14d), 4) AS average_spread_14d FROM frame""",
+    "signal_inbox": f"WITH {_FRAME} SELECT signal_id, spread_14d FROM frame WHERE label IS NULL AND contains(ticker, 'VIEW') ORDER BY spread_14d DESC",
+    "recent_events": f"WITH {_EVENTS} SELECT ticker, signal_id, row_number() OVER (PARTITION BY ticker ORDER BY signal_time DESC, signal_id DESC) AS back FROM sig QUALIFY back <= 8",
+    "summary_presets": f"WITH {_M}, {_summary('ticker')} " + " UNION ALL ".join(f"(SELECT '{k}' AS preset, row_number() OVER (ORDER BY {a}, {b} DESC, ticker) AS place, ticker FROM summary QUALIFY place <= 8)" for k, (a, b) in _PRESETS.items()),
+    "summary_headline": f"""WITH {_M}, {_summary('ticker')} SELECT CASE WHEN max(acceleration_score) > 0 THEN max_by(ticker, (acceleration_score, emerging_ticker_score, ticker)) ELSE max_by(ticker, (emerging_ticker_score, average_alpha_signal_score, ticker)) END AS ticker,
+        CASE WHEN max(acceleration_score) > 0 THEN max(acceleration_score) ELSE max(emerging_ticker_score) END AS value, CASE WHEN max(acceleration_score) > 0 THEN 'Top acceleration' ELSE 'Top signal' END AS label FROM summary""",
+    "summary_chips": f"""WITH {_M}, {_summary('ticker')} SELECT ticker, array_to_string(list_filter([CASE WHEN total_mentions >= 20 THEN 'High' END, CASE WHEN low_mentions_high_signal THEN 'Low-hype lead' END, CASE WHEN new_ticker_detected THEN 'New ticker' END,
+        CASE WHEN average_hype_score >= 7 THEN 'High hype' END], lambda x: x IS NOT NULL), '|') AS chips, ticker IN ('VI1', 'ER3') AS watched FROM summary""",
+    "strongest_relationships": f"""{_G}, e AS (SELECT * FROM d WHERE correlation IS NOT NULL) SELECT * FROM ((SELECT 'positive' AS kind, signal, outcome, correlation FROM e ORDER BY correlation DESC, signal DESC, outcome DESC LIMIT 1)
+        UNION ALL (SELECT 'negative', signal, outcome, correlation FROM e ORDER BY correlation, signal, outcome LIMIT 1) UNION ALL (SELECT 'absolute', signal, outcome, correlation FROM e ORDER BY abs(correlation) DESC, signal DESC, outcome DESC LIMIT 1))""",
+    "correlation_heatmap": f"""{_G} SELECT signal, outcome, correlation FROM (SELECT * FROM d WHERE abs(correlation) >= 0.01 AND sample_size >= 10 ORDER BY correlation DESC, signal, outcome LIMIT 20)
+        WHERE contains(outcome, 'raw_return') AND signal IN ('mentions', 'mention_share_of_voice', 'mention_acceleration', 'percentage_mention_acceleration', 'post_count', 'comment_count')""",
+    "raw_or_abnormal": f"{_G}, {_SIDES} SELECT * FROM sides",
+    "abnormal_reading": f"""{_G}, {_SIDES}, b AS (SELECT abs(raw_correlation) AS r, abs(abnormal_correlation) AS a FROM sides ORDER BY coalesce(abs(abs(raw_correlation) - abs(abnormal_correlation)), -1) DESC, signal DESC LIMIT 1)
+        SELECT CASE WHEN r IS NULL OR a IS NULL THEN 'Some comparison cells still lack enough complete price data.'
+            WHEN r > a + 0.08::DOUBLE THEN 'The raw return relationship is stronger than the abnormal return relationship, suggesting broader market movement may explain part of the result.'
+            WHEN a >= r - 0.03::DOUBLE AND a >= 0.1 THEN 'The abnormal return relationship remains visible after market adjustment, so the pattern may be more ticker-specific.'
+            ELSE 'No meaningful abnormal return relationship was found under the current filters.' END AS reading FROM b""",
+    "rolling_reading": f"""WITH t AS (SELECT * FROM ({ORACLES["rolling_corr"]}) WHERE rolling_correlation IS NOT NULL), a AS (SELECT count(*) AS n, arg_min(rolling_correlation, (bucket_start, ticker)) AS first, arg_max(rolling_correlation, (bucket_start, ticker)) AS last,
+            coalesce(stddev_samp(rolling_correlation), 0) AS s FROM t)
+        SELECT n, first, last, round(s, 6) AS sd, CASE WHEN n < 3 THEN 'Rolling correlation is based on a small sample and may not be reliable.' WHEN s > 0.35 THEN 'Correlation is unstable over time, so this signal should be treated cautiously.'
+            WHEN last > first + 0.12::DOUBLE THEN 'The relationship has strengthened over the selected rolling window.' WHEN last < first - 0.12::DOUBLE THEN 'The relationship was stronger earlier and has recently weakened.'
+            ELSE 'The rolling relationship is broadly stable under the selected window.' END AS reading FROM a""",
+    "trend_lines": f"WITH {_SET}, {_PAIRS} SELECT signal, outcome, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL",
+    "box_quartiles": f"""WITH {_SET}, u AS (SELECT 'mentions' AS variable, mentions::DOUBLE AS v FROM ds UNION ALL SELECT 'average_hype_score', average_hype_score FROM ds UNION ALL SELECT 'raw_return_5d', raw_return_5d FROM ds)
+        SELECT variable, """ + ", ".join(f"round(quantile_cont(v, {q}), 6) AS {n}" for n, q in (("low", 0.0), ("q1", 0.25), ("middle", 0.5), ("q3", 0.75), ("high", 1.0))) + " FROM u GROUP BY 1",
+    "evidence_labels": f"""{_G} SELECT signal, outcome, CASE WHEN p_value IS NULL THEN 'not enough complete observations for a p-value' WHEN p_value < 0.001 THEN 'very strong statistical evidence' WHEN p_value < 0.01 THEN 'strong statistical evidence'
+        WHEN p_value < 0.05 THEN 'statistically significant' ELSE 'not statistically significant' END AS evidence FROM d""",
+}
+
+
 def _with_text_dates(name: str) -> str:
     """Days as text, as in the queries."""
     days = Q.DAYS.get(name, ())

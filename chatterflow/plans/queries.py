@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import buckets as B
-from ..operators import classify, corpus, coverage, mentions, prices, signals, stats
+from ..operators import classify, corpus, coverage, history, mentions, prices, signals, stats
 from ..sources import storage
 from . import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Phrases of the documents that stand for the stock phrases of repetition.
+PHRASES = ("licensed under", "of the", "que la")
 #: A small catalog of symbols that occur in the documents, with two ambiguous ones.
 CATALOG = ("AND", "CI", "DE", "DER", "EN", "ER", "IN", "LA", "OF", "THE", "TO", "WAS")
 AMBIGUOUS = ("TO", "WAS")
@@ -30,6 +32,7 @@ DAYS: dict[str, tuple[str, ...]] = {
     "spike_notes": ("time_bucket",), "dense_grid": ("time_bucket",), "daily_bars": ("date",), "long_bars": ("date",), "asof_forward": ("day", "price_date"), "asof_calendar": ("day",),
     "horizon_outcomes": ("date",), "volume_baseline": ("date",), "path_metrics": ("day",), "fetch_plan": ("first_day", "last_day"), "correlation_dataset": ("bucket_start", "price_date"),
     "dataset_diagnostics": ("date_start", "date_end"), "rolling_corr": ("bucket_start",), "zscore_overlay": ("bucket_start",), "market_outcomes": ("signal_day",),
+    "bucket_sentiment": ("bucket_start",), "rolling_corr_by_ticker": ("bucket_start",), "benchmark_outcomes": ("signal_day",), "corpus_counts": ("first_seen_date", "most_recent_seen_date"),
     **{f"signal_buckets_{p}": ("bucket_start",) for p in ("daily", "weekly", "monthly", "run")},
 }
 
@@ -75,8 +78,8 @@ def claim_specificity(spark, sf):
 
 @query
 def repetition_score(spark, sf):
-    """SC4. DuckDB's patterns have no back-reference, so this one has no SQL twin."""
-    return A.items(spark, sf).select("item_id", S.repetition(F.col("body_text")).alias("repetition_score"))
+    """SC4."""
+    return A.items(spark, sf).select("item_id", S.repetition(F.col("body_text"), PHRASES).alias("repetition_score"))
 
 
 @query
@@ -273,21 +276,21 @@ def histogram(spark, sf):
 def run_compare(spark, sf):
     """JN9: the summaries of two weeks."""
     m = A.mentions(spark, sf)
-    per = lambda day: m.filter(F.col("time_bucket") == F.lit(day).cast("date")).filter("depth_score >= 8").groupBy("ticker").agg(F.count(F.lit(1)).alias("mentions"), F.round(F.avg("hype_score"), 2).alias("hype"))
+    per = lambda day: m.filter(F.col("time_bucket") == F.lit(day).cast("date")).groupBy("ticker").agg(F.count(F.lit(1)).alias("mentions"), F.round(F.avg("hype_score"), 2).alias("hype"))
     return corpus.compare(per("2024-01-08"), per("2024-01-01"), ["mentions", "hype"])
 
 
 @query
 def dense_grid(spark, sf):
-    """JN20."""
-    rows = A.mentions(spark, sf).filter("depth_score >= 9").groupBy("ticker", "time_bucket").agg(F.count(F.lit(1)).alias("mentions"))
+    """JN20, over tickers by source and community."""
+    rows = A.mentions(spark, sf).groupBy(F.concat_ws("/", "ticker", "source_name", "subreddit").alias("ticker"), "time_bucket").agg(F.count(F.lit(1)).alias("mentions"))
     return corpus.dense(rows, "ticker", "time_bucket", ["mentions"])
 
 
 @query
 def consensus(spark, sf):
     """DF5."""
-    return corpus.consensus(A.mentions(spark, sf)).select("ticker", "mentions", "stance", "flags")
+    return corpus.consensus(A.mentions(spark, sf)).select("ticker", "mentions", "stance", "confidence", "flags", F.round("evidence", 4).alias("evidence"))
 
 
 @query
@@ -298,7 +301,7 @@ def corpus_reset(spark, sf):
 
 def _coverage(spark, sf) -> DataFrame:
     rows = A.mentions(spark, sf).withColumn("window_start", F.col("time_bucket").cast("timestamp"))
-    return coverage.source_coverage(rows, ["analysis_run_id", "source_name"], 7, post_cap=120)
+    return coverage.source_coverage(rows, ["analysis_run_id", "source_name"], 7, post_cap=120, facts=A.source_facts(spark, sf))
 
 
 @query
@@ -315,15 +318,13 @@ def coverage_weighted(spark, sf):
 
 @query
 def rate_growth(spark, sf):
-    """SC14, SC15: each week's tickers against the second week's."""
-    m = A.mentions(spark, sf)
-    posts = m.groupBy("time_bucket").agg(F.count_if(F.col("item_type") == "post").alias("posts"))
-    per = m.groupBy("ticker", "time_bucket").agg(
-        F.count(F.lit(1)).alias("mentions"), F.countDistinct("thread_id").alias("threads"), F.countDistinct("author_hash").alias("authors"), F.round(F.avg("hype_score"), 2).alias("hype"),
-        F.round(F.avg("repetition_score"), 2).alias("repetition"),
-    ).join(posts, "time_bucket").withColumn("coverage_reliability", F.lit(0.8))
-    old = per.filter("time_bucket = DATE'2024-01-08'").withColumnRenamed("posts", "previous_posts")
-    return coverage.adjusted_trend(per.filter("time_bucket = DATE'2024-01-15'"), old, "posts", "previous_posts").select("ticker", "mention_rate", "previous_mention_rate", "coverage_adjusted_acceleration_score")
+    """SC14, SC15, JN11: every run's tickers against the measurement run before it."""
+    runs = history.completed(A.runs(spark, sf)).withColumn("eligible", F.expr("run_type = 'measurement' AND canonical_trend_run"))
+    known = runs.join(coverage.previous_run(runs, "analysis_run_id"), "analysis_run_id").withColumn("measured", F.col("eligible"))
+    out = coverage.adjusted_trend(A.run_summaries(spark, sf), coverage.summarize(_coverage(spark, sf), ["analysis_run_id"]), known)
+    return out.select(
+        "analysis_run_id", "ticker", "mention_rate", "thread_rate", "author_rate", "previous_mention_rate", "coverage_adjusted_acceleration_score", "trend_reliability", "trend_reliability_reason", "emerging_ticker_score",
+    )
 
 
 @query
@@ -340,6 +341,7 @@ def source_health(spark, sf):
     """JN8, JN4, SC23."""
     m = A.mentions(spark, sf)
     sources = A.table(spark, sf, "nation").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("source_name"))
+    # the feature: the health of the sources in one run
     cov = _coverage(spark, sf).filter("analysis_run_id = 'run_2024-01-08'").select("source_name", "posts_returned", "comments_returned", "coverage_reliability")
     activity = m.filter("analysis_run_id = 'run_2024-01-08'").groupBy("source_name").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("ticker").alias("tickers"))
     return coverage.source_health(sources, cov, activity)
@@ -462,13 +464,13 @@ def pearson_grid(spark, sf):
 @query
 def spearman_grid(spark, sf):
     """ST3, WIN17."""
-    return stats.spearman_grid(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS, GRID_OUTCOMES))
+    return stats.spearman_grid(storage.written(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS, GRID_OUTCOMES)))
 
 
 @query
 def kendall_tau_b(spark, sf):
     """ST4."""
-    return stats.kendall_grid(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS, GRID_OUTCOMES))
+    return stats.kendall_grid(storage.written(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS, GRID_OUTCOMES)))
 
 
 @query
@@ -480,7 +482,7 @@ def lead_lag(spark, sf):
 @query
 def correlation_warnings(spark, sf):
     """ST7."""
-    return stats.warnings(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS, GRID_OUTCOMES))
+    return stats.warnings(storage.written(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS, GRID_OUTCOMES)))
 
 
 @query
@@ -491,9 +493,20 @@ def interesting_rank(spark, sf):
     return g.filter("sample_size >= 20").select("signal", "outcome", F.round(score, 4).alias("interesting_score"))
 
 
+def _rolling(spark, sf) -> DataFrame:
+    rows = _dataset(spark, sf).select("ticker", "bucket_start", "mentions", F.col("raw_return_1d").alias("y"))
+    return stats.rolling_correlation(rows, "mentions", "y", ["bucket_start", "ticker"], 14)
+
+
 @query
 def rolling_corr(spark, sf):
-    """WIN15, by ticker."""
+    """WIN15: over all tickers by time."""
+    return _rolling(spark, sf).select("ticker", "bucket_start", "rows_in_window", "rolling_correlation")
+
+
+@query
+def rolling_corr_by_ticker(spark, sf):
+    """WIN15, a series for each ticker."""
     rows = _dataset(spark, sf).select("ticker", "bucket_start", "mentions", F.col("raw_return_1d").alias("y"))
     return stats.rolling_correlation(rows, "mentions", "y", ["bucket_start"], 14, ["ticker"]).select("ticker", "bucket_start", "rows_in_window", "rolling_correlation")
 
@@ -532,7 +545,8 @@ def signal_gate(spark, sf):
     m = A.mentions(spark, sf)
     s = mentions.ticker_summary(m, ["ticker"]).withColumns({"analysis_run_id": F.lit("run"), "coverage_reliability": F.lit(0.6), "trend_reliability": F.lit("Medium")})
     model = m.groupBy("ticker").agg(F.count_if(F.col("classifier_mode") != "fallback").alias("model_mentions"))
-    return signals.candidates(s.join(model, "ticker")).select("ticker", "signal_rank", "score_gate", "quality_gate", "strength")
+    frozen = s.filter("total_mentions < 20").select("analysis_run_id", "ticker")
+    return signals.candidates(s.join(model, "ticker"), manual=("VI1", "CL2"), frozen=frozen).select("ticker", "signal_rank", "score_gate", "quality_gate", "strength", "freezes")
 
 
 @query
@@ -541,6 +555,13 @@ def cooldown_fold(spark, sf):
     return signals.cooldown(A.signal_events(spark, sf)).select("ticker", "signal_id")
 
 
+@query
+def cooldown_by_run(spark, sf):
+    """DF8: events of one hour are of one run, and the weakest are manual."""
+    e = A.signal_events(spark, sf).withColumns({"analysis_run_id": F.date_trunc("hour", "signal_time").cast("string"), "manual": F.col("strength") < 1})
+    return signals.cooldown(e).select("ticker", "signal_id")
+
+
 @query
 def attention_outcomes(spark, sf):
     """JN17, JN18, SC18."""
@@ -592,3 +613,225 @@ def upsert_merge(spark, sf):
 def status_counts(spark, sf):
     """AGG18, AGG19."""
     return A.table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def completed_mentions(spark, sf):
+    """JN1, FLT1, FLT12, DT7."""
+    rows = history.completed_mentions(A.mentions(spark, sf), A.runs(spark, sf), A.classifications(spark, sf))
+    return rows.select("item_id", "ticker", "analysis_run_id", "run_type", "canonical_trend_run", "classifier_mode")
+
+
+def _history(spark, sf) -> DataFrame:
+    return history.historical_summaries(A.run_summaries(spark, sf), A.runs(spark, sf))
+
+
+@query
+def historical_summaries(spark, sf):
+    """JN2, JN3."""
+    return _history(spark, sf).select("ticker", "analysis_run_id", "total_mentions", "run_type", F.array_join("source_set", ",").alias("source_set"))
+
+
+@query
+def measured_history(spark, sf):
+    """FLT15: history of canonical measurement runs alone."""
+    runs = history.completed(A.runs(spark, sf), measured=True)
+    return history.historical_summaries(A.run_summaries(spark, sf), runs).groupBy("ticker").agg(F.count(F.lit(1)).alias("runs"), F.sum("total_mentions").alias("mentions"))
+
+
+@query
+def ticker_history(spark, sf):
+    """WIN19, WIN20."""
+    return history.latest_points(_history(spark, sf), "total_mentions", 3).select("ticker", "analysis_run_id", "previous_run_id", "total_mentions", "back")
+
+
+@query
+def ticker_shift(spark, sf):
+    """WIN22."""
+    return history.deterministic_shift(_history(spark, sf))
+
+
+@query
+def source_activity(spark, sf):
+    """AGG9: threads as items."""
+    m = A.mentions(spark, sf).withColumn("item_id", F.col("thread_id"))
+    return history.source_activity(m, m).withColumn("newest_item_time", F.date_format("newest_item_time", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def explorer_stats(spark, sf):
+    """AGG12."""
+    out = history.explorer_stats(A.mentions(spark, sf))
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_seen", "last_seen")})
+
+
+@query
+def bucket_sentiment(spark, sf):
+    """AGG21, JN25."""
+    m = A.mentions(spark, sf)
+    return history.bucket_sentiment(mentions.time_buckets(m), m).select("ticker", "company_name", "bucket_start", "total_mentions", "net_sentiment_score")
+
+
+@query
+def ticker_claims(spark, sf):
+    """AGG26, over documents by symbol."""
+    rows = with_symbols(A.items(spark, sf)).select(F.explode("tickers").alias("ticker"), T.claims_to_verify(F.col("body_text")).alias("claims"))
+    return history.ticker_claims(rows)
+
+
+def _corpus(spark, sf) -> dict[str, DataFrame]:
+    m = A.mentions(spark, sf).withColumn("item_id", F.col("thread_id")).drop("classifier_mode", "run_completed")
+    return history.corpus_frames(m, A.runs(spark, sf), A.classifications(spark, sf, "thread_id"))
+
+
+@query
+def corpus_summary(spark, sf):
+    """DF6."""
+    names = ("ticker", "company_name", "total_mentions", "unique_authors", "emerging_ticker_score", "acceleration_score", "trend_reliability", "coverage_reliability")
+    return _corpus(spark, sf)["summary"].select(*names)
+
+
+@query
+def corpus_counts(spark, sf):
+    """DF6: the corpus in numbers."""
+    return _corpus(spark, sf)["counts"]
+
+
+@query
+def corpus_flags(spark, sf):
+    """DF6: mentions of the corpus with their ticker's flags and trust."""
+    rows = _corpus(spark, sf)["mentions"]
+    return rows.groupBy("ticker", "trust_status", "low_mentions_high_signal", "new_ticker_detected").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def benchmark_outcomes(spark, sf):
+    """DF10."""
+    return signals.benchmark_outcomes(A.signal_events(spark, sf), A.bars(spark, sf), 3).select("signal_id", "benchmark_ticker", "signal_day", "return_7d", "return_30d")
+
+
+def _attention(spark, sf) -> DataFrame:
+    t = A.table(spark, sf, "events").select(F.col("event_id").alias("item_id"), F.upper("event_type").alias("ticker"))
+    return signals.attention(A.signal_events(spark, sf), A.mentions(spark, sf).drop("ticker").join(t, "item_id"))
+
+
+@query
+def attention_reliability(spark, sf):
+    """SC22, DF11."""
+    cov = coverage.summarize(_coverage(spark, sf), ["analysis_run_id"]).select("analysis_run_id", "coverage_reliability")
+    runs = history.completed(A.runs(spark, sf), measured=True).join(cov, "analysis_run_id", "left")
+    spread = _attention(spark, sf).select("signal_id", F.col("sources_30d").alias("sources"), F.col("threads_30d").alias("threads"))
+    return signals.attention_reliability(A.signal_events(spark, sf), runs, spread)
+
+
+def _review_frame(spark, sf) -> DataFrame:
+    e = A.signal_events(spark, sf)
+    label = F.when(F.col("strength") >= 80, "Useful lead").when(F.col("strength") >= 60, "Worth deeper research").when(F.col("strength") >= 40, "Too early")
+    labels = e.select("signal_id", label.alias("label")).filter("label is not null")
+    bars = A.bars(spark, sf)
+    market = prices.calendar_returns(e, bars, "signal_id", "signal_day", (7,)).select("signal_id", "return_7d")
+    means = signals.random_means(signals.benchmark_outcomes(e, bars, 3))
+    return signals.review(e, labels, market, _attention(spark, sf).select("signal_id", "spread_7d", "spread_14d", "spread_30d"), means)
+
+
+@query
+def review_frame(spark, sf):
+    """JN7, AGG8: signals with labels, market, attention and random benchmark."""
+    return _review_frame(spark, sf).select("signal_id", "ticker", "label", "return_7d", "spread_14d", "random_sample_size", "random_mean_return_7d", "random_mean_return_30d")
+
+
+@query
+def review_kpis(spark, sf):
+    """AGG16."""
+    return signals.review_kpis(_review_frame(spark, sf))
+
+
+@query
+def signal_inbox(spark, sf):
+    """FLT8, TOP9: unlabelled signals of a ticker, the widest attention first."""
+    return signals.inbox(_review_frame(spark, sf), label="", ticker="view", sort="attention").select("signal_id", "spread_14d")
+
+
+@query
+def recent_events(spark, sf):
+    """TOP12."""
+    return signals.recent_events(A.signal_events(spark, sf)).select("ticker", "signal_id", "back")
+
+
+def _ticker_summary(spark, sf) -> DataFrame:
+    return mentions.ticker_summary(A.mentions(spark, sf), ["ticker"])
+
+
+@query
+def summary_presets(spark, sf):
+    """TOP1, TOP3, TOP14: the first eight tickers by each preset."""
+    summary, out = _ticker_summary(spark, sf), None
+    for preset in corpus.SORTS:
+        rows = corpus.top_summaries(summary, preset, 8).select(F.lit(preset).alias("preset"), "place", "ticker")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def summary_headline(spark, sf):
+    """TOP15."""
+    return corpus.headline(_ticker_summary(spark, sf))
+
+
+@query
+def summary_chips(spark, sf):
+    """SC25, FLT14."""
+    s = _ticker_summary(spark, sf).withColumn("trend_reliability", F.when(F.col("total_mentions") >= 20, "High"))
+    return corpus.with_chips(s, ("VI1", "ER3")).select("ticker", "chips", "watched")
+
+
+def _grid(spark, sf) -> DataFrame:
+    return stats.pearson_grid(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS, GRID_OUTCOMES))
+
+
+@query
+def strongest_relationships(spark, sf):
+    """TOP8."""
+    return stats.strongest(_grid(spark, sf))
+
+
+@query
+def correlation_heatmap(spark, sf):
+    """FLT7: the strongest positive cells of raw returns for the signals of attention."""
+    return stats.heatmap(_grid(spark, sf), "positive", min_r=0.01, min_n=10, kind="raw", group="Attention").select("signal", "outcome", "correlation")
+
+
+@query
+def raw_or_abnormal(spark, sf):
+    """JN21, ST14."""
+    return stats.raw_or_abnormal(_grid(spark, sf), "raw_return_5d", "abnormal_return_5d")
+
+
+@query
+def abnormal_reading(spark, sf):
+    """ST14."""
+    return stats.abnormal_reading(stats.raw_or_abnormal(_grid(spark, sf), "raw_return_5d", "abnormal_return_5d"))
+
+
+@query
+def rolling_reading(spark, sf):
+    """ST15."""
+    return stats.rolling_reading(_rolling(spark, sf), ["bucket_start", "ticker"])
+
+
+@query
+def trend_lines(spark, sf):
+    """ST18."""
+    return stats.trend_lines(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS, GRID_OUTCOMES))
+
+
+@query
+def box_quartiles(spark, sf):
+    """AGG25."""
+    return stats.quartiles(_dataset(spark, sf), ["mentions", "average_hype_score", "raw_return_5d"])
+
+
+@query
+def evidence_labels(spark, sf):
+    """SC21: what each cell's p-value says."""
+    return _grid(spark, sf).select("signal", "outcome", S.evidence(F.col("p_value")).alias("evidence"))

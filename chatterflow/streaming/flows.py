@@ -37,22 +37,34 @@ def sessions(mentions: DataFrame, gap: str = "6 hours", late: str = "7 days") ->
     return mentions.withWatermark("created_time", late).groupBy(s, "ticker").agg(F.count(F.lit(1)).alias("total_mentions")).select("ticker", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "total_mentions")
 
 
-def cooldown(events: DataFrame, hours: int = lex.GATES["cooldown_hours"], delta: float = lex.GATES["cooldown_delta"]) -> DataFrame:
-    """DF8 on a stream: the last accepted event per ticker is the state. events: ticker, signal_id, signal_time, strength."""
+def cooldown(events: DataFrame, hours: int = lex.GATES["cooldown_hours"], delta: float = lex.GATES["cooldown_delta"], late: str | None = "1 hour") -> DataFrame:
+    """DF8 on a stream: a ticker's last accepted event and those that wait are the state. events: ticker, signal_id, signal_time, strength.
+
+    An event waits until the watermark, ``late`` behind the newest event, has passed it, so events are decided in order of
+    time and id whatever the order they come in, as on a table. ``late``: None decides each micro-batch by itself.
+    """
 
     def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["signal_time", "signal_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            at = int(r.signal_time.value // 1000)
-            if last is None or at - last[0] >= hours * 3_600_000_000 or r.strength >= last[1] + delta:
-                last = (at, float(r.strength))
-                out.append((r.ticker, r.signal_id, r.signal_time, float(r.strength)))
-        if last is not None:
-            state.update(last)
+        at, last, *waiting = state.get if state.exists else (None, None, [], [], [])
+        rows = [*zip(*waiting, strict=True)]
+        for b in batches:
+            rows += zip((b["signal_time"].astype("int64") // 1000 if b["signal_time"].dtype == "datetime64[ns]" else b["signal_time"].astype("datetime64[us]").astype("int64")).tolist(), b["signal_id"], b["strength"].astype(float), strict=True)
+        passed = state.getCurrentWatermarkMs() * 1000 if late else None
+        rest, out = [], []
+        for t, name, strength in sorted(rows):
+            if late and t >= passed:
+                rest.append((t, name, strength))
+            elif at is None or t - at > hours * 3_600_000_000 or strength >= last + delta:
+                at, last = t, strength
+                out.append((*key, name, pd.Timestamp(t, unit="us"), strength))
+        if at is not None or rest:
+            state.update((at, last, *([list(x) for x in zip(*rest, strict=True)] or ([], [], []))))
+        if rest:
+            state.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["ticker", "signal_id", "signal_time", "strength"])
 
-    return events.groupBy("ticker").applyInPandasWithState(
-        accept, "ticker string, signal_id string, signal_time timestamp, strength double", "at long, strength double", "append", GroupStateTimeout.NoTimeout
+    kept = "at long, strength double, times array<long>, ids array<string>, strengths array<double>"
+    marked = events.withWatermark("signal_time", late) if late else events
+    return marked.groupBy("ticker").applyInPandasWithState(
+        accept, "ticker string, signal_id string, signal_time timestamp, strength double", kept, "append", GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
     )

@@ -88,12 +88,48 @@ def test_cooldown_depends_on_what_was_accepted(spark):
     assert got == ["s1", "s3", "s5", "s6"]  # s2 is 11 stronger only, s3 12; s4 is within a day of s3, s5 is not
 
 
+def streamed(frames, flow, name, tmp_path):
+    """The rows that a flow gives for frames that come one after another."""
+    for i, f in enumerate(frames):
+        f.coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    spark = frames[0].sparkSession
+    source = tmp_path / "in"
+    source.mkdir()
+    out = []
+    for i, f in enumerate(frames):
+        for j, part in enumerate(sorted((tmp_path / f"in{i}").glob("*.parquet"))):
+            (source / f"{i:03d}-{j}.parquet").write_bytes(part.read_bytes())
+        stream = flow(spark.readStream.schema(f.schema).parquet(str(source)))
+        q = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        q = q.option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).start()
+        q.awaitTermination(120)
+    return [r for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+
+
 def test_cooldown_stream_equals_batch(spark, tmp_path):
-    events_frame(spark).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events_frame(spark).schema).parquet(str(tmp_path / "in"))
-    q = flows.cooldown(stream).writeStream.format("memory").queryName("cool").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    assert sorted(r.signal_id for r in spark.table("cool").collect()) == ["s1", "s3", "s5", "s6"]
+    got = streamed([events_frame(spark)], lambda e: flows.cooldown(e, late=None), "cool", tmp_path)
+    assert sorted(r.signal_id for r in got) == ["s1", "s3", "s5", "s6"]
+
+
+def test_cooldown_stream_waits_for_late_events(spark, tmp_path):
+    """Events come in any order within the watermark; what is decided equals the table's decision."""
+    events = events_frame(spark)
+    end = spark.createDataFrame([("Z", "end", dt.datetime(2024, 3, 1), 0.0)], events.schema)
+    frames = [events.filter("signal_id IN ('s3', 's5')"), events.filter("signal_id IN ('s1', 's6', 's4')"), events.filter("signal_id = 's2'"), end]
+    got = streamed(frames, lambda e: flows.cooldown(e, late="40 hours"), "late", tmp_path)
+    assert sorted(r.signal_id for r in got) == ["s1", "s3", "s5", "s6"]
+
+
+def test_dedupe_and_sessions_on_a_stream(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    at = [0, 1, 2, 20, 21, 60]
+    df = spark.createDataFrame([(f"i{h}", "T", base + dt.timedelta(hours=h)) for h in at] * 2, "item_id string, ticker string, created_time timestamp")
+    end = spark.createDataFrame([("end", "Z", base + dt.timedelta(days=60))], df.schema)
+    got = streamed([df, df.limit(2), end], flows.deduped, "dedupe", tmp_path)
+    assert sorted(r.item_id for r in got) == sorted([f"i{h}" for h in at] + ["end"])
+    (tmp_path / "s").mkdir()
+    got = streamed([df.dropDuplicates(), end], flows.sessions, "sessions", tmp_path / "s")
+    assert sorted((r.start.day, r.total_mentions) for r in got if r.ticker == "T") == [(1, 2), (1, 3), (3, 1)]
 
 
 def test_weekly_stream_equals_batch(spark, tmp_path):

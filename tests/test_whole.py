@@ -1,52 +1,16 @@
-"""Queries over whole tables: no part of the input is left out.
-
-The twins in :mod:`chatterflow.plans.oracles` still filter their input; here they run without that filter.
-"""
+"""Operators against brute force on small tables, and queries over all rows."""
 
 import datetime as dt
 import random
 
-import duckdb
+import numpy as np
 import pytest
-from test_queries import SF, TABLES, rows
+from test_queries import SF
 
 from chatterflow.operators import signals, stats
 from chatterflow.plans import adapters as A
-from chatterflow.plans import oracles as O
-from chatterflow.plans import queries as Q
-from chatterflow.plans.oracles import ORACLES
 from chatterflow.plans.queries import QUERIES
 
-SIGNALS = ("cooldown_fold", "attention_outcomes", "random_benchmark", "benchmark_means", "market_outcomes", "signal_review")
-PROBED = ("asof_forward", "asof_calendar", "path_metrics", "fetch_plan", "price_placeholders")
-
-
-@pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
-
-
-def equals_twin_without(spark, duck, name, cut):
-    assert ORACLES[name].count(cut) <= 1
-    df = QUERIES[name](spark, SF)
-    want = duck.sql(ORACLES[name].replace(cut, ""))
-    assert sorted(df.columns) == sorted(want.columns)
-    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
-
-
-@pytest.mark.parametrize("name", SIGNALS)
-def test_every_event_is_a_signal(spark, duck, name):
-    equals_twin_without(spark, duck, name, " WHERE event_id % 50 = 0")
-
-
-@pytest.mark.parametrize("name", PROBED)
-def test_every_order_is_a_probe(spark, duck, name):
-    equals_twin_without(spark, duck, name, " WHERE o_orderkey % 7 = 0")
-
-
 def test_union_covers_every_mention(spark):
     first = {}
     for r in A.mentions(spark, SF).collect():
@@ -64,7 +28,7 @@ def test_cooldown_streams_and_equals_a_loop(spark):
     want, last = set(), {}
     for ticker, name, at, strength in sorted(listed, key=lambda r: (r[0], r[2], r[1])):
         t, s = last.get(ticker, (None, None))
-        if t is None or at - t >= dt.timedelta(hours=24) or strength >= s + 12:
+        if t is None or at - t > dt.timedelta(hours=24) or strength >= s + 12:
             last[ticker] = at, strength
             want.add(name)
     df = signals.cooldown(events)
@@ -89,9 +53,23 @@ def test_kendall_equals_all_pairs(spark, monkeypatch, ranks):
         assert r.sample_size == len(v) and r.correlation == (pytest.approx(want, abs=1e-6) if bottom else None)
 
 
-def test_kendall_covers_the_grid(spark, duck):
-    cut = O._pairs(Q.GRID_SIGNALS[:2], Q.GRID_OUTCOMES[:2])
-    assert ORACLES["kendall_tau_b"].count(cut) <= 1
-    df = QUERIES["kendall_tau_b"](spark, SF)
-    want = duck.sql(ORACLES["kendall_tau_b"].replace(cut, O._PAIRS))
-    assert df.count() == 12 and rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
+def test_rolling_over_all_tickers_crosses_blocks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANKS", 16)
+    draw = random.Random(6)
+    rows = [(dt.date(2024, 1, 1 + i // 9), f"t{i % 9}", float(draw.randrange(50)), float(draw.randrange(50)) if i % 7 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "bucket_start date, ticker string, x double, y double")
+    got = {(r.bucket_start, r.ticker): (r.rows_in_window, r.rolling_correlation) for r in stats.rolling_correlation(df, "x", "y", ["bucket_start", "ticker"], 10).collect()}
+    full = [r for r in sorted(rows) if r[3] is not None]
+    assert len(got) == len(full)
+    for i, r in enumerate(full):
+        w = full[max(0, i - 9) : i + 1]
+        n, r_ = got[r[0], r[1]]
+        assert n == len(w)
+        assert r_ is None if n < 8 else r_ == pytest.approx(np.corrcoef([v[2] for v in w], [v[3] for v in w])[0, 1], abs=1e-5)
+
+
+def test_manual_and_same_run_in_the_cooldown(spark):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [("T", "a", at(0), 10.0, "r1", False), ("T", "b", at(30), 90.0, "r1", True), ("T", "c", at(31), 1.0, "r2", True), ("T", "d", at(55), 5.0, "r3", False), ("T", "e", at(55.5), 5.0, "r4", False)]
+    df = spark.createDataFrame(rows, "ticker string, signal_id string, signal_time timestamp, strength double, analysis_run_id string, manual boolean")
+    assert [r.signal_id for r in signals.cooldown(df).orderBy("signal_id").collect()] == ["a", "c", "e"]
