@@ -2,7 +2,7 @@
 
 1. Each text becomes token ids (an id 0 ends it), cut into pieces of ``capacity`` tokens only where it is longer.
 2. The pieces are range-sorted by length, so that each has a rank among those of its length; only the counts per length and
-   partition reach the driver (at most capacity + partitions rows beyond one another, whatever the number of pieces).
+   partition reach the driver (at most capacity + partitions rows, whatever the number of pieces).
 3. Rounds: sizes are integers up to ``capacity``, so pieces of one length and gaps of one size are interchangeable classes.
    Going down the lengths, the pieces of a length sweep to the successor class, the smallest gaps that hold them. If more
    pieces than places meet there, the lowest ranks win; the rest go on to the next larger gaps, and at last open new sequences.
@@ -33,7 +33,8 @@ from .common import _FIRST_BYTES, _FOLD, SPACES, blocks, chunks, mix, text_bytes
 CAPACITY = 2048
 #: 2**TABLE_BITS cells of 22 bytes, half of them filled at most, for pre-tokens, and bytes of odd words that a worker keeps.
 TABLE_BITS, OTHERS = 22, 30_000_000
-#: Up to so many runs (about 40 bytes each) are looked up map-side; beyond, Spark joins them.
+#: Up to so many runs (about 40 bytes each) are looked up map-side, which is all that a capacity up to 8192 can have; beyond,
+#: Spark joins them.
 BROADCAST_RUNS = 500_000
 #: Ranks of one block in that join.
 BLOCK = 4096
@@ -255,10 +256,16 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
     return with_text(docs).mapInArrow(run, PIECES)
 
 
+def most_runs(capacity: int) -> int:
+    return 3 * capacity * (capacity.bit_length() + 2)
+
+
 def rounds(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     """Runs (length, first rank, first sequence, pieces a sequence, first offset), given the number of pieces of each length.
 
-    gaps: by size, runs of sequences (first, how many) filled alike.
+    gaps: by size, runs of sequences (first, how many) filled alike. A length uses up gap runs whole, but for the last one, which
+    leaves three runs at most; and a gap run that a length uses up is less than half as large after it. So there are no more than
+    3 * capacity * (log2(capacity) + 2) runs, however many pieces: :func:`most_runs`.
     """
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)
     sizes: list[int] = []

@@ -172,7 +172,12 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text isn't predicted toxic; one narrow pass, no shuffle."""
+    """The rows of ``docs``, with all their columns, whose text isn't predicted toxic; one narrow pass, no shuffle.
+
+    A lexicon without terms, learned from labels of one kind, can't tell texts apart and rejects none.
+    """
+    if not lexicon.weights:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,17 @@ def test_rounds_decide_as_best_fit(seed):
     assert max(fill.values()) <= 100 and len(fill) == best_fit_decreasing(lengths.tolist(), 100) and sum(fill.values()) == lengths.sum()
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_runs_are_bounded_by_the_capacity(seed):
+    """Whatever the counts: many of each length, few of each, or mixed magnitudes."""
+    rng = np.random.default_rng(seed)
+    for capacity in (64, 500, 2048):
+        lengths = rng.permutation(np.arange(1, capacity + 1))[: rng.integers(1, capacity + 1)]
+        counts = {int(x): int(n) for x, n in zip(lengths, (10 ** rng.uniform(0, 9, len(lengths))).astype(np.int64), strict=True)}
+        assert len(packing.rounds(counts, capacity)) <= packing.most_runs(capacity)
+    assert packing.most_runs(8192) <= packing.BROADCAST_RUNS
+
+
 def test_packing_odd_rows(odd, docs, file):
     rows = packing.pack(odd, file).collect()
     check_packed(rows)

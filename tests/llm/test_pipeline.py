@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from chatterflow.llm import exact_dedup, mixing, near_dedup, toxicity
 from chatterflow.llm.common import written
@@ -24,3 +26,26 @@ def test_stages_take_effect_and_chain(spark):
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in packed} == ids(kept[3][1])
     assert sum(r.piece == 0 for r in packed) == sum(times.values())
+
+
+def test_stages_on_odd_rows(spark, odd, docs, tmp_path):
+    """Nulls in all columns, null ids, repeated rows, clashing names, very long texts; and empty tables."""
+    none = odd.limit(1).select(*(F.lit(None).cast(t).alias(c) for c, t in odd.dtypes))
+    again = odd.filter("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long"))
+    rows = odd.unionByName(none).unionByName(again)
+    labels = "doc_id long, quality int, toxic int"
+    for name, table in (("odd", rows), ("empty", rows.limit(0))):
+        sf = str(tmp_path / name)
+        table.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(3, 1, None), (None, 1, 1), (4, 0, 0), (4, 0, 7), (99, 1, 1)] if name == "odd" else [], labels).write.parquet(f"{sf}/labels.parquet")
+        step, sizes = spark.read.parquet(f"{sf}/documents.parquet"), []
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            step = written(f(spark, step, sf))
+            assert step.columns == rows.columns, stage
+            sizes.append(step.count())
+        packed = corpus_pipeline.run(spark, sf).collect()
+        if name == "empty":
+            assert sizes == [0] * 4 and packed == []
+        else:
+            # of seven texts, each twice, and a null one and a copy with null ids: null, "" and blanks are two groups
+            assert sizes[0] >= 12 and 4 <= sizes[1] <= 6 and sizes[2] == sizes[1] and packed
