@@ -17,23 +17,23 @@ def clamp(x: Column, low: float = 0, high: float = 100) -> Column:
 
 
 def at_least(x: Column, low: float) -> Column:
-    return F.when(x > low, x).otherwise(F.lit(low))
+    return F.greatest(x, F.lit(low))
 
 
 def at_most(x: Column, high: float) -> Column:
-    return F.when(x < high, x).otherwise(F.lit(high))
+    return F.least(x, F.lit(high))
 
 
-def specificity(text: Column, terms: Iterable[str] = lex.FINANCE_TERMS) -> Column:
-    """SC3: finance terms, two points for a digit, one for a link; 0 to 10."""
-    low = F.lower(T.empty_if_null(text))
+def specificity(text: Column, terms: Iterable[str] = lex.FINANCE_TERMS, lowered: bool = False) -> Column:
+    """SC3: finance terms, two points for a digit, one for a link; 0 to 10. ``lowered``: the text is in lower case already."""
+    low = text if lowered else F.lower(T.empty_if_null(text))
     points = T.hits(low, terms) + F.when(T.has_digit(low), 2).otherwise(0) + F.when(T.has_link(low), 1).otherwise(0)
     return F.least(points, F.lit(10)).cast("long")
 
 
-def repetition(text: Column, phrases: Iterable[str] = lex.REPETITION_PHRASES) -> Column:
-    """SC4: runs of a repeated word, stock phrases, and words in capitals; 0 to 10."""
-    low = F.lower(T.empty_if_null(text))
+def repetition(text: Column, phrases: Iterable[str] = lex.REPETITION_PHRASES, lowered: Column | None = None) -> Column:
+    """SC4: runs of a repeated word, stock phrases, and words in capitals; 0 to 10. ``lowered``: the text in lower case, if a column has it."""
+    low = F.lower(T.empty_if_null(text)) if lowered is None else lowered
     runs = F.regexp_count(low, F.lit(r"(?U)\b(\w+)\b(?:\W+\1\b)+"))
     capitals = F.size(F.filter(F.split(T.empty_if_null(text), r"\s+"), lambda w: (F.length(w) > 3) & (F.upper(w) == w) & (F.lower(w) != w)))
     return F.least(runs * 2 + T.hits(low, phrases) * 3 + F.least(capitals, F.lit(3)), F.lit(10)).cast("long")
@@ -43,10 +43,13 @@ def alpha(
     title: Column, body: Column, score: Column, depth: Column, quality: Column, confidence: Column, claim: Column, hype: Column,
     bear_case: Column, red_flags: Column, summary: Column,
     hype_terms=lex.HYPE_TERMS, specific_terms=lex.SPECIFICITY_TERMS, risk_terms=lex.RISK_TERMS, unproven_terms=lex.NO_EVIDENCE_TERMS,
-    summary_terms=lex.SUMMARY_TERMS,
+    summary_terms=lex.SUMMARY_TERMS, lowered: Column | None = None,
 ) -> Column:
-    """SC1: an item's signal, from its reception, the classifier's view of it, and what its words show. ``red_flags``: their number."""
-    low = F.lower(F.concat_ws(" ", T.empty_if_null(title), T.empty_if_null(body)))
+    """SC1: an item's signal, from its reception, the classifier's view of it, and what its words show. ``red_flags``: their number.
+
+    ``lowered``: a column that has title and body in lower case, so that they aren't lowered for every term.
+    """
+    low = F.lower(F.concat_ws(" ", T.empty_if_null(title), T.empty_if_null(body))) if lowered is None else lowered
     hyped, specific, risky, unproven = (T.hits(low, t) for t in (hype_terms, specific_terms, risk_terms, unproven_terms))
     weight = F.lit(lex.QUALITY_WEIGHTS["low"])
     for name, points in lex.QUALITY_WEIGHTS.items():

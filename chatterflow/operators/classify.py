@@ -30,8 +30,10 @@ def fallback(
 ) -> DataFrame:
     """DF2: sentiment by term counts. Needs thread_title, body_text, tickers, company_names."""
     title, body = T.empty_if_null(F.col("thread_title")), T.empty_if_null(F.col("body_text"))
-    low = F.lower(F.trim(F.concat_ws(" ", title, body)))
-    counted = items.withColumns({"_bull": T.hits(low, bullish), "_bear": T.hits(low, bearish), "_hype": T.hits(low, hype), "_spec": S.specificity(low, finance), "_rep": S.repetition(low)})
+    # a column of its own: lowered once, not for every term
+    low = F.col("_low")
+    counted = items.withColumn("_low", F.lower(F.trim(F.concat_ws(" ", title, body))))
+    counted = counted.withColumns({"_bull": T.hits(low, bullish), "_bear": T.hits(low, bearish), "_hype": T.hits(low, hype), "_spec": S.specificity(low, finance, True), "_rep": S.repetition(low, lowered=low)})
     known = (F.size(F.coalesce("tickers", F.array())) > 0) | (F.size(F.coalesce("company_names", F.array())) > 0)
     bull, bear, hyped, spec = F.col("_bull"), F.col("_bear"), F.col("_hype"), F.col("_spec")
     sentiment = F.when(~known, "irrelevant").when(bull > bear, "bullish").when(bear > bull, "bearish").otherwise("neutral")
@@ -54,7 +56,7 @@ def fallback(
             "bull_case": F.when(known & (bull > 0), BULL_CASE).otherwise(""), "bear_case": F.when(known & (bear > 0), BEAR_CASE).otherwise(""),
             "classifier_mode": F.lit("fallback"),
         }
-    ).drop("_bull", "_bear", "_hype", "_spec", "_rep")
+    ).drop("_bull", "_bear", "_hype", "_spec", "_rep", "_low")
 
 
 def with_scores(classified: DataFrame) -> DataFrame:

@@ -93,10 +93,10 @@ def fallback_classify(spark, sf):
 @query
 def alpha_score(spark, sf):
     """SC1, SC2, on the fallback's view of the documents."""
-    c = classify.fallback(with_symbols(A.items(spark, sf)), BULLISH, BEARISH, HYPE, FINANCE)
+    c = classify.fallback(with_symbols(A.items(spark, sf)), BULLISH, BEARISH, HYPE, FINANCE).withColumn("_low", F.lower(F.concat_ws(" ", "thread_title", "body_text")))
     alpha = S.alpha(
         F.col("thread_title"), F.col("body_text"), F.col("score"), F.col("depth_score"), F.col("evidence_quality"), F.col("confidence"), F.col("claim_specificity_score"), F.col("hype_score"),
-        F.col("bear_case"), F.size("red_flags"), F.lit(""), HYPE, FINANCE, BEARISH, ("clown",),
+        F.col("bear_case"), F.size("red_flags"), F.lit(""), HYPE, FINANCE, BEARISH, ("clown",), lowered=F.col("_low"),
     )
     return c.select("item_id", alpha.alias("alpha_signal_score"), S.hype_adjusted(alpha, F.col("hype_score"), F.lit(1)).alias("hype_adjusted_signal_score"))
 
