@@ -39,6 +39,22 @@ def repetition(text: Column, phrases: Iterable[str] = lex.REPETITION_PHRASES, lo
     return F.least(runs * 2 + T.hits(low, phrases) * 3 + F.least(capitals, F.lit(3)), F.lit(10)).cast("long")
 
 
+def coerce_score(value: Column, derived: Column) -> Column:
+    """SC5: a given value, clamped to 0 to 10 and cut to a whole number, a given 0 included; else the derived one."""
+    given = F.trim(value.cast("string")).try_cast("double")
+    return F.coalesce(F.floor(clamp(given, 0.0, 10.0)).cast("long"), derived)
+
+
+def coerce_bool(value: Column) -> Column:
+    """NUM4: what a loose answer means by true."""
+    return F.coalesce(F.lower(F.trim(value)).isin("true", "1", "yes"), F.lit(False))
+
+
+def lenient_time(value: Column) -> Column:
+    """DT4: a date is its midnight in UTC; anything that is no time is null."""
+    return F.trim(value.cast("string")).try_cast("timestamp")
+
+
 def alpha(
     title: Column, body: Column, score: Column, depth: Column, quality: Column, confidence: Column, claim: Column, hype: Column,
     bear_case: Column, red_flags: Column, summary: Column,
@@ -178,6 +194,15 @@ def evidence(p: Column) -> Column:
     )
 
 
+def market_freshness(latest: Column, missing: Column, now: Column) -> Column:
+    """SC24: what the newest outcome's age, and missing ones, say of the market cache."""
+    hours = F.greatest((F.unix_micros(now) - F.unix_micros(latest)) / 3.6e9, F.lit(0.0))
+    return (
+        F.when(latest.isNull(), "Market cache needs refresh").when((hours <= 24) & ~missing, "Market cache fresh")
+        .when(hours <= 72, "Market cache partial").otherwise("Market cache needs refresh")
+    )
+
+
 def trust(mode: Column, confidence: Column, quality: Column, hype: Column) -> Column:
     """SC17."""
     return (

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lex
 
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&amp;": "&"}
+#: Characters of named entities, and of the numbers that browsers read as Windows-1252, by their hexadecimal digits.
+_NAMED = {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
+_NUMBERED = {f"{i:X}": bytes([i]).decode("cp1252", "replace") for i in range(128, 160)}
 
 
 def empty_if_null(text: Column) -> Column:
@@ -72,14 +76,33 @@ def aliases(text: Column, lookup: Mapping[str, str]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
 
 
+def unescape(text: Column) -> Column:
+    """Named and numeric entities that end with a semicolon become their characters; each distinct one is replaced once.
+
+    The ampersand's own entity comes last, so that what it uncovers isn't decoded again.
+    """
+    entity = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+    table = lambda of: F.from_json(F.lit(json.dumps(of)), "map<string,string>")
+
+    def char(e: Column) -> Column:
+        digits = F.regexp_extract(e, "^&#[xX]?([0-9a-fA-F]+);", 1)
+        code = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 16)).otherwise(F.conv(digits, 10, 16))
+        n = F.conv(code, 16, 10).cast("long")
+        odd = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        number = F.when(odd, "\ufffd").when(n.between(128, 159), F.element_at(table(_NUMBERED), code)).otherwise(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+        return F.when(e.startswith("&#"), number).otherwise(F.coalesce(F.element_at(table(_NAMED), e), e))
+
+    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(entity), F.lit(0))), lambda e: e != "&amp;")
+    decoded = F.replace(F.aggregate(found, text, lambda kept, e: F.replace(kept, e, char(e))), F.lit("&amp;"), F.lit("&"))
+    return F.when(text.contains("&"), decoded).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
     """Without comments and tags, entities decoded, white space collapsed (STR8)."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?i)</p\s*>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", " ")
-    for entity, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescape(out), r"[\s\x{a0}]+", " "))
 
 
 def author(name: Column) -> Column:
@@ -139,6 +162,7 @@ def _texts_if(*rules: tuple[Column, str]) -> Column:
 
 def claims_to_verify(text: Column) -> Column:
     """Up to three checks by keyword, else a general one for any text (STR17)."""
+    # The checks.
     low = F.lower(empty_if_null(text))
     found = _texts_if(
         (low.contains("revenue"), "Verify the revenue claim against recent company filings."),
@@ -151,6 +175,7 @@ def claims_to_verify(text: Column) -> Column:
 
 
 def catalysts(text: Column) -> Column:
+    # The labels.
     low = F.lower(empty_if_null(text))
     return _texts_if(
         (low.contains("contract") | low.contains("customer"), "Customer or contract wins"),

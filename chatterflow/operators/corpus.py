@@ -108,11 +108,18 @@ def compare(now: DataFrame, before: DataFrame, metrics: list[str], key: str = "t
     return out
 
 
+#: Times that a dense grid may have: a century of days.
+CALENDAR = 36_525
+
+
 def dense(buckets: DataFrame, keys: str, time: str, values: list[str]) -> DataFrame:
     """JN20: every key at every time, missing values as zero.
 
-    The times (weeks) are few and put into one array per key, so no join without a key is needed.
+    The times (weeks, days) are put into one array per key, so no join without a key is needed; there may be ``CALENDAR`` at most.
     """
+    known = buckets.select(time).distinct().limit(CALENDAR + 1).count()
+    if known > CALENDAR:
+        raise ValueError(f"a calendar of more than {CALENDAR} times")
     times = buckets.agg(F.array_sort(F.collect_set(time)).alias("_times"))
     grid = buckets.select(keys).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(times.withColumn("_one", F.lit(1))), "_one").select(keys, F.explode("_times").alias(time))
     return grid.join(buckets.groupBy(keys, time).agg(*(F.sum(v).alias(v) for v in values)), [keys, time], "left").fillna(0, values)

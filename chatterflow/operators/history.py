@@ -1,4 +1,4 @@
-"""Runs, their history and the corpus over all of them (JN1-3, JN25, FLT1, FLT12, FLT15, DT7, AGG9, AGG12, AGG21, AGG26, WIN19-20, WIN22, DF6)."""
+"""Runs, their history and the corpus over all of them (JN1-3, JN25, FLT1, FLT5-6, FLT12, FLT15, PRJ4, TOP13, JN6, DT7, AGG9, AGG12, AGG21, AGG26, WIN19-20, WIN22, DF6)."""
 
 from __future__ import annotations
 
@@ -123,3 +123,49 @@ def corpus_frames(mentions: DataFrame, runs: DataFrame, classifications: DataFra
         F.min("created_date").alias("first_seen_date"), F.max("created_date").alias("most_recent_seen_date"),
     )
     return {"mentions": flagged, "summary": summary, "buckets": M.time_buckets(flagged), "run_summary": M.run_summary(flagged, summary), "counts": counts, "raw": raw}
+
+
+#: Days that a label of a range stands for.
+RANGES = {"Last 7 days": 7, "Last 30 days": 30, "Last 90 days": 90, "Last 6 months": 183, "Last 1 year": 365}
+
+
+def date_bounds(rows: DataFrame, day: str, label: str, by: list[str]) -> DataFrame:
+    """FLT5: first and last day of a labelled range, within the days that each key has."""
+    out = rows.groupBy(*by).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
+    start = F.col("_first") if label == "All available" else F.greatest(F.date_sub("_last", RANGES.get(label, 30)), F.col("_first"))
+    return out.select(*by, start.alias("start_day"), F.col("_last").alias("end_day"))
+
+
+def run_windows(runs: DataFrame, anchor: str = "started_at") -> DataFrame:
+    """FLT6: the window since the run completed before over the same sources, or else the last seven days to the anchor's midnight."""
+    w = Window.partitionBy(F.array_join(F.array_sort("source_ids"), ",")).orderBy("started_at", "analysis_run_id")
+    before = F.last(F.when(F.col("status") == "completed", F.col("completed_at")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    at, second = F.date_trunc("second", anchor), F.make_dt_interval(secs=F.lit(1))
+    rows = runs.withColumn("_b", before)
+    since = F.when(F.col("_b") >= F.col(anchor), F.date_trunc("day", anchor)).otherwise(F.date_trunc("second", F.col("_b") + second))
+    end = F.date_trunc("day", anchor) + F.make_dt_interval(F.lit(1)) - second
+    week = F.date_trunc("day", end - F.make_dt_interval(F.lit(6)))
+    return rows.select("analysis_run_id", F.coalesce(since, week).alias("window_start"), F.when(F.col("_b").isNull(), end).otherwise(at).alias("window_end"))
+
+
+def run_labels(runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """PRJ4: a run's source names, those unknown by number, and a short label. ``sources``: source_id, source_name."""
+    ids = runs.select("analysis_run_id", F.posexplode_outer(F.array_sort("source_ids")).alias("_p", "source_id"))
+    named = ids.join(sources, "source_id", "left").withColumn("name", F.coalesce("source_name", F.concat(F.lit("source:"), F.col("source_id").cast("string"))))
+    lists = named.groupBy("analysis_run_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("source_id").isNotNull(), F.struct("_p", "name")))), lambda r: r["name"]).alias("names"))
+    label = F.when(F.size("names") == 0, "No sources").when(F.size("names") == 1, F.col("names")[0]).otherwise(F.concat(F.col("names")[0], F.lit(" +"), (F.size("names") - 1).cast("string")))
+    return lists.select("analysis_run_id", F.when(F.size("names") > 0, F.array_join("names", ", ")).otherwise("No sources").alias("source_names"), label.alias("source_label"))
+
+
+def timeline(runs: DataFrame, n: int = 12) -> DataFrame:
+    """TOP13: the newest completed runs with the length of their window."""
+    seconds = F.greatest(F.unix_seconds("completed_at") - F.unix_seconds("started_at"), F.lit(0))
+    days, hours = F.round(seconds / 86400).cast("long"), F.greatest(F.round(seconds / 3600), F.lit(1)).cast("long")
+    period = F.when(seconds >= 86400, F.concat(days.cast("string"), F.lit("d"))).otherwise(F.concat(hours.cast("string"), F.lit("h")))
+    return completed(runs).orderBy(F.desc("completed_at"), "analysis_run_id").limit(n).select("analysis_run_id", F.col("completed_at").cast("date").alias("day"), period.alias("period"))
+
+
+def with_quality(mentions: DataFrame, quality: DataFrame) -> DataFrame:
+    """JN6: mentions with the classifier's mode of their item, unknown where it has none, and what that makes them worth."""
+    out = mentions.drop("classifier_mode").join(quality.select("item_id", "classifier_mode"), "item_id", "left").withColumn("classifier_mode", F.coalesce("classifier_mode", F.lit("unknown")))
+    return out.withColumn("trust_status", S.trust(F.col("classifier_mode"), F.col("confidence"), F.col("evidence_quality"), F.col("hype_score")))

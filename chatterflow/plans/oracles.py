@@ -110,9 +110,9 @@ ORACLES: dict[str, str] = {
     "mention_explode": f"""WITH {_CLASS} SELECT item_id, unnest(symbols) AS ticker, 'Unknown' AS company_name, substr(sha1(author), 1, 12) AS author_hash,
         CASE sentiment WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 WHEN 'neutral' THEN 0 END::DOUBLE AS sentiment_numeric,
         CASE evidence_quality WHEN 'medium' THEN 2 ELSE 1 END::INTEGER AS evidence_quality_numeric, length(text) AS text_length, DATE '2024-01-01' AS time_bucket FROM c3""",
-    "html_to_text": """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+    "html_to_text": """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
         regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?i)</p\\s*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
-        '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""",
+        '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""",
     "json_extract": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "excerpt": f"SELECT doc_id AS item_id, CASE WHEN length({_FLAT}) <= 60 THEN {_FLAT} ELSE rtrim(substr({_FLAT}, 1, 57)) || '...' END AS excerpt FROM documents",
     "claims": """WITH c AS (SELECT *, lower(coalesce(text, '')) AS low FROM conversations), f AS (SELECT *, list_filter([
@@ -497,6 +497,27 @@ ORACLES |= {
 }
 
 
+ORACLES |= {
+    "coercions": """WITH o AS (SELECT *, substr(o_orderpriority, 1, 1) AS loose FROM orders)
+        SELECT o_orderkey, loose = '1' AS flag, CASE o_orderstatus WHEN 'P' THEN 4 WHEN 'F' THEN CAST(loose AS BIGINT) ELSE 10 END::BIGINT AS score,
+            CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate::DATE, '%Y-%m-%d 00:00:00') END AS at FROM o""",
+    "date_bounds": f"WITH {_M} SELECT ticker, greatest(max(created_date) - 7, min(created_date)) AS start_day, max(created_date) AS end_day FROM m GROUP BY 1",
+    "run_windows": f"""WITH {_M}, {_RUNS}, p AS (SELECT *, (SELECT max(q.wk) FROM runs q WHERE q.wk < r.wk AND q.status = 'completed' AND q.source_set = r.source_set) AS prev FROM runs r)
+        SELECT analysis_run_id, CASE WHEN prev IS NULL THEN strftime(wk - 6, '%Y-%m-%d 00:00:00') ELSE strftime(prev::TIMESTAMP + INTERVAL 6 DAY + INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') END AS window_start,
+            CASE WHEN prev IS NULL THEN strftime(wk, '%Y-%m-%d 23:59:59') ELSE strftime(wk, '%Y-%m-%d 00:00:00') END AS window_end FROM p""",
+    "run_labels": f"""WITH {_M}, {_RUNS}, s AS (SELECT DISTINCT wk, CAST(substr(source_name, 2) AS INTEGER) AS id FROM m), n AS (SELECT wk, id, coalesce(lower(r_name), 'source:' || id) AS name FROM s LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON r_regionkey = id)
+        SELECT 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, string_agg(name, ', ' ORDER BY id) AS source_names, arg_min(name, id) || CASE WHEN count(*) > 1 THEN ' +' || (count(*) - 1) ELSE '' END AS source_label FROM n GROUP BY wk""",
+    "run_timeline": f"WITH {_M}, {_RUNS} SELECT analysis_run_id, wk + 6 AS day, '6d' AS period FROM runs WHERE status = 'completed' ORDER BY wk DESC LIMIT 12",
+    "quality_columns": f"""WITH {_M}, q AS (SELECT *, CASE WHEN depth >= 2 THEN CASE WHEN mode = 'model' THEN 'ollama' ELSE 'fallback' END ELSE 'unknown' END AS k FROM m)
+        SELECT item_id, ticker, k AS classifier_mode, CASE WHEN k = 'fallback' THEN 'Fallback' WHEN confidence >= 0.7 AND quality <> 'low' AND hype <= 6 THEN 'Strong' WHEN confidence < 0.35 OR quality = 'low' THEN 'Review' ELSE 'Standard' END AS trust_status FROM q""",
+    "top_posts": f"WITH {_M} SELECT ticker, item_id, row_number() OVER (PARTITION BY ticker ORDER BY alpha DESC, confidence DESC, created_time DESC, item_id) AS place FROM m QUALIFY place <= 8",
+    "market_freshness": f"""WITH {_BARS}, {_EVENTS}, {_calendar("sig", "signal_id", "signal_day", "bars", (7,))}, p AS (SELECT ticker, max(signal_day) FILTER (return_7d IS NOT NULL) AS latest, bool_or(return_7d IS NULL) AS missing FROM cal GROUP BY 1),
+        a AS (SELECT *, greatest(epoch(TIMESTAMP '2024-01-26') - epoch(latest::TIMESTAMP), 0) / 3600 AS hours FROM p)
+        SELECT ticker, CASE WHEN latest IS NULL THEN 'Market cache needs refresh' WHEN hours <= 24 AND NOT missing THEN 'Market cache fresh' WHEN hours <= 72 THEN 'Market cache partial' ELSE 'Market cache needs refresh' END AS status FROM a""",
+    "correlation_fetch_plan": f"""WITH {_EVENTS}, e AS (SELECT ticker, signal_day FROM sig UNION ALL SELECT 'SPY', signal_day FROM sig) SELECT ticker, min(signal_day) - 20 AS first_day, max(signal_day) + 55 AS last_day FROM e GROUP BY 1""",
+}
+
+
 def _with_text_dates(name: str) -> str:
     """Days as text, as in the queries."""
     days = Q.DAYS.get(name, ())

@@ -32,7 +32,7 @@ DAYS: dict[str, tuple[str, ...]] = {
     "spike_notes": ("time_bucket",), "dense_grid": ("time_bucket",), "daily_bars": ("date",), "long_bars": ("date",), "asof_forward": ("day", "price_date"), "asof_calendar": ("day",),
     "horizon_outcomes": ("date",), "volume_baseline": ("date",), "path_metrics": ("day",), "fetch_plan": ("first_day", "last_day"), "correlation_dataset": ("bucket_start", "price_date"),
     "dataset_diagnostics": ("date_start", "date_end"), "rolling_corr": ("bucket_start",), "zscore_overlay": ("bucket_start",), "market_outcomes": ("signal_day",),
-    "bucket_sentiment": ("bucket_start",), "rolling_corr_by_ticker": ("bucket_start",), "benchmark_outcomes": ("signal_day",), "corpus_counts": ("first_seen_date", "most_recent_seen_date"),
+    "bucket_sentiment": ("bucket_start",), "rolling_corr_by_ticker": ("bucket_start",), "benchmark_outcomes": ("signal_day",), "corpus_counts": ("first_seen_date", "most_recent_seen_date"), "date_bounds": ("start_day", "end_day"), "run_timeline": ("day",), "correlation_fetch_plan": ("first_day", "last_day"),
     **{f"signal_buckets_{p}": ("bucket_start",) for p in ("daily", "weekly", "monthly", "run")},
 }
 
@@ -835,3 +835,67 @@ def box_quartiles(spark, sf):
 def evidence_labels(spark, sf):
     """SC21: what each cell's p-value says."""
     return _grid(spark, sf).select("signal", "outcome", S.evidence(F.col("p_value")).alias("evidence"))
+
+
+@query
+def coercions(spark, sf):
+    """SC5, NUM4, DT4: loose values of orders."""
+    o = A.table(spark, sf, "orders").withColumn("loose", F.substring("o_orderpriority", 1, 1))
+    at = S.lenient_time(F.when(F.col("o_orderkey") % 3 == 0, F.lit("no day")).otherwise(F.substring(F.col("o_orderdate").cast("string"), 1, 10)))
+    given = F.when(F.col("o_orderstatus") == "P", "none").when(F.col("o_orderstatus") == "F", F.concat("loose", F.lit(".7"))).otherwise(F.concat("loose", F.lit("7")))
+    return o.select("o_orderkey", S.coerce_bool(F.col("loose")).alias("flag"), S.coerce_score(given, F.lit(4).cast("long")).alias("score"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query
+def date_bounds(spark, sf):
+    """FLT5."""
+    return history.date_bounds(A.mentions(spark, sf), "created_date", "Last 7 days", ["ticker"])
+
+
+@query
+def run_windows(spark, sf):
+    """FLT6."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return history.run_windows(A.runs(spark, sf)).select("analysis_run_id", text("window_start"), text("window_end"))
+
+
+@query
+def run_labels(spark, sf):
+    """PRJ4: of five sources three are named."""
+    names = A.table(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("source_id"), F.lower("r_name").alias("source_name")).filter("source_id < 3")
+    return history.run_labels(A.runs(spark, sf), names)
+
+
+@query
+def run_timeline(spark, sf):
+    """TOP13."""
+    return history.timeline(A.runs(spark, sf))
+
+
+@query
+def quality_columns(spark, sf):
+    """JN6."""
+    quality = A.classifications(spark, sf).groupBy("item_id").agg(F.min("classifier_mode").alias("classifier_mode"))
+    return history.with_quality(A.mentions(spark, sf), quality).select("item_id", "ticker", "classifier_mode", "trust_status")
+
+
+@query
+def top_posts(spark, sf):
+    """TOP16."""
+    return signals.top_evidence(A.mentions(spark, sf), 8).select("ticker", "item_id", "place")
+
+
+@query
+def market_freshness(spark, sf):
+    """SC24: by ticker, as of the end of January."""
+    out = prices.calendar_returns(A.signal_events(spark, sf), A.bars(spark, sf), "signal_id", "signal_day", (7,))
+    per = out.groupBy("ticker").agg(F.max(F.when(F.col("return_7d").isNotNull(), F.col("signal_day"))).cast("timestamp").alias("latest"), F.bool_or(F.col("return_7d").isNull()).alias("missing"))
+    return per.select("ticker", S.market_freshness(F.col("latest"), F.col("missing"), F.lit("2024-01-26").cast("timestamp")).alias("status"))
+
+
+@query
+def correlation_fetch_plan(spark, sf):
+    """SRC18: bars that the correlation dataset needs, with the benchmark's."""
+    e = A.signal_events(spark, sf).select("ticker", "signal_day")
+    every = e.unionByName(e.withColumn("ticker", F.lit("SPY")))
+    return prices.fetch_plan(every, "signal_day", 20, 55)

@@ -52,3 +52,14 @@ def test_scores_stay_in_bounds(spark):
         S.emerging(a, b, a, b, b, b, b, b, n > 5, n > 7, n, n, n).alias("e"),
     ).agg(*(f(c) for c in "hxe" for f in (F.min, F.max))).first()
     assert all(0 <= v <= 100 for v in out)
+
+
+def test_entities_equal_the_library(spark):
+    import html
+
+    from chatterflow.functions import text as T
+
+    texts = ["a &amp;lt; b", "&lt;&gt;&quot;&#39;&#x27;&apos;", "&#8364; &#x1F642; &euro; &hellip; &nosuch; &eacute;", "&amp;#65; &#65; &amp;amp;", "&#0; &#55555; &#150; &#9999999;", "no entity", "&", "&&amp;&", "&NotEqualTilde; &ngE;", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", T.unescape(F.col("t")).alias("u")).collect()}
+    assert got == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
