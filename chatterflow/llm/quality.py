@@ -5,7 +5,8 @@ equal to an earlier line. A text whose covered share passes the limit of any len
 for only where a shorter one repeats, since a repeated 5-gram begins with a repeated 3-gram; clean texts cost one sort.
 
 Null and empty texts have no words and fail the base rule (fewer than 50 words). A very long text is one chunk of its own,
-with memory in proportion to it. Repeated rows and ids are judged each on their own; an empty table gives an empty result;
+with memory in proportion to it. Ties don't matter: all occurrences of a repeated n-gram count, and of equal lines all but the
+first. Repeated rows and ids are judged each on their own; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, sums_per, text_bytes, windows, with_text, words
+from .common import _IS_SPACE, chunks, hash_runs, sums_per, text_bytes, windows, with_text, words
 
 #: Largest share of word characters inside repeated n-grams, by n-gram length, and inside repeated lines.
 LIMITS = {5: 0.15, 7: 0.13, 10: 0.10}
@@ -67,17 +68,23 @@ def covered(hashes: np.ndarray, doc_of: np.ndarray, n: int, among: np.ndarray |
     return mask, starts
 
 
-def _line_counts(text: str) -> tuple[int, int]:
-    """Lines with a word that equal an earlier line, and their characters inside words."""
-    seen, lines, chars = set(), 0, 0
-    for line in text.split("\n"):
-        if line.strip(" \t\x0b\x0c\r"):
-            if line in seen:
-                lines += 1
-                chars += sum(map(len, line.replace("\t", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ")))
-            else:
-                seen.add(line)
-    return lines, chars
+def repeated_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each document its lines with a word that equal an earlier line, by their hash, and the characters of their words."""
+    breaks, full = np.flatnonzero(data == 10), np.diff(off) > 0
+    starts = np.unique(np.concatenate((off[:-1][full], breaks + 1)))
+    starts = starts[starts < len(data)]
+    doc = np.searchsorted(off, starts, "right") - 1
+    ends = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, starts)], off[doc + 1])
+    inside = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~_IS_SPACE[data] & _LEAD[data], out=inside[1:])
+    chars = inside[ends] - inside[starts]
+    some = np.flatnonzero(chars)
+    starts, ends, doc, chars = starts[some], ends[some], doc[some], chars[some]
+    keys = hash_runs(data, starts, ends) + doc.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    again = np.ones(len(keys), bool)
+    again[np.unique(keys, return_index=True)[1]] = False
+    n = len(off) - 1
+    return np.bincount(doc[again], minlength=n), np.bincount(doc[again], chars[again], n).astype(np.int64)
 
 
 def measure(ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -97,15 +104,12 @@ def measure(ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         for n in LIMITS:
             mask, at = covered(hashes, doc_of, n, at)
             dup[n] = sums_per(length * mask, word_off)
-        lines = np.zeros((b - a, 2), np.int64)
-        breaks = sums_per(data == 10, off)
-        for i in np.flatnonzero(breaks):
-            lines[i] = _line_counts(texts[a + int(i)].as_py())
+        n_lines, line_chars = repeated_lines(data, off)
         failed = (n_words < MIN_WORDS) | (100 * n_repeat > 50 * n_words)
-        over = lines[:, 1] > LINE_LIMIT * word_chars
+        over = line_chars > LINE_LIMIT * word_chars
         for n, limit in LIMITS.items():
             over |= dup[n] > limit * word_chars
-        columns = [n_words, word_chars, sums_per(_SYMBOL[data], off), lines[:, 0], n_repeat, failed, ~failed & ~over, *dup.values(), lines[:, 1]]
+        columns = [n_words, word_chars, sums_per(_SYMBOL[data], off), n_lines, n_repeat, failed, ~failed & ~over, *dup.values(), line_chars]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         yield pa.RecordBatch.from_arrays([ids[a:b], *map(pa.array, columns)], names=names)
 
