@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
+from ..sources.storage import written
+from .ranges import running
 
 
 def daily_bars(ticks: DataFrame, ticker: Column, ts: Column, value: Column, tie: Column) -> DataFrame:
@@ -53,44 +55,93 @@ def with_outcomes(prices: DataFrame, horizons: dict[str, int] = lex.ROW_HORIZONS
 
 
 def asof_forward(events: DataFrame, prices: DataFrame, day: str, keep: list[str]) -> DataFrame:
-    """JN12: each event with the first bar of its ticker on or after its day, or nulls.
+    """JN12: each event with the first bar of its ticker on or after its day, or nulls; a null day has none.
 
-    Union and one window per ticker, ordered by day with events before bars: a sort, whatever the number of bars per event,
-    and a hot ticker costs memory for one row at a time only (the frame runs backwards from the end).
+    Events and bars in one order, latest first and bars before events, in which each event takes the last bar seen. Ranges of
+    that order carry their last bar into the next one, so a ticker's or a day's events are spread over many tasks.
     """
     bars = prices.select("ticker", F.col("date").alias("_day"), F.lit(1).alias("_bar"), F.struct("date", *keep).alias("_p"))
-    rows = events.withColumn("_day", F.col(day)).withColumn("_bar", F.lit(0))
+    apart = [F.col(f.name) for f in events.schema if f.dataType.typeName() not in ("map", "variant")]
+    rows = events.withColumns({"_day": F.col(day), "_bar": F.lit(0), "_h": F.xxhash64(*apart)})
     both = rows.unionByName(bars, allowMissingColumns=True)
-    w = Window.partitionBy("ticker").orderBy(F.desc("_day"), F.desc("_bar")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_p", F.last("_p", ignorenulls=True).over(w)).filter("_bar = 0")
-    return found.select(*events.columns, F.col("_p.date").alias("price_date"), *(F.col(f"_p.{k}").alias(k) for k in keep))
+    found = running(both, ["ticker"], [F.desc("_day"), F.desc("_bar"), "_h"], {"_p": ("last", "_p")}).filter("_bar = 0")
+    bar = F.when(F.col("_day").isNotNull(), F.col("_p"))
+    return found.select(*events.columns, bar.getField("date").alias("price_date"), *(bar.getField(k).alias(k) for k in keep))
+
+
+def _days(events: DataFrame, day: str) -> DataFrame:
+    """Each ticker's days once: outcomes depend on nothing else, however many events share them."""
+    return events.select("ticker", day).filter(F.col(day).isNotNull()).distinct()
+
+
+def _steps(days: DataFrame, prices: DataFrame, day: str, close: str, horizons: tuple[int, ...], more: tuple[str, ...] = ()) -> DataFrame:
+    """By ticker and day: c0, the close as of the day, and c_h as of h days later; ``more`` columns of the first bar."""
+    steps = days.withColumn("h", F.explode(F.array(F.lit(0), *map(F.lit, horizons)))).withColumn("at", F.date_add(day, F.col("h")))
+    met = asof_forward(steps, prices, "at", [close, *more])
+    of = lambda h, c: F.max(F.when(F.col("h") == h, F.col(c)))
+    return met.groupBy("ticker", day).agg(*(of(h, close).alias(f"c{h}") for h in (0, *horizons)), *(of(0, c).alias(c) for c in more))
 
 
 def calendar_returns(events: DataFrame, prices: DataFrame, key: str, day: str, horizons=lex.DAY_HORIZONS) -> DataFrame:
     """JN13: return from the bar on or after the day to the bar on or after so many days later, one column per horizon."""
-    steps = events.select(key, "ticker", day, F.explode(F.array(F.lit(0), *map(F.lit, horizons))).alias("h")).withColumn("at", F.date_add(day, F.col("h")))
-    met = asof_forward(steps, prices, "at", ["close"])
-    out = met.groupBy(key, "ticker", day).agg(*(F.max(F.when(F.col("h") == h, F.col("close"))).alias(f"c{h}") for h in (0, *horizons)))
-    return out.select(key, "ticker", day, *(F.round(F.try_divide(F.col(f"c{h}"), F.col("c0")) - 1, 6).alias(f"return_{h}d") for h in horizons))
+    found = _steps(_days(events, day), prices, day, "close", tuple(horizons))
+    returns = found.select("ticker", day, *(F.round(F.try_divide(F.col(f"c{h}"), F.col("c0")) - 1, 6).alias(f"return_{h}d") for h in horizons))
+    return events.select(key, "ticker", day).join(returns, ["ticker", day], "left").select(key, "ticker", day, *(f"return_{h}d" for h in horizons))
 
 
-def path_metrics(events: DataFrame, prices: DataFrame, key: str, day: str, windows=(7, 14, 30)) -> DataFrame:
-    """JN15, JN16: best and worst close within [day, day + n], volume within (day, day + n]; one range join at the longest window.
+def _paths(days: DataFrame, prices: DataFrame, day: str, windows: tuple[int, ...], close: str = "close") -> DataFrame:
+    """By ticker and day: best and worst close within [day, day + n], largest and mean volume within (day, day + n].
 
-    The range is cut into blocks of its own length, which join by equality.
+    The range is cut into blocks of its own length, which join by equality: a block of a ticker has as many days and bars at most.
     """
     longest = max(windows)
     block = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / longest)
-    e = events.select(key, "ticker", day).withColumn("_b", F.explode(F.array(block(F.col(day)), block(F.col(day)) + 1)))
-    p = prices.select("ticker", "date", "close", "volume").withColumn("_b", block(F.col("date")))
+    e = days.withColumn("_b", F.explode(F.array(block(F.col(day)), block(F.col(day)) + 1)))
+    p = prices.select("ticker", "date", F.col(close).alias("_close"), "volume").withColumn("_b", block(F.col("date")))
     ahead = F.datediff("date", day)
     met = e.join(p, ["ticker", "_b"]).filter(ahead.between(0, longest))
     aggs = []
     for n in windows:
         within, after = ahead <= n, ahead.between(1, n)
-        aggs += [F.max(F.when(within, F.col("close"))).alias(f"max_close_{n}d"), F.min(F.when(within, F.col("close"))).alias(f"min_close_{n}d")]
-        aggs += [F.max(F.when(after, F.col("volume"))).alias(f"max_volume_{n}d"), F.round(F.avg(F.when(after, F.col("volume"))), 4).alias(f"mean_volume_{n}d")]
-    return events.select(key, "ticker", day).join(met.groupBy(key).agg(*aggs), key, "left")
+        aggs += [F.max(F.when(within, F.col("_close"))).alias(f"max_close_{n}d"), F.min(F.when(within, F.col("_close"))).alias(f"min_close_{n}d")]
+        aggs += [F.max(F.when(after, F.col("volume"))).alias(f"max_volume_{n}d"), F.avg(F.when(after, F.col("volume"))).alias(f"mean_volume_{n}d")]
+    return met.groupBy("ticker", day).agg(*aggs)
+
+
+def path_metrics(events: DataFrame, prices: DataFrame, key: str, day: str, windows=(7, 14, 30)) -> DataFrame:
+    """JN15, JN16: best and worst close and largest and mean volume after each event; one range join at the longest window."""
+    found = _paths(_days(events, day), prices, day, tuple(windows)).withColumns({f"mean_volume_{n}d": F.round(f"mean_volume_{n}d", 4) for n in windows})
+    measures = [f"{m}_{n}d" for n in windows for m in ("max_close", "min_close", "max_volume", "mean_volume")]
+    return events.select(key, "ticker", day).join(found, ["ticker", day], "left").select(key, "ticker", day, *measures)
+
+
+def day_outcomes(days: DataFrame, prices: DataFrame, day: str, returns: tuple[int, ...], paths: tuple[int, ...], spikes: tuple[int, ...], abnormal: tuple[int, ...] = ()) -> DataFrame:
+    """By ticker and day, from the adjusted closes: the price on or after the day, returns, best gain and worst drawdown, and
+    the largest (spike) and mean (abnormal) volume after the day, each over the mean of the 20 bars before the first one.
+
+    Ratios have four digits; they are null where what they divide by is absent or 0.
+    """
+    bars = prepared(prices).withColumn("_baseline", F.avg("volume").over(by_row().rowsBetween(-20, -1)))
+    first = _steps(days, bars, day, "reference_close", returns, ("_baseline",))
+    found = first.join(_paths(days, bars, day, tuple(sorted({*paths, *spikes, *abnormal})), "reference_close"), ["ticker", day], "left")
+    change = lambda c: F.round(F.try_divide(F.col(c), F.col("c0")) - 1, 4)
+    over = lambda c: F.round(F.try_divide(F.col(c), F.col("_baseline")), 4)
+    columns = {f"return_{n}d": change(f"c{n}") for n in returns}
+    for n in paths:
+        columns |= {f"max_gain_{n}d": change(f"max_close_{n}d"), f"max_drawdown_{n}d": change(f"min_close_{n}d")}
+    columns |= {f"volume_spike_{n}d": over(f"max_volume_{n}d") for n in spikes} | {f"abnormal_volume_{n}d": over(f"mean_volume_{n}d") for n in abnormal}
+    return found.select("ticker", day, F.col("c0").alias("price_at_signal"), *(v.alias(c) for c, v in columns.items()))
+
+
+def market_outcomes(events: DataFrame, prices: DataFrame, key: str, day: str, benchmark: str, against: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """DF9: what the market did after each event, and its return over the benchmark's from the same day on."""
+    days = _days(events, day)
+    every = days.unionByName(days.select(F.lit(benchmark).alias("ticker"), day)).distinct()
+    facts = written(day_outcomes(written(every), prices, day, lex.DAY_HORIZONS, (7, 14, 30), (3, 7, 14, 30), (7, 30)))
+    marks = facts.filter(F.col("ticker") == benchmark).select(day, *(F.col(f"return_{n}d").alias(f"benchmark_return_{n}d") for n in against))
+    out = events.select(key, "ticker", day).join(facts, ["ticker", day], "left").join(marks, day, "left")
+    excess = {f"excess_return_{n}d": F.round(F.col(f"return_{n}d") - F.col(f"benchmark_return_{n}d"), 4) for n in against}
+    return out.withColumns(excess).select(key, "ticker", day, *facts.drop("ticker", day).columns, *(f"benchmark_return_{n}d" for n in against), *excess)
 
 
 def fetch_plan(events: DataFrame, day: str, back: int = 60, ahead: int = 45) -> DataFrame:

@@ -1,17 +1,16 @@
-"""Frozen signal events and their outcomes: gates, cooldown, evidence, attention, benchmarks (DF7-8, DF10-11, SC22, TOP4, TOP9, TOP11-12, FLT8, JN7, JN17-18)."""
+"""Frozen signal events: gates, evidence, random benchmarks, review (DF7, DF10, TOP4, TOP9, TOP11-12, FLT8, JN7)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import scores as S
 from ..functions import text as T
+from ..sources.storage import written
 from . import prices as P
+from .ranges import numbered, running
 
 
 def candidates(summary: DataFrame, run: str = "analysis_run_id", gates: dict = lex.GATES, manual: tuple[str, ...] = (), frozen: DataFrame | None = None) -> DataFrame:
@@ -35,33 +34,6 @@ def candidates(summary: DataFrame, run: str = "analysis_run_id", gates: dict = l
     return out.join(there, [run, "ticker"], "left").withColumn("freezes", F.col("freezes") & F.col("_there").isNull()).drop("_there")
 
 
-def cooldown(events: DataFrame, hours: int = lex.GATES["cooldown_hours"], delta: float = lex.GATES["cooldown_delta"]) -> DataFrame:
-    """DF8: an event up to ``hours`` after the ticker's last accepted one is accepted only if stronger by ``delta``.
-
-    An event of the last accepted one's run is never accepted, a manual one of another run always. A stream over the events
-    sorted by ticker, time and id, which carries only the ticker's last accepted time, strength and run. events: ticker,
-    signal_id, signal_time, strength, and analysis_run_id and manual where they are known.
-    """
-    wait = hours * 3_600_000_000
-
-    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = t = s = run = None
-        for batch in batches:
-            keep = []
-            runs, manual = (batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in ("analysis_run_id", "manual"))
-            for ticker, at, strength, new, asked in zip(*(batch.column(c).to_pylist() for c in ("ticker", "_t", "strength")), runs, manual, strict=True):
-                stronger = s is not None and strength is not None and strength >= s + delta
-                ok = ticker != of or (new is None or new != run) and (asked or t is None or at is None or at - t > wait or stronger)
-                if ok:
-                    of, t, s, run = ticker, at, strength, new
-                keep.append(bool(ok))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    rows = events.filter("ticker is not null").withColumn("_t", F.unix_micros("signal_time"))
-    ordered = rows.repartition("ticker").sortWithinPartitions("ticker", "_t", "signal_id")
-    return ordered.mapInArrow(accepted, ordered.schema).drop("_t")
-
-
 def top_evidence(mentions: DataFrame, n: int = 3) -> DataFrame:
     """TOP4."""
     order = (F.desc_nulls_last("alpha_signal_score"), F.desc_nulls_last("confidence"), F.desc_nulls_last("created_time"), "item_id")
@@ -69,87 +41,25 @@ def top_evidence(mentions: DataFrame, n: int = 3) -> DataFrame:
     return best.withColumn("excerpt", T.excerpt(F.col("body_text"))) if "body_text" in mentions.columns else best
 
 
-def attention(events: DataFrame, mentions: DataFrame, windows=lex.ATTENTION_WINDOWS) -> DataFrame:
-    """JN17, JN18, SC18: mentions of the event's ticker within each window after it, and their share of all mentions.
-
-    Nothing is paired. A mention at ``m`` counts for the events in [m - n, m), and as the first of its thread, author or source
-    for those in [max(m - n, the one before), m), so every measure is a running sum of interval edges up to the event.
-    """
-    day = 86_400_000_000
-    m = mentions.filter("created_time is not null").select("ticker", F.unix_micros("created_time").alias("m"), "thread_id", "author_hash", "source_name")
-    kinds = {"threads": "thread_id", "authors": "author_hash", "sources": "source_name"}
-    for c in kinds.values():
-        m = _with_previous(m, c)
-    zero = lambda test: F.when(test, 1).otherwise(0)
-
-    def edges(at, opened: dict):
-        return F.struct(at.alias("at"), *(opened.get(f"{k}_{n}d", F.lit(0)).cast("long").alias(f"{k}_{n}d") for n in windows for k in ("mentions", *kinds)))
-
-    before = lambda c: F.coalesce(F.col(f"_p_{c}"), F.lit(-(1 << 63)))
-    late = {n: F.col("m") - n * day for n in windows}
-    there = {k: F.col(c).isNotNull() for k, c in kinds.items()}
-    rows = [edges(F.col("m"), {f"{k}_{n}d": -zero(there.get(k, F.lit(True))) for n in windows for k in ("mentions", *kinds)})]
-    rows += [edges(late[n], {f"mentions_{n}d": F.lit(1)} | {f"{k}_{n}d": zero(there[k] & (before(c) < late[n])) for k, c in kinds.items()}) for n in windows]
-    rows += [F.when(F.col(f"_p_{c}") >= late[max(windows)], edges(F.col(f"_p_{c}"), {f"{k}_{n}d": zero(there[k] & (before(c) >= late[n])) for n in windows})) for k, c in kinds.items()]
-    own = m.select("ticker", F.explode(F.array_compact(F.array(*rows))).alias("e")).select("ticker", "e.*")
-
-    spots = [F.struct(F.col("m").alias("at"), *(F.lit(-1).cast("long").alias(f"universe_{n}d") for n in windows))]
-    spots += [F.struct(late[n].alias("at"), *(F.lit(int(n == k)).cast("long").alias(f"universe_{k}d") for k in windows)) for n in windows]
-    every = m.select(F.explode(F.array(*spots)).alias("e")).select(F.lit("").alias("_all"), "e.*")
-
-    e = events.select("signal_id", "ticker", "signal_time")
-    points = e.select("signal_id", "ticker", F.unix_micros("signal_time").alias("at"))
-    out = e.join(_running(points, own, "ticker"), "signal_id", "left").join(_running(points.withColumn("_all", F.lit("")), every, "_all"), "signal_id", "left")
-    counts = [f"{k}_{n}d" for n in windows for k in ("mentions", *kinds, "universe")]
-    return out.fillna(0, counts).withColumns(
-        {f"share_{n}d": F.round(F.coalesce(F.try_divide(F.col(f"mentions_{n}d") * 100, F.col(f"universe_{n}d")), F.lit(0.0)), 4) for n in windows}
-    ).withColumns(
-        {f"spread_{n}d": S.attention_spread(F.col(f"mentions_{n}d"), F.col(f"threads_{n}d"), F.col(f"authors_{n}d"), F.col(f"sources_{n}d"), F.col(f"share_{n}d")) for n in windows}
-    )
-
-
-def _day(t: str):
-    return F.floor(F.col(t) / 86_400_000_000)
-
-
-def _with_previous(m: DataFrame, c: str) -> DataFrame:
-    """Adds the time of the ticker's mention before with the same value: from the same day, or the last of an earlier day."""
-    keys = ["ticker", c]
-    days = m.groupBy(*keys, _day("m").alias("_d")).agg(F.max("m").alias("_last"))
-    days = days.withColumn("_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_d")))
-    same = F.lag("m").over(Window.partitionBy(*keys, "_d").orderBy("m"))
-    return m.withColumn("_d", _day("m")).withColumn("_p", same).join(days, [*keys, "_d"], "left").withColumn(f"_p_{c}", F.coalesce("_p", "_last")).drop("_d", "_p", "_last")
-
-
-def _running(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Sums of the key's edges up to each point: a running sum per day on top of the days' totals, so that no window holds a key."""
-    measures = [c for c in edges.columns if c not in (key, "at")]
-    summed = edges.groupBy(key, "at").agg(*(F.sum(c).alias(c) for c in measures)).withColumn("_e", F.lit(0))
-    both = summed.unionByName(points.select("signal_id", key, "at").withColumn("_e", F.lit(1)), allowMissingColumns=True).withColumn("_d", _day("at"))
-    w = Window.partitionBy(key, "_d").orderBy("at", "_e").rowsBetween(Window.unboundedPreceding, 0)
-    within = both.withColumns({c: F.coalesce(F.sum(c).over(w), F.lit(0)) for c in measures}).filter("_e = 1")
-    # one row per key and day
-    earlier = Window.partitionBy(key).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    days = both.groupBy(key, "_d").agg(*(F.sum(c).alias(c) for c in measures)).select(key, "_d", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_b_{c}") for c in measures))
-    return within.join(days, [key, "_d"]).select("signal_id", *((F.col(c) + F.col(f"_b_{c}")).alias(c) for c in measures))
-
-
-#: Tickers that the catalog of a random benchmark may have.
-CATALOG = 20_000
-
-
 def random_benchmark(events: DataFrame, universe: DataFrame, n: int = lex.GATES["benchmark_sample"]) -> DataFrame:
-    """TOP11: for each event the ``n`` other tickers with the smallest SHA-1 of (signal_id, ticker): a fixed random sample.
+    """TOP11: for each event ``n`` other tickers, a fixed random sample: sample_index counts them from 1.
 
-    The catalog is one array on each event, and may have ``CATALOG`` tickers at most.
+    The catalog is a ring, in the order of the tickers' SHA-1. An event enters it at the SHA-1 of its id and takes the tickers
+    that follow, passing over its own. Both are sorted together once; then an event meets n + 1 places of the ring by
+    equality, so the work is that of events x n, whatever the size of the catalog.
     """
-    known = universe.select("ticker").distinct().limit(CATALOG + 1).count()
-    if known > CATALOG:
-        raise ValueError(f"a catalog of more than {CATALOG} tickers")
-    tickers = universe.select("ticker").distinct().agg(F.array_sort(F.collect_set("ticker")).alias("_all")).withColumn("_one", F.lit(1))
-    rows = events.select("signal_id", "ticker").withColumn("_one", F.lit(1)).join(F.broadcast(tickers), "_one")
-    hashed = F.transform(F.filter("_all", lambda t: t != F.col("ticker")), lambda t: F.struct(F.sha1(F.concat("signal_id", t)).alias("h"), t.alias("t")))
-    return rows.select("signal_id", "ticker", F.explode(F.slice(F.array_sort(hashed), 1, n)).alias("b")).select("signal_id", "ticker", F.col("b.t").alias("benchmark_ticker"))
+    tickers = universe.select("ticker").filter("ticker <> ''").distinct()
+    ring = written(numbered(tickers.withColumn("_h", F.sha1("ticker")), [], ["_h", "ticker"], "_at"))
+    size = ring.count()
+    at = events.select("signal_id", "ticker").withColumns({"_h": F.sha1("signal_id"), "_mark": F.lit(0)})
+    both = at.unionByName(ring.select("_h", F.lit(1).alias("_mark")), allowMissingColumns=True)
+    entered = running(both, [], ["_h", "_mark", "signal_id"], {"_before": ("sum", "_mark")}).filter("_mark = 0")
+    places = entered.select("signal_id", "ticker", "_before", F.explode(F.sequence(F.lit(0), F.lit(min(n, size - 1)))).alias("_step")) if size else entered.select("signal_id", "ticker", "_before", F.lit(0).alias("_step"))
+    met = places.withColumn("_at", F.pmod(F.col("_before") + F.col("_step"), F.lit(max(size, 1))) + 1).join(ring.select("_at", F.col("ticker").alias("_other")), "_at")
+    # n + 1 tickers at most
+    sample = met.groupBy("signal_id", "ticker").agg(F.collect_list(F.struct("_step", "_other")).alias("_met"))
+    own = F.filter(F.array_sort("_met"), lambda x: x["_other"] != F.coalesce("ticker", F.lit("")))
+    return sample.select("signal_id", "ticker", F.posexplode(F.slice(own, 1, n)).alias("_i", "_b")).select("signal_id", "ticker", F.col("_b._other").alias("benchmark_ticker"), (F.col("_i") + 1).cast("long").alias("sample_index"))
 
 
 def benchmark_means(sample: DataFrame, returns: DataFrame, columns: list[str]) -> DataFrame:
@@ -159,39 +69,23 @@ def benchmark_means(sample: DataFrame, returns: DataFrame, columns: list[str]) -
     return met.groupBy("signal_id").agg(F.countDistinct("benchmark_ticker").alias("benchmark_count"), *(F.round(F.avg(c), 6).alias(f"benchmark_{c}") for c in columns))
 
 
-def benchmark_outcomes(events: DataFrame, prices: DataFrame, n: int = lex.GATES["benchmark_sample"], horizons=(7, 30)) -> DataFrame:
-    """DF10: returns of each event's random benchmark tickers, by calendar as-of from the event's day.
+def benchmark_outcomes(events: DataFrame, prices: DataFrame, n: int = lex.GATES["benchmark_sample"]) -> DataFrame:
+    """DF10: what the market did for each of an event's random benchmark tickers from the event's day on.
 
-    Returns depend on (ticker, day) alone, so each such pair meets the bars once, however many events share it.
+    Outcomes depend on (ticker, day) alone, so each such pair meets the bars once, however many events share it.
     """
-    sample = random_benchmark(events, prices, n).join(events.select("signal_id", "signal_day"), "signal_id").withColumnRenamed("benchmark_ticker", "_b")
-    pairs = sample.select(F.col("_b").alias("ticker"), "signal_day").distinct().withColumn("pair", F.concat_ws("|", "ticker", F.col("signal_day").cast("string")))
-    returns = P.calendar_returns(pairs, prices, "pair", "signal_day", horizons).drop("pair").withColumnRenamed("ticker", "_b")
-    return sample.join(returns, ["_b", "signal_day"], "left").withColumnRenamed("_b", "benchmark_ticker")
+    sample = written(random_benchmark(events, prices, n).join(events.select("signal_id", "signal_day"), "signal_id"))
+    days = written(sample.select(F.col("benchmark_ticker").alias("ticker"), "signal_day").distinct())
+    facts = P.day_outcomes(days, prices, "signal_day", (7, 30), (7,), (7, 30)).withColumnRenamed("ticker", "benchmark_ticker")
+    return sample.drop("ticker").join(facts, ["benchmark_ticker", "signal_day"], "left")
 
 
 def random_means(outcomes: DataFrame) -> DataFrame:
-    """AGG8: by event the number of benchmark tickers and their mean returns."""
-    columns = [c for c in outcomes.columns if c.startswith("return_")]
+    """AGG8: by event the number of benchmark tickers, their mean returns and volume spike."""
+    columns = ("return_7d", "return_30d", "volume_spike_7d")
     return outcomes.groupBy("signal_id").agg(F.countDistinct("benchmark_ticker").alias("random_sample_size"), *(F.round(F.avg(c), 6).alias(f"random_mean_{c}") for c in columns))
 
 
-def attention_reliability(events: DataFrame, runs: DataFrame, spread: DataFrame, days: int = 30) -> DataFrame:
-    """SC22, DF11: High or Medium by the average coverage of the measurement runs completed within ``days`` after the event.
-
-    Without such a run the corpus decides: Medium from two sources and two threads on, else Low. runs: completed_at and
-    coverage_reliability of canonical measurement runs; spread: signal_id, sources, threads. Coverage is a running sum over
-    the runs per day on top of earlier days, met at both ends of the window, so no event is paired with runs.
-    """
-    edge = runs.select(F.lit("").alias("_all"), F.unix_micros("completed_at").alias("at"), F.lit(1.0).alias("n"), F.coalesce("coverage_reliability", F.lit(0.0)).alias("c"))
-    ends = [_running(events.select("signal_id", F.lit("").alias("_all"), (F.unix_micros("signal_time") + F.lit(d * 86_400_000_000)).alias("at")), edge, "_all") for d in (0, days)]
-    first, last = ends[0].select("signal_id", F.col("n").alias("n0"), F.col("c").alias("c0")), ends[1]
-    n = F.col("n") - F.col("n0")
-    mean = F.when(n > 0, F.round((F.col("c") - F.col("c0")) / n, 9))
-    label = F.when(mean.isNotNull(), S.reliability_name(mean)).when((F.col("sources") >= 2) & (F.col("threads") >= 2), "Medium").otherwise("Low")
-    return events.select("signal_id").join(first, "signal_id").join(last, "signal_id").join(spread.select("signal_id", "sources", "threads"), "signal_id", "left").select("signal_id", label.alias("attention_reliability"))
-
-
 def recent_events(events: DataFrame, n: int = 8) -> DataFrame:
     """TOP12."""
     rank = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("signal_time"), F.desc("signal_id"))).cast("long")

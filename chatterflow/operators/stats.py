@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..sources.storage import written
+from . import ranges
 
 
 #: A correlation is perfect beyond this; sums of squares leave it an ulp or two below 1.
@@ -77,14 +79,12 @@ def pearson_grid(pairs: DataFrame) -> DataFrame:
 def average_ranks(pairs: DataFrame) -> DataFrame:
     """WIN17: x and y replaced by their average ranks within (signal, outcome), from counts per distinct value.
 
-    Only distinct values are ordered, so a value with most of the rows costs one row in the window.
+    Only distinct values are ordered, by ranges, so neither a value nor a pair of columns is a task's work.
     """
-    out = pairs
+    key, out = ["signal", "outcome"], pairs
     for c in "xy":
-        counts = pairs.groupBy("signal", "outcome", c).agg(F.count(F.lit(1)).alias("_c"))
-        before = F.sum("_c").over(Window.partitionBy("signal", "outcome").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
-        ranks = counts.withColumn(f"_r{c}", before + (F.col("_c") + 1) / 2).drop("_c")
-        out = out.join(ranks, ["signal", "outcome", c])
+        counts = pairs.groupBy(*key, c).agg(F.count(F.lit(1)).alias("_c"))
+        out = out.join(ranges.average_ranks(counts, key, c, "_c", f"_r{c}").drop("_c"), [*key, c])
     return out.withColumns({"x": F.col("_rx"), "y": F.col("_ry")}).drop("_rx", "_ry")
 
 
@@ -109,11 +109,11 @@ def kendall_grid(pairs: DataFrame) -> DataFrame:
     """
     key = ["signal", "outcome"]
     p = _complete(pairs)
-    cells = p.filter("x is not null and y is not null").groupBy(*key, "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    cells = written(p.filter("x is not null and y is not null").groupBy(*key, "x", "y").agg(F.count(F.lit(1)).alias("w")))
     tops = None
     for c in "xy":
-        # one row per distinct value is ordered
-        ranks = cells.groupBy(*key, c).agg(F.sum("w").alias("_c")).withColumn(f"_r{c}", F.row_number().over(Window.partitionBy(*key).orderBy(c)).cast("long") - 1)
+        # one row per distinct value is ordered, by ranges
+        ranks = written(ranges.numbered(cells.groupBy(*key, c).agg(F.sum("w").alias("_c")), key, [c], f"_r{c}").withColumn(f"_r{c}", F.col(f"_r{c}") - 1))
         cells = cells.join(ranks.select(*key, c, f"_r{c}"), [*key, c])
         same = (F.col("_c").cast("decimal(38,0)") * (F.col("_c") - 1)).cast("decimal(38,0)")
         top = ranks.groupBy(*key).agg(F.sum(same).alias(f"same_{c}"), *([F.sum("_c").alias("sample_size"), F.max("_rx").alias("_top")] if c == "x" else []))
@@ -243,20 +243,97 @@ def trend_lines(pairs: DataFrame) -> DataFrame:
     return ok.groupBy("signal", "outcome").agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"))
 
 
+#: Bins of an interval in a round of selection, and values that are few enough to be looked at.
+BINS, FEW = 256, 1024
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]) -> dict[str, dict[float, float]]:
+    """Exact quantiles by distributed selection: {column: {share: value}}, between neighbours by linear interpolation.
+
+    A round counts the values of the intervals that hold the wanted ranks, by bins: first by sign, then by magnitude where the
+    ends are far apart, else evenly. All are monotone, so the bin with a rank is the next interval, from its least value
+    to its greatest. It ends when an interval has ``FEW`` values, which are then read, or one. No value map, no sort and no
+    shuffle but of counts: ``BINS`` rows for each interval, of which a column has two for each share.
+    """
+    v = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    rows = written(df.select(*map(v, columns))).unpivot([], columns, "variable", "v").filter("v is not null")
+    sign = F.when(F.abs("v") == float("inf"), F.signum("v") * 2).otherwise(F.signum("v"))
+    first = rows.groupBy("variable", sign.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    size = {c: sum(r["n"] for r in first if r["variable"] == c) for c in columns}
+    # (column, rank) -> (values below the interval, values in it, its ends)
+    open_: dict[tuple[str, int], tuple[int, int, float, float]] = {}
+    for c in columns:
+        for rank in {int(f(s * (size[c] - 1))) for s in shares for f in (math.floor, math.ceil)} if size[c] else ():
+            open_[c, rank] = _within([(r["n"], r["lo"], r["hi"]) for r in first if r["variable"] == c], rank, 0)
+    found: dict[tuple[str, int], float] = {}
+
+    def settle() -> None:
+        for k, (_, _, lo, hi) in list(open_.items()):
+            if lo == hi:
+                found[k] = lo
+                del open_[k]
+
+    settle()
+    while wide := {(c, lo, hi) for (c, _), (_, n, lo, hi) in open_.items() if n > FEW}:
+        bins = _of_intervals(rows, wide).groupBy("variable", "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
+        for (c, rank), (below, n, lo, hi) in open_.items():
+            if n > FEW:
+                open_[c, rank] = _within([(r["n"], r["least"], r["most"]) for r in bins if (r["variable"], r["lo"], r["hi"]) == (c, lo, hi)], rank, below)
+        settle()
+    if open_:
+        values: dict[tuple[str, float, float], list] = {}
+        for r in _of_intervals(rows, {(c, lo, hi) for (c, _), (_, _, lo, hi) in open_.items()}).groupBy("variable", "lo", "hi", "v").count().collect():
+            values.setdefault((r["variable"], r["lo"], r["hi"]), []).append((r["count"], r["v"], r["v"]))
+        for (c, rank), (below, _, lo, hi) in open_.items():
+            found[c, rank] = _within(values[c, lo, hi], rank, below)[2]
+    out: dict[str, dict[float, float]] = {c: {} for c in columns}
+    for c in columns:
+        for s in shares if size[c] else ():
+            at = s * (size[c] - 1)
+            low, part = math.floor(at), at - math.floor(at)
+            out[c][s] = found[c, low] * (1 - part) + found[c, math.ceil(at)] * part if part else found[c, low]
+    return out
+
+
+def _within(bins: list[tuple[int, float, float]], rank: int, below: int) -> tuple[int, int, float, float]:
+    """Of (count, least, greatest) the one with the rank, and how many values lie below it."""
+    for n, lo, hi in sorted(bins, key=lambda b: b[1]):
+        if rank < below + n:
+            return below, n, lo, hi
+        below += n
+    raise ValueError(f"no value of rank {rank}")
+
+
+def _of_intervals(rows: DataFrame, intervals: set[tuple[str, float, float]]) -> DataFrame:
+    """The values of each interval with their bin; there are two intervals for each wanted share at most."""
+    ends = rows.sparkSession.createDataFrame(sorted(intervals), "variable string, lo double, hi double")
+    met = rows.join(F.broadcast(ends), "variable").filter("v between lo and hi")
+    near, far, own = F.least(F.abs("lo"), F.abs("hi")), F.greatest(F.abs("lo"), F.abs("hi")), F.abs("v")
+    magnitude = F.log(own / near) / F.log(far / near)
+    even = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    place = F.when((near > 0) & (far / near > BINS) & (far / near < float("inf")), magnitude).otherwise(even)
+    return met.withColumn("bin", F.floor(place * BINS))
+
+
 def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """AGG25: the five numbers of a box plot by variable."""
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")).select("s.*")
-    return rows.groupBy("variable").agg(*(F.round(F.percentile("v", F.lit(q)), 6).alias(n) for n, q in (("low", 0.0), ("q1", 0.25), ("middle", 0.5), ("q3", 0.75), ("high", 1.0))))
+    """AGG25: the five numbers of a box plot by variable; null without values."""
+    shares = {"low": 0.0, "q1": 0.25, "middle": 0.5, "q3": 0.75, "high": 1.0}
+    found = quantiles(df, columns, tuple(shares.values()))
+    rows = [(c, *(found[c].get(s) for s in shares.values())) for c in columns]
+    out = df.sparkSession.createDataFrame(rows, "variable string, " + ", ".join(f"{n} double" for n in shares))
+    return out.withColumns({n: F.round(n, 6) for n in shares})
 
 
 def descriptive(df: DataFrame, columns: list[str]) -> DataFrame:
     """AGG13: one row per variable, with the sample's bias-adjusted skewness and excess kurtosis."""
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")).select("s.*")
+    kept = written(df.select(*(F.col(c).cast("double").alias(c) for c in columns)))
+    middle = kept.sparkSession.createDataFrame([(c, q.get(0.5)) for c, q in quantiles(kept, columns, (0.5,)).items()], "variable string, median double")
+    rows = kept.unpivot([], columns, "variable", "v")
     n = F.col("valid_n")
     out = rows.groupBy("variable").agg(
-        F.count("v").alias("valid_n"), F.count_if(F.col("v").isNull()).alias("missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.median("v").alias("median"),
+        F.count("v").alias("valid_n"), F.count_if(F.col("v").isNull()).alias("missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"),
         F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.stddev_pop("v").alias("_p"), F.avg(F.pow("v", F.lit(3))).alias("_m3"), F.avg(F.pow("v", F.lit(4))).alias("_m4"), F.avg(F.pow("v", F.lit(2))).alias("_m2"),
-    )
+    ).join(F.broadcast(middle), "variable")
     m = F.col("mean")
     c3 = F.col("_m3") - m * F.col("_m2") * 3 + F.pow(m, F.lit(3)) * 2
     c4 = F.col("_m4") - m * F.col("_m3") * 4 + F.pow(m, F.lit(2)) * F.col("_m2") * 6 - F.pow(m, F.lit(4)) * 3

@@ -39,6 +39,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.daily_bars(e, F.upper("event_type"), F.col("ts"), F.col("value"), F.col("event_id"))
 
 
+def adjusted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars, of which two in three have an adjusted close."""
+    adjusted = F.when(F.col("volume") % 3 != 0, F.round(F.col("close") * 0.97, 4))
+    return bars(spark, sf_dir).withColumn("adjusted_close", adjusted)
+
+
 def long_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars over years, with gaps: brands by ship date."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))

@@ -93,6 +93,19 @@ _ALIAS = " || ".join(
 )
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
+_RUNS = """runs AS (SELECT wk, 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, CASE WHEN ((wk - DATE '2024-01-01') // 7) % 5 = 4 THEN 'failed' ELSE 'completed' END AS status,
+    CASE WHEN ((wk - DATE '2024-01-01') // 7) % 4 = 2 THEN 'discovery' ELSE 'measurement' END AS run_type, ((wk - DATE '2024-01-01') // 7) % 7 <> 6 AS canonical,
+    run_type = 'measurement' AND canonical AS measured, string_agg(DISTINCT substr(source_name, 2), ',' ORDER BY substr(source_name, 2)) AS source_set FROM m GROUP BY wk)"""
+
+
+def _ring(catalog: str, n: int) -> str:
+    """CTE ``sample``: the tickers after each signal on the ring of SHA-1."""
+    return f"""ring AS (SELECT ticker AS bt, sha1(ticker) AS h, row_number() OVER (ORDER BY sha1(ticker), ticker) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT ticker FROM {catalog} WHERE ticker <> '')),
+    entered AS (SELECT signal_id, ticker, count(h) AS before FROM sig LEFT JOIN ring ON h < sha1(signal_id) GROUP BY ALL),
+    arc AS (SELECT signal_id, ticker, before, unnest(range(least({n} + 1, (SELECT max(size) FROM ring)))) AS step FROM entered),
+    sample AS (SELECT signal_id, ticker, bt AS benchmark_ticker, row_number() OVER (PARTITION BY signal_id ORDER BY step) AS sample_index FROM arc JOIN ring ON place = (before + step) % size WHERE bt <> ticker QUALIFY sample_index <= {n})"""
+
+
 ORACLES: dict[str, str] = {
     "symbol_extract": f"WITH {_D} SELECT item_id, array_to_string(symbols, ',') AS symbols FROM d2",
     "alias_extract": f"SELECT doc_id AS item_id, substr({_ALIAS}, 2) AS tickers FROM documents",
@@ -168,7 +181,7 @@ ORACLES: dict[str, str] = {
         SELECT * FROM b ORDER BY total_mentions DESC, time_bucket, ticker, company_name LIMIT 5""",
     "trust_label": f"""WITH {_M} SELECT CASE WHEN mode = 'fallback' THEN 'Fallback' WHEN confidence >= 0.7 AND quality <> 'low' AND hype <= 6 THEN 'Strong' WHEN confidence < 0.35 OR quality = 'low' THEN 'Review' ELSE 'Standard' END AS trust,
         count(*) AS n FROM m GROUP BY 1""",
-    "watchlist_semi": f"WITH {_M} SELECT ticker, count(*) AS mentions FROM m WHERE ticker IN (SELECT ticker FROM m WHERE source_name = 's0' AND sentiment = 'bullish' AND depth >= 9) GROUP BY 1",
+    "watchlist_semi": f"WITH {_M}, {_RUNS} SELECT ticker, count(*) AS mentions FROM m WHERE wk IN (SELECT wk FROM runs WHERE status = 'completed' AND measured) AND ticker IN (SELECT ticker FROM m WHERE source_name = 's0' AND sentiment = 'bullish' AND depth >= 9) GROUP BY 1",
     "new_items": f"WITH {_M} SELECT item_id, ticker FROM m WHERE wk >= DATE '2024-01-15'",
     "union_dedupe": f"""WITH {_M}, u AS (SELECT thread_id, ticker, item_id, item_type AS kind FROM m)
         SELECT thread_id, ticker, item_id, kind FROM u QUALIFY row_number() OVER (PARTITION BY thread_id, ticker ORDER BY kind = 'comment', item_id) = 1""",
@@ -197,9 +210,6 @@ cov AS (SELECT *, 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, posts_return
     round(CASE WHEN source_name = 's3' THEN 0.65::DOUBLE ELSE 1 END * CASE WHEN source_name = 's4' THEN 0.7::DOUBLE ELSE 1 END * CASE WHEN source_name = 's2' AND ((wk - DATE '2024-01-01') // 7) % 2 = 1 THEN 0.2::DOUBLE ELSE 1 END
         * CASE WHEN source_name = 's1' AND ((wk - DATE '2024-01-01') // 7) % 2 = 1 THEN 0.45::DOUBLE ELSE 1 END * CASE WHEN posts_returned >= 120 THEN 0.75::DOUBLE ELSE 1 END * CASE WHEN posts_returned = 0 THEN 0 WHEN posts_returned < 10 THEN 0.55::DOUBLE WHEN posts_returned < 30 THEN 0.78::DOUBLE ELSE 1 END
         * CASE WHEN missed > 0.35 THEN 0.75::DOUBLE ELSE 1 END, 3) AS coverage_reliability FROM c0)"""
-_RUNS = """runs AS (SELECT wk, 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, CASE WHEN ((wk - DATE '2024-01-01') // 7) % 5 = 4 THEN 'failed' ELSE 'completed' END AS status,
-    CASE WHEN ((wk - DATE '2024-01-01') // 7) % 4 = 2 THEN 'discovery' ELSE 'measurement' END AS run_type, ((wk - DATE '2024-01-01') // 7) % 7 <> 6 AS canonical,
-    run_type = 'measurement' AND canonical AS measured, string_agg(DISTINCT substr(source_name, 2), ',' ORDER BY substr(source_name, 2)) AS source_set FROM m GROUP BY wk)"""
 _RS = """rs AS (SELECT 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, ticker, count(*) AS total_mentions, count(DISTINCT thread_id) AS unique_threads, count(DISTINCT author_hash) AS unique_authors,
     round(avg(hype), 2) AS average_hype_score, round(avg(rep), 2) AS repetition_score, round(avg(sentiment_numeric), 4) AS net_sentiment_score, round(avg(depth) * 5, 2) AS acceleration_score,
     round(avg(alpha), 2) AS emerging_ticker_score FROM m GROUP BY ALL)"""
@@ -292,20 +302,9 @@ ORACLES |= {
                 CASE WHEN o.signal_time - f.t > INTERVAL 24 HOUR OR o.strength >= f.s + 12 THEN o.signal_time ELSE f.t END, CASE WHEN o.signal_time - f.t > INTERVAL 24 HOUR OR o.strength >= f.s + 12 THEN o.strength ELSE f.s END
             FROM f JOIN o ON o.ticker = f.ticker AND o.n = f.n + 1)
         SELECT ticker, signal_id FROM f WHERE ok""",
-    "attention_outcomes": f"""WITH {_M}, a AS (SELECT 'signal_' || item_id AS signal_id, kind AS ticker, """ + ", ".join(
-        f"count(*) OVER w{n} AS mentions_{n}d, count(DISTINCT thread_id) OVER w{n} AS threads_{n}d, count(DISTINCT author_hash) OVER w{n} AS authors_{n}d, "
-        f"count(DISTINCT source_name) OVER w{n} AS sources_{n}d, count(*) OVER u{n} AS universe_{n}d" for n in (7, 14, 30)
-    ) + " FROM m WINDOW " + ", ".join(
-        f"{w}{n} AS ({p}ORDER BY created_time RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL {n} DAY FOLLOWING)" for n in (7, 14, 30) for w, p in (("w", "PARTITION BY kind "), ("u", ""))
-    ) + """),
-        b AS (SELECT *, """ + ", ".join(f"coalesce(round(mentions_{n}d * 100 / nullif(universe_{n}d, 0), 4), 0) AS share_{n}d" for n in (7, 14, 30)) + """ FROM a)
-        SELECT *, """ + ", ".join(f"round(least(100, mentions_{n}d * 3.5::DOUBLE + threads_{n}d * 5 + authors_{n}d * 2.5::DOUBLE + sources_{n}d * 10 + share_{n}d * 0.35::DOUBLE), 2) AS spread_{n}d" for n in (7, 14, 30)) + " FROM b",
-    "random_benchmark": f"""WITH {_LONG}, {_EVENTS}, u AS (SELECT DISTINCT ticker AS bt FROM lb)
-        SELECT signal_id, ticker, bt AS benchmark_ticker FROM sig JOIN u ON bt <> ticker QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY sha1(signal_id || bt)) <= 12""",
-    "benchmark_means": f"""WITH {_BARS}, {_EVENTS}, p AS (SELECT ticker AS bt, round(avg(close), 4) AS r FROM bars GROUP BY 1),
-        s AS (SELECT signal_id, bt, r FROM sig JOIN p ON bt <> ticker QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY sha1(signal_id || bt)) <= 3)
-        SELECT signal_id, count(*) AS benchmark_count, round(avg(r), 6) AS benchmark_r FROM s GROUP BY 1""",
-    "market_outcomes": f"WITH {_BARS}, {_EVENTS}, {_calendar('sig', 'signal_id', 'signal_day', 'bars', (1, 7))}, {_paths('sig', 'signal_id', 'signal_day', 'bars', (7,))} SELECT cal.*, paths.* EXCLUDE (signal_id, ticker, signal_day) FROM cal JOIN paths USING (signal_id)",
+    "random_benchmark": f"""WITH {_LONG}, {_EVENTS}, {_ring("lb", 12)} SELECT * FROM sample""",
+    "benchmark_means": f"""WITH {_BARS}, {_EVENTS}, {_ring("bars", 3)}, p AS (SELECT ticker AS benchmark_ticker, round(avg(close), 4) AS r FROM bars GROUP BY 1)
+        SELECT signal_id, count(*) AS benchmark_count, round(avg(r), 6) AS benchmark_r FROM sample JOIN p USING (benchmark_ticker) GROUP BY 1""",
     "signal_review": f"WITH {_EVENTS} SELECT ticker, CASE WHEN bool_or(strength < 60) THEN 'Needs validation' ELSE 'Validated' END AS status, count(*) AS signals FROM sig GROUP BY 1",
 }
 
@@ -397,15 +396,49 @@ _CORPUS = _M.replace("m AS (", "m0 AS (", 1) + f""", {_RUNS.replace("FROM m GROU
     names AS (SELECT ticker, company_name FROM (SELECT ticker, company_name, count(*) AS n FROM first GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY company_name = 'Unknown', n DESC, company_name) = 1),
     m AS (SELECT first.* REPLACE (names.company_name AS company_name) FROM first JOIN names USING (ticker)), {_summary("ticker, company_name", "full_summary")},
     summary AS (SELECT * REPLACE (round(greatest(least(emerging_ticker_score - acceleration_score * 0.45::DOUBLE, 100), 0), 2) AS emerging_ticker_score, 0::DOUBLE AS acceleration_score) FROM full_summary)"""
-_ATTENTION = ORACLES["attention_outcomes"]
-_SAMPLED = f"""{_BARS}, {_EVENTS}, u AS (SELECT DISTINCT ticker AS bt FROM bars),
-    s AS (SELECT signal_id, signal_day, bt AS benchmark_ticker FROM sig JOIN u ON bt <> ticker QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY sha1(signal_id || bt)) <= 3),
-    pairs AS (SELECT DISTINCT benchmark_ticker AS ticker, signal_day, benchmark_ticker || '|' || signal_day AS pair FROM s), {_calendar("pairs", "pair", "signal_day", "bars", (7, 30))},
-    outcomes AS (SELECT s.*, return_7d, return_30d FROM s LEFT JOIN cal ON cal.ticker = benchmark_ticker AND cal.signal_day = s.signal_day)"""
-_FRAME = f"""att AS ({_ATTENTION}), {_SAMPLED}, own AS (SELECT * FROM (WITH {_calendar("sig", "signal_id", "signal_day", "bars", (7,))} SELECT signal_id, return_7d FROM cal)),
-    rm AS (SELECT signal_id, count(DISTINCT benchmark_ticker) AS random_sample_size, round(avg(return_7d), 6) AS random_mean_return_7d, round(avg(return_30d), 6) AS random_mean_return_30d FROM outcomes GROUP BY 1),
-    frame AS (SELECT sig.*, CASE WHEN strength >= 80 THEN 'Useful lead' WHEN strength >= 60 THEN 'Worth deeper research' WHEN strength >= 40 THEN 'Too early' END AS label, own.return_7d, spread_14d,
-        random_sample_size, random_mean_return_7d, random_mean_return_30d FROM sig LEFT JOIN own USING (signal_id) LEFT JOIN att USING (signal_id) LEFT JOIN rm USING (signal_id))"""
+def _scoped(n: int) -> str:
+    seen = f"created_time <= signal_time + INTERVAL {n} DAY"
+    return f"count(created_time) FILTER ({seen}) AS mentions_{n}d, " + ", ".join(f"count(DISTINCT {c}) FILTER ({seen}) AS {k}_{n}d" for k, c in (("threads", "thread_id"), ("authors", "author_hash"), ("sources", "source_name")))
+
+
+_WINDOWS = (7, 14, 30)
+_MEET = "x.created_time > p.signal_time AND (p.runs = 0 OR (x.done > p.signal_time AND x.done <= p.signal_time + INTERVAL 30 DAY))"
+#: Every event meets the mentions of its scope: those of its later measurement runs, or all.
+_ATTENTION = f"""{_COV}, {_EVENTS}, {_RUNS}, cs AS (SELECT wk, round(sum(coverage_reliability * greatest(posts_returned, 1)) / sum(greatest(posts_returned, 1)), 3) AS rel FROM cov GROUP BY 1),
+    r AS (SELECT wk, wk::TIMESTAMP + INTERVAL 6 DAY AS done, coalesce(rel, 0) AS rel FROM runs LEFT JOIN cs USING (wk) WHERE status = 'completed' AND measured),
+    p AS (SELECT signal_id, ticker, signal_time, count(done) AS runs, round(avg(rel), 9) AS c FROM sig LEFT JOIN r ON done > signal_time AND done <= signal_time + INTERVAL 30 DAY GROUP BY ALL),
+    x AS (SELECT m.*, done FROM m LEFT JOIN r USING (wk)),
+    own AS (SELECT signal_id, p.ticker, runs, c, {", ".join(_scoped(n) for n in _WINDOWS)}, count(DISTINCT thread_id) AS threads_later, count(DISTINCT source_name) AS sources_later
+        FROM p LEFT JOIN x ON x.kind = p.ticker AND {_MEET} GROUP BY ALL),
+    un AS (SELECT signal_id, {", ".join(f"count(created_time) FILTER (created_time <= signal_time + INTERVAL {n} DAY) AS universe_{n}d" for n in _WINDOWS)} FROM p LEFT JOIN x ON {_MEET} GROUP BY 1),
+    sh AS (SELECT *, {", ".join(f"round(mentions_{n}d * 100 / nullif(universe_{n}d, 0), 3) AS share_{n}d" for n in _WINDOWS)} FROM own JOIN un USING (signal_id)),
+    att AS (SELECT *, CASE WHEN runs > 0 THEN 'measurement' ELSE 'corpus' END AS scope, {", ".join(f"round(least(100, mentions_{n}d * 3.5::DOUBLE + threads_{n}d * 5 + authors_{n}d * 2.5::DOUBLE + sources_{n}d * 10 + coalesce(share_{n}d, 0) * 0.35::DOUBLE), 2) AS spread_{n}d" for n in _WINDOWS)},
+        CASE WHEN c >= 0.8 THEN 'High' WHEN c >= 0.5 THEN 'Medium' WHEN c IS NOT NULL THEN 'Low' WHEN sources_later >= 2 AND threads_later >= 2 THEN 'Medium' ELSE 'Low' END AS attention_reliability FROM sh)"""
+
+
+def _outcomes(days: str, returns: tuple, paths: tuple, spikes: tuple, abnormal: tuple = ()) -> str:
+    """CTEs ``ab`` (adjusted bars) and ``facts``: what the market did from each (ticker, signal_day) of ``days`` on."""
+    joins = "".join(f" ASOF LEFT JOIN ab p{h} ON e.ticker = p{h}.ticker AND e.signal_day + {h} <= p{h}.date" for h in (0, *returns))
+    within = lambda n, low: f"FILTER (b.date {low} e.signal_day AND b.date <= e.signal_day + {n})"
+    cols = [f"max(b.ref) {within(n, '>=')} / nullif(any_value(e.c0), 0) - 1 AS max_gain_{n}d, min(b.ref) {within(n, '>=')} / nullif(any_value(e.c0), 0) - 1 AS max_drawdown_{n}d" for n in paths]
+    cols += [f"max(b.volume) {within(n, '>')} / nullif(any_value(e.base), 0) AS volume_spike_{n}d" for n in spikes] + [f"avg(b.volume) {within(n, '>')} / nullif(any_value(e.base), 0) AS abnormal_volume_{n}d" for n in abnormal]
+    names = [c.rsplit(" AS ", 1)[1] for part in cols for c in part.split(", ") if " AS " in c]
+    return f"""ab AS (SELECT *, coalesce(CASE WHEN volume % 3 <> 0 THEN round(close * 0.97, 4) END, close) AS ref, avg(volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS base FROM bars),
+    f0 AS (SELECT e.ticker, e.signal_day, p0.ref AS c0, p0.base AS base, {", ".join(f"round(p{h}.ref / nullif(p0.ref, 0) - 1, 4) AS return_{h}d" for h in returns)} FROM {days} e{joins}),
+    f1 AS (SELECT e.ticker, e.signal_day, {", ".join(cols)} FROM f0 e LEFT JOIN ab b ON b.ticker = e.ticker AND b.date >= e.signal_day AND b.date <= e.signal_day + 30 GROUP BY ALL),
+    facts AS (SELECT ticker, signal_day, c0 AS price_at_signal, {", ".join(f"return_{h}d" for h in returns)}, {", ".join(f"round({c}, 4) AS {c}" for c in names)} FROM f0 JOIN f1 USING (ticker, signal_day))"""
+
+
+_MARKET = f"""days AS (SELECT DISTINCT * FROM (SELECT ticker, signal_day FROM sig UNION ALL SELECT 'VIEW', signal_day FROM sig)), {_outcomes("days", (1, 3, 7, 14, 30), (7, 14, 30), (3, 7, 14, 30), (7, 30))},
+    market AS (SELECT sig.signal_id, f.*, b.return_7d AS benchmark_return_7d, b.return_30d AS benchmark_return_30d, round(f.return_7d - b.return_7d, 4) AS excess_return_7d, round(f.return_30d - b.return_30d, 4) AS excess_return_30d
+        FROM sig LEFT JOIN facts f ON f.ticker = sig.ticker AND f.signal_day = sig.signal_day LEFT JOIN facts b ON b.ticker = 'VIEW' AND b.signal_day = sig.signal_day)"""
+_SAMPLED = f"""{_ring("bars", 3)}, s AS (SELECT signal_id, signal_day, benchmark_ticker, sample_index FROM sample JOIN sig USING (signal_id)),
+    pairs AS (SELECT DISTINCT benchmark_ticker AS ticker, signal_day FROM s), random AS (WITH {_outcomes("pairs", (7, 30), (7,), (7, 30))} SELECT * FROM facts),
+    outcomes AS (SELECT s.*, random.* EXCLUDE (ticker, signal_day) FROM s LEFT JOIN random ON random.ticker = benchmark_ticker AND random.signal_day = s.signal_day)"""
+_FRAME = f"""{_ATTENTION}, {_BARS}, {_MARKET}, {_SAMPLED},
+    rm AS (SELECT signal_id, count(DISTINCT benchmark_ticker) AS random_sample_size, {", ".join(f"round(avg({c}), 6) AS random_mean_{c}" for c in ("return_7d", "return_30d", "volume_spike_7d"))} FROM outcomes GROUP BY 1),
+    frame AS (SELECT sig.*, CASE WHEN strength >= 80 THEN 'Useful lead' WHEN strength >= 60 THEN 'Worth deeper research' WHEN strength >= 40 THEN 'Too early' END AS label, market.return_7d, excess_return_7d, spread_14d, attention_reliability,
+        random_sample_size, random_mean_return_7d, random_mean_return_30d, random_mean_volume_spike_7d FROM sig LEFT JOIN market USING (signal_id) LEFT JOIN att USING (signal_id) LEFT JOIN rm USING (signal_id))"""
 _PRESETS = {"Best emerging": ("emerging_ticker_score DESC", "average_alpha_signal_score"), "Highest acceleration": ("acceleration_score DESC", "emerging_ticker_score"), "Highest alpha": ("average_alpha_signal_score DESC", "emerging_ticker_score"),
     "Lowest hype": ("average_hype_score", "average_alpha_signal_score"), "Most mentioned": ("total_mentions DESC", "emerging_ticker_score")}
 _G = f"WITH {_SET}, {_PAIRS}, {_GRID}, d AS (WITH {_DESCRIBE})"
@@ -459,12 +492,12 @@ ORACLES |= {
     "corpus_counts": f"WITH {_CORPUS} SELECT count(DISTINCT item_id) AS items_collected, count(DISTINCT wk) AS runs_included, count(*) AS kept_rows, min(created_date) AS first_seen_date, max(created_date) AS most_recent_seen_date FROM m",
     "corpus_flags": f"""WITH {_CORPUS} SELECT ticker, CASE WHEN mode = 'fallback' THEN 'Fallback' WHEN confidence >= 0.7 AND quality <> 'low' AND hype <= 6 THEN 'Strong' WHEN confidence < 0.35 OR quality = 'low' THEN 'Review' ELSE 'Standard' END AS trust_status,
         summary.low_mentions_high_signal, summary.new_ticker_detected, count(*) AS n FROM m JOIN summary USING (ticker) GROUP BY ALL""",
-    "benchmark_outcomes": f"WITH {_SAMPLED} SELECT * FROM outcomes",
-    "attention_reliability": f"""WITH att AS ({_ATTENTION}), {_COV}, {_EVENTS}, {_RUNS}, cs AS (SELECT wk, round(sum(coverage_reliability * greatest(posts_returned, 1)) / sum(greatest(posts_returned, 1)), 3) AS rel FROM cov GROUP BY 1),
-        r AS (SELECT wk::TIMESTAMP + INTERVAL 6 DAY AS done, coalesce(rel, 0) AS rel FROM runs LEFT JOIN cs USING (wk) WHERE status = 'completed' AND measured),
-        a AS (SELECT signal_id, round(avg(rel), 9) AS c FROM sig LEFT JOIN r ON done > signal_time AND done <= signal_time + INTERVAL 30 DAY GROUP BY 1)
-        SELECT signal_id, CASE WHEN c >= 0.8 THEN 'High' WHEN c >= 0.5 THEN 'Medium' WHEN c IS NOT NULL THEN 'Low' WHEN sources_30d >= 2 AND threads_30d >= 2 THEN 'Medium' ELSE 'Low' END AS attention_reliability FROM a JOIN att USING (signal_id)""",
-    "review_frame": f"WITH {_FRAME} SELECT signal_id, ticker, label, return_7d, spread_14d, random_sample_size, random_mean_return_7d, random_mean_return_30d FROM frame",
+    "benchmark_outcomes": f"WITH {_BARS}, {_EVENTS}, {_SAMPLED} SELECT * FROM outcomes",
+    "market_outcomes": f"WITH {_BARS}, {_EVENTS}, {_MARKET} SELECT * FROM market",
+    "attention_outcomes": f"WITH {_ATTENTION} SELECT signal_id, ticker, scope, {', '.join(f'{k}_{n}d' for n in _WINDOWS for k in ('mentions', 'threads', 'authors', 'sources', 'universe', 'share', 'spread'))} FROM att",
+    "attention_reliability": f"WITH {_ATTENTION} SELECT signal_id, attention_reliability FROM att",
+    "review_frame": f"""WITH {_FRAME} SELECT signal_id, ticker, label, return_7d, excess_return_7d, spread_14d, attention_reliability, random_sample_size, random_mean_return_7d, random_mean_return_30d,
+        random_mean_volume_spike_7d FROM frame""",
     "review_kpis": f"""WITH {_FRAME} SELECT count(*) AS signals, count(label) AS labelled, count(*) FILTER (label IN ('Useful lead', 'Worth deeper research')) AS useful, count(return_7d) AS with_return, round(avg(return_7d), 6) AS average_return_7d,
         round(avg(spread_14d), 4) AS average_spread_14d FROM frame""",
     "signal_inbox": f"WITH {_FRAME} SELECT signal_id, spread_14d FROM frame WHERE label IS NULL AND contains(ticker, 'VIEW') ORDER BY spread_14d DESC",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import buckets as B
-from ..operators import classify, corpus, coverage, history, mentions, prices, signals, stats
+from ..operators import attention, classify, cooldown, corpus, coverage, history, mentions, prices, signals, stats
 from ..sources import storage
 from . import adapters as A
 
@@ -231,10 +231,11 @@ def trust_label(spark, sf):
 
 @query
 def watchlist_semi(spark, sf):
-    """JN19, SET4: mentions of tickers that also have a bullish mention by source s0."""
+    """JN19, SET4: mentions of completed measurement runs, of tickers that also have a bullish mention by source s0."""
     m = A.mentions(spark, sf)
     liked = m.filter("source_name = 's0' AND sentiment = 'bullish' AND depth_score >= 9").select("ticker")
-    return m.join(liked, "ticker", "left_semi").groupBy("ticker").agg(F.count(F.lit(1)).alias("mentions"))
+    measured = history.completed(A.runs(spark, sf), measured=True).select("analysis_run_id")
+    return m.join(measured, "analysis_run_id", "left_semi").join(liked, "ticker", "left_semi").groupBy("ticker").agg(F.count(F.lit(1)).alias("mentions"))
 
 
 @query
@@ -552,23 +553,30 @@ def signal_gate(spark, sf):
 @query
 def cooldown_fold(spark, sf):
     """DF8."""
-    return signals.cooldown(A.signal_events(spark, sf)).select("ticker", "signal_id")
+    return cooldown.cooldown(A.signal_events(spark, sf)).select("ticker", "signal_id")
 
 
 @query
 def cooldown_by_run(spark, sf):
     """DF8: events of one hour are of one run, and the weakest are manual."""
     e = A.signal_events(spark, sf).withColumns({"analysis_run_id": F.date_trunc("hour", "signal_time").cast("string"), "manual": F.col("strength") < 1})
-    return signals.cooldown(e).select("ticker", "signal_id")
+    return cooldown.cooldown(e).select("ticker", "signal_id")
+
+
+def _measured_runs(spark, sf) -> DataFrame:
+    cov = coverage.summarize(_coverage(spark, sf), ["analysis_run_id"]).select("analysis_run_id", "coverage_reliability")
+    return history.completed(A.runs(spark, sf), measured=True).join(cov, "analysis_run_id", "left")
+
+
+def _attention(spark, sf) -> DataFrame:
+    t = A.table(spark, sf, "events").select(F.col("event_id").alias("item_id"), F.upper("event_type").alias("ticker"))
+    return attention.attention(A.signal_events(spark, sf), A.mentions(spark, sf).drop("ticker").join(t, "item_id"), _measured_runs(spark, sf))
 
 
 @query
 def attention_outcomes(spark, sf):
-    """JN17, JN18, SC18."""
-    m = A.mentions(spark, sf)
-    e = A.signal_events(spark, sf)
-    t = A.table(spark, sf, "events").select(F.col("event_id").alias("item_id"), F.upper("event_type").alias("ticker"))
-    return signals.attention(e, m.drop("ticker").join(t, "item_id")).drop("signal_time")
+    """DF11, JN17-19, SC18: in the scope of each event's later measurement runs, else of the corpus."""
+    return _attention(spark, sf).drop("signal_time", "attention_reliability")
 
 
 @query
@@ -587,10 +595,8 @@ def benchmark_means(spark, sf):
 
 @query
 def market_outcomes(spark, sf):
-    """DF9: returns and paths of signals."""
-    e, p = A.signal_events(spark, sf), A.bars(spark, sf)
-    returns = prices.calendar_returns(e, p, "signal_id", "signal_day", (1, 7))
-    return returns.join(prices.path_metrics(e, p, "signal_id", "signal_day", (7,)).drop("ticker", "signal_day"), "signal_id")
+    """DF9: against VIEW as the benchmark."""
+    return prices.market_outcomes(A.signal_events(spark, sf), A.adjusted_bars(spark, sf), "signal_id", "signal_day", "VIEW")
 
 
 @query
@@ -707,37 +713,29 @@ def corpus_flags(spark, sf):
 @query
 def benchmark_outcomes(spark, sf):
     """DF10."""
-    return signals.benchmark_outcomes(A.signal_events(spark, sf), A.bars(spark, sf), 3).select("signal_id", "benchmark_ticker", "signal_day", "return_7d", "return_30d")
-
-
-def _attention(spark, sf) -> DataFrame:
-    t = A.table(spark, sf, "events").select(F.col("event_id").alias("item_id"), F.upper("event_type").alias("ticker"))
-    return signals.attention(A.signal_events(spark, sf), A.mentions(spark, sf).drop("ticker").join(t, "item_id"))
+    return signals.benchmark_outcomes(A.signal_events(spark, sf), A.adjusted_bars(spark, sf), 3)
 
 
 @query
 def attention_reliability(spark, sf):
     """SC22, DF11."""
-    cov = coverage.summarize(_coverage(spark, sf), ["analysis_run_id"]).select("analysis_run_id", "coverage_reliability")
-    runs = history.completed(A.runs(spark, sf), measured=True).join(cov, "analysis_run_id", "left")
-    spread = _attention(spark, sf).select("signal_id", F.col("sources_30d").alias("sources"), F.col("threads_30d").alias("threads"))
-    return signals.attention_reliability(A.signal_events(spark, sf), runs, spread)
+    return _attention(spark, sf).select("signal_id", "attention_reliability")
 
 
 def _review_frame(spark, sf) -> DataFrame:
     e = A.signal_events(spark, sf)
     label = F.when(F.col("strength") >= 80, "Useful lead").when(F.col("strength") >= 60, "Worth deeper research").when(F.col("strength") >= 40, "Too early")
     labels = e.select("signal_id", label.alias("label")).filter("label is not null")
-    bars = A.bars(spark, sf)
-    market = prices.calendar_returns(e, bars, "signal_id", "signal_day", (7,)).select("signal_id", "return_7d")
+    bars = A.adjusted_bars(spark, sf)
+    market = prices.market_outcomes(e, bars, "signal_id", "signal_day", "VIEW")
     means = signals.random_means(signals.benchmark_outcomes(e, bars, 3))
-    return signals.review(e, labels, market, _attention(spark, sf).select("signal_id", "spread_7d", "spread_14d", "spread_30d"), means)
+    return signals.review(e, labels, market, _attention(spark, sf), means)
 
 
 @query
 def review_frame(spark, sf):
     """JN7, AGG8: signals with labels, market, attention and random benchmark."""
-    return _review_frame(spark, sf).select("signal_id", "ticker", "label", "return_7d", "spread_14d", "random_sample_size", "random_mean_return_7d", "random_mean_return_30d")
+    return _review_frame(spark, sf).select("signal_id", "ticker", "label", "return_7d", "excess_return_7d", "spread_14d", "attention_reliability", "random_sample_size", "random_mean_return_7d", "random_mean_return_30d", "random_mean_volume_spike_7d")
 
 
 @query

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatterflow.functions import lexicons as lex
-from chatterflow.operators import classify, corpus, mentions, prices, signals, stats
+from chatterflow.operators import classify, cooldown, corpus, mentions, prices, stats
 from chatterflow.schema import conform_items
 from chatterflow.sources import feeds, storage
 from chatterflow.streaming import flows
@@ -84,7 +84,7 @@ def events_frame(spark):
 
 
 def test_cooldown_depends_on_what_was_accepted(spark):
-    got = sorted(r.signal_id for r in signals.cooldown(events_frame(spark)).collect())
+    got = sorted(r.signal_id for r in cooldown.cooldown(events_frame(spark)).collect())
     assert got == ["s1", "s3", "s5", "s6"]  # s2 is 11 stronger only, s3 12; s4 is within a day of s3, s5 is not
 
 

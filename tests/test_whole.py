@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_queries import SF
 
-from chatterflow.operators import signals, stats
+from chatterflow.operators import cooldown, stats
 from chatterflow.plans import adapters as A
 from chatterflow.plans.queries import QUERIES
 
@@ -31,7 +31,7 @@ def test_cooldown_streams_and_equals_a_loop(spark):
         if t is None or at - t > dt.timedelta(hours=24) or strength >= s + 12:
             last[ticker] = at, strength
             want.add(name)
-    df = signals.cooldown(events)
+    df = cooldown.cooldown(events)
     assert {r.signal_id for r in df.collect()} == want and df.columns == events.columns
     assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -72,4 +72,4 @@ def test_manual_and_same_run_in_the_cooldown(spark):
     at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
     rows = [("T", "a", at(0), 10.0, "r1", False), ("T", "b", at(30), 90.0, "r1", True), ("T", "c", at(31), 1.0, "r2", True), ("T", "d", at(55), 5.0, "r3", False), ("T", "e", at(55.5), 5.0, "r4", False)]
     df = spark.createDataFrame(rows, "ticker string, signal_id string, signal_time timestamp, strength double, analysis_run_id string, manual boolean")
-    assert [r.signal_id for r in signals.cooldown(df).orderBy("signal_id").collect()] == ["a", "c", "e"]
+    assert [r.signal_id for r in cooldown.cooldown(df).orderBy("signal_id").collect()] == ["a", "c", "e"]
