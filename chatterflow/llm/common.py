@@ -3,51 +3,36 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir, written  # noqa: F401
+
 #: White space of every word definition here: blank and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
 #: A row is held out of every fit when crc32(doc_id as text) % FOLDS is 0.
 FOLDS = 5
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir.
-
-    Where the setting is absent (tests), the context's own checkpoint folder is used, or a temporary one is set; only a
-    local master can do with that, since executors elsewhere would write to their own disks.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not (spark.sparkContext.master + "[").startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="chatterflow-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read it again, with known sizes for later joins."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(name: str) -> str:
     """A column name that no table has."""
     return f"{name}_{uuid.uuid4().hex}"
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    """False for a null doc_id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+
+
+def drawn(share: Column | int, parts: int) -> Column:
+    """True for about ``share`` of ``parts`` rows, by their place in the input: rows that repeat an id or a text are drawn apart."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)) < share
 
 
 def with_text(docs: DataFrame, *more: str) -> DataFrame:

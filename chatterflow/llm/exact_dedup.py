@@ -5,7 +5,7 @@ Misra-Gries summary (``DataFrame.freqItems``) proposes every digest that may hol
 keeps at most 1/support counters, so the candidate list is bounded whatever the input. Candidates are verified by an exact
 count with map-side partial aggregation, and the verified winners (digest, first row, size) are broadcast: rows of heavy
 groups are resolved where they lie and never shuffled. All other digests, each below the support by the summary's
-guarantee, are grouped by an ordinary shuffle.
+guarantee, are grouped by an ordinary shuffle. Texts of any length are normalised and hashed where they lie.
 
 Null text counts as the empty text and empty texts form one group. Repeated rows (same doc_id and text) are copies like any
 others: exactly one row of each group stays, one with the smallest doc_id. A null doc_id sorts after all others. An empty
@@ -14,7 +14,7 @@ table gives an empty result. Extra columns pass through :func:`exact_dedup` and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, written
@@ -51,12 +51,9 @@ def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """One row per input row: doc_id, digest, keep_id, group_size, kept."""
     table = written(digests(docs))
     heavy = F.broadcast(written(heavy_digests(table, support)))
-    group = Window.partitionBy("digest")
-    rest = (
-        table.join(heavy, "digest", "left_anti")
-        .withColumn("first", _first_row().over(group))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-    )
+    light = table.join(heavy, "digest", "left_anti")
+    # counts come together before the shuffle; the join that brings them back can split a group
+    rest = light.join(light.groupBy("digest").agg(_first_row().alias("first"), F.count(F.lit(1)).alias("group_size")), "digest")
     return (
         table.join(heavy, "digest")
         .unionByName(rest)

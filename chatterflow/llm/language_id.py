@@ -4,11 +4,12 @@ Every cell of the filter is a bitmask of languages. An n-gram frequent in a lang
 cells; a lookup ANDs the k cells and so returns all languages that contain the n-gram at once. A document's per-language
 popcounts over its n-grams, corrected for each language's false-positive rate fill**k, decide.
 
-The filter is learned from a bounded sample of labelled rows (about ``train_rows`` of each language, drawn by hash of
-doc_id), and only from rows that are not held out. Case is folded, ASCII non-letters are blanks, and each text is padded with
+The filter is learned from a bounded sample of labelled rows (about ``train_rows`` of each language, drawn by their place in
+the input), and only from rows that are not held out. Case is folded, ASCII non-letters are blanks, and each text is padded with
 blanks. Null, empty and letterless texts get ``und`` and score 0; a text whose n-grams are all unknown gets the most
 frequent learned language and score 0, as do ties between languages, which the larger one wins. Very long texts are one
-chunk of their own; repeated rows are judged each; with no labelled row every text is ``und``. Extra columns are ignored.
+chunk of their own; repeated rows are judged each; with no labelled row every text is ``und``. A row with a null doc_id is never held out. Languages may be any number; the
+filter has 8 MB for each 64 of them. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, sums_per, text_bytes, with_text
+from .common import chunks, drawn, held_out, sums_per, text_bytes, with_text, written
 
 #: Rows of each language to learn from, about; share of a language's sampled rows that must hold an n-gram.
 TRAIN_ROWS, MIN_SHARE = 3000, 0.01
-#: n-gram length in bytes, cells as a power of two, hash functions, and the languages that a mask can hold.
-N, BITS, K, MAX_LANGS = 4, 20, 3, 1024
+#: n-gram length in bytes, cells as a power of two, and hash functions.
+N, BITS, K = 4, 20, 3
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -96,15 +97,13 @@ class Filter:
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, min_share: float = MIN_SHARE) -> Filter:
     """Fit on text and non-null lang of a bounded sample of the rows that aren't held out."""
     train = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not sizes:
         return Filter([], [])
     langs = [r["lang"] for r in sizes]
     parts = 1_000_000
     share = F.create_map(*[F.lit(y) for r in sizes for y in (r["lang"], int(parts * min(1.0, train_rows / r["count"])))])
-    sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share[F.col("lang")])
+    sample = written(train.filter(drawn(share[F.col("lang")], parts)).select("lang", "text"))
     number = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +112,16 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, min_share: float = MIN_
             raw, off, _ = padded(batch.column("text"))
             for a, b in chunks(off):
                 x, x_off = grams(raw[off[a] : off[b]], off[a : b + 1] - off[a])
-                once = [np.unique(x[s:e]) | np.uint64(int(of[a + i]) << 48) for i, (s, e) in enumerate(zip(x_off[:-1], x_off[1:], strict=True))]
+                once = [np.unique(x[s:e]) | np.uint64(int(of[a + i]) << 8 * N) for i, (s, e) in enumerate(zip(x_off[:-1], x_off[1:], strict=True))]
                 keys, n = np.unique(np.concatenate(once), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
 
-    lang = F.shiftright("key", 48)
+    lang = F.shiftright("key", 8 * N)
     rows = sample.groupBy("lang").count().collect()
     least = F.create_map(*[F.lit(y) for r in rows for y in (number[r["lang"]], max(2.0 if r["count"] > 20 else 1.0, min_share * r["count"]))])
     kept = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least[lang.cast("int")])
     keys = np.fromiter((r[0] for r in kept.select("key").toLocalIterator()), np.int64)
-    return Filter(langs, [keys[keys >> 48 == i] & ((1 << 48) - 1) for i in range(len(langs))])
+    return Filter(langs, [keys[keys >> 8 * N == i] & ((1 << 8 * N) - 1) for i in range(len(langs))])
 
 
 def predict(docs: DataFrame, model: Filter) -> DataFrame:

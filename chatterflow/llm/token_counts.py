@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FIRST_BYTES, blocks, chunks, mix, sums_per, text_bytes, with_text
+from .common import _FIRST_BYTES, blocks, chunks, drawn, mix, sums_per, text_bytes, with_text
 
 #: Rows, about, in which frequent pre-tokens are counted, and 2**TABLE_BITS cells of 17 bytes in the broadcast table.
 SAMPLE_ROWS, TABLE_BITS = 4000, 17
@@ -118,7 +118,7 @@ def frequent(docs: DataFrame, many: int, sample_rows: int = SAMPLE_ROWS) -> list
 
     parts = 1_000_000
     share = int(parts * min(1.0, sample_rows / max(1, docs.count())))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share).select("text")
+    sample = docs.filter(drawn(share, parts)).select("text")
     counted = sample.mapInArrow(count, "pre binary, n long").groupBy("pre").agg(F.sum("n").alias("n"))
     return [bytes(r["pre"]) for r in counted.orderBy(F.desc("n"), "pre").limit(many).collect()]
 

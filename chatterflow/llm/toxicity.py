@@ -2,12 +2,15 @@
 
 Texts are lower-cased, homoglyphs become Latin letters, digits that stand for letters become those letters, and everything
 else in ASCII becomes a blank. The lexicon (whole words and beginnings of words) and its weights, smoothed log odds, are
-learned from a bounded sample of labelled rows that aren't held out; so is the logistic curve from the length-normalised sum
-of weights to a score. Matches inside an exception phrase don't count.
+learned from a bounded sample of labelled rows that aren't held out; so are the exception phrases, pairs of neighbouring words
+that hold a term and yet are no more frequent in toxic rows, and the logistic curve from the length-normalised sum of weights
+to a score. Matches inside an exception phrase don't count. The lexicon keeps its ``MAX_TERMS`` heaviest terms.
 
-Labels: a doc_id is toxic if any of its labels is above 0; null labels are ignored. Null and empty texts score as a text without a
+Labels: a doc_id is toxic if any of its labels is above 0 or true; null labels are ignored, and so are labels of a null doc_id;
+of a doc_id's several texts the smallest is learned from. A null doc_id is never held out. Null and empty texts score as a text without a
 match. Without any labelled row, or with labels of one kind only, every text gets the share of toxic labels (0 if none), and
-nothing is matched. Very long texts are matched whole; repeated rows are scored each; extra columns are ignored.
+nothing is matched. Very long texts are matched whole; repeated rows are scored each; extra columns are ignored. An empty table
+gives an empty result. Of terms that tie at the limit the first in the alphabet stay.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ TRAIN_ROWS = 12_000
 MIN_POSITIVE, MIN_WEIGHT, MIN_Z, MAX_TERMS = 3, 1.5, 3.5, 5000
 #: Beginnings of words that are looked at besides whole words, in characters.
 PREFIXES = (6, 8)
-#: Phrases, folded, in which a term is harmless.
+#: An exception phrase must be in so many rows that aren't toxic, and at most so many are kept.
+MIN_HARMLESS, MAX_PHRASES = 5, 1000
+#: Phrases, folded, in which a term is harmless, besides those that are learned.
 EXCEPTIONS = ("idiot proof", "clown fish", "trash can", "trash bin", "sore loser", "pond scum")
 #: Characters that look like a Latin letter: Cyrillic and Greek, then the letters that they look like.
 LOOKALIKES = str.maketrans("аеіјорсухѕԁԛԝһαεικνορτυχ", "aeijopcyxsdqwhaeiknoptux")
@@ -89,6 +94,20 @@ class Lexicon:
             best = {at: w for at, w in best.items() if not a <= at < b}
         return sum(best.values())
 
+    def pairs(self, folded: str) -> set[str]:
+        """Pairs of neighbouring words of which one begins as a term does."""
+        automaton, out = self.automaton(), set()
+        for end, (size, w) in automaton.iter(folded) if len(automaton) else ():
+            at = end - size + 1  # the blank before the word
+            if w is None:
+                continue
+            stop = folded.find(" ", at + 1)
+            after, before = folded[stop + 1 :].split(" ", 1)[0] if stop >= 0 else "", folded[:at].rsplit(" ", 1)[-1]
+            word = folded[at + 1 : stop]
+            out |= {f"{word} {after}"} if after else set()
+            out |= {f"{before} {word}"} if before else set()
+        return out
+
     def features(self, texts: pa.Array) -> np.ndarray:
         """Sum of weights over the logarithm of the length, for each text."""
         out = np.empty(len(texts))
@@ -115,13 +134,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
-    marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    marked = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic").cast("double") > 0).cast("int")).alias("toxic"))
     n = marked.count()
     parts = 1_000_000
     share = int(parts * min(1.0, train_rows / max(1, n)))
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share)
-    # about train_rows narrow rows at most, whatever the input: they can be broadcast
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))))
+    # about train_rows narrow rows at most, one for each doc_id, whatever the input: they can be broadcast
+    met = with_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = written(met.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))))
     sizes = {(r["toxic"], r["part"] == 0): r["n"] for r in sample.groupBy("toxic", (F.col("part") == 0).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     positives, negatives = (sum(v for (t, _), v in sizes.items() if t == k) for k in (1, 0))
     if not positives or not negatives:
@@ -148,6 +168,20 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> L
     )
     lexicon = Lexicon({r["term"]: r["w"] for r in terms.collect()})
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                seen[toxic].update(lexicon.pairs(fold(text or "")))
+        found = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([seen[1][t] for t in found], pa.int64()), pa.array([seen[0][t] for t in found], pa.int64())], names=["term", "p", "n"])
+
+    harmless = (
+        sample.filter("part <> 0").mapInArrow(pairs, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        .filter((F.col("n") >= MIN_HARMLESS) & (weight <= 0)).orderBy(F.desc("n"), "term").limit(MAX_PHRASES).collect()
+    )
+    lexicon = Lexicon(lexicon.weights, (*EXCEPTIONS, *(r["term"] for r in harmless if r["term"] not in EXCEPTIONS)))
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(lexicon.features(batch.column("text"))), batch.column("toxic")], names=["x", "y"])

@@ -1,15 +1,16 @@
 """URL filters: host and path rules, then a list of canonical URLs behind a blocked Bloom filter.
 
-A listed entry is a canonical ``host/path``; it covers its host's subdomains and the paths below it. A page is looked up by
-every (host suffix, path prefix) key. The keys' hashes go through a blocked Bloom filter (one 512-bit block per key, one bit
+A listed entry is a ``host/path``; it covers its host's subdomains and the paths below it. The list is brought to the same
+canonical form as pages: hosts in lower case without user, port and final dots, paths as below, a host alone with its slash.
+A path without a final slash covers itself and what is below it. A page is looked up by every (host suffix, path prefix) key. The keys' hashes go through a blocked Bloom filter (one 512-bit block per key, one bit
 in each of its eight words), built by Spark as a bitwise OR per block and no larger than ``MAX_BLOCKS``; only possible hits
 leave that map stage, and an exact hash join with the list removes the false positives. However full the filter gets, it
 never loses a hit.
 
 Hosts are compared without user, port and final dots, paths with percent signs decoded and dot segments resolved, for listed keys
 as for pages. Null urls and urls without ``://`` have empty host and path, fit no rule and aren't listed: they are allowed. Of rules
-of one length that fit, the later in order wins, and there are none that both fit. Repeated pages are judged each. Very long urls only have more host suffixes and path prefixes, which are looked up as far as the longest
-listed host and the deepest listed folder. An empty table or list gives an empty result or no hits. Extra columns are ignored.
+of one length that fit, the later in order wins, and there are none that both fit. Repeated pages are judged each. Very long urls only have more host suffixes and path prefixes, which are looked up from the shortest
+to the longest listed host and down to the deepest listed folder. Null entries and entries without a host cover nothing. An empty table or list gives an empty result or no hits. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: (verdict, rule) in the form that they are given in: host, then path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Sites listed by default.
@@ -68,17 +71,27 @@ def canonical_path(path: Column) -> Column:
     return F.when(decoded.rlike(r"//|/\.{1,2}(/|\z)"), F.concat(F.lit("/"), F.array_join(folders, "/"), tail)).otherwise(decoded)
 
 
-def depths(listed: DataFrame) -> tuple[int, int]:
-    """The most labels and the most folders (the root is one) of the listed keys."""
-    sizes = F.size(F.split(F.substring_index("key", "/", 1), r"\.")), F.size(F.split("key", "/")) - 1
-    return tuple(max(n or 0, 1) for n in listed.agg(*map(F.max, sizes)).first())
+def canonical_list(listed: DataFrame) -> DataFrame:
+    """The distinct keys of a list: canonical host and path; a path without a final slash also as a folder."""
+    bare = F.regexp_replace("key", r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    at = F.instr(bare, "/")
+    parts = listed.select(F.when(at > 0, F.left(bare, at - 1)).otherwise(bare).alias("host"), F.when(at > 0, F.substr(bare, at)).otherwise("/").alias("path"))
+    parts = parts.select(canonical_host(F.translate("host", _UPPER, _LOWER)).alias("host"), canonical_path(F.col("path")).alias("path")).filter("host <> ''")
+    both = F.when(F.col("path").endswith("/"), F.array("path")).otherwise(F.array("path", F.concat("path", F.lit("/"))))
+    return parts.select("host", F.explode(both).alias("path")).select(F.concat("host", "path").alias("key")).distinct()
+
+
+def depths(listed: DataFrame) -> tuple[int, int, int]:
+    """The fewest and the most labels and the most folders (the root is one) of the listed keys."""
+    labels, folders = F.size(F.split(F.substring_index("key", "/", 1), r"\.")), F.size(F.split("key", "/")) - 1
+    return tuple(max(n or 0, 1) for n in listed.agg(F.min(labels), F.max(labels), F.max(folders)).first())
 
 
-def keys(host: Column, path: Column, n_labels: int, n_folders: int) -> Column:
-    """All listed forms that would cover this page: host suffixes of two labels and more, with path prefixes, up to these depths."""
+def keys(host: Column, path: Column, least: int, n_labels: int, n_folders: int) -> Column:
+    """All listed forms that would cover this page: host suffixes of ``least`` labels and more, with path prefixes, up to these depths."""
     labels = F.split(canonical_host(host), r"\.")
     suffixes = F.transform(
-        F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.size(labels), F.lit(n_labels)))),
+        F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.size(labels), F.lit(n_labels)))),
         lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), "."),
     )
     path = canonical_path(path)
@@ -148,8 +161,7 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -> Dat
     spark = pages.sparkSession
     if listed is None:
         listed = spark.createDataFrame([(x,) for x in LISTED], "key string")
-    at = F.instr("key", "/") - 1
-    listed = listed.filter("key is not null").select(F.concat(F.left("key", at), canonical_path(F.substr("key", at + 1))).alias("key")).distinct()
+    listed = written(canonical_list(listed.filter("key is not null").select("key")))
     base = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     base = base.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     open_ = base.filter(F.col("best").isNull()).withColumn("keys", keys(F.col("host"), F.col("path"), *depths(listed)))

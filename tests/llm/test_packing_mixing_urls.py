@@ -216,7 +216,7 @@ def test_query_equals_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
     order = lambda columns, rows: sorted(tuple(str(r[columns.index(c)]) for c in sorted(columns)) for r in rows)
