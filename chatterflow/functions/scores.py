@@ -154,6 +154,23 @@ def coverage_reliability(kind: Column, canonical: Column, rate_limited: Column,
     return F.round(clamp(out, 0.0, 1.0), 3)
 
 
+def coverage_reasons(kind: Column, canonical: Column, rate_limited: Column, feed_capped: Column, post_capped: Column, posts: Column, missed: Column) -> Column:
+    """SC16: why the reliability isn't full, in the order of its penalties."""
+    # The reasons.
+    found = F.array_compact(
+        F.array(
+            F.when(~canonical, "Discovery or comment-inclusive run; useful for evidence, weaker for acceleration."),
+            F.when(kind == "thread_url", "Single-thread source; not a broad subreddit sample."),
+            F.when(rate_limited, "Reddit rate limit affected collection."),
+            F.when(feed_capped, "RSS cap was hit before the requested window was fully visible."),
+            F.when(post_capped, "Configured post cap stopped collection before the feed was exhausted."),
+            F.when(posts == 0, "No posts returned for this source.").when(posts < 10, "Very small post sample.").when(posts < 30, "Post sample is below the preferred 30-post trend minimum."),
+            F.when(missed > 0.35, "Oldest returned post does not cover much of the requested window."),
+        )
+    )
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Comparable posts-only source sample.")))
+
+
 def reliability_name(value: Column) -> Column:
     return F.when(value >= 0.8, "High").when(value >= 0.5, "Medium").otherwise("Low")
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lex
 from ..functions import scores as S
 from ..functions import text as T
-from ..schema import CLASSIFICATION
 
 
 # What the deterministic classifier says.
@@ -75,31 +74,70 @@ def with_scores(classified: DataFrame) -> DataFrame:
 
 
 def parsed_answer(content: Column) -> Column:
-    """ARR4: a model's JSON answer; else what stands between its first and last brace; else null."""
-    kind = CLASSIFICATION.simpleString()
-    whole = F.from_json(content, kind, {"mode": "PERMISSIVE"})
-    inner = F.from_json(F.regexp_extract(content, r"(?s)(\{.*\})", 1), kind, {"mode": "PERMISSIVE"})
-    return F.when(F.trim(content).startswith("{") & F.try_parse_json(content).isNotNull(), whole).otherwise(inner)
+    """ARR4: a model's JSON answer as a VARIANT; else what stands between its first and last brace; null where neither is an object."""
+    object_ = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    inner = F.regexp_extract(content, r"(?s)(\{.*\})", 1)
+    return F.coalesce(object_(F.try_parse_json(content)), object_(F.try_parse_json(inner)))
+
+
+def _normal(answer: Column, allowed: Column) -> dict[str, Column]:
+    """DF3, ARR4-6, NUM3-5: the columns of a classification from a loose answer.
+
+    Absent fields have their defaults; texts are trimmed; scores lie within their bounds and are the least one where they are no
+    numbers; a text counts as a list of one; tickers are those of ``allowed`` alone, once each.
+    """
+    raw = lambda c: F.try_variant_get(answer, f"$.{c}", "variant")
+    kind = lambda c: F.coalesce(F.schema_of_variant(raw(c)), F.lit("VOID"))
+    text = lambda c: F.trim(F.coalesce(F.try_variant_get(answer, f"$.{c}", "string"), F.lit("")))
+    number = lambda c: F.try_variant_get(answer, f"$.{c}", "double")
+    bounded = lambda c: S.clamp(F.coalesce(number(c), F.lit(0.0)), 0, 10).cast("int")
+    one_of = lambda c, values, default: F.when(F.lower(text(c)).isin(*values), F.lower(text(c))).otherwise(default)
+    case = lambda c: F.when(F.lower(text(c)).isin("true", "false", "null", "none"), "").otherwise(text(c))
+
+    def texts(c: str) -> Column:
+        many = F.when(kind(c).startswith("ARRAY"), F.try_variant_get(answer, f"$.{c}", "array<string>")).when(kind(c) == "STRING", F.array(text(c)))
+        return F.filter(F.transform(F.coalesce(many, F.array()), lambda t: F.trim(F.coalesce(t, F.lit("None")))), lambda t: t != "")
+
+    flag = F.when(kind("needs_deeper_analysis") == "STRING", S.coerce_bool(text("needs_deeper_analysis"))).otherwise(
+        F.coalesce(number("needs_deeper_analysis") != 0, F.try_variant_get(answer, "$.needs_deeper_analysis", "boolean"), F.lit(False))
+    )
+    return {
+        "sentiment": one_of("sentiment", lex.ALL_SENTIMENTS, "irrelevant"), "evidence_quality": one_of("evidence_quality", lex.QUALITY_WEIGHTS, "low"),
+        "confidence": F.when(raw("confidence").isNull(), 0.3).otherwise(S.clamp(F.coalesce(number("confidence"), F.lit(0.0)), 0, 1)),
+        "tickers": F.array_intersect(F.transform(texts("tickers"), F.upper), F.coalesce(allowed, F.array())),
+        "summary": text("summary"), "bull_case": case("bull_case"), "bear_case": case("bear_case"), "needs_deeper_analysis": flag,
+        **{c: bounded(c) for c in ("depth_score", "hype_score", "claim_specificity_score", "repetition_score")},
+        "red_flags": texts("red_flags"), "claims_to_verify": texts("claims_to_verify"),
+    }
 
 
 def normalised_answer(items: DataFrame, content: str = "content", allowed: str = "allowed_tickers") -> DataFrame:
-    """DF3: enums with defaults, scores in bounds, lists trimmed and distinct, tickers only from the allowed ones."""
-    a = items.withColumn("_a", parsed_answer(F.col(content)))
-    x = lambda name: F.col(f"_a.{name}")
-    bounded = lambda name: S.clamp(F.coalesce(x(name), F.lit(0)), 0, 10).cast("int")
-    sentiment, quality = F.lower(F.trim(x("sentiment"))), F.lower(F.trim(x("evidence_quality")))
-    upper = F.transform(F.coalesce(x("tickers"), F.array()), lambda t: F.upper(F.trim(t)))
-    texts = lambda name: F.array_distinct(F.filter(F.transform(F.coalesce(x(name), F.array()), F.trim), lambda t: t != ""))
-    return a.withColumns(
-        {
-            "sentiment": F.when(sentiment.isin(*lex.ALL_SENTIMENTS), sentiment).otherwise("irrelevant"),
-            "evidence_quality": F.when(quality.isin(*lex.QUALITY_WEIGHTS), quality).otherwise("low"),
-            "confidence": S.clamp(F.coalesce(x("confidence"), F.lit(0.0)), 0, 1),
-            "depth_score": bounded("depth_score"), "hype_score": bounded("hype_score"),
-            "tickers": F.array_distinct(F.array_intersect(upper, F.col(allowed))),
-            "red_flags": texts("red_flags"), "claims_to_verify": texts("claims_to_verify"),
-        }
-    ).drop("_a")
+    """DF3: the columns of a classification from each row's answer."""
+    return items.withColumn("_a", parsed_answer(F.col(content))).withColumns(_normal(F.col("_a"), F.col(allowed))).drop("_a")
+
+
+def answered(items: DataFrame, answers: DataFrame, finance=lex.FINANCE_TERMS, phrases=lex.REPETITION_PHRASES, **terms) -> DataFrame:
+    """DF3 with DF1's retries: landed model answers where one can be read, the deterministic classifier's view elsewhere.
+
+    answers: item_id, attempt, content; an item's first attempt that holds an object counts, the others were retried. What an answer
+    leaves out is derived from the text: specificity and repetition of 0, claims that are none. Items have tickers and
+    company_names, as they were offered to the model; ``classifier_mode`` tells whose view it is.
+    """
+    usable = answers.select("item_id", "attempt", "content").filter(parsed_answer(F.col("content")).isNotNull())
+    best = usable.groupBy("item_id").agg(F.min_by("content", "attempt").alias("_content"))
+    base = fallback(items, finance=finance, **terms).join(best, "item_id", "left").withColumn("_a", parsed_answer(F.col("_content")))
+    body = F.trim(F.concat_ws(" ", "thread_title", "body_text"))
+    view = _normal(F.col("_a"), F.col("tickers"))
+    derived = {"claim_specificity_score": S.specificity(body, finance), "repetition_score": S.repetition(body, phrases)}
+    for c, d in derived.items():
+        view[c] = F.when(view[c] != 0, view[c].cast("long")).otherwise(d)
+    claims = T.claims_to_verify(body)
+    view["claims_to_verify"] = F.when(F.size(view["claims_to_verify"]) > 0, view["claims_to_verify"]).otherwise(claims)
+    name = lambda t: F.get(F.coalesce("company_names", F.array()), F.array_position("tickers", t).cast("int") - 1)
+    view["company_names"] = F.transform(view["tickers"], lambda t: F.coalesce(name(t), F.lit("Unknown")))
+    view["classifier_mode"] = F.lit("ollama")
+    ours = {c: F.col(c) for c in view if c != "claims_to_verify"} | {"claims_to_verify": claims}
+    return base.withColumns({c: F.when(F.col("_a").isNotNull(), v).otherwise(ours[c]) for c, v in view.items()}).drop("_a", "_content")
 
 
 def deeper(classified: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lex
 from ..functions import scores as S
+from ..sources.storage import written
+from .ranges import numbered
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -72,20 +74,21 @@ def thread_summary(mentions: DataFrame) -> DataFrame:
 def representative(mentions: DataFrame, size: int = 10) -> DataFrame:
     """TOP5: per ticker four best, three newest, two bullish, two bearish, two hyped, then best again up to ``size``.
 
-    One row of quota ranks per mention; ranked windows per ticker share one exchange.
+    Each quota is a first-n of its own, which Spark cuts before the shuffle: of a ticker no task meets more than n rows from each
+    other task, however many it has. The few that are left are ranked once more. A ticker has an item once.
     """
-    by = Window.partitionBy("ticker")
-    best = (F.desc("alpha_signal_score"), F.desc("confidence"), "item_id")
-    rank = lambda test, *order: F.when(test, F.row_number().over(by.orderBy(F.when(test, 0).otherwise(1), *order)))
-    true = F.lit(True)
-    ranks = {
-        "q1": (rank(true, *best), 4), "q2": (rank(true, F.desc("created_time"), "item_id"), 3), "q3": (rank(F.col("sentiment") == "bullish", *best), 2),
-        "q4": (rank(F.col("sentiment") == "bearish", *best), 2), "q5": (rank(F.col("hype_score") >= 7, F.desc("hype_score"), "item_id"), 2),
-    }
-    out = mentions.withColumns({k: v for k, (v, _) in ranks.items()})
-    stage = F.least(*[F.when(F.col(k) <= n, F.lit(i * 100) + F.col(k)) for i, (k, (_, n)) in enumerate(ranks.items())])
-    out = out.withColumn("stage", F.coalesce(stage, F.lit(1000) + F.col("q1")))
-    return out.withColumn("place", F.row_number().over(by.orderBy("stage", "item_id")).cast("long")).filter(F.col("place") <= size).drop(*ranks, "stage")
+    best, every = (F.desc("alpha_signal_score"), F.desc("confidence"), "item_id"), F.lit(True)
+    quotas = [
+        (every, best, 4), (every, (F.desc("created_time"), "item_id"), 3), (F.col("sentiment") == "bullish", best, 2), (F.col("sentiment") == "bearish", best, 2),
+        (F.col("hype_score") >= 7, (F.desc("hype_score"), "item_id"), 2), (every, best, size),
+    ]
+    first, out = Window.partitionBy("ticker"), None
+    for i, (test, order, n) in enumerate(quotas):
+        rows = mentions.filter(test).withColumn("_n", F.row_number().over(first.orderBy(*order))).filter(F.col("_n") <= n)
+        rows = rows.withColumn("_stage", F.lit(i * 10_000) + F.col("_n")).drop("_n")
+        out = rows if out is None else out.unionByName(rows)
+    once = first_by(out, ["ticker", "item_id"], "_stage")
+    return once.withColumn("place", F.row_number().over(first.orderBy("_stage", "item_id")).cast("long")).filter(F.col("place") <= size).drop("_stage")
 
 
 def spikes(buckets: DataFrame, mentions: DataFrame, top: int = 5) -> DataFrame:
@@ -108,20 +111,20 @@ def compare(now: DataFrame, before: DataFrame, metrics: list[str], key: str = "t
     return out
 
 
-#: Times that a dense grid may have: a century of days.
-CALENDAR = 36_525
+#: Times that stand in one row of a calendar.
+CHUNK = 4096
 
 
 def dense(buckets: DataFrame, keys: str, time: str, values: list[str]) -> DataFrame:
     """JN20: every key at every time, missing values as zero.
 
-    The times (weeks, days) are put into one array per key, so no join without a key is needed; there may be ``CALENDAR`` at most.
+    The times (weeks, days), however many, form a calendar of numbered chunks; each key meets every chunk by its number.
     """
-    known = buckets.select(time).distinct().limit(CALENDAR + 1).count()
-    if known > CALENDAR:
-        raise ValueError(f"a calendar of more than {CALENDAR} times")
-    times = buckets.agg(F.array_sort(F.collect_set(time)).alias("_times"))
-    grid = buckets.select(keys).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(times.withColumn("_one", F.lit(1))), "_one").select(keys, F.explode("_times").alias(time))
+    numbered_ = numbered(buckets.select(time).distinct(), [], [time], "_n")
+    chunks = written(numbered_.groupBy(F.floor((F.col("_n") - 1) / CHUNK).alias("_chunk")).agg(F.array_sort(F.collect_list(time)).alias("_times")))
+    last = chunks.count() - 1
+    each = buckets.select(keys).distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(last, 0)).cast("long"))))
+    grid = each.join(chunks, "_chunk").select(keys, F.explode("_times").alias(time))
     return grid.join(buckets.groupBy(keys, time).agg(*(F.sum(v).alias(v) for v in values)), [keys, time], "left").fillna(0, values)
 
 
@@ -134,9 +137,13 @@ def dedupe_union(frames: list[DataFrame], keys: list[str], order: str) -> DataFr
     return first_by(out, keys, "_frame", order).drop("_frame")
 
 
-def wide(df: DataFrame, index: str, column: str, value: str, names: list[str]) -> DataFrame:
-    """SNK11: mean of a value by index and column; ``names``: the columns' values, so that no extra job looks for them."""
-    return df.groupBy(index).pivot(column, names).agg(F.round(F.avg(value), 4))
+def wide(df: DataFrame, index: str, column: str, value: str, names: list[str], first: str | None = None) -> DataFrame:
+    """SNK11, AGG23: by index and column the mean of a value, or the one of the row that is first by ``first``.
+
+    ``names``: the columns' values, so that no extra job looks for them.
+    """
+    cell = F.min_by(value, first) if first else F.round(F.avg(value), 4)
+    return df.groupBy(index).pivot(column, names).agg(cell)
 
 
 def reset_corpus_scores(summary: DataFrame) -> DataFrame:
@@ -148,13 +155,19 @@ def reset_corpus_scores(summary: DataFrame) -> DataFrame:
 def consensus(mentions: DataFrame) -> DataFrame:
     """DF5: the deterministic consensus per ticker, and the signature of the evidence that it rests on (ARR2).
 
-    With a column ``claims`` also the first five bull and bear claims, each once.
+    The signature follows from the number of mentions, the newest one and the sum of their rows' hashes, so it changes with any
+    row, rows that repeat included, and not with their order. With a column ``claims`` also the first five bull and bear claims,
+    each once.
     """
+    row = F.sha1(F.concat_ws("|", F.col("item_id").cast("string"), "sentiment", F.col("alpha_signal_score").cast("string")))
+    number = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
     out = mentions.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("mentions"), F.count_if(F.col("sentiment") == "bullish").alias("bullish"), F.count_if(F.col("sentiment") == "bearish").alias("bearish"),
         F.avg("hype_score").alias("hype"), F.avg("evidence_quality_numeric").alias("evidence"), F.bool_or(F.col("classifier_mode") == "fallback").alias("any_fallback"), F.max("created_time").alias("newest"),
-        F.bit_xor(F.xxhash64("item_id", "sentiment", "alpha_signal_score")).alias("signature"),
+        F.sum(number).cast("string").alias("_sum"),
     )
+    newest = F.coalesce(F.unix_micros("newest").cast("string"), F.lit(""))
+    out = out.withColumn("signature", F.substring(F.sha1(F.concat_ws("|", "ticker", F.col("mentions").cast("string"), newest, "_sum")), 1, 20)).drop("_sum")
     bull, bear = F.col("bullish"), F.col("bearish")
     stance = F.when(bull + bear == 0, "neutral").when(bull > bear * 1.35, "bullish").when(bear > bull * 1.35, "bearish").otherwise("mixed")
     # The flags.

@@ -11,8 +11,8 @@ from ..functions import scores as S
 def source_coverage(items: DataFrame, keys: list[str], window_days: float, post_cap: int = 100, facts: DataFrame | None = None) -> DataFrame:
     """AGG22 with SC16: one row per run and source. ``items``: keys, item_type, thread_id, author_hash, created_time, window_start.
 
-    ``facts``: by key source_kind, canonical, rate_limited and feed_capped, as the collector noted them; where there are none,
-    the source is a canonical subreddit without limits.
+    ``facts``: by key source_kind, canonical, rate_limited, feed_capped and, where it failed, collection_error, as the collector
+    noted them; where there are none, the source is a canonical subreddit without limits.
     """
     out = items.groupBy(*keys).agg(
         F.count_if(F.col("item_type") == "post").alias("posts_returned"), F.count_if(F.col("item_type") == "comment").alias("comments_returned"),
@@ -23,20 +23,27 @@ def source_coverage(items: DataFrame, keys: list[str], window_days: float, post_
     missed = F.greatest(seconds / 1e6, F.lit(0.0)) / (window_days * 86400)
     capped = F.col("posts_returned") >= post_cap
     known = {"source_kind": F.lit("subreddit"), "canonical": F.lit(True), "rate_limited": F.lit(False), "feed_capped": F.lit(False)}
+    error = F.nullif(F.col("collection_error"), F.lit("")) if facts is not None and "collection_error" in facts.columns else F.lit(None).cast("string")
     if facts is not None:
-        out = out.join(facts.select(*keys, *known), keys, "left")
+        out = out.join(facts.select(*keys, *known, *(["collection_error"] if "collection_error" in facts.columns else [])), keys, "left")
     out = out.withColumns({c: F.coalesce(F.col(c), default) if facts is not None else default for c, default in known.items()})
-    value = S.coverage_reliability(*(F.col(c) for c in known), capped, F.col("posts_returned"), missed)
-    return out.withColumn("hit_post_cap", capped).withColumn("coverage_reliability", value).withColumn("reliability_label", S.reliability_name(value))
+    given = (*(F.col(c) for c in known), capped, F.col("posts_returned"), missed)
+    value = F.when(error.isNotNull(), 0.0).otherwise(S.coverage_reliability(*given))
+    reasons = F.when(error.isNotNull(), F.array(error)).otherwise(S.coverage_reasons(*given))
+    return out.withColumns({"hit_post_cap": capped, "coverage_reliability": value, "reliability_label": S.reliability_name(value), "reasons": reasons})
 
 
 def summarize(coverage: DataFrame, keys: list[str]) -> DataFrame:
-    """AGG7: sums, and the mean reliability weighted by posts (one at least)."""
+    """AGG7: sums, the mean reliability weighted by posts (one at least), and the first five reasons, in the order of sources."""
     weight = F.greatest("posts_returned", F.lit(1))
-    return coverage.groupBy(*keys).agg(
+    sums = coverage.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sources"), F.sum("posts_returned").alias("posts"), F.sum("unique_threads").alias("threads"), F.sum("unique_authors").alias("authors"),
         F.count_if("hit_post_cap").alias("capped_sources"), F.count_if("feed_capped").alias("feed_capped_sources"), F.round(F.sum(F.col("coverage_reliability") * weight) / F.sum(weight), 3).alias("coverage_reliability"),
     )
+    # of a reason that many sources have only the first place goes on
+    each = coverage.select(*keys, "source_name", F.posexplode("reasons").alias("_n", "reason")).groupBy(*keys, "reason").agg(F.min(F.struct("source_name", "_n")).alias("_first"))
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("_first", "reason"))), 1, 5)
+    return sums.join(each.groupBy(*keys).agg(F.transform(listed, lambda r: r["reason"]).alias("reasons")), keys, "left")
 
 
 def adjusted_trend(summary: DataFrame, coverage: DataFrame, runs: DataFrame, run: str = "analysis_run_id") -> DataFrame:
@@ -44,15 +51,16 @@ def adjusted_trend(summary: DataFrame, coverage: DataFrame, runs: DataFrame, run
 
     Rates are per hundred posts, threads (at least as many as posts) and authors of the run. ``summary``: run, ticker,
     total_mentions, unique_threads, unique_authors, average_hype_score, repetition_score, acceleration_score and
-    emerging_ticker_score. ``coverage``: run, posts, threads, authors, coverage_reliability, feed_capped_sources. ``runs``: run,
-    previous_run_id (null without a baseline), measured.
+    emerging_ticker_score. ``coverage``: run, posts, threads, authors, coverage_reliability, feed_capped_sources, reasons. ``runs``:
+    run, previous_run_id (null without a baseline), measured. The adjusted score takes the place of acceleration_score, and of
+    coverage_reliability the one that it was weighted with; of the run's own reasons the first two are named, four in all.
     """
     posts, threads = F.col("posts"), F.greatest("threads", "posts", F.lit(1))
     rate = lambda x, y: F.round(F.col(x) / y * 100, 3)
     rates = {
         "mention_rate": rate("total_mentions", F.greatest(posts, F.lit(1))), "thread_rate": rate("unique_threads", threads), "author_rate": rate("unique_authors", F.greatest("authors", F.lit(1))),
     }
-    now = summary.join(coverage.select(run, "posts", "threads", "authors", "coverage_reliability", "feed_capped_sources"), run).withColumns(rates)
+    now = summary.join(coverage.select(run, "posts", "threads", "authors", "coverage_reliability", "feed_capped_sources", "reasons"), run).withColumns(rates)
     # a run's own coverage, seen from the runs that it is the baseline of
     base = coverage.select(F.col(run).alias("previous_run_id"), F.col("posts").alias("previous_posts"), F.col("coverage_reliability").alias("previous_reliability"), F.col("feed_capped_sources").alias("previous_capped"))
     old = now.select(F.col(run).alias("previous_run_id"), "ticker", F.col("total_mentions").alias("previous_mentions"), *(F.col(k).alias(f"previous_{k}") for k in rates))
@@ -71,12 +79,13 @@ def adjusted_trend(summary: DataFrame, coverage: DataFrame, runs: DataFrame, run
     # The reasons.
     discovery = "Discovery scrape is excluded from proper acceleration; use it for ticker discovery and evidence review."
     alone = "No previous measurement scrape exists for this exact source set yet."
-    reasons = F.array_compact(
+    also = F.array_compact(
         F.array(
             F.when(small, "Current or previous measurement sample is below 30 posts."), F.when(~known, "Ticker was not present in the previous matched measurement run."),
             F.when(F.col("previous_capped") > 0, "Previous measurement had at least one RSS-capped source."), F.when(F.col("feed_capped_sources") > 0, "Current measurement had at least one RSS-capped source."),
         )
     )
+    reasons = F.slice(F.array_distinct(F.concat(F.slice(F.coalesce("reasons", F.array()), 1, 2), also)), 1, 4)
     fits = F.col("measured") & F.col("previous_run_id").isNotNull()
     score = F.when(fits, F.round(S.clamp(raw * reliability * hype * repetition), 2)).otherwise(0.0)
     return out.withColumns(
@@ -85,8 +94,9 @@ def adjusted_trend(summary: DataFrame, coverage: DataFrame, runs: DataFrame, run
             "trend_reliability": F.when(~F.col("measured"), "Discovery").when(F.col("previous_run_id").isNull(), "Needs baseline").otherwise(S.reliability_name(reliability)),
             "trend_reliability_reason": F.when(~F.col("measured"), discovery).when(F.col("previous_run_id").isNull(), alone).otherwise(F.array_join(reasons, "; ")),
             "emerging_ticker_score": F.round(S.clamp(F.col("emerging_ticker_score") - F.col("acceleration_score") * 0.45 + score * 0.45), 2),
+            "acceleration_score": score, "coverage_reliability": F.when(fits, F.round(reliability, 3)).otherwise(F.col("coverage_reliability")),
         }
-    )
+    ).drop("reasons")
 
 
 def previous_run(runs: DataFrame, run: str = "run_id") -> DataFrame:
@@ -107,5 +117,6 @@ def source_health(sources: DataFrame, coverage: DataFrame, activity: DataFrame)
     out = sources.join(coverage, "source_name", "left").join(activity, "source_name", "left")
     filled = out.fillna(0, ["posts_returned", "comments_returned", "mentions", "tickers"])
     items = F.col("posts_returned") + F.col("comments_returned")
+    # The states.
     status = F.when(F.col("coverage_reliability").isNull(), "No scrape").when(items == 0, "No items").when(F.col("tickers") == 0, "No tickers").otherwise("Active")
     return filled.withColumn("status", status)

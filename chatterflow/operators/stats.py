@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,6 +169,50 @@ def rolling_correlation(df: DataFrame, x: str, y: str, order: list[str], window:
     return out.filter("_own = _block").drop("_own", "_block", "_i") if by == ["_block"] else out
 
 
+def rolling_ranks(df: DataFrame, x: str, y: str, order: list[str], method: str, window: int = 30, by: list[str] | None = None) -> DataFrame:
+    """WIN15 by rank: Spearman's or Kendall's (tau-b) correlation over the last ``window`` complete rows, null below as for Pearson.
+
+    Rows are numbered within their series by ranges, and cut into blocks of ``RANKS`` numbers that each also have the
+    ``window`` - 1 rows before, so a series is spread. In a block all windows are one array: the signs of a window's pairwise
+    differences give Kendall's pairs, and their sums over a row its rank within the window, less the mean.
+    """
+    by = by or []
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = ranges.numbered(rows, by, order, "_i").withColumn("_i", F.col("_i") - 1)
+    own = F.floor(F.col("_i") / RANKS)
+    again = F.when((F.col("_i") % RANKS) > RANKS - window, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.withColumn("_own", own).withColumn("_block", F.explode(again))
+    least, names = min(max(8, window // 2), window), df.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("_i")
+        inside = block["_own"].to_numpy() == block["_block"].to_numpy()
+        signs = []
+        for c in (x, y):
+            v = np.concatenate((np.full(window - 1, np.nan), block[c].cast(pa.float64()).to_numpy()))
+            signs.append(np.lib.stride_tricks.sliding_window_view(v, window))
+        kept = np.flatnonzero(inside)
+        first = block["_i"].to_numpy()[kept]
+        n = np.minimum(first + 1, window)
+        out = np.empty(len(kept))
+        for a in range(0, len(kept), 256):
+            some = kept[a : a + 256]
+            sx, sy = (np.nan_to_num(np.sign(s[some][:, :, None] - s[some][:, None, :])) for s in signs)
+            if method == "spearman":
+                sx, sy = sx.sum(axis=2), sy.sum(axis=2)
+            else:
+                sx, sy = (s.reshape(len(some), -1) for s in (sx, sy))
+            both = np.sqrt((sx * sx).sum(axis=1) * (sy * sy).sum(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[a : a + 256] = (sx * sy).sum(axis=1) / both
+        out = block.filter(pa.array(inside)).select(names).append_column("rows_in_window", pa.array(n)).append_column("r", pa.array(out, mask=~np.isfinite(out)))
+        return out
+
+    found = rows.groupBy(*by, "_block").applyInArrow(run, f"{kinds}, rows_in_window long, r double")
+    return found.withColumn("rolling_correlation", F.when(F.col("rows_in_window") >= least, F.round("r", 5))).drop("r")
+
+
 def rolling_reading(rolling: DataFrame, order: list[str]) -> DataFrame:
     """ST15: what a rolling correlation tells, from its spread and its first and last values, in one row."""
     at = F.struct(*order)
@@ -358,8 +404,6 @@ def regression(df: DataFrame, target: str, predictors: list[str]) -> dict[str, o
 
     Null if fewer than k + 3 complete rows. Standard errors from the pseudo-inverse; normal p-values.
     """
-    import numpy as np
-
     names = ["intercept", *predictors]
     columns = {n: F.lit(1.0) if n == "intercept" else F.col(n).cast("double") for n in names}
     rows = df.filter(" AND ".join(f"{c} IS NOT NULL" for c in [target, *predictors]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import lexicons as lex
 from . import queries as Q
 
 _M = """m AS (
@@ -91,6 +92,17 @@ c3 AS (SELECT *, known AND (depth_score >= 7 OR spec >= 7) AS needs_deeper_analy
 _ALIAS = " || ".join(
     f"CASE WHEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){a}($|[^\\p{{L}}\\p{{N}}_])') THEN ',{t}' ELSE '' END" for a, t in Q.ALIASES.items()
 )
+_TOKENS = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+')"
+_ENTITY = f"""docs AS (SELECT doc_id, {_TOKENS} AS w, list_filter({_WORDS}, lambda x: regexp_full_match(x, '[A-Z]{{2,5}}')) AS marks, regexp_extract_all(text, '\\$([A-Z]{{1,5}})\\b', 1) AS cash, chr(1) || regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_ ]', chr(1), 'g') || chr(1) AS low FROM documents),
+    rows AS (SELECT doc_id AS line, upper(replace(w[1], 'ß', 'ss')) AS ticker, array_to_string(w[2:3], ' ') AS company_name, coalesce(w[4], '') AS a1, array_to_string(w[5:7], ' ') AS a2 FROM docs WHERE len(w) > 0),
+    one AS (SELECT ticker, min(line) AS line, max_by((company_name, a1, a2), line) AS r FROM rows GROUP BY 1),
+    each AS (SELECT ticker, r[1] AS company_name, line, n, lower([r[1], r[2], r[3]][n + 1]) AS alias FROM one, (SELECT unnest([0, 1, 2]) AS n)),
+    al AS (SELECT alias, min((line, n)) AS place, max_by((ticker, company_name), (line, n)) AS r FROM each WHERE alias <> '' GROUP BY 1),
+    hits AS (SELECT doc_id, r[1] AS ticker, r[2] AS company_name, 2 AS how, 0 AS seen, place FROM docs JOIN al ON contains(low, alias)
+        AND (contains(low, ' ' || alias || ' ') OR contains(low, chr(1) || alias || ' ') OR contains(low, ' ' || alias || chr(1)) OR contains(low, chr(1) || alias || chr(1)))
+        UNION ALL SELECT doc_id, ticker, r[1], how, seen, (0, 0) FROM (SELECT doc_id, unnest(marks) AS ticker, generate_subscripts(marks, 1) AS seen, 1 AS how FROM docs UNION ALL SELECT doc_id, unnest(cash), generate_subscripts(cash, 1), 0 FROM docs) JOIN one USING (ticker)
+        WHERE ticker NOT IN ({", ".join(repr(x) for x in sorted(lex.AMBIGUOUS_SYMBOLS))})),
+    firsts AS (SELECT doc_id, ticker, min((how, seen, place)) AS pos, arg_min(company_name, (how, seen, place)) AS company_name FROM hits GROUP BY ALL)"""
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 _RUNS = """runs AS (SELECT wk, 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, CASE WHEN ((wk - DATE '2024-01-01') // 7) % 5 = 4 THEN 'failed' ELSE 'completed' END AS status,
@@ -109,6 +121,16 @@ def _ring(catalog: str, n: int) -> str:
 ORACLES: dict[str, str] = {
     "symbol_extract": f"WITH {_D} SELECT item_id, array_to_string(symbols, ',') AS symbols FROM d2",
     "alias_extract": f"SELECT doc_id AS item_id, substr({_ALIAS}, 2) AS tickers FROM documents",
+    "entity_extract": f"""WITH {_ENTITY}, g AS (SELECT doc_id, string_agg(ticker, ',' ORDER BY pos) AS tickers, string_agg(coalesce(nullif(company_name, ''), 'Unknown'), ',' ORDER BY pos) AS company_names FROM firsts GROUP BY 1)
+        SELECT doc_id AS item_id, coalesce(tickers, '') AS tickers, coalesce(company_names, '') AS company_names FROM documents LEFT JOIN g USING (doc_id)""",
+    "json_tables": """WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '{}' WHEN event_id % 10 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END AS p FROM events)
+        SELECT event_id, CASE WHEN json_valid(p) THEN CAST(json_extract_string(p, '$.k') AS BIGINT) END AS k, CASE WHEN NOT json_valid(p) THEN p END AS unparsed,
+            '{"event_id":' || event_id || ',"props_json":' || CASE WHEN json_valid(p) THEN CAST(json(p) AS VARCHAR) ELSE CAST(to_json(p) AS VARCHAR) END || ',"score":' || CASE WHEN event_id % 7 = 0 THEN 'null' ELSE (event_id % 4) || '.0' END || '}' AS row FROM e""",
+    "value_labels": """WITH o AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'XYZ' ELSE upper(trim(lower(substr(o_orderpriority, 3, 3)))) END AS symbol, CASE WHEN o_orderkey % 9 > 0 THEN (o_orderkey % 2000 + 0.25) / 100000 END AS p FROM orders)
+        SELECT o_orderkey, CASE WHEN symbol = 'SQ' THEN 'XYZ' ELSE symbol END AS symbol, CASE WHEN p IS NULL THEN 'n/a' WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS p,
+            CASE WHEN o_orderkey % 9 = 0 THEN 'n/a' ELSE printf('%+d', o_custkey % 100 - 50) END AS delta FROM o""",
+    "first_cells": f"WITH {_M} SELECT ticker, " + ", ".join(f"arg_min(alpha, item_id) FILTER (source_name = 's{i}') AS s{i}" for i in range(5)) + " FROM m GROUP BY 1",
+    "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("orders", "lineitem", "events", "documents", "pages", "conversations", "labels", "embeddings")),
     "item_features": f"""WITH {_D} SELECT item_id, length(text) AS text_length, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count,
         regexp_matches(low, 'https?://|www\\.') AS contains_link, regexp_matches(text, '[0-9]') AS contains_numbers, {_hits(Q.FINANCE)} > 0 AS contains_financial_terms,
         substr(sha1(author), 1, 12) AS author_hash FROM d""",
@@ -136,7 +158,8 @@ ORACLES: dict[str, str] = {
             list_filter([CASE WHEN contains(low, 'dilution') THEN 'Dilution risk' END, CASE WHEN contains(low, 'execution') THEN 'Execution risk' END, CASE WHEN contains(low, 'capex') THEN 'Capital intensity' END,
             CASE WHEN contains(low, 'liquidity') THEN 'Liquidity risk' END, CASE WHEN contains(low, 'customer concentration') THEN 'Customer concentration' END, CASE WHEN contains(low, 'margin') THEN 'Margin pressure' END], lambda x: x IS NOT NULL) AS ri FROM c)
         SELECT conv_id, turn, role, CASE WHEN len(cl) > 0 THEN array_to_string(cl[1:3], '|') WHEN low <> '' THEN 'Check the core thesis against filings, transcripts, or reliable reporting.' ELSE '' END AS claims,
-            array_to_string(ri[1:4], '|') AS risks FROM f""",
+            array_to_string(ri[1:4], '|') AS risks, array_to_string(list_filter([CASE WHEN contains(low, 'contract') OR contains(low, 'customer') THEN 'Customer or contract wins' END,
+            CASE WHEN contains(low, 'guidance') OR contains(low, 'earnings') THEN 'Upcoming earnings or guidance updates' END, CASE WHEN contains(low, 'launch') OR contains(low, 'product') THEN 'Product or launch execution milestones' END], lambda x: x IS NOT NULL), '|') AS catalysts FROM f""",
     "mention_dedupe": f"""WITH {_M} SELECT thread_id AS item_id, ticker, company_name, item_id AS seq FROM m
         QUALIFY row_number() OVER (PARTITION BY thread_id, ticker ORDER BY company_name = 'Unknown', item_id) = 1""",
     "ticker_summary": f"WITH {_M}, {_summary('ticker, company_name')} SELECT * FROM summary",
@@ -194,9 +217,13 @@ ORACLES: dict[str, str] = {
             coalesce(a.hype, 0) AS hype_now, coalesce(b.hype, 0) AS hype_before, coalesce(a.hype, 0) - coalesce(b.hype, 0) AS hype_delta FROM a FULL JOIN b USING (ticker)""",
     "dense_grid": f"""WITH {_M}, b AS (SELECT ticker || '/' || source_name || '/' || subreddit AS ticker, wk AS time_bucket, count(*) AS mentions FROM m GROUP BY ALL)
         SELECT ticker, time_bucket, coalesce(mentions, 0) AS mentions FROM (SELECT DISTINCT ticker FROM b) CROSS JOIN (SELECT DISTINCT time_bucket FROM b) LEFT JOIN b USING (ticker, time_bucket)""",
-    "consensus": f"""WITH {_M}, c AS (SELECT ticker, count(*) AS mentions, count(*) FILTER (sentiment = 'bullish') AS bull, count(*) FILTER (sentiment = 'bearish') AS bear, avg(hype) AS hype, avg(quality_n) AS evidence, bool_or(mode = 'fallback') AS fb FROM m GROUP BY 1)
-        SELECT ticker, mentions, round(evidence, 4) AS evidence, CASE WHEN mentions >= 8 AND evidence >= 5 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN bull + bear = 0 THEN 'neutral' WHEN bull > bear * 1.35 THEN 'bullish' WHEN bear > bull * 1.35 THEN 'bearish' ELSE 'mixed' END AS stance,
-            array_to_string(list_filter([CASE WHEN mentions < 3 THEN 'thin ticker evidence' END, CASE WHEN hype >= 6 THEN 'elevated hype language' END, CASE WHEN fb THEN 'some fallback-classified evidence' END], lambda x: x IS NOT NULL), ', ') AS flags FROM c""",
+    "consensus": f"""WITH {_M}, c AS (SELECT ticker, count(*) AS mentions, count(*) FILTER (sentiment = 'bullish') AS bull, count(*) FILTER (sentiment = 'bearish') AS bear, avg(hype) AS hype, avg(quality_n) AS evidence, bool_or(mode = 'fallback') AS fb, max(created_time) AS newest,
+            sum(CAST('0x' || substr(sha1(item_id || '|' || sentiment || '|' || alpha), 1, 15) AS BIGINT)) AS total FROM m GROUP BY 1),
+        cl AS (SELECT DISTINCT ticker, sentiment, unnest([item_type || ' in ' || subreddit, item_type || ' of ' || source_name]) AS claim FROM m),
+        ca AS (SELECT ticker, string_agg(claim, '|' ORDER BY claim) FILTER (sentiment = 'bullish') AS bull_case, string_agg(claim, '|' ORDER BY claim) FILTER (sentiment = 'bearish') AS bear_case
+            FROM (SELECT * FROM cl WHERE sentiment IN ('bullish', 'bearish') QUALIFY row_number() OVER (PARTITION BY ticker, sentiment ORDER BY claim) <= 5) GROUP BY 1)
+        SELECT ticker, substr(sha1(ticker || '|' || mentions || '|' || epoch_us(newest) || '|' || total), 1, 20) AS signature, coalesce(bull_case, '') AS bull_case, coalesce(bear_case, '') AS bear_case, mentions, round(evidence, 4) AS evidence, CASE WHEN mentions >= 8 AND evidence >= 5 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN bull + bear = 0 THEN 'neutral' WHEN bull > bear * 1.35 THEN 'bullish' WHEN bear > bull * 1.35 THEN 'bearish' ELSE 'mixed' END AS stance,
+            array_to_string(list_filter([CASE WHEN mentions < 3 THEN 'thin ticker evidence' END, CASE WHEN hype >= 6 THEN 'elevated hype language' END, CASE WHEN fb THEN 'some fallback-classified evidence' END], lambda x: x IS NOT NULL), ', ') AS flags FROM c LEFT JOIN ca USING (ticker)""",
     "corpus_reset": f"""WITH {_M}, {_summary('ticker')} SELECT ticker, round(greatest(least(emerging_ticker_score - acceleration_score * 0.45::DOUBLE, 100), 0), 2) AS emerging_ticker_score,
         0::DOUBLE AS acceleration_score, 'Corpus evidence' AS trend_reliability FROM summary""",
     "source_set_hash": "SELECT n_regionkey, substr(sha1(string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey)), 1, 16) AS hash FROM nation GROUP BY 1",
@@ -213,14 +240,23 @@ cov AS (SELECT *, 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, posts_return
 _RS = """rs AS (SELECT 'run_' || CAST(wk AS VARCHAR) AS analysis_run_id, ticker, count(*) AS total_mentions, count(DISTINCT thread_id) AS unique_threads, count(DISTINCT author_hash) AS unique_authors,
     round(avg(hype), 2) AS average_hype_score, round(avg(rep), 2) AS repetition_score, round(avg(sentiment_numeric), 4) AS net_sentiment_score, round(avg(depth) * 5, 2) AS acceleration_score,
     round(avg(alpha), 2) AS emerging_ticker_score FROM m GROUP BY ALL)"""
+_REASONS = """list_filter([CASE WHEN source_name = 's3' THEN 'Discovery or comment-inclusive run; useful for evidence, weaker for acceleration.' END, CASE WHEN source_name = 's4' THEN 'Single-thread source; not a broad subreddit sample.' END,
+    CASE WHEN source_name = 's2' AND ((wk - DATE '2024-01-01') // 7) % 2 = 1 THEN 'Reddit rate limit affected collection.' END, CASE WHEN feed_capped THEN 'RSS cap was hit before the requested window was fully visible.' END,
+    CASE WHEN hit_post_cap THEN 'Configured post cap stopped collection before the feed was exhausted.' END,
+    CASE WHEN posts_returned = 0 THEN 'No posts returned for this source.' WHEN posts_returned < 10 THEN 'Very small post sample.' WHEN posts_returned < 30 THEN 'Post sample is below the preferred 30-post trend minimum.' END,
+    CASE WHEN missed > 0.35 THEN 'Oldest returned post does not cover much of the requested window.' END, CASE WHEN NOT (source_name IN ('s3', 's4') OR (source_name = 's2' AND ((wk - DATE '2024-01-01') // 7) % 2 = 1) OR feed_capped OR hit_post_cap OR posts_returned < 30 OR missed > 0.35) THEN 'Comparable posts-only source sample.' END], lambda x: x IS NOT NULL)"""
 _BG = lambda c, p: f"CASE WHEN coalesce({p}, 0) <= 0 THEN CASE WHEN {c} > 0 THEN least({c} / 0.25::DOUBLE, 4) ELSE 0 END ELSE greatest(least(({c} - {p}) / {p}, 4), -1) END"
 ORACLES |= {
     "coverage_rows": f"""WITH {_COV} SELECT analysis_run_id, source_name, posts_returned, comments_returned, unique_threads, unique_authors, hit_post_cap, coverage_reliability,
         CASE WHEN coverage_reliability >= 0.8 THEN 'High' WHEN coverage_reliability >= 0.5 THEN 'Medium' ELSE 'Low' END AS reliability_label FROM cov""",
-    "coverage_weighted": f"""WITH {_COV} SELECT analysis_run_id, count(*) AS sources, sum(posts_returned)::BIGINT AS posts, sum(unique_threads)::BIGINT AS threads, sum(unique_authors)::BIGINT AS authors,
-        count(*) FILTER (hit_post_cap) AS capped_sources, count(*) FILTER (feed_capped) AS feed_capped_sources, round(sum(coverage_reliability * greatest(posts_returned, 1)) / sum(greatest(posts_returned, 1)), 3) AS coverage_reliability FROM cov GROUP BY 1""",
+    "coverage_weighted": f"""WITH {_COV}, why AS (SELECT analysis_run_id, unnest(reasons) AS reason, source_name, generate_subscripts(reasons, 1) AS n FROM (SELECT *, {_REASONS} AS reasons FROM cov)),
+        whys AS (SELECT analysis_run_id, array_to_string(list(reason ORDER BY place)[1:5], '; ') AS reasons FROM (SELECT analysis_run_id, reason, min((source_name, n)) AS place FROM why GROUP BY ALL) GROUP BY 1)
+        SELECT * FROM whys JOIN (SELECT analysis_run_id, count(*) AS sources, sum(posts_returned)::BIGINT AS posts, sum(unique_threads)::BIGINT AS threads, sum(unique_authors)::BIGINT AS authors,
+        count(*) FILTER (hit_post_cap) AS capped_sources, count(*) FILTER (feed_capped) AS feed_capped_sources, round(sum(coverage_reliability * greatest(posts_returned, 1)) / sum(greatest(posts_returned, 1)), 3) AS coverage_reliability FROM cov GROUP BY 1) USING (analysis_run_id)""",
     "rate_growth": f"""WITH {_COV}, {_RUNS}, {_RS}, cs AS (SELECT analysis_run_id, sum(posts_returned) AS posts, sum(unique_threads) AS th, sum(unique_authors) AS au, count(*) FILTER (feed_capped) AS fc,
             round(sum(coverage_reliability * greatest(posts_returned, 1)) / sum(greatest(posts_returned, 1)), 3) AS rel FROM cov GROUP BY 1),
+        why AS (SELECT analysis_run_id, unnest(reasons) AS reason, source_name, generate_subscripts(reasons, 1) AS n FROM (SELECT *, {_REASONS} AS reasons FROM cov)),
+        whys AS (SELECT analysis_run_id, list(reason ORDER BY place) AS reasons FROM (SELECT analysis_run_id, reason, min((source_name, n)) AS place FROM why GROUP BY ALL) GROUP BY 1),
         done AS (SELECT * FROM runs WHERE status = 'completed'), rp AS (SELECT r.*, (SELECT max_by(analysis_run_id, wk) FROM done p WHERE p.wk < r.wk AND p.source_set = r.source_set AND p.measured) AS prev FROM done r),
         q AS (SELECT rs.*, posts, fc, rel, round(total_mentions / greatest(posts, 1) * 100, 3) AS nr, round(unique_threads / greatest(th, posts, 1) * 100, 3) AS tr, round(unique_authors / greatest(au, 1) * 100, 3) AS ar FROM rs JOIN cs USING (analysis_run_id)),
         j AS (SELECT a.*, rp.measured, rp.prev, pc.posts AS pposts, pc.fc AS pfc, least(a.rel, pc.rel) AS lrel, b.ticker IS NOT NULL AS known, coalesce(b.nr, 0) AS pnr, coalesce(b.tr, 0) AS ptr, coalesce(b.ar, 0) AS par
@@ -231,10 +267,11 @@ ORACLES |= {
         SELECT analysis_run_id, ticker, nr AS mention_rate, tr AS thread_rate, ar AS author_rate, pnr AS previous_mention_rate, score::DOUBLE AS coverage_adjusted_acceleration_score,
             CASE WHEN NOT measured THEN 'Discovery' WHEN prev IS NULL THEN 'Needs baseline' WHEN re >= 0.8 THEN 'High' WHEN re >= 0.5 THEN 'Medium' ELSE 'Low' END AS trend_reliability,
             CASE WHEN NOT measured THEN 'Discovery scrape is excluded from proper acceleration; use it for ticker discovery and evidence review.' WHEN prev IS NULL THEN 'No previous measurement scrape exists for this exact source set yet.'
-                ELSE array_to_string(list_filter([CASE WHEN small THEN 'Current or previous measurement sample is below 30 posts.' END, CASE WHEN NOT known THEN 'Ticker was not present in the previous matched measurement run.' END,
-                    CASE WHEN pfc > 0 THEN 'Previous measurement had at least one RSS-capped source.' END, CASE WHEN fc > 0 THEN 'Current measurement had at least one RSS-capped source.' END], lambda x: x IS NOT NULL), '; ') END AS trend_reliability_reason,
-            round(greatest(least(emerging_ticker_score - acceleration_score * 0.45::DOUBLE + score * 0.45::DOUBLE, 100), 0), 2) AS emerging_ticker_score FROM s""",
-    "previous_run": """WITH k AS (SELECT ts::DATE AS day, event_type FROM events GROUP BY ALL HAVING count(*) > 70), r AS (SELECT day, string_agg(event_type, ',' ORDER BY event_type) AS s FROM k GROUP BY 1)
+                ELSE array_to_string(list_filter(list_concat(w.reasons[1:2], [CASE WHEN small THEN 'Current or previous measurement sample is below 30 posts.' END, CASE WHEN NOT known THEN 'Ticker was not present in the previous matched measurement run.' END,
+                    CASE WHEN pfc > 0 THEN 'Previous measurement had at least one RSS-capped source.' END, CASE WHEN fc > 0 THEN 'Current measurement had at least one RSS-capped source.' END]), lambda x: x IS NOT NULL)[1:4], '; ') END AS trend_reliability_reason,
+            score::DOUBLE AS acceleration_score, CASE WHEN fits THEN round(re, 3) ELSE rel END AS coverage_reliability,
+            round(greatest(least(emerging_ticker_score - acceleration_score * 0.45::DOUBLE + score * 0.45::DOUBLE, 100), 0), 2) AS emerging_ticker_score FROM s LEFT JOIN whys w USING (analysis_run_id)""",
+    "previous_run": """WITH k0 AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL), k AS (SELECT * FROM k0 QUALIFY n * 5 > sum(n) OVER (PARTITION BY day)), r AS (SELECT day, string_agg(event_type, ',' ORDER BY event_type) AS s FROM k GROUP BY 1)
         SELECT CAST(a.day AS VARCHAR) AS run_id, CAST(max(b.day) AS VARCHAR) AS previous_run_id FROM r a LEFT JOIN r b ON a.s = b.s AND b.day < a.day GROUP BY a.day""",
     "source_health": f"""WITH {_COV}, a AS (SELECT source_name, count(*) AS mentions, count(DISTINCT ticker) AS tickers FROM m WHERE wk = DATE '2024-01-08' GROUP BY 1)
         SELECT s.source_name, coalesce(posts_returned, 0) AS posts_returned, coalesce(comments_returned, 0) AS comments_returned, coverage_reliability, coalesce(mentions, 0) AS mentions, coalesce(tickers, 0) AS tickers,
@@ -366,10 +403,17 @@ ORACLES |= {
     "lead_lag": f"WITH {_SET}, {_pairs(['mentions'], [f'raw_return_{h}' for h in ('same_day', *_H)])}, {_GRID}, {_DESCRIBE}",
     "interesting_rank": f"""WITH {_SET}, {_PAIRS}, {_GRID}, d AS ({"WITH " + _DESCRIBE})
         SELECT signal, outcome, round(round(abs(coalesce(correlation, 0)) * 0.52::DOUBLE + CASE WHEN p_value < 0.05 THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN sample_size >= 50 THEN 0.2::DOUBLE ELSE 0 END + 0.08::DOUBLE
-            + CASE WHEN outcome LIKE '%abnormal_return%' THEN 0.08::DOUBLE ELSE 0 END - missing_count / (sample_size + missing_count) * 0.2::DOUBLE, 6), 4) AS interesting_score FROM d WHERE sample_size >= 20""",
+            + CASE WHEN outcome LIKE '%abnormal_return%' THEN 0.08::DOUBLE ELSE 0 END - missing_count / (sample_size + missing_count) * 0.2::DOUBLE, 6), 4) AS interesting_score, row_number() OVER (ORDER BY interesting_score DESC, signal, outcome) AS place FROM d WHERE sample_size >= 20""",
     "rolling_corr": f"""WITH {_SET}, r AS (SELECT ticker, bucket_start, mentions AS x, raw_return_1d AS y FROM ds WHERE raw_return_1d IS NOT NULL),
         s AS (SELECT ticker, bucket_start, count(*) OVER w AS rows_in_window, covar_pop(x, y) OVER w AS c, stddev_pop(x) OVER w AS sx, stddev_pop(y) OVER w AS sy FROM r WINDOW w AS (ORDER BY bucket_start, ticker ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
         SELECT ticker, bucket_start, rows_in_window, CASE WHEN rows_in_window >= 8 AND sx * sy > 0 THEN round(c / (sx * sy), 5) END AS rolling_correlation FROM s""",
+    **{f"rolling_{m}{'_by_ticker' if by else ''}": f"""WITH {_SET}, r AS (SELECT ticker, bucket_start, mentions AS x, raw_return_1d AS y, row_number() OVER ({by} ORDER BY bucket_start, ticker) AS i FROM ds WHERE raw_return_1d IS NOT NULL),
+        pairs AS (SELECT e.ticker, e.bucket_start, e.i, a.i AS ai, sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM r e JOIN r a ON {on.format("a")} a.i BETWEEN e.i - 13 AND e.i JOIN r b ON {on.format("b")} b.i BETWEEN e.i - 13 AND e.i),
+        t AS ({body}) SELECT ticker, bucket_start, least(i, 14) AS rows_in_window, CASE WHEN i >= 8 AND bottom > 0 THEN round(top / sqrt(bottom), 5) END AS rolling_correlation FROM t"""
+        for m, body in (
+            ("kendall", "SELECT ticker, bucket_start, i, sum(sx * sy) AS top, sum(abs(sx)) * sum(abs(sy)) AS bottom FROM pairs GROUP BY ALL"),
+            ("spearman", "SELECT ticker, bucket_start, i, sum(rx * ry) AS top, sum(rx * rx) * sum(ry * ry) AS bottom FROM (SELECT ticker, bucket_start, i, ai, sum(sx) AS rx, sum(sy) AS ry FROM pairs GROUP BY ALL) GROUP BY ALL"),
+        ) for by, on in (("", ""), ("PARTITION BY ticker", "{0}.ticker = e.ticker AND"))},
     "rolling_corr_by_ticker": f"""WITH {_SET}, r AS (SELECT ticker, bucket_start, mentions AS x, raw_return_1d AS y FROM ds WHERE raw_return_1d IS NOT NULL),
         s AS (SELECT ticker, bucket_start, count(*) OVER w AS rows_in_window, covar_pop(x, y) OVER w AS c, stddev_pop(x) OVER w AS sx, stddev_pop(y) OVER w AS sy FROM r WINDOW w AS (PARTITION BY ticker ORDER BY bucket_start ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
         SELECT ticker, bucket_start, rows_in_window, CASE WHEN rows_in_window >= 8 AND sx * sy > 0 THEN round(c / (sx * sy), 5) END AS rolling_correlation FROM s""",
@@ -377,6 +421,11 @@ ORACLES |= {
         SELECT variable, count(v) AS valid_n, count(*) - count(v) AS missing, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd, round(median(v), 4) AS median, round(min(v), 4) AS minimum, round(max(v), 4) AS maximum,
             round(skewness(v), 3) AS skewness, round(kurtosis(v), 3) AS kurtosis FROM u GROUP BY 1""",
     "zscore_overlay": f"WITH {_SET}, d AS (SELECT bucket_start, avg(mentions) AS x, avg(raw_return_1d) AS y FROM ds GROUP BY 1) SELECT bucket_start, {_Z('x')}, coalesce({_Z('y').removesuffix(' AS y_z')}, 0) AS y_z FROM d",
+    "ols_several": f"""WITH {_SET}, p AS (SELECT mentions::DOUBLE AS a, average_hype_score AS b, raw_return_5d AS y FROM ds WHERE raw_return_5d IS NOT NULL AND average_hype_score IS NOT NULL),
+        s AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, var_pop(y) AS yy FROM p),
+        c AS (SELECT *, aa * bb - ab * ab AS det, (ay * bb - by_ * ab) / det AS ka, (by_ * aa - ay * ab) / det AS kb FROM s), f AS (SELECT *, my - ka * ma - kb * mb AS k, (yy - ka * ay - kb * by_) AS rss, n * rss / (n - 3) AS s2 FROM c),
+        t AS (SELECT 'intercept' AS term, k AS coefficient, sqrt(s2 / n * (1 + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / det)) AS se, * FROM f UNION ALL SELECT 'mentions', ka, sqrt(s2 / n * bb / det), * FROM f UNION ALL SELECT 'average_hype_score', kb, sqrt(s2 / n * aa / det), * FROM f)
+        SELECT term, round(coefficient, 5) AS coefficient, round(se, 5) AS standard_error, round(1 - rss / yy, 6) AS r_squared, n FROM t""",
     "ols_coefficients": f"""WITH {_SET}, p AS (SELECT mentions::DOUBLE AS x, raw_return_5d AS y FROM ds WHERE raw_return_5d IS NOT NULL),
         a AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS vx, var_pop(y) AS vy FROM p), b AS (SELECT *, c / vx AS slope, my - c / vx * mx AS intercept, n * (vy - c * c / vx) / (n - 2) AS s2 FROM a)
         SELECT n, round(intercept, 6) AS intercept, round(sqrt(s2 * (1 / n + mx * mx / (n * vx))), 6) AS intercept_se, round(slope, 6) AS slope, round(sqrt(s2 / (n * vx)), 6) AS slope_se, round(c * c / (vx * vy), 6) AS r_squared FROM b""",
@@ -530,6 +579,16 @@ ORACLES |= {
 }
 
 
+_SHORT = "list_filter([{}], lambda x: list_contains(symbols, x))"
+ORACLES["model_answers"] = f"""WITH {_CLASS}, a AS (SELECT *, CASE WHEN item_id % 7 IN (1, 4) THEN 'good' WHEN item_id % 7 IN (2, 5) THEN 'full' ELSE 'none' END AS view, {_SPEC} AS spec0, list_filter({_CLAIMS}, lambda x: x IS NOT NULL) AS cl,
+        CASE WHEN item_id % 7 IN (1, 4) THEN {_SHORT.format("'THE', 'OF'")} WHEN item_id % 7 IN (2, 5) THEN {_SHORT.format("'IN'")} ELSE symbols END AS ts FROM c3),
+    b AS (SELECT *, CASE WHEN len(cl) > 0 THEN array_to_string(cl[1:3], '|') WHEN low <> '' THEN 'Check the core thesis against filings, transcripts, or reliable reporting.' ELSE '' END AS claims FROM a)
+    SELECT item_id, CASE view WHEN 'none' THEN 'fallback' ELSE 'ollama' END AS classifier_mode, CASE view WHEN 'good' THEN 'bullish' WHEN 'full' THEN 'irrelevant' ELSE sentiment END AS sentiment,
+        CASE view WHEN 'good' THEN 1 WHEN 'full' THEN 0 ELSE confidence END::DOUBLE AS confidence, CASE view WHEN 'good' THEN 'high' WHEN 'full' THEN 'low' ELSE evidence_quality END AS evidence_quality,
+        CASE view WHEN 'good' THEN 7 WHEN 'full' THEN 0 ELSE depth_score END AS depth_score, CASE view WHEN 'good' THEN 0 WHEN 'full' THEN 10 ELSE hype_score END AS hype_score,
+        CASE view WHEN 'full' THEN 3 ELSE spec0 END AS claim_specificity_score, view <> 'none' OR needs_deeper_analysis AS needs_deeper_analysis, CASE view WHEN 'none' THEN bull_case ELSE '' END AS bull_case,
+        CASE view WHEN 'none' THEN bear_case WHEN 'full' THEN 'falls' ELSE '' END AS bear_case, array_to_string(ts, '|') AS tickers, array_to_string(list_transform(ts, lambda x: 'Unknown'), '|') AS company_names,
+        CASE view WHEN 'good' THEN 'one flag' WHEN 'full' THEN '' ELSE replace(red_flags, ', ', '|') END AS red_flags, CASE view WHEN 'full' THEN 'a|b' ELSE claims END AS claims_to_verify FROM b"""
 ORACLES |= {
     "coercions": """WITH o AS (SELECT *, substr(o_orderpriority, 1, 1) AS loose FROM orders)
         SELECT o_orderkey, loose = '1' AS flag, CASE o_orderstatus WHEN 'P' THEN 4 WHEN 'F' THEN CAST(loose AS BIGINT) ELSE 10 END::BIGINT AS score,

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import json as J
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import buckets as B
-from ..operators import attention, classify, cooldown, corpus, coverage, history, mentions, prices, signals, stats
+from ..operators import attention, catalog, classify, cooldown, corpus, coverage, history, mentions, prices, signals, stats
 from ..sources import storage
 from . import adapters as A
 
@@ -60,6 +62,13 @@ def alias_extract(spark, sf):
     return A.items(spark, sf).select("item_id", F.array_join(T.aliases(F.col("body_text"), ALIASES), ",").alias("tickers"))
 
 
+@query
+def entity_extract(spark, sf):
+    """STR1-5, JN22: with a catalog that grows as the documents do."""
+    found = catalog.entities(A.items(spark, sf), A.entity_catalog(spark, sf))
+    return found.select("item_id", F.array_join("tickers", ",").alias("tickers"), F.array_join("company_names", ",").alias("company_names"))
+
+
 @query
 def item_features(spark, sf):
     """STR6, STR7, STR10."""
@@ -101,6 +110,20 @@ def alpha_score(spark, sf):
     return c.select("item_id", alpha.alias("alpha_signal_score"), S.hype_adjusted(alpha, F.col("hype_score"), F.lit(1)).alias("hype_adjusted_signal_score"))
 
 
+@query
+def model_answers(spark, sf):
+    """DF3, DF1, ARR4-6, NUM3-5: landed answers in good and bad form, the fallback where none can be read."""
+    items = with_symbols(A.items(spark, sf))
+    good = '{"sentiment":" Bullish ","confidence":1.7,"tickers":["the","zz","OF"],"depth_score":"7","red_flags":" one flag ","bull_case":true,"summary":" short ","needs_deeper_analysis":"yes","evidence_quality":"HIGH"}'
+    full = '{"sentiment":"odd","tickers":"in","hype_score":99,"claim_specificity_score":3,"claims_to_verify":["a"," b ",""],"bear_case":" falls ","needs_deeper_analysis":1,"confidence":"x"}'
+    kind = F.col("item_id") % 7
+    first = F.when(kind == 1, good).when(kind == 2, f"Sure: {full} ok").when(kind == 5, full).when(kind == 6, "[1]").otherwise('{"sentiment":')
+    answers = items.filter(kind > 0).select("item_id", F.lit(0).alias("attempt"), first.alias("content")).unionByName(items.filter(kind == 4).select("item_id", F.lit(1).alias("attempt"), F.lit(good).alias("content")))
+    out = classify.answered(items, answers, FINANCE, PHRASES, bullish=BULLISH, bearish=BEARISH, hype=HYPE)
+    lists = {c: F.array_join(c, "|") for c in ("tickers", "company_names", "red_flags", "claims_to_verify")}
+    return out.withColumns(lists).select("item_id", "classifier_mode", "sentiment", F.round("confidence", 4).alias("confidence"), "evidence_quality", F.col("depth_score").cast("int").alias("depth_score"), F.col("hype_score").cast("int").alias("hype_score"), "claim_specificity_score", "needs_deeper_analysis", "bull_case", "bear_case", *lists)
+
+
 @query
 def mention_explode(spark, sf):
     """ARR8: documents by symbol."""
@@ -120,6 +143,16 @@ def json_extract(spark, sf):
     return A.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+@query
+def json_tables(spark, sf):
+    """SRC14, ARR3, SNK13: props, of which every tenth is cut and every eleventh absent, decoded, read and written again."""
+    e = A.table(spark, sf, "events")
+    raw = F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 10 == 0, F.left("props", F.length("props") - 1)).otherwise(F.col("props"))
+    d = J.decoded(e.select("event_id", raw.alias("props_json"), F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("event_id") % 4).alias("score")), {"props_json": "{}"})
+    kept = F.try_variant_get("props_json", "$", "string")
+    return d.select("event_id", J.value(F.col("props_json"), "$.k", "long").alias("k"), F.when(F.schema_of_variant("props_json") == "STRING", kept).alias("unparsed"), J.encoded(d).alias("row"))
+
+
 @query
 def excerpt(spark, sf):
     """STR13."""
@@ -130,7 +163,17 @@ def excerpt(spark, sf):
 def claims(spark, sf):
     """STR17, STR18, over conversation turns."""
     c = A.table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", "role", F.array_join(T.claims_to_verify(F.col("text")), "|").alias("claims"), F.array_join(T.risks(F.col("text")), "|").alias("risks"))
+    return c.select("conv_id", "turn", "role", F.array_join(T.claims_to_verify(F.col("text")), "|").alias("claims"), F.array_join(T.risks(F.col("text")), "|").alias("risks"), F.array_join(T.catalysts(F.col("text")), "|").alias("catalysts"))
+
+
+@query
+def value_labels(spark, sf):
+    """STR14, STR15: symbols and numbers of orders as they are shown."""
+    o = A.table(spark, sf, "orders")
+    raw = F.concat(F.lit(" $"), F.lower(F.substring("o_orderpriority", 3, 3)), F.lit(" "))
+    symbol = F.when(F.col("o_orderkey") % 5 == 0, "SQ").otherwise(T.ticker(raw))
+    share = F.when(F.col("o_orderkey") % 9 == 0, None).otherwise((F.col("o_orderkey") % 2000 + 0.25) / 100000)
+    return o.select("o_orderkey", T.market_symbol(symbol).alias("symbol"), T.p_label(share).alias("p"), T.delta_label(F.when(F.col("o_orderkey") % 9 > 0, F.col("o_custkey") % 100 - 50), 0).alias("delta"))
 
 
 @query
@@ -255,10 +298,16 @@ def union_dedupe(spark, sf):
 
 @query
 def wide_pivot(spark, sf):
-    """SNK11, AGG23."""
+    """SNK11."""
     return corpus.wide(A.mentions(spark, sf), "ticker", "source_name", "alpha_signal_score", [f"s{i}" for i in range(5)])
 
 
+@query
+def first_cells(spark, sf):
+    """AGG23: the first mention's score in each cell."""
+    return corpus.wide(A.mentions(spark, sf), "ticker", "source_name", "alpha_signal_score", [f"s{i}" for i in range(5)], "item_id")
+
+
 @query
 def unpivot_pair(spark, sf):
     """AGG24."""
@@ -290,8 +339,10 @@ def dense_grid(spark, sf):
 
 @query
 def consensus(spark, sf):
-    """DF5."""
-    return corpus.consensus(A.mentions(spark, sf)).select("ticker", "mentions", "stance", "confidence", "flags", F.round("evidence", 4).alias("evidence"))
+    """DF5, ARR2: with the source and the kind of a mention as its claims."""
+    claims = F.array(F.concat_ws(" in ", "item_type", "subreddit"), F.concat_ws(" of ", "item_type", "source_name"))
+    found = corpus.consensus(A.mentions(spark, sf).withColumn("claims", claims))
+    return found.select("ticker", "mentions", "stance", "confidence", "flags", F.round("evidence", 4).alias("evidence"), "signature", *(F.array_join(c, "|").alias(c) for c in ("bull_case", "bear_case")))
 
 
 @query
@@ -314,7 +365,7 @@ def coverage_rows(spark, sf):
 @query
 def coverage_weighted(spark, sf):
     """AGG7."""
-    return coverage.summarize(_coverage(spark, sf), ["analysis_run_id"])
+    return coverage.summarize(_coverage(spark, sf), ["analysis_run_id"]).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query
@@ -325,14 +376,17 @@ def rate_growth(spark, sf):
     out = coverage.adjusted_trend(A.run_summaries(spark, sf), coverage.summarize(_coverage(spark, sf), ["analysis_run_id"]), known)
     return out.select(
         "analysis_run_id", "ticker", "mention_rate", "thread_rate", "author_rate", "previous_mention_rate", "coverage_adjusted_acceleration_score", "trend_reliability", "trend_reliability_reason", "emerging_ticker_score",
+        "acceleration_score", "coverage_reliability",
     )
 
 
 @query
 def previous_run(spark, sf):
-    """JN10: days as runs; the set of event types with more than 60 events as their sources."""
+    """JN10: days as runs; the set of event types with more than a fifth of the day's events as their sources."""
     e = A.table(spark, sf, "events").withColumn("day", F.col("ts").cast("date"))
-    kinds = e.groupBy("day", "event_type").count().filter("count > 70").groupBy("day").agg(F.collect_set("event_type").alias("source_ids"))
+    # five types at most
+    of_day = e.groupBy("day", "event_type").count().groupBy("day").agg(F.sum("count").alias("n"), F.collect_list(F.struct("event_type", "count")).alias("kinds"))
+    kinds = of_day.select("day", F.transform(F.filter("kinds", lambda k: k["count"] * 5 > F.col("n")), lambda k: k["event_type"]).alias("source_ids"))
     runs = kinds.select(F.col("day").cast("string").alias("run_id"), F.col("day").alias("started_at"), "source_ids")
     return coverage.previous_run(runs)
 
@@ -491,7 +545,8 @@ def interesting_rank(spark, sf):
     """SC20, FLT7, TOP2."""
     g = stats.pearson_grid(stats.long_pairs(_dataset(spark, sf), [], GRID_SIGNALS, GRID_OUTCOMES))
     score = S.interesting(F.col("correlation"), F.col("p_value"), F.col("sample_size"), F.col("missing_count"), ~F.col("outcome").contains("same_day"), F.col("outcome").contains("abnormal_return"))
-    return g.filter("sample_size >= 20").select("signal", "outcome", F.round(score, 4).alias("interesting_score"))
+    order = F.row_number().over(Window.orderBy(F.desc("interesting_score"), "signal", "outcome")).cast("long")  # a row for each cell of the grid
+    return g.filter("sample_size >= 20").select("signal", "outcome", F.round(score, 4).alias("interesting_score")).withColumn("place", order).orderBy("place")
 
 
 def _rolling(spark, sf) -> DataFrame:
@@ -505,6 +560,21 @@ def rolling_corr(spark, sf):
     return _rolling(spark, sf).select("ticker", "bucket_start", "rows_in_window", "rolling_correlation")
 
 
+def _rolling_ranks(method: str, by: list[str]):
+    def run(spark, sf):
+        rows = _dataset(spark, sf).select("ticker", "bucket_start", "mentions", F.col("raw_return_1d").alias("y"))
+        return stats.rolling_ranks(rows, "mentions", "y", ["bucket_start", "ticker"], method, 14, by).select("ticker", "bucket_start", "rows_in_window", "rolling_correlation")
+
+    run.__name__ = f"rolling_{method}" + "_by_ticker" * bool(by)
+    DAYS[run.__name__] = ("bucket_start",)
+    return query(run)
+
+
+for _method in ("spearman", "kendall"):
+    for _by in ([], ["ticker"]):
+        _rolling_ranks(_method, _by)
+
+
 @query
 def rolling_corr_by_ticker(spark, sf):
     """WIN15, a series for each ticker."""
@@ -534,6 +604,14 @@ def ols_coefficients(spark, sf):
     return spark.createDataFrame([row], "n long, intercept double, intercept_se double, slope double, slope_se double, r_squared double")
 
 
+@query
+def ols_several(spark, sf):
+    """ST10 with two predictors."""
+    fit = stats.regression(_dataset(spark, sf), "raw_return_5d", ["mentions", "average_hype_score"])
+    rows = [(t["term"], *(round(t[v], 5) for v in ("coefficient", "standard_error")), round(fit["r_squared"], 6), fit["n"]) for t in fit["terms"]]
+    return spark.createDataFrame(rows, "term string, coefficient double, standard_error double, r_squared double, n long")
+
+
 @query
 def top_evidence(spark, sf):
     """TOP4."""
@@ -617,10 +695,18 @@ def upsert_merge(spark, sf):
 
 @query
 def status_counts(spark, sf):
-    """AGG18, AGG19."""
+    """AGG18."""
     return A.table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def table_counts(spark, sf):
+    """AGG19: the rows of each table."""
+    names = ("orders", "lineitem", "events", "documents", "pages", "conversations", "labels", "embeddings")
+    counts = [A.table(spark, sf, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def completed_mentions(spark, sf):
     """JN1, FLT1, FLT12, DT7."""

@@ -34,8 +34,14 @@ def atom_entries(spark: SparkSession, path: str) -> DataFrame:
 def collect(items: DataFrame, start: str, end: str, per_source: int = 0, per_thread: int = 0) -> DataFrame:
     """SRC1-4, SRC9: items in the window, the first of equal ids (thread sources go first), newest up to the caps; 0: no cap.
 
-    The caps are the feature: they stand for what one request shows.
+    The caps are the feature: they stand for what one request shows. Where items have a ``feed_position``, a source's posts are read
+    up to the first one that is older than the window, as a feed is (SRC2).
     """
+    if "feed_position" in items.columns:
+        old = items.filter((F.col("item_type") == "post") & (F.col("created_time") < F.lit(start).cast("timestamp")))
+        stop = old.groupBy("source_name").agg(F.min("feed_position").alias("_stop"))  # a row for each source
+        seen = F.col("_stop").isNull() | (F.col("item_type") != "post") | (F.col("feed_position") < F.col("_stop"))
+        items = items.join(stop, "source_name", "left").filter(seen).drop("_stop")
     inside = items.filter((F.col("created_time") >= F.lit(start).cast("timestamp")) & (F.col("created_time") <= F.lit(end).cast("timestamp")))
     thread_first = F.when(F.col("source_type") == "thread_url", 0).otherwise(1)
     once = inside.withColumn("_n", F.row_number().over(Window.partitionBy("item_id").orderBy(thread_first, "source_name", F.desc("created_time")))).filter("_n = 1").drop("_n")

@@ -1,4 +1,7 @@
-"""Structured Streaming forms (§2.13): first-wins dedupe, week buckets, cooldown state, upsert sink."""
+"""Structured Streaming forms (§2.13): first-wins dedupe, week buckets, sessions, cooldown state, outcomes that are filled later.
+
+Polls and their upsert sink are in :mod:`.polls`.
+"""
 
 from __future__ import annotations
 
@@ -68,3 +71,28 @@ def cooldown(events: DataFrame, hours: int = lex.GATES["cooldown_hours"], delta:
     return marked.groupBy("ticker").applyInPandasWithState(
         accept, "ticker string, signal_id string, signal_time timestamp, strength double", kept, "append", GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
     )
+
+
+def bars_ahead(events: DataFrame, bars: DataFrame, days: int = 30, slack: int = 7, late: str = "2 days") -> DataFrame:
+    """Each event with the bars of its ticker from its day to ``days`` + ``slack`` days later, as both come in (WIN8-13, DF9).
+
+    events: signal_id, ticker, signal_time; bars: ticker, bar_time (the start of its day), close. An outer join of two streams:
+    an event waits until the watermark of the bars has passed its last day, and then comes once without a bar if there was
+    none; a bar waits as long as events may still need it. State is what lies in between. ``late``: how late either may come.
+    """
+    e = events.withWatermark("signal_time", late).select("signal_id", F.col("ticker").alias("_ticker"), "signal_time")
+    b = bars.withWatermark("bar_time", late).select("ticker", "bar_time", "close")
+    inside = F.expr(f"bar_time > signal_time - INTERVAL 1 DAY AND bar_time <= signal_time + INTERVAL {days + slack} DAYS")
+    met = e.join(b, (F.col("_ticker") == F.col("ticker")) & inside, "left_outer")
+    return met.select("signal_id", F.col("_ticker").alias("ticker"), "signal_time", "bar_time", "close")
+
+
+def returns_so_far(rows: DataFrame, horizons: tuple[int, ...] = lex.DAY_HORIZONS, slack: int = 7) -> DataFrame:
+    """From the rows of :func:`bars_ahead` that have come: the return of each horizon, null as long as its bar isn't there.
+
+    The bar of a horizon is the first one on or up to ``slack`` days after its day.
+    """
+    ahead = F.datediff("bar_time", F.col("signal_time").cast("date"))
+    first = lambda h: F.min_by("close", F.when(ahead.between(h, h + slack), F.col("bar_time")))
+    found = rows.groupBy("signal_id", "ticker", "signal_time").agg(*(first(h).alias(f"c{h}") for h in (0, *horizons)))
+    return found.select("signal_id", "ticker", "signal_time", *(F.round(F.try_divide(F.col(f"c{h}"), F.col("c0")) - 1, 6).alias(f"return_{h}d") for h in horizons))
