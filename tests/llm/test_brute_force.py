@@ -68,19 +68,16 @@ def test_labels_of_any_value(spark, docs):
     assert all(r.predicted == (r.doc_id % 2 == 0) for r in got)
 
 
-def test_draws_equal_a_loop(spark, docs):
-    draw = random.Random(4)
-    df = docs([("w " * draw.randrange(9), "en", s) for s, n in (("a", 150), ("b", 40), ("c", 9), (None, 5)) for _ in range(n)])
-    table, seed = mixing.measured(df), 17
-    plan = mixing.plan(table, 1.3, 0.99, 3.0)
+def loop_draws(spark, table, plan, seed=17, passes=4):
+    """Each draw of a document as (doc_id, pass, block, block_rank), and each document's source."""
     sources = {r.source: r for r in plan.collect()}
     blocks, texts = defaultdict(list), {}
     for r in table.join(plan.select("source", "n_blocks"), "source").select("*", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks")).alias("b")).collect():
         blocks[r.source, r.b].append((r.doc_id, r.n_tokens))
         texts[r.doc_id] = r.source
-    points = spark.createDataFrame([(s, p, b) for s, b in blocks for p in range(4)], "source string, pass long, block long")
+    points = spark.createDataFrame([(s, p, b) for s, b in blocks for p in range(passes)], "source string, pass long, block long")
     order = {(r.source, r["pass"], r.block): r.h for r in points.select("*", F.xxhash64(F.lit(seed), "source", "pass", "block").alias("h")).collect()}
-    of_doc = {(r["pass"], r.doc_id): r.h for r in table.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("pass")).select("*", F.xxhash64(F.lit(seed), "pass", "doc_id").alias("h")).collect()}
+    of_doc = {(r["pass"], r.doc_id): r.h for r in table.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(passes - 1).cast("long"))).alias("pass")).select("*", F.xxhash64(F.lit(seed), "pass", "doc_id").alias("h")).collect()}
     want = Counter()
     for s, p in sources.items():
         if not p.n_tokens:
@@ -102,6 +99,15 @@ def test_draws_equal_a_loop(spark, docs):
                         break
                     want[d, turn, b, rank] += 1
                 break
+    return want, texts
+
+
+def test_draws_equal_a_loop(spark, docs):
+    draw = random.Random(4)
+    df = docs([("w " * draw.randrange(9), "en", s) for s, n in (("a", 150), ("b", 40), ("c", 9), (None, 5)) for _ in range(n)])
+    table = mixing.measured(df)
+    plan = mixing.plan(table, 1.3, 0.99, 3.0)
+    want, texts = loop_draws(spark, table, plan)
     got = mixing.draws(table, plan).collect()
     assert Counter((r.doc_id, r["pass"], r.block, r.block_rank) for r in got) == want and all(texts[r.doc_id] == r.source for r in got)
 

@@ -1,4 +1,11 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
+from test_brute_force import loop_draws
+from test_packing_mixing_urls import best_fit_decreasing, check_packed
 
 import corpus_pipeline
 from chatterflow.llm import exact_dedup, mixing, near_dedup, toxicity
@@ -49,3 +56,67 @@ def test_stages_on_odd_rows(spark, odd, docs, tmp_path):
         else:
             # of seven texts, each twice, and a null one and a copy with null ids: null, "" and blanks are two groups
             assert sizes[0] >= 12 and 4 <= sizes[1] <= 6 and sizes[2] == sizes[1] and packed
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def naive_score(lexicon, text):
+    """Every term tried at every place."""
+    folded, best, harmless = toxicity.fold(text or ""), {}, []
+    for phrase in lexicon.exceptions:
+        at = folded.find(f" {phrase} ")
+        while at >= 0:
+            harmless.append((at, at + len(phrase) + 1))
+            at = folded.find(f" {phrase} ", at + 1)
+    for term, w in lexicon.weights.items():
+        at = folded.find(term)
+        while at >= 0:
+            best[at] = max(best.get(at, 0.0), w)
+            at = folded.find(term, at + 1)
+    total = sum(w for at, w in best.items() if not any(a <= at < b for a, b in harmless))
+    a, b = lexicon.curve
+    return 1 / (1 + np.exp(-np.clip(a + b * total / np.log2(2 + len(folded) / 500), -30, 30)))
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """All five stages over one table, in plain Python but for the lexicon's weights and the hashes that order the draws."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id < 350")
+    sf = str(tmp_path / "sf")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.01/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    lexicon = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = {i: r for i, r in rows.items() if naive_score(lexicon, r.text) < 0.5}
+    assert 0 < len(rows) - len(kept) < 60
+    first = {}
+    for i in sorted(kept):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", kept[i].text or ""), i)
+    single = sorted(first.values())
+    assert len(single) < len(kept)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i in single:
+        w = WORD.findall((kept[i].text or "").translate(lower))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in single}
+    for n, i in enumerate(single):
+        for j in single[n + 1 :]:
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    alone = [i for i in single if group[i] == i]
+    assert len(alone) < len(single)
+    table = mixing.measured(docs.filter(F.col("doc_id").isin(alone)))
+    drawn, _ = loop_draws(spark, table, mixing.plan(table), passes=12)
+    times = Counter(d for d, _, _, _ in drawn.elements())
+    lib, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for i, n in times.items():
+        ids = np.array([*lib.encode(rows[i].text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update({(i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())): n for k in range(0, len(ids), 2048)})
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    assert check_packed(got) == best_fit_decreasing([r.length for r in got], 2048)
