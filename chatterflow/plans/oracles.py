@@ -579,6 +579,31 @@ ORACLES |= {
 }
 
 
+_FIRST_WORDS = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+')"
+ORACLES |= {
+    "feed_window": f"""WITH {_M}, w AS (SELECT thread_id || '|' || author_hash AS item_id, source_name, thread_id, item_type, created_time FROM m WHERE created_time >= TIMESTAMP '2024-01-05' AND created_time <= TIMESTAMP '2024-01-19'),
+        o AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY source_name <> 's4', source_name, created_time DESC) = 1),
+        p AS (SELECT * FROM o QUALIFY item_type <> 'post' OR row_number() OVER (PARTITION BY item_type, source_name ORDER BY created_time DESC, item_id) <= 40),
+        c AS (SELECT * FROM p QUALIFY item_type <> 'comment' OR row_number() OVER (PARTITION BY item_type, thread_id ORDER BY created_time DESC, item_id) <= 3)
+        SELECT item_id, source_name, item_type, strftime(created_time, '%Y-%m-%d %H:%M:%S.%f') AS created FROM c""",
+    "matched_sources": f"WITH {_M} SELECT item_id, CASE WHEN CAST(thread_id AS BIGINT) % 10 = 0 THEN CAST(thread_id AS BIGINT) + 1000 WHEN subreddit <> 'r2' THEN CAST(substr(subreddit, 2) AS BIGINT) END AS source_id FROM m",
+    "catalog_symbols": f"WITH {_ENTITY} SELECT DISTINCT CASE WHEN ticker = 'SQ' THEN 'XYZ' ELSE ticker END AS ticker FROM rows",
+    "catalog_clashes": f"WITH {_ENTITY}, a AS (SELECT ticker, unnest([lower(a1), lower(a2)]) AS alias FROM rows) SELECT alias, count(DISTINCT ticker) AS tickers FROM a WHERE alias <> '' GROUP BY 1 HAVING count(DISTINCT ticker) > 1",
+    "pair_merge": f"""WITH c AS (SELECT doc_id, {_FIRST_WORDS} AS w FROM documents), u AS (SELECT doc_id, unnest([w[1], lower(w[2]), upper(replace(w[1], 'ß', 'ss')), w[2]]) AS t, unnest([CASE WHEN doc_id % 3 = 0 THEN w[3] END, '', w[5], CASE WHEN doc_id % 2 = 0 THEN w[6] ELSE '' END]) AS c, unnest([1, 2, 3, 4]) AS n FROM c WHERE len(w) >= 6),
+        g AS (SELECT doc_id, upper(replace(t, 'ß', 'ss')) AS t, min(n) AS n, arg_min(c, n) FILTER (c <> '') AS c FROM u GROUP BY ALL) SELECT doc_id, string_agg(t || '=' || coalesce(c, 'Unknown'), '|' ORDER BY n) AS pairs FROM g GROUP BY 1""",
+    "source_inputs": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'thread_url' WHEN 1 THEN 'subreddit' WHEN 2 THEN 'subreddit' ELSE 'invalid' END AS kind, CASE page_id % 4 WHEN 0 THEN 'topic_' || page_id WHEN 1 THEN 'topic' || page_id ELSE '' END AS community,
+        CASE page_id % 4 WHEN 0 THEN 'ab' || page_id ELSE '' END AS thread, CASE page_id % 3 WHEN 1 THEN '[deleted]' ELSE 'n' || page_id END AS author FROM pages""",
+    "deeper_analysis": f"""WITH d AS (SELECT doc_id AS item_id, text, lower(text) AS low FROM documents), e AS (SELECT *, list_filter({_CLAIMS}, lambda x: x IS NOT NULL) AS cl FROM d WHERE item_id % 11 >= 7 OR item_id % 3 = 2 OR item_id % 13 = 0)
+        SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'summary ' || item_id ELSE substr(text, 1, 220) END AS stronger_summary, CASE WHEN len(cl) > 0 THEN array_to_string(cl[1:3], '|') WHEN low <> '' THEN 'Check the core thesis against filings, transcripts, or reliable reporting.' ELSE '' END AS key_claims,
+            array_to_string(list_filter([CASE WHEN contains(low, 'contract') OR contains(low, 'customer') THEN 'Customer or contract wins' END, CASE WHEN contains(low, 'guidance') OR contains(low, 'earnings') THEN 'Upcoming earnings or guidance updates' END,
+                CASE WHEN contains(low, 'launch') OR contains(low, 'product') THEN 'Product or launch execution milestones' END], lambda x: x IS NOT NULL), '|') AS possible_catalysts,
+            array_to_string(list_filter([CASE WHEN contains(low, 'dilution') THEN 'Dilution risk' END, CASE WHEN contains(low, 'execution') THEN 'Execution risk' END, CASE WHEN contains(low, 'capex') THEN 'Capital intensity' END, CASE WHEN contains(low, 'liquidity') THEN 'Liquidity risk' END,
+                CASE WHEN contains(low, 'customer concentration') THEN 'Customer concentration' END, CASE WHEN contains(low, 'margin') THEN 'Margin pressure' END], lambda x: x IS NOT NULL)[1:4], '|') AS possible_risks FROM e""",
+    "conformed_items": """SELECT CAST(doc_id AS VARCHAR) AS item_id, coalesce(source, '') AS source_name, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id % 90 END AS score, 'post' AS item_type, '' AS body_text, 0 AS comment_depth, NULL::VARCHAR AS author,
+        CASE WHEN doc_id % 4 > 0 THEN '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || ' 05:06:07' END AS created, 18 AS columns FROM documents WHERE doc_id % 9 > 0""",
+    "insert_missing": "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN o_totalprice ELSE o_totalprice * 2 END AS o_totalprice FROM orders",
+    "json_rows": """SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"status":' || CASE WHEN o_orderkey % 3 > 0 THEN '"' || o_orderstatus || '"' ELSE 'null' END || ',"tags":["' || o_orderpriority || '"]}' AS line FROM orders""",
+}
 _SHORT = "list_filter([{}], lambda x: list_contains(symbols, x))"
 ORACLES["model_answers"] = f"""WITH {_CLASS}, a AS (SELECT *, CASE WHEN item_id % 7 IN (1, 4) THEN 'good' WHEN item_id % 7 IN (2, 5) THEN 'full' ELSE 'none' END AS view, {_SPEC} AS spec0, list_filter({_CLAIMS}, lambda x: x IS NOT NULL) AS cl,
         CASE WHEN item_id % 7 IN (1, 4) THEN {_SHORT.format("'THE', 'OF'")} WHEN item_id % 7 IN (2, 5) THEN {_SHORT.format("'IN'")} ELSE symbols END AS ts FROM c3),

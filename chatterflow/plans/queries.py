@@ -13,7 +13,8 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..operators import buckets as B
 from ..operators import attention, catalog, classify, cooldown, corpus, coverage, history, mentions, prices, signals, stats
-from ..sources import storage
+from ..schema import conform_items
+from ..sources import feeds, storage
 from . import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -977,6 +978,91 @@ def market_freshness(spark, sf):
     return per.select("ticker", S.market_freshness(F.col("latest"), F.col("missing"), F.lit("2024-01-26").cast("timestamp")).alias("status"))
 
 
+@query
+def feed_window(spark, sf):
+    """SRC1-4, SRC9: what requests of two weeks would show: 40 posts of each source, 3 comments of each thread, each item once."""
+    kind = F.when(F.col("source_name") == "s4", "thread_url").otherwise("subreddit")
+    items = A.mentions(spark, sf).select(F.concat_ws("|", "thread_id", "author_hash").alias("item_id"), "source_name", "thread_id", "item_type", "created_time", kind.alias("source_type"))
+    return feeds.collect(items, "2024-01-05", "2024-01-19", 40, 3).select("item_id", "source_name", "item_type", F.date_format("created_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created"))
+
+
+@query
+def matched_sources(spark, sf):
+    """SRC10: a thread's own source wins over its community's."""
+    m = A.mentions(spark, sf).select("item_id", "thread_id", "subreddit")
+    threads = m.select("thread_id").distinct().filter("cast(thread_id AS long) % 10 = 0").select(F.lit("thread_url").alias("source_type"), F.col("thread_id").alias("normalized_value"), (F.col("thread_id").cast("long") + 1000).alias("source_id"))
+    names = m.select("subreddit").distinct().filter("subreddit <> 'r2'").select(F.lit("subreddit").alias("source_type"), F.col("subreddit").alias("normalized_value"), F.substring("subreddit", 2, 9).cast("long").alias("source_id"))
+    return feeds.matched_source(m, threads.unionByName(names)).select("item_id", "source_id")
+
+
+@query
+def catalog_symbols(spark, sf):
+    """SRC12: the market symbols of a catalog."""
+    return feeds.universe(A.entity_catalog(spark, sf).select(F.upper("ticker").alias("ticker")))
+
+
+@query
+def catalog_clashes(spark, sf):
+    """AGG20: aliases of several tickers."""
+    listed = F.filter(F.transform(F.split("aliases", r"\|"), lambda a: F.lower(F.trim(a))), lambda a: a != "")
+    return feeds.duplicate_aliases(A.entity_catalog(spark, sf).select(F.upper("ticker").alias("ticker"), listed.alias("aliases")))
+
+
+@query
+def pair_merge(spark, sf):
+    """SET8, ARR7: two words of a document thrice as tickers, with a company for some."""
+    w = F.col("w")
+    c = A.table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)).alias("w")).filter("size(w) >= 6")
+    found = mentions.pairs(F.array(w[0], F.concat(F.lit(" "), F.lower(w[1])), F.lit(" "), F.upper(w[0]), w[1]), F.array(F.when(F.col("doc_id") % 3 == 0, w[2]), F.lit(" "), w[3], w[4], F.when(F.col("doc_id") % 2 == 0, w[5]).otherwise("")))
+    return c.select("doc_id", F.array_join(F.transform(found, lambda p: F.concat_ws("=", p["ticker"], p["company_name"])), "|").alias("pairs"))
+
+
+@query
+def source_inputs(spark, sf):
+    """STR9, STR11, STR12: what users type as sources and authors."""
+    p = A.table(spark, sf, "pages")
+    typed = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://x.example/r/Topic_"), F.col("page_id").cast("string"), F.lit("/comments/ab"), F.col("page_id").cast("string"), F.lit("/t")))
+    typed = typed.when(F.col("page_id") % 4 == 1, F.concat(F.lit(" r/Topic"), F.col("page_id").cast("string"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("Topic"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" /u/n"), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, " ").otherwise(F.concat(F.lit("u/n"), F.col("page_id").cast("string")))
+    return p.select("page_id", T.source_kind(typed).alias("kind"), T.community(F.trim(typed)).alias("community"), T.thread_id(typed).alias("thread"), T.author(name).alias("author"))
+
+
+@query
+def deeper_analysis(spark, sf):
+    """DF4, FLT11: the deeper view of the documents that are worth it."""
+    quality = F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), (F.col("item_id") % 3 + 1).cast("int"))
+    summary = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("summary "), F.col("item_id").cast("string"))).otherwise("")
+    c = A.items(spark, sf).withColumns({"depth_score": F.col("item_id") % 11, "evidence_quality": quality, "needs_deeper_analysis": F.col("item_id") % 13 == 0, "summary": summary})
+    d = classify.deeper(c.filter(classify.eligible_for_deeper(c))).select("item_id", "deeper_analysis.*")
+    return d.select("item_id", "stronger_summary", *(F.array_join(x, "|").alias(x) for x in ("key_claims", "possible_catalysts", "possible_risks")))
+
+
+@query
+def conformed_items(spark, sf):
+    """PRJ2, SRC8, DT1: rows with loose types, absent columns and blank ids."""
+    d = A.table(spark, sf, "documents")
+    at = F.when(F.col("doc_id") % 4 == 0, "soon").otherwise(F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T05:06:07Z")))
+    score = F.when(F.col("doc_id") % 5 == 0, "many").otherwise((F.col("doc_id") % 90).cast("string"))
+    rows = d.select(F.when(F.col("doc_id") % 9 == 0, " ").otherwise(F.col("doc_id").cast("string")).alias("item_id"), F.col("source").alias("source_name"), score.alias("score"), at.alias("created_time"), F.lit(1).alias("unknown"))
+    out = conform_items(rows)
+    return out.select("item_id", "source_name", "score", "item_type", "body_text", "comment_depth", "author", F.date_format("created_time", "yyyy-MM-dd HH:mm:ss").alias("created"), F.lit(len(out.columns)).alias("columns"))
+
+
+@query
+def insert_missing(spark, sf):
+    """SET7, SNK4: frozen orders stay as they are, new ones are added."""
+    o = A.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    frozen = o.join(A.table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    return storage.insert_missing(frozen, o.withColumn("o_totalprice", F.col("o_totalprice") * 2), ["o_orderkey"])
+
+
+@query
+def json_rows(spark, sf):
+    """SNK10: rows as JSON lines with explicit nulls."""
+    o = A.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("status"), F.array("o_orderpriority").alias("tags"))
+    return o.select("o_orderkey", J.encoded(o).alias("line"))
+
+
 @query
 def correlation_fetch_plan(spark, sf):
     """SRC18: bars that the correlation dataset needs, with the benchmark's."""
