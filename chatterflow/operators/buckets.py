@@ -9,11 +9,6 @@ from ..functions import scores as S
 from . import prices as P
 
 PERIODS = {"Daily": "day", "Weekly": "week", "Monthly": "month"}
-SIGNALS = (
-    "mentions", "mention_share_of_voice", "mention_acceleration", "percentage_mention_acceleration", "post_count", "comment_count", "unique_subreddit_count",
-    "unique_author_count", "average_hype_score", "average_evidence_score", "average_specificity_score", "average_sentiment_score", "bullish_mention_count",
-    "bearish_mention_count", "bull_bear_ratio", "low_mentions_high_signal_flag", "narrative_shift_score",
-)
 
 
 def bucket_start(ts: Column, period: str, run_completed: Column | None = None) -> Column:
