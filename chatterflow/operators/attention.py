@@ -69,6 +69,7 @@ def attention(events: DataFrame, mentions: DataFrame, runs: DataFrame, windows:
     sources and two threads mention the ticker, else Low.
     """
     points = events.filter("signal_time is not null and ticker <> ''").select("signal_id", F.upper("ticker").alias("ticker"), "signal_time", F.unix_micros("signal_time").alias("at"))
+    runs = written(runs.select("analysis_run_id", "completed_at", "coverage_reliability"))
     points = in_scope(points, runs, days)
     rows = written(_intervals(mentions, runs, windows, days))
     a = [f"a_{n}" for n in windows]
@@ -77,14 +78,13 @@ def attention(events: DataFrame, mentions: DataFrame, runs: DataFrame, windows:
     values = rows.select("scope", "ticker", "z", *a, F.explode(each).alias("v")).select("scope", "ticker", "z", *a, "v.*").filter("value is not null")
     one = ["scope", "ticker", "kind", "value"]
     values = values.groupBy(*one, "z").agg(*(F.min(c).alias(c) for c in a))
-    first = running(values, one, [F.desc("z")], {f"_{c}": ("min", c) for c in a}, before=True)
-    # at any later time: a value counts up to its last mention
-    last = first.filter("scope = 'corpus' and kind <> 'authors'").groupBy(*one).agg(F.max("z").alias("z"))
-    always = {0: F.col("z")}
-    later = _edges(last.withColumn("a_0", F.lit(-(1 << 63)).cast("long")), (0,), always)
+    first = running(values.withColumn("_1", F.lit(1)), one, [F.desc("z")], {f"_{c}": ("min", c) for c in a} | {"_later": ("sum", "_1")}, before=True)
+    # as window 0, at any later time: a value counts up to its last mention, which no later one precedes here
+    last = (F.col("_later") == 0) & (F.col("scope") == "corpus") & (F.col("kind") != "authors")
+    first = first.withColumn("a_0", F.when(last, F.lit(-(1 << 63)).cast("long")))
 
     said = _edges(rows.withColumn("kind", F.lit("mentions")), windows, dict.fromkeys(windows, F.col("z")))
-    edges = said.unionByName(_edges(first, windows, {n: F.least("z", f"_a_{n}") for n in windows})).unionByName(later)
+    edges = said.unionByName(_edges(first, (0, *windows), {0: F.col("z")} | {n: F.least("z", f"_a_{n}") for n in windows}))
     names = {f"{k}_{n}d": (k, n) for n in windows for k in ("mentions", *KINDS)} | {"threads_later": ("threads", 0), "sources_later": ("sources", 0)}
     of = lambda k, n: F.sum(F.when((F.col("kind") == k) & (F.col("n") == n), F.col("s")).otherwise(0))
     own = edges.groupBy("scope", "ticker", "at").agg(*(of(*x).alias(c) for c, x in names.items()))
