@@ -1,9 +1,6 @@
 import random
 import re
 
-import pytest
-from pyspark.sql import functions as F
-
 from chatterflow.llm import licenses as L
 from chatterflow.llm import queries
 
