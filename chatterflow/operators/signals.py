@@ -41,8 +41,39 @@ def top_evidence(mentions: DataFrame, n: int = 3) -> DataFrame:
     return best.withColumn("excerpt", T.excerpt(F.col("body_text"))) if "body_text" in mentions.columns else best
 
 
+#: Tickers of a block of the catalog, and pairs of an event and a ticker that a block of events has with it.
+TICKERS, PAIRS = 4096, 1 << 18
+
+
+def drawn_benchmark(events: DataFrame, universe: DataFrame, n: int = lex.GATES["benchmark_sample"]) -> DataFrame:
+    """TOP11: for each event the ``n`` other tickers with the smallest SHA-1 of (signal_id, ticker), a fixed random draw of its own.
+
+    Every event is hashed with every ticker of the catalog. Both are dealt into blocks; a block of events meets a block of the
+    catalog, which is one array, by equality, and an event keeps its ``n`` smallest of it. Where the catalog has several
+    blocks, an event's smallest of each are merged. sample_index counts them from 1 in the order of the hashes.
+    """
+    tickers = written(universe.select("ticker").filter("ticker <> ''").distinct())
+    drawing = written(events.select("signal_id", "ticker").distinct())
+    size = tickers.count()
+    parts = max(-(-size // TICKERS), 1)
+    chunks = max(-(-drawing.count() * min(size, TICKERS) // PAIRS), 1)
+    catalog = tickers.groupBy(F.pmod(F.xxhash64("ticker"), F.lit(parts)).alias("_of")).agg(F.collect_list("ticker").alias("_all"))
+    each = lambda k: F.explode(F.expr(f"sequence(0L, {k - 1}L)"))
+    catalog = catalog.withColumn("_chunk", each(chunks))
+    dealt = drawing.withColumn("_chunk", F.pmod(F.xxhash64("signal_id", "ticker"), F.lit(chunks))).withColumn("_of", each(parts))
+    # more than 10,000 partitions help nobody; blocks share them then
+    met = dealt.repartition(min(chunks * parts, 10_000), "_chunk", "_of").join(catalog, ["_chunk", "_of"])
+    others = F.filter("_all", lambda t: t != F.coalesce("ticker", F.lit("")))
+    first = lambda hashed: F.slice(F.sort_array(hashed), 1, n)
+    sample = met.select("signal_id", "ticker", first(F.transform(others, lambda t: F.struct(F.sha1(F.concat("signal_id", t)).alias("h"), t.alias("t")))).alias("_met"))
+    if parts > 1:
+        sample = sample.groupBy("signal_id", "ticker").agg(first(F.flatten(F.collect_list("_met"))).alias("_met"))
+    return sample.select("signal_id", "ticker", F.posexplode("_met").alias("_i", "_b")).select("signal_id", "ticker", F.col("_b.t").alias("benchmark_ticker"), (F.col("_i") + 1).cast("long").alias("sample_index"))
+
+
 def random_benchmark(events: DataFrame, universe: DataFrame, n: int = lex.GATES["benchmark_sample"]) -> DataFrame:
-    """TOP11: for each event ``n`` other tickers, a fixed random sample: sample_index counts them from 1.
+    """For each event ``n`` other tickers, an arc of one ring: sample_index counts them from 1. Neighbours on the ring are drawn
+    together by all events, so it is less than :func:`drawn_benchmark`; outcomes (DF10) are looked up for it.
 
     The catalog is a ring, in the order of the tickers' SHA-1. An event enters it at the SHA-1 of its id and takes the tickers
     that follow, passing over its own. Both are sorted together once; then an event meets n + 1 places of the ring by

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatterflow.operators import attention, cooldown, prices, ranges, signals, stats
+from chatterflow.plans.queries import QUERIES
 
 START = dt.datetime(2024, 1, 1)
 
@@ -160,6 +161,36 @@ def test_benchmark_ring(spark, blocks):
             assert sorted(got.get(name, [])) == list(enumerate(want, 1))
 
 
+@pytest.mark.parametrize("tickers", [4096, 7])
+def test_benchmark_draws_from_the_whole_catalog(spark, blocks, monkeypatch, tickers):
+    monkeypatch.setattr(signals, "TICKERS", tickers)
+    monkeypatch.setattr(signals, "PAIRS", 50)
+    sha = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    for size in (0, 1, 2, 5, 60):
+        catalog = [f"T{i}é" for i in range(size)]
+        events = [(f"e{i}", [None, "T1é", "other"][i % 3]) for i in range(40)]
+        e = spark.createDataFrame(events + events[:9], "signal_id string, ticker string")
+        got = {}
+        for r in signals.drawn_benchmark(e, spark.createDataFrame([(t,) for t in [*catalog, *catalog, "", None]], "ticker string"), 4).collect():
+            got.setdefault((r.signal_id, r.ticker), []).append((r.sample_index, r.benchmark_ticker))
+        for name, own in events:
+            want = sorted((t for t in catalog if t != own), key=lambda t: sha(name + t))[:4]
+            assert sorted(got.get((name, own), [])) == list(enumerate(want, 1))
+        assert size != 60 or len({frozenset(t for _, t in v) for v in got.values()}) == 40  # an arc would have neighbours in common
+
+
+def test_benchmark_query_draws_for_each_event(spark):
+    bars = [r.p_brand for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").join(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"), F.expr("p_partkey = l_partkey")).select("p_brand").distinct().collect()]
+    sample = QUERIES["random_benchmark"](spark, "/root/testdata/sf0.001").collect()
+    got = {}
+    for r in sample:
+        got.setdefault(r.signal_id, {})[r.sample_index] = r.benchmark_ticker
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    for name, at in got.items():
+        want = sorted(bars, key=lambda t: hashlib.sha1((name + t).encode()).hexdigest())[:12]
+        assert [at[k] for k in sorted(at)] == want
+
+
 def test_asof_spreads_a_ticker(spark, blocks):
     draw = random.Random(9)
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
