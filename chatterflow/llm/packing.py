@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import _FIRST_BYTES, _FOLD, SPACES, blocks, chunks, mix, text_bytes, with_text, word_bounds, written
 
 CAPACITY = 2048
-#: 2**TABLE_BITS cells of 22 bytes, half of them filled at most, for pre-tokens, and bytes of odd words that a worker keeps.
-TABLE_BITS, OTHERS = 22, 30_000_000
+#: 2**TABLE_BITS cells of 23 bytes, half of them filled at most, for pre-tokens, and bytes of odd words that a worker keeps.
+TABLE_BITS, OTHERS = 19, 30_000_000
+#: Bytes of text that are turned into ids at once: a worker keeps much of the memory that the arrays beside them once took.
+TEXT_BYTES = 1 << 18
 #: Up to so many runs (about 40 bytes each) are looked up map-side, which is all that a capacity up to 8192 can have; beyond,
 #: Spark joins them.
 BROADCAST_RUNS = 500_000
@@ -51,17 +53,18 @@ class WordIds:
     ending with its end-of-word id.
 
     The table has open addressing; a cell's key is the pre-token's own bytes, 16 at most (longer ones are kept like odd
-    words), so a hit is exact. When the table is full it starts anew, from the pre-tokens of the present texts.
+    words), so a hit is exact. When the table is full, only pre-tokens that were found again stay (:meth:`sift`); where that
+    isn't room enough, it starts anew, from the pre-tokens of the present texts. A worker keeps the table from task to task.
     """
 
     def __init__(self, file: str, table_bits: int = TABLE_BITS):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.fast = Tokenizer.from_file(file), Tokenizer.from_file(file)
-        for t in (self.whole, self.fast):
-            t.no_truncation()
-            t.no_padding()
-        self.fast.normalizer, self.fast.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.whole = Tokenizer.from_file(file)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.fast = Tokenizer(self.whole.model)  # the model is held once
+        self.fast.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.whole.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -74,10 +77,25 @@ class WordIds:
         """Empty tables; the pool of ids begins with id 0 at place 0."""
         self.low, self.high = (np.zeros(1 << self.bits, np.uint64) for _ in range(2))
         self.place, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.uint16)
+        self.again = np.zeros(1 << self.bits, bool)
         self.pool, self.used, self.known = np.zeros(1 << 20, "<u4"), 1, 0
         self.others: dict[bytes, tuple[int, int]] = {}
         self.kept_bytes = 0
 
+    def sift(self) -> None:
+        """Room in the table: only pre-tokens that were found again stay, if they aren't more than half of what it may hold."""
+        kept, pool, others, kept_bytes = np.flatnonzero(self.again), self.pool, self.others, self.kept_bytes
+        kept = kept[: len(kept) if len(kept) <= len(self.low) // 4 else 0]
+        low, high, place, length = (x[kept] for x in (self.low, self.high, self.place, self.length))
+        self.clear()
+        size = length.astype(np.int64)
+        before = np.cumsum(size) - size
+        ids = pool[np.repeat(place - before, size) + np.arange(size.sum())]
+        self.insert(low, high, self.pooled(ids) + before, length)
+        if kept_bytes <= OTHERS:
+            self.others = {w: (self.pooled(pool[at : at + n]), n) for w, (at, n) in others.items()}
+            self.kept_bytes = kept_bytes
+
     def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The cell of each key, -1 for those that the table lacks."""
         at = _slot(low, high, self.bits)
@@ -131,23 +149,21 @@ class WordIds:
         at, length = blocks(folded), ends[plain] - begins[plain]
         low = at[begins[plain]] & _FIRST_BYTES[np.minimum(length, 8)]
         high = at[np.minimum(begins[plain] + 8, len(raw))] & _FIRST_BYTES[np.maximum(length - 8, 0)]
-        cells = self.find(low, high)
-        missed = np.flatnonzero(cells < 0)
-        if self.known + len(missed) > len(self.low) // 2 or self.kept_bytes > OTHERS:
-            new = len(np.unique(mix(low[missed] + mix(high[missed])))) if self.known else 0
-            if self.known + new > len(self.low) // 2 or self.kept_bytes > OTHERS:
-                self.clear()
-                cells[:], missed = -1, np.arange(len(plain))
+        cells, missed, first = self._missed(low, high)
+        self.again[cells[cells >= 0]] = True
+        for make_room in (self.sift, self.clear):
+            if self.known + len(first) > len(self.low) // 2 or self.kept_bytes > OTHERS:
+                make_room()
+                cells, missed, first = self._missed(low, high)
+        if len(first) > len(self.low) // 2:  # more distinct ones in one giant text than the table is for
+            return self._once(raw, offsets)
         place, size = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
         if len(missed):
             data = folded.tobytes()
-            first = distinct(low[missed], high[missed])
             beyond = blocks_beyond_ascii(low[missed[first]]) | blocks_beyond_ascii(high[missed[first]])
             first = first[np.argsort(beyond, kind="stable")]  # lines of ASCII alone need no translation
             which = plain[missed[first]]
             ids, many = self.encode([data[a:b] for a, b in zip(begins[which].tolist(), ends[which].tolist(), strict=True)])
-            if self.known + len(first) > len(self.low) // 2:  # more distinct ones in one giant text than the table is for
-                return self._once(raw, offsets)
             places = self.pooled(ids) + np.cumsum(many) - many
             self.insert(low[missed[first]], high[missed[first]], places, many)
             cells = self.find(low, high)
@@ -167,6 +183,12 @@ class WordIds:
         out = self.pool[np.repeat(place - total[:-1], size) + np.arange(total[-1])]
         return out, total[off + np.arange(len(off))]
 
+    def _missed(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cell of each key, where the table lacks a key, and which of those places are the first of their key."""
+        cells = self.find(low, high)
+        missed = np.flatnonzero(cells < 0)
+        return cells, missed, distinct(low[missed], high[missed])
+
     def _once(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same by a table for these texts alone, as large as they need."""
         bits, self.bits = self.bits, max(self.bits, int(len(raw)).bit_length() + 1)
@@ -242,7 +264,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
             out: tuple[list, ...] = ([], [], [], [], [])
             raw, offsets = text_bytes(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, TEXT_BYTES):
                 ids, at_doc = by_word.ids(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 data, bounds = memoryview(ids).cast("B"), (at_doc * 4).tolist()
                 for doc_id, s, e in zip(doc_ids[a:b], bounds[:-1], bounds[1:], strict=True):
@@ -316,7 +338,8 @@ def ranked(table: DataFrame) -> tuple[DataFrame, dict[int, int]]:
         counts[r["length"]] += r["n"]
     if not base:
         return placed.select("*", F.lit(0).cast("long").alias("rank")), {}
-    shift = placed.sparkSession.createDataFrame(base, "part long, length long, shift long")
+    # from Arrow, since a list would pass through Python workers of another kind, which stay beside the first
+    shift = placed.sparkSession.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*base, strict=True)], names=["part", "length", "shift"]))
     with_rank = placed.withColumn("part", part).join(F.broadcast(shift), ["part", "length"]).withColumn("rank", inside + F.col("shift"))
     return with_rank.drop("part", "shift"), dict(counts)
 
@@ -353,8 +376,7 @@ def _joined(placed: DataFrame, runs: np.ndarray, counts: dict[int, int]) -> Data
     last = np.append(runs[1:, 1], 0)
     ends = np.append(runs[1:, 0] != runs[:-1, 0], True)
     last[ends] = [counts[int(x)] for x in runs[ends, 0]]
-    rows = np.column_stack((runs, last)).tolist()
-    table = placed.sparkSession.createDataFrame(rows, "r_length long, first long, sequence long, each long, r_offset long, last long")
+    table = placed.sparkSession.createDataFrame(pa.table([pa.array(c) for c in (*runs.T, last)], names=["r_length", "first", "sequence", "each", "r_offset", "last"]))
     table = table.withColumn("block", F.explode(F.sequence(F.expr(f"first div {BLOCK}"), F.expr(f"(last - 1) div {BLOCK}"))))
     found = (F.col("length") == F.col("r_length")) & (F.expr(f"rank div {BLOCK}") == F.col("block")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
     nth = F.col("rank") - F.col("first")
