@@ -67,6 +67,45 @@ def test_a_hundred_thousand_aliases(spark):
     assert [got[i] for i in range(120)] == want and sum(len(t) for t, _ in want) > 500
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    gate, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_entities_shuffle_less_than_their_texts(spark):
+    draw = random.Random(4)
+    words = [f"word{i}" for i in range(3000)]
+    weights = [1 / (i + 5) for i in range(3000)]
+    texts = [" ".join(draw.choices(words, weights, k=400)) + f" $T{chr(65 + i % 26)}" for i in range(2000)]
+    lines = [(i, f"T{chr(65 + i % 26)}{chr(65 + i // 26)}" if i >= 26 else f"T{chr(65 + i)}", " ".join(draw.choices(words, k=1 + i % 3)), f"{texts[i][:30]} - x") for i in range(600)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, body_text string").repartition(4).localCheckpoint()
+    table = spark.createDataFrame(lines, CATALOG).localCheckpoint()
+    before = shuffled(spark)
+    got = {r.item_id: (r.tickers, r.company_names) for r in catalog.entities(items, table).select("item_id", "tickers", "company_names").collect()}
+    moved = shuffled(spark) - before
+    assert [got[i] for i in range(0, 2000, 40)] == brute(lines, texts[::40])
+    assert moved < 0.75 * sum(map(len, texts))
+
+
+def test_entities_in_blocks_of_any_size(spark, monkeypatch):
+    draw = random.Random(6)
+    words = ["a", "b", "cc", "dé", "É", "x_1", "9", "Σ", "日本"]
+    seams = [" ", "  ", "-", ". ", " & ", "(", ", "]
+    some = lambda n: "".join(draw.choice(words) + draw.choice(seams) for _ in range(n))
+    lines = [(i, f"{draw.choice(['T', 'OK', 'Wörd', 'TOOLONG', 'IT'])}{chr(65 + i)}" if i % 5 else "AB", some(draw.randint(1, 2)), "|".join(some(draw.randint(0, 5)).strip() for _ in range(3)) + draw.choice(["", "|$$", "|é"])) for i in range(20)]
+    texts = [draw.choice(["", "(", "$AB ", "$TB TC "]) + some(draw.randint(0, 60)) for _ in range(150)] + ["", None, "$$", "é"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, body_text string")
+    want = brute(lines, texts)
+    for size, most in ((1 << 24, 4096), (100, 7)):
+        for name, value in (("BLOCK", size), ("TEXTS", most), ("PIECE", 64), ("MAX_BITS", 7)):
+            monkeypatch.setattr(catalog, name, value)
+        got = {r.item_id: (r.tickers, r.company_names) for r in catalog.entities(items, spark.createDataFrame(lines, CATALOG)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_json_tables_come_back(spark):
     cells = ['{"a":[1,null,"x"],"b":{"c":1.5}}', "[]", "{broken", None, '"text"', "", "NaN", "12", "{} {}", "1,2", "1] x", "1} x", "null"]
     df = spark.createDataFrame([(i, c, float("nan") if i % 2 else 0.5) for i, c in enumerate(cells)], "id long, list_json string, score double")
