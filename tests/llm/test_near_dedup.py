@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from chatterflow.llm import near_dedup as N
 
@@ -75,6 +77,28 @@ def test_regular_word_patterns_do_not_collide():
     assert len(got) == len(shingles(t.decode(), 4))
 
 
+@pytest.mark.parametrize("cell", [1 << 22, 500])
+def test_a_large_bucket_loses_no_pair(docs, monkeypatch, cell):
+    """400 pairs of 0.80, and 200 texts that share most shingles with others but no such pair, in one bucket; stars find none."""
+    draw = random.Random(11)
+    pool, texts = [f"p{i}" for i in range(160)], []
+    for i in range(400):
+        words = draw.sample([f"w{j}" for j in range(9000)], 111)
+        texts += [" ".join(words[:100]), " ".join(words[11:])]
+    texts += [" ".join(draw.sample(pool, 100)) for _ in range(200)]
+    sets = [set(t.split()) for t in texts]
+    want = [i - i % 2 if i < 800 else i for i in range(1000)]
+    assert all(100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1]) for i in range(0, 800, 2))
+    assert not any(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets[800:]) for b in sets[800 : 800 + i])
+    table = docs(texts).repartition(4)
+    own = N.sketched(table, 1, 80).select(F.col("doc_id").alias("doc"), "n_shingles", "sketch", "bits")
+    ids = own.select("doc")
+    monkeypatch.setattr(N, "_star", lambda members, led=None: (members.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0), members.select("doc").limit(0)))
+    monkeypatch.setattr(N, "CELL", cell, raising=False)
+    got = {r.node: r.label for r in N._labels(ids.select(F.lit(1).cast("long").alias("bucket"), "doc"), ids, own, table, 1, 80).collect()}
+    assert [got.get(i, i) for i in range(1000)] == want
+
+
 def test_odd_rows(odd, docs):
     got = N.near_groups(odd, 4).collect()
     assert len(got) == odd.count() and all(r.kept == (r.component_id == r.doc_id) for r in got)
